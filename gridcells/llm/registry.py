@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES and SQL, in the order of the operators.
-MODULES = ("packing", "linededup", "langid", "decontam", "simhash")
+MODULES = ("packing", "linededup", "langid", "decontam", "secrets", "editcount", "simhash", "licenses", "toxicity", "quality")
 
 
 def queries() -> dict:
