@@ -67,25 +67,40 @@ def parent_ij(i, j, child_res: int) -> tuple[Column, Column]:
     return tuple(F.rint((a * i + b * j) / 7).cast("long") for a, b in _UP[child_res % 2])
 
 
-def child_ij(i, j, child_res: int) -> tuple[Column, Column]:
-    """The centre child."""
-    i, j = _col(i), _col(j)
-    return tuple(a * i + b * j for a, b in _DOWN[child_res % 2])
+def ancestor_ij(i, j, from_res: int, to_res: int) -> tuple[Column, Column]:
+    """Every level uses both coordinates of the one below, so more than two levels
+    nested as plain columns would double each time; a fold binds them instead."""
+    if from_res - to_res <= 2:
+        for r in range(from_res, to_res, -1):
+            i, j = parent_ij(i, j, r)
+        return _col(i), _col(j)
+
+    def step(p: Column, odd: Column) -> Column:
+        (a, b), (c, d) = ((F.when(odd, x).otherwise(y) for x, y in zip(u, v, strict=True)) for u, v in zip(_UP[1], _UP[0], strict=True))
+        i, j = p["i"], p["j"]
+        return F.struct(F.rint((a * i + b * j) / 7).cast("long").alias("i"), F.rint((c * i + d * j) / 7).cast("long").alias("j"))
+
+    levels = F.array(*[F.lit(r % 2 == 1) for r in range(from_res, to_res, -1)])
+    top = F.aggregate(levels, F.struct(_col(i).cast("long").alias("i"), _col(j).cast("long").alias("j")), step)
+    return top["i"], top["j"]
+
+
+def _descent(from_res: int, to_res: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """Matrix from a cell of ``from_res`` to its centre descendant."""
+    a, b, c, d = 1, 0, 0, 1
+    for r in range(from_res + 1, to_res + 1):
+        (p, q), (s, t) = _DOWN[r % 2]
+        a, b, c, d = p * a + q * c, p * b + q * d, s * a + t * c, s * b + t * d
+    return (a, b), (c, d)
 
 
 def latlng_to_cell(lat, lon, res: int) -> Column:
-    i, j = plane_to_axial(*plane(lat, lon))
-    for r in range(MAX_RES, res, -1):
-        i, j = parent_ij(i, j, r)
-    return pack(res, i, j)
+    return pack(res, *ancestor_ij(*plane_to_axial(*plane(lat, lon)), MAX_RES, res))
 
 
 def cell_parent(cell, res: int, from_res: int) -> Column:
     """The ancestor at ``res`` of a cell of ``from_res``."""
-    i, j = axial(cell)
-    for r in range(from_res, res, -1):
-        i, j = parent_ij(i, j, r)
-    return pack(res, i, j)
+    return pack(res, *ancestor_ij(*axial(cell), from_res, res))
 
 
 def grid_disk(cell, k: int = 1) -> Column:
@@ -101,9 +116,9 @@ def grid_distance(a, b) -> Column:
 
 
 def cell_to_plane(cell, res: int) -> tuple[Column, Column]:
+    (a, b), (c, d) = _descent(res, MAX_RES)
     i, j = axial(cell)
-    for r in range(res + 1, MAX_RES + 1):
-        i, j = child_ij(i, j, r)
+    i, j = a * i + b * j, c * i + d * j
     return (i - j / 2) * EDGE_M, j * (EDGE_M * math.sqrt(3) / 2)
 
 
@@ -119,10 +134,9 @@ def cell_to_latlng(cell, res: int) -> Column:
 def _step_vectors(res: int) -> list[tuple[float, float]]:
     """Plane vectors from a cell of ``res`` to its six neighbours, in order."""
     out = []
+    (a, b), (c, d) = _descent(res, MAX_RES)
     for i, j in NEIGHBOURS:
-        for r in range(res + 1, MAX_RES + 1):
-            (a, b), (c, d) = _DOWN[r % 2]
-            i, j = a * i + b * j, c * i + d * j
+        i, j = a * i + b * j, c * i + d * j
         out.append(((i - j / 2) * EDGE_M, j * EDGE_M * math.sqrt(3) / 2))
     return out
 

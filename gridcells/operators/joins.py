@@ -53,7 +53,7 @@ def own_or_ring(cells: DataFrame, pixels: DataFrame, value: str = "v") -> DataFr
     parts = pixels.groupBy(F.col("cell").alias("at")).agg(F.sum(value).alias("s"), F.max(value).alias("m"), F.count(value).alias("k"))
     met = probe.join(parts, "at").groupBy("cell").agg(
         F.max(own.cast("int")).alias("own"),
-        *[f(F.when(own, c)).alias(f"o{c}") for f, c in ((F.sum, "s"), (F.max, "m"), (F.sum, "k"))],
+        *[f(F.when(own, F.col(c))).alias(f"o{c}") for f, c in ((F.sum, "s"), (F.max, "m"), (F.sum, "k"))],
         *[f(c).alias(f"r{c}") for f, c in ((F.sum, "s"), (F.max, "m"), (F.sum, "k"))],
     )
     pick = lambda c: F.when(F.col("own") == 1, F.col(f"o{c}")).otherwise(F.col(f"r{c}"))
