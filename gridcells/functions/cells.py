@@ -67,22 +67,29 @@ def parent_ij(i, j, child_res: int) -> tuple[Column, Column]:
     return tuple(F.rint((a * i + b * j) / 7).cast("long") for a, b in _UP[child_res % 2])
 
 
-def ancestor_ij(i, j, from_res: int, to_res: int) -> tuple[Column, Column]:
-    """Every level uses both coordinates of the one below, so more than two levels
-    nested as plain columns would double each time; a fold binds them instead."""
-    if from_res - to_res <= 2:
-        for r in range(from_res, to_res, -1):
-            i, j = parent_ij(i, j, r)
-        return _col(i), _col(j)
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often it is used:
+    nested plain columns are copied at each use, which multiplies."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _ij(i, j) -> Column:
+    return F.struct(_col(i).cast("long").alias("i"), _col(j).cast("long").alias("j"))
+
+
+def ancestor(i, j, from_res: int, to_res: int) -> Column:
+    """The id at ``to_res`` of the ancestor of cell (i, j) of ``from_res``."""
+    if from_res == to_res:
+        return pack(to_res, i, j)
+    if from_res - to_res == 1:
+        return pack(to_res, *parent_ij(i, j, from_res))
 
     def step(p: Column, odd: Column) -> Column:
-        (a, b), (c, d) = ((F.when(odd, x).otherwise(y) for x, y in zip(u, v, strict=True)) for u, v in zip(_UP[1], _UP[0], strict=True))
-        i, j = p["i"], p["j"]
-        return F.struct(F.rint((a * i + b * j) / 7).cast("long").alias("i"), F.rint((c * i + d * j) / 7).cast("long").alias("j"))
+        up = [_ij(*parent_ij(p["i"], p["j"], r)) for r in (0, 1)]
+        return F.when(odd, up[1]).otherwise(up[0])
 
     levels = F.array(*[F.lit(r % 2 == 1) for r in range(from_res, to_res, -1)])
-    top = F.aggregate(levels, F.struct(_col(i).cast("long").alias("i"), _col(j).cast("long").alias("j")), step)
-    return top["i"], top["j"]
+    return _let(F.aggregate(levels, _ij(i, j), step), lambda p: pack(to_res, p["i"], p["j"]))
 
 
 def _descent(from_res: int, to_res: int) -> tuple[tuple[int, int], tuple[int, int]]:
@@ -95,12 +102,14 @@ def _descent(from_res: int, to_res: int) -> tuple[tuple[int, int], tuple[int, in
 
 
 def latlng_to_cell(lat, lon, res: int) -> Column:
-    return pack(res, *ancestor_ij(*plane_to_axial(*plane(lat, lon)), MAX_RES, res))
+    x, y = plane(lat, lon)
+    fine = _let(F.struct(x.alias("x"), y.alias("y")), lambda p: _ij(*plane_to_axial(p["x"], p["y"])))
+    return _let(fine, lambda p: ancestor(p["i"], p["j"], MAX_RES, res))
 
 
 def cell_parent(cell, res: int, from_res: int) -> Column:
     """The ancestor at ``res`` of a cell of ``from_res``."""
-    return pack(res, *ancestor_ij(*axial(cell), from_res, res))
+    return _let(_col(cell), lambda c: ancestor(*axial(c), from_res, res)) if from_res - res > 1 else ancestor(*axial(cell), from_res, res)
 
 
 def grid_disk(cell, k: int = 1) -> Column:
@@ -128,7 +137,7 @@ def plane_to_latlng(x: Column, y: Column) -> Column:
 
 def cell_to_latlng(cell, res: int) -> Column:
     """Centre as a struct of lat and lon."""
-    return plane_to_latlng(*cell_to_plane(cell, res))
+    return _let(_col(cell), lambda c: plane_to_latlng(*cell_to_plane(c, res)))
 
 
 def _step_vectors(res: int) -> list[tuple[float, float]]:

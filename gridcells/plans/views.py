@@ -65,7 +65,7 @@ def get(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def parent_of(i: str = "i", j: str = "j", levels: int = 1):
-    return H.pack(RES - levels, *H.ancestor_ij(F.col(i), F.col(j), RES, RES - levels))
+    return H.ancestor(F.col(i), F.col(j), RES, RES - levels)
 
 
 @view("px", f"""SELECT l_orderkey AS id, l_linenumber AS ln, l_partkey % 200 AS i, l_suppkey + 100 * ((l_partkey // 200) % 2) AS j,
