@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcells.functions import exprs as X
+from gridcells.operators.stats import global_quantiles
 
 
 def accumulate(film: DataFrame, half_life: float, start, flush: str | None = None, gap: str = "decay", first: bool = False) -> DataFrame:
@@ -120,10 +121,11 @@ def end_displacement(vecs: DataFrame, y0: int, y1: int) -> DataFrame:
 def quiet_level(scored: DataFrame, stable: Column, disp: str = "disp", fa: float = 0.05, n_min: int = 30, tau_k: float = 1.0) -> DataFrame:
     """One row: d0 (the 1 - fa quantile of the stable), med, tau; nulls below n_min."""
     s = scored.where(stable & F.col(disp).isNotNull()).select(F.col(disp).alias("d"))
-    first = s.agg(F.count("*").alias("n_stable"), F.percentile("d", 1 - fa).alias("q"), F.median("d").alias("m"))
-    mad = s.crossJoin(F.broadcast(first)).agg(F.median(F.abs(F.col("d") - F.col("m"))).alias("mad"))
+    first = global_quantiles(s, "d", [1 - fa, 0.5]).crossJoin(F.broadcast(s.agg(F.count("*").alias("n_stable"))))
+    off = s.crossJoin(F.broadcast(first)).select(F.abs(F.col("d") - F.col("q")[1]).alias("off"))
+    mad = global_quantiles(off, "off", [0.5]).select(F.col("q")[0].alias("mad"))
     ok = F.col("n_stable") >= n_min
-    return first.crossJoin(F.broadcast(mad)).select("n_stable", F.when(ok, F.col("q")).alias("d0"), F.when(ok, F.col("m")).alias("med"), F.when(ok, F.greatest(F.lit(1e-4), tau_k * 1.4826 * F.col("mad"))).alias("tau"))
+    return first.crossJoin(F.broadcast(mad)).select("n_stable", F.when(ok, F.col("q")[0]).alias("d0"), F.when(ok, F.col("q")[1]).alias("med"), F.when(ok, F.greatest(F.lit(1e-4), tau_k * 1.4826 * F.col("mad"))).alias("tau"))
 
 
 def agreement(scored: DataFrame, level: DataFrame, says: Column, disp: str = "disp") -> DataFrame:

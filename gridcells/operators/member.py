@@ -36,9 +36,9 @@ def rule_levels(film: DataFrame, sizes: DataFrame, parent: str, level: str, n_le
     return counts.select(parent, "ts", reached.alias("cell_level"))
 
 
-def member_area(levels: DataFrame, level: str, n_levels: int, pixel_km2: float) -> DataFrame:
-    """ts, lvl, km2 of the pixels at or over each level."""
-    hit = levels.select("ts", F.explode(F.sequence(F.lit(1), F.col(level))).alias("lvl")) if n_levels else levels
+def member_area(levels: DataFrame, level: str, pixel_km2: float) -> DataFrame:
+    """ts, lvl, km2 of the pixels at or over each level from 1."""
+    hit = levels.where(F.col(level) > 0).select("ts", F.explode(F.sequence(F.lit(1), F.col(level))).alias("lvl"))
     return hit.groupBy("ts", "lvl").agg((F.count("*") * pixel_km2).alias("km2"))
 
 

@@ -26,6 +26,21 @@ def ranks(df: DataFrame, value: str) -> DataFrame:
     return run.select(value, "n", before.alias("before"), (before + (F.col("n") + 1) / 2).alias("rank"))
 
 
+def global_quantiles(df: DataFrame, value: str, points: Sequence[float]) -> DataFrame:
+    """One row, ``q``: exact quantiles (linear interpolation) of the whole table,
+    read off the ranks, so no task holds all values. Null for no rows."""
+    r = ranks(df, value)
+    total = r.agg(F.max(F.col("before") + F.col("n")).alias("_all"))  # one row
+    rows = r.crossJoin(F.broadcast(total))
+    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value)))
+    out = []
+    for p in points:
+        k = p * (F.col("_all") - 1)
+        low, high = F.floor(k), F.ceil(k)
+        out.append((at(low).cast("double"), at(high).cast("double"), F.max(k - low)))
+    return rows.agg(F.array(*[a + (b - a) * f for a, b, f in out]).alias("q"))
+
+
 def avg_rank(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """Adds rank_<value> for each."""
     out = df
@@ -67,7 +82,7 @@ def _grouped_ranks(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> D
 
 
 def quantile_edges(df: DataFrame, value: str, q: int) -> DataFrame:
-    return df.agg(F.percentile(value, F.array(*[F.lit(k / q) for k in range(q + 1)])).alias("edges"))
+    return global_quantiles(df, value, [k / q for k in range(q + 1)]).withColumnRenamed("q", "edges")
 
 
 def quantile_bins(df: DataFrame, value: str, q: int = 5) -> DataFrame:

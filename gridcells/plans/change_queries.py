@@ -216,7 +216,7 @@ def x03(film):
 @q("x04_exposure", ("px", "members"), f"""WITH p AS (SELECT quantile_cont(v, 0.9) AS p FROM px), h AS (SELECT {PARENT_SQL} AS cell, max(v) AS v FROM px, p WHERE v >= p GROUP BY 1), m AS (SELECT {PARENT_SQL} AS cell, sum(npx)::BIGINT AS pop FROM members GROUP BY 1)
 SELECT h.cell, v, coalesce(pop, 0) AS pop, coalesce(pop, 0) * v AS exposure FROM h LEFT JOIN m USING (cell)""")
 def x04(px, members):
-    cut = px.agg(F.percentile("v", 0.9).alias("p"))  # one row
+    cut = S.global_quantiles(px, "v", [0.9]).select(F.col("q")[0].alias("p"))  # one row
     hot = px.crossJoin(F.broadcast(cut)).where(F.col("v") >= F.col("p")).groupBy(parent_of().alias("cell")).agg(F.max("v").alias("v"))
     pop = members.groupBy(parent_of().alias("cell")).agg(F.sum("npx").alias("pop"))
     return hot.join(pop, "cell", "left").fillna(0, ["pop"]).withColumn("exposure", F.col("pop") * F.col("v"))

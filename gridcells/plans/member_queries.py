@@ -30,8 +30,8 @@ def g02(film):
 
 @q("g03_member_area", ("film",), f"WITH l AS (SELECT ts, {_LVL_SQL} AS lvl FROM film) SELECT ts, k AS lvl, count(*) * 9.0::DOUBLE AS km2 FROM l JOIN (SELECT unnest([1, 2, 3, 4]) AS k) t ON l.lvl >= k GROUP BY ts, k")
 def g03(film):
-    rows = film.select("ts", G.contour_level(F.col("value"), _LEVELS).alias("lvl")).where("lvl > 0")
-    return G.member_area(rows, "lvl", 4, 9.0)
+    rows = film.select("ts", G.contour_level(F.col("value"), _LEVELS).alias("lvl"))
+    return G.member_area(rows, "lvl", 9.0)
 
 
 @q("g04_pixel_edges", ("members",), """WITH l AS (SELECT i AS row, j AS col, cls % 4 AS lvl FROM members), s AS (SELECT unnest([0, 1, 2, 3]) AS side, unnest([-1, 0, 1, 0]) AS dr, unnest([0, -1, 0, 1]) AS dc),

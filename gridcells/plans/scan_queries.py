@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridcells.functions import exprs as X
-from gridcells.operators import fold as O
+from gridcells.operators.stats import global_quantiles
 from gridcells.plans.book import Book
 from gridcells.plans.views import PARENT_SQL, parent_of
 from gridcells.runtime import shared_dir
@@ -150,8 +150,8 @@ def m04(px):
 @q("m05_p21_stretch", ("pixels",), """WITH s AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM pixels WHERE i % 4 = 0 AND j % 4 = 0)
 SELECT i, j, round(least(greatest((v - lo) / (hi - lo), 0), 1), 6) AS t FROM pixels, s""")
 def m05(pixels):
-    bounds = O.fold(S.stride_sample(pixels, 4, "i", "j"), [], {"lo": F.percentile("v", 0.02), "hi": F.percentile("v", 0.98)})
-    return pixels.crossJoin(F.broadcast(bounds)).select("i", "j", X.stretch(F.col("v"), F.col("lo"), F.col("hi")).alias("t"))  # bounds are one row
+    bounds = global_quantiles(S.stride_sample(pixels, 4, "i", "j"), "v", [0.02, 0.98])
+    return pixels.crossJoin(F.broadcast(bounds)).select("i", "j", X.stretch(F.col("v"), F.col("q")[0], F.col("q")[1]).alias("t"))  # bounds are one row
 
 
 @q("m06_band_join", ("px",), "WITH b AS (SELECT i // 2 AS r, j // 2 AS c, max(v) AS b20 FROM px WHERE cls > 8 GROUP BY 1, 2), a AS (SELECT i, j, max(v) AS b10 FROM px WHERE cls <= 8 GROUP BY 1, 2) SELECT a.i, a.j, b10, b20 FROM a JOIN b ON a.i // 2 = r AND a.j // 2 = c")
