@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Finest resolution; its cells have EDGE_M metres from centre to centre.
@@ -107,6 +107,24 @@ def latlng_to_cell(lat, lon, res: int) -> Column:
     return _let(fine, lambda p: ancestor(p["i"], p["j"], MAX_RES, res))
 
 
+def add_cell(df: DataFrame, lat: str, lon: str, res: int, name: str = "cell") -> DataFrame:
+    """``df`` with the cell of each point. The same as ``latlng_to_cell``, but one
+    projection per step, so all of it stays in generated code and nothing is
+    computed twice: the way to label whole pixel tables."""
+    x, y = plane(lat, lon)
+    j = y / (EDGE_M * math.sqrt(3) / 2)
+    out = df.withColumns({"_q": x / EDGE_M + j / 2 - j, "_j": j})
+    q, j = F.col("_q"), F.col("_j")
+    out = out.withColumns({"_rq": F.rint(q), "_rj": F.rint(j), "_rs": F.rint(-q - j)})
+    rq, rj, rs = F.col("_rq"), F.col("_rj"), F.col("_rs")
+    out = out.withColumns({"_wq": (F.abs(rq - q) > F.abs(rj - j)) & (F.abs(rq - q) > F.abs(rs + q + j)), "_wj": F.abs(rj - j) > F.abs(rs + q + j)})
+    out = out.withColumns({"_fq": F.when(F.col("_wq"), -rj - rs).otherwise(rq), "_fj": F.when(F.col("_wq"), rj).when(F.col("_wj"), -rq - rs).otherwise(rj)})
+    out = out.withColumns({"_i": (F.col("_fq") + F.col("_fj")).cast("long"), "_j": F.col("_fj").cast("long")})
+    for r in range(MAX_RES, res, -1):
+        out = out.withColumns(dict(zip(("_i", "_j"), parent_ij("_i", "_j", r), strict=True)))
+    return out.withColumn(name, pack(res, "_i", "_j")).drop("_q", "_j", "_rq", "_rj", "_rs", "_wq", "_wj", "_fq", "_fj", "_i")
+
+
 def cell_parent(cell, res: int, from_res: int) -> Column:
     """The ancestor at ``res`` of a cell of ``from_res``."""
     return _let(_col(cell), lambda c: ancestor(*axial(c), from_res, res)) if from_res - res > 1 else ancestor(*axial(cell), from_res, res)

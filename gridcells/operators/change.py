@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridcells.functions import exprs as X
 from gridcells.operators.stats import global_quantiles
+from gridcells.runtime import staged
 
 
 def accumulate(film: DataFrame, half_life: float, start, flush: str | None = None, gap: str = "decay", first: bool = False) -> DataFrame:
@@ -120,7 +121,7 @@ def end_displacement(vecs: DataFrame, y0: int, y1: int) -> DataFrame:
 
 def quiet_level(scored: DataFrame, stable: Column, disp: str = "disp", fa: float = 0.05, n_min: int = 30, tau_k: float = 1.0) -> DataFrame:
     """One row: d0 (the 1 - fa quantile of the stable), med, tau; nulls below n_min."""
-    s = scored.where(stable & F.col(disp).isNotNull()).select(F.col(disp).alias("d"))
+    s = staged(scored.where(stable & F.col(disp).isNotNull()).select(F.col(disp).alias("d")), "stable")
     first = global_quantiles(s, "d", [1 - fa, 0.5]).crossJoin(F.broadcast(s.agg(F.count("*").alias("n_stable"))))
     off = s.crossJoin(F.broadcast(first)).select(F.abs(F.col("d") - F.col("q")[1]).alias("off"))
     mad = global_quantiles(off, "off", [0.5]).select(F.col("q")[0].alias("mad"))

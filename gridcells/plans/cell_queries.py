@@ -32,7 +32,7 @@ def _chain(to: int) -> str:
 
 @q("h01_latlng_to_cell", ("px_geo",), f"WITH {_FINE}, {_chain(5)} SELECT id, ln, {sql_pack(5, 'i', 'j')} AS cell FROM l5")
 def h01(px_geo):
-    return px_geo.select("id", "ln", H.latlng_to_cell("lat", "lon", 5).alias("cell"))
+    return H.add_cell(px_geo, "lat", "lon", 5).select("id", "ln", "cell")
 
 
 @q("h02_cell_parent", ("px",), f"SELECT cell, {PARENT_SQL} AS parent, count(*) AS n FROM px GROUP BY 1, 2")

@@ -35,6 +35,7 @@ def test_centres_round_trip_and_area(spark):
         c = pts.select(H.latlng_to_cell("lat", "lon", res).alias("c"))
         mid = c.withColumn("m", H.cell_to_latlng("c", res))
         assert mid.where(H.latlng_to_cell("m.lat", "m.lon", res) != F.col("c")).count() == 0
+    assert H.add_cell(pts, "lat", "lon", 5).where(H.latlng_to_cell("lat", "lon", 5) != F.col("cell")).count() == 0
     fine = pts.select(H.latlng_to_cell("lat", "lon", 12).alias("f"), H.latlng_to_cell("lat", "lon", 6).alias("c"))
     assert fine.where(H.cell_parent("f", 6, 12) != F.col("c")).count() == 0
     assert abs(H.cell_area_km2(9) / H.cell_area_km2(12) - 343) < 1e-9
