@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcells.llm.batches import slices, utf8
-from gridcells.runtime import table
+from gridcells.runtime import spread, table
 
 WINDOW = 10
 BLOCK_BYTES = 256 << 10
@@ -154,7 +154,7 @@ def contaminated(hits: Column) -> Column:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = scan(docs, table(spark, sf_dir, "benchmark")).withColumn("d", digest("hits"))
     return found.select("doc_id", "n_words", "d.n_hit", "d.n_items", "d.items_sha256", (F.col("d.n_hit") > 0).alias("contaminated"))
 

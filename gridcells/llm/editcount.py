@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 
 from gridcells.llm.batches import slices
 from gridcells.llm.packing import encoder
-from gridcells.runtime import table
+from gridcells.runtime import spread, table
 
 #: Least characters of a segment, and the most that edits may let one grow to
 #: before the tree is built anew.
@@ -159,7 +159,7 @@ def sample_edits() -> F.Column:
 
 
 def op6_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     before = build_trees(docs).withColumn("n_tokens", F.get("tree_tokens", F.lit(1))).withColumn("edits", sample_edits())
     after = apply_edits(before)
     return after.select("doc_id", "n_tokens", F.get("tree_tokens", F.lit(1)).alias("n_tokens_after"), F.get("tree_chars", F.lit(1)).alias("n_chars_after"), "n_encoded")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridcells.llm.batches import map_arrow, slices, split_of
-from gridcells.runtime import staged, table
+from gridcells.runtime import spread, staged, table
 
 SAMPLE_PER_LANG = 2000
 DIMS = 1 << 14
@@ -182,8 +182,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_language_id_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = identify(docs.select("doc_id", "text"), train(docs.select("doc_id", "text", "lang")))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = identify(docs.select("doc_id", "text"), train(docs))
     return found.select("doc_id", *ADDED)
 
 

@@ -17,7 +17,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcells.runtime import table
+from gridcells.runtime import spread, table
 
 #: Sentences of public licence notices and texts.
 SENTENCES = {
@@ -113,7 +113,7 @@ def recognise(docs: DataFrame) -> DataFrame:
 
 
 def op8_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = recognise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = recognise(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcells.llm.batches import map_arrow, slices, utf8
-from gridcells.runtime import staged, table
+from gridcells.runtime import spread, staged, table
 
 MIN_DOCS = 10
 SPACES = b" \t\n\v\f\r"
@@ -304,7 +304,7 @@ def _by_join(docs: DataFrame, index: LineIndex) -> DataFrame:
 
 
 def op2_line_dedup_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = dedup_lines(docs, build_index(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcells.llm.batches import map_arrow, slices
-from gridcells.runtime import shuffle_partitions, staged, table
+from gridcells.runtime import shuffle_partitions, spread, staged, table
 
 SEQ_LEN = 1024
 BUCKETS, DIMS, BITS = 1024, 4, 15
@@ -196,7 +196,7 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 
 def op1_pack_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = pack(table(spark, sf_dir, "documents"))
+    pieces = pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcells.llm.batches import map_arrow, slices
-from gridcells.runtime import staged, table
+from gridcells.runtime import spread, staged, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 #: A run of the least length is found whole, as runs of one class do not overlap.
@@ -186,7 +186,7 @@ def _text(spans):
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"))
+    found = find_secrets(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"))
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gridcells.llm.batches import map_arrow, slices, utf8
 from gridcells.operators.components import connected_components
-from gridcells.runtime import shuffle_partitions, staged, table
+from gridcells.runtime import shuffle_partitions, spread, staged, table
 
 WORDS, SEED, THRESHOLD = 4, 42, 4
 #: Rows of one anchor compared in one go; rows of a group of anchors.
@@ -261,7 +261,7 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD, n_words: int = WORDS)
 
 
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {"op7_simhash_anchors": op7_simhash_anchors}

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from gridcells.llm.batches import map_arrow, slices, split_of, utf8
-from gridcells.runtime import table
+from gridcells.runtime import spread, table
 
 SAMPLE_PER_CLASS = 2500
 BITS, ORDERS, WINDOW = 17, (3, 4, 5), 16
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op9_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", *ADDED)
 
 
