@@ -185,14 +185,14 @@ def p14(px_geo):
     return a.agg((F.max(off) <= 50.0).alias("lambert_ok"), (F.max(F.abs(area / true - 1)) < 1e-3).alias("albers_ok"), F.count("*").alias("n"))
 
 
-@q("p15_p16_affine_distance", ("pixels",), "SELECT i, j, -125 + (j + 0.5) * 0.25 AS x, 50 + (i + 0.5) * (-0.125) AS y, round(sqrt(power((j + 0.5) * 0.25, 2) + power((i + 0.5) * 0.125, 2)), 6) AS planar, round(sqrt(power(((i + 0.5) * 0.125) * 111000, 2) + power((j + 0.5) * 0.25 * 111000 * cos(radians(50.0)), 2)), 3) AS metres FROM pixels")
+@q("p15_p16_affine_distance", ("pixels",), "SELECT i, j, (-125 + (j + 0.5) * 0.25)::DOUBLE AS x, (50 + (i + 0.5) * (-0.125))::DOUBLE AS y, round(sqrt(power((j + 0.5) * 0.25, 2) + power((i + 0.5) * 0.125, 2)), 6) AS planar, round(sqrt(power(((i + 0.5) * 0.125) * 111000, 2) + power((j + 0.5) * 0.25 * 111000 * cos(radians(50.0)), 2)), 3) AS metres FROM pixels")
 def p15(pixels):
     x, y = X.pixel_centre(F.col("j"), -125.0, 0.25), X.pixel_centre(F.col("i"), 50.0, -0.125)
     zero = (F.lit(-125.0), F.lit(50.0))
     return pixels.select("i", "j", x.alias("x"), y.alias("y"), X.planar_distance(*zero, x, y).alias("planar"), F.round(X.equirect_m(zero[1], zero[0], y, x), 3).alias("metres"))
 
 
-@q("p17_p19_class_year", ("records",), "SELECT h10, CASE status WHEN 'F' THEN 'wf' WHEN 'P' THEN 'rx' ELSE 'other' END AS kind, coalesce(CASE WHEN h10 % 3 <> 0 THEN year(dt) END, year(dt) + 1) AS fy FROM records WHERE year(dt) BETWEEN 1996 AND 1999")
+@q("p17_p19_class_year", ("records",), "SELECT h10, CASE status WHEN 'F' THEN 'wf' WHEN 'P' THEN 'rx' ELSE 'other' END AS kind, coalesce(CASE WHEN h10 % 3 <> 0 THEN year(dt) END, year(dt) + 1)::INT AS fy FROM records WHERE year(dt) BETWEEN 1996 AND 1999")
 def p17(records):
     kind = F.when(F.col("status") == "F", "wf").when(F.col("status").isin("P"), "rx").otherwise("other")
     year = F.coalesce(F.when(F.col("h10") % 3 != 0, F.year("dt")), F.year("dt") + 1)

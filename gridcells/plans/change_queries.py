@@ -49,7 +49,7 @@ def w05(annual):
     return out.withColumns({c: F.round(c, 4) for c in ("stock0", "stock", "change", "lost", "recovered")} | {"z": F.round("z", 3), "ushare": F.round("ushare", 6)})
 
 
-@q("w06_first_step", ("emb",), """WITH n AS (SELECT cell, year, vec, sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS nn FROM emb), l AS (SELECT cell, year, vec, nn, lag(vec) OVER w AS pv, lag(nn) OVER w AS pn, lag(year) OVER w AS py FROM n WINDOW w AS (PARTITION BY cell ORDER BY year)),
+@q("w06_first_step", ("emb",), """WITH n AS (SELECT cell, year, vec, sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS nn FROM emb WHERE vec IS NOT NULL), l AS (SELECT cell, year, vec, nn, lag(vec) OVER w AS pv, lag(nn) OVER w AS pn, lag(year) OVER w AS py FROM n WINDOW w AS (PARTITION BY cell ORDER BY year)),
 s AS (SELECT cell, year, 1 - list_dot_product(vec::DOUBLE[], pv::DOUBLE[]) / nn / pn AS step FROM l WHERE py = year - 1), d AS (SELECT quantile_cont(step, 0.95) AS d0 FROM s), a AS (SELECT cell, min(year) FILTER (WHERE step > d0) AS y FROM s, d GROUP BY cell)
 SELECT b.cell, CASE WHEN a.cell IS NULL THEN -2 ELSE coalesce(y, -1) END AS first_year FROM (SELECT DISTINCT cell FROM emb) b LEFT JOIN a ON a.cell = b.cell""")
 def w06(emb):
@@ -113,7 +113,7 @@ def w14(radar, model):
     return r.join(model.where("parent = 3").groupBy("ts").agg(F.max("plane").alias("model")), "ts", "full")
 
 
-_STEPS = """n AS (SELECT cell, year, vec::DOUBLE[] AS vec, sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS nn FROM emb), l AS (SELECT cell, year, vec, nn, lag(vec) OVER w AS pv, lag(nn) OVER w AS pn, lag(year) OVER w AS py FROM n WINDOW w AS (PARTITION BY cell ORDER BY year)),
+_STEPS = """n AS (SELECT cell, year, vec::DOUBLE[] AS vec, sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS nn FROM emb WHERE vec IS NOT NULL), l AS (SELECT cell, year, vec, nn, lag(vec) OVER w AS pv, lag(nn) OVER w AS pn, lag(year) OVER w AS py FROM n WINDOW w AS (PARTITION BY cell ORDER BY year)),
 s AS (SELECT cell, year, py, 1 - list_dot_product(vec, pv) / nn / pn AS step FROM l WHERE py IS NOT NULL)"""
 
 
@@ -135,7 +135,7 @@ def c03(emb):
     return C.displacement(emb, 2019)
 
 
-@q("c02_end_displacement", ("emb",), "WITH n AS (SELECT cell, year, vec::DOUBLE[] AS v, sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS nn FROM emb) SELECT c.cell, round(1 - list_dot_product(a.v, b.v) / a.nn / b.nn, 6) AS disp FROM (SELECT DISTINCT cell FROM emb) c LEFT JOIN n a ON a.cell = c.cell AND a.year = 2017 LEFT JOIN n b ON b.cell = c.cell AND b.year = 2021")
+@q("c02_end_displacement", ("emb",), "WITH n AS (SELECT cell, year, vec::DOUBLE[] AS v, sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) AS nn FROM emb WHERE vec IS NOT NULL) SELECT c.cell, round(1 - list_dot_product(a.v, b.v) / a.nn / b.nn, 6) AS disp FROM (SELECT DISTINCT cell FROM emb) c LEFT JOIN n a ON a.cell = c.cell AND a.year = 2017 LEFT JOIN n b ON b.cell = c.cell AND b.year = 2021")
 def c02(emb):
     return C.end_displacement(emb, 2017, 2021)
 

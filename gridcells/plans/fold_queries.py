@@ -73,8 +73,8 @@ def a12v(emb):
     return m.select("label", "n", *[F.round(F.get("vec", F.lit(k)), 5).alias(f"e{k}") for k in (0, 32, 63)])
 
 
-@q("a13_a14_touched", ("records",), """SELECT parent, count(DISTINCT h10) FILTER (WHERE status = 'F') AS n_F, min(year(dt)) FILTER (WHERE status = 'F') AS first_F, max(year(dt)) FILTER (WHERE status = 'F') AS last_F,
- count(DISTINCT h10) FILTER (WHERE status = 'O') AS n_O, min(year(dt)) FILTER (WHERE status = 'O') AS first_O, max(year(dt)) FILTER (WHERE status = 'O') AS last_O FROM records GROUP BY parent""")
+@q("a13_a14_touched", ("records",), """SELECT parent, count(DISTINCT h10) FILTER (WHERE status = 'F') AS n_F, min(year(dt)::INT) FILTER (WHERE status = 'F') AS first_F, max(year(dt)::INT) FILTER (WHERE status = 'F') AS last_F,
+ count(DISTINCT h10) FILTER (WHERE status = 'O') AS n_O, min(year(dt)::INT) FILTER (WHERE status = 'O') AS first_O, max(year(dt)::INT) FILTER (WHERE status = 'O') AS last_O FROM records GROUP BY parent""")
 def a13(records):
     return O.touched_fold(records.withColumn("yr", F.year("dt")), "parent", "h10", "status", ["F", "O"], "yr")
 

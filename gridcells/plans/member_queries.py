@@ -61,12 +61,12 @@ def g07(model):
     return model.where(F.col("plane") >= 50).select("parent", "ts")
 
 
-@q("g08_components", ("members",), f"""WITH RECURSIVE n AS (SELECT * FROM members WHERE i < 120),
+@q("g08_components", ("members",), f"""WITH RECURSIVE n AS (SELECT * FROM members),
 e AS (SELECT a.cell AS a, b.cell AS b FROM n a, {_SIDES} s JOIN n b ON b.i = a.i + da AND b.j = a.j + db AND a.cls = b.cls),
 walk AS (SELECT cell AS start, cell AS "at" FROM n UNION SELECT walk.start, e.b FROM walk JOIN e ON walk."at" = e.a)
 SELECT start AS cell, min("at") AS blob FROM walk GROUP BY start""")
 def g08(members):
-    return B.blobs(members.where("i < 120"), "cls").select("cell", "blob")
+    return B.blobs(members, "cls").select("cell", "blob")
 
 
 @q("g09_patches", ("members",), f"""WITH RECURSIVE n AS (SELECT * FROM members),
@@ -79,7 +79,7 @@ def g09(members):
     return B.patches(B.blobs(members, "cls"), "cls", "npx", 0.5, 3)
 
 
-_KEYED = f"""n AS (SELECT cls, i, j, cell FROM (SELECT DISTINCT cls, i, j, cell FROM px WHERE i < 60) x),
+_KEYED = f"""n AS (SELECT cls, i, j, cell FROM (SELECT DISTINCT cls, i, j, cell FROM px) x),
 e AS (SELECT a.cls, a.cell AS a, b.cell AS b FROM n a, {_SIDES} s JOIN n b ON b.i = a.i + da AND b.j = a.j + db AND a.cls = b.cls),
 walk AS (SELECT cls, cell AS start, cell AS "at" FROM n UNION SELECT walk.cls, walk.start, e.b FROM walk JOIN e ON walk."at" = e.a AND walk.cls = e.cls),
 l AS (SELECT cls, start AS cell, min("at") AS blob FROM walk GROUP BY cls, start)"""
@@ -89,16 +89,18 @@ l AS (SELECT cls, start AS cell, min("at") AS blob FROM walk GROUP BY cls, start
  FROM l JOIN n ON l.cls = n.cls AND l.cell = n.cell GROUP BY l.cls, blob), t AS (SELECT *, (vx + vy) / 2 AS mid, sqrt(power((vx - vy) / 2, 2) + power(vxy, 2)) AS half FROM s)
 SELECT cls, blob, ncell, km2, round(cx, 6) AS cx, round(cy, 6) AS cy, round(CASE WHEN mid - half > 1e-9 THEN sqrt((mid + half) / (mid - half)) END, 4) AS elongation FROM t WHERE km2 >= 12""")
 def g10(px):
-    cells = px.where("i < 60").select("cls", "i", "j", "cell").distinct()
+    cells = px.select("cls", "i", "j", "cell").distinct()
     labelled = B.keyed_blobs(cells, ["cls"]).join(cells.select("cls", "cell", F.col("i").alias("x"), F.col("j").alias("y")), ["cls", "cell"])
     return B.shapes(labelled, ["cls", "blob"], 4.0).where("km2 >= 12").withColumn("elongation", F.round("elongation", 4))
 
 
-@q("g11_blob_boundary", ("px",), f"""WITH RECURSIVE {_KEYED.replace("i < 60", "i < 60 AND cls = 4")}
-SELECT l.blob, l.cell, side FROM l JOIN n ON l.cell = n.cell, {_SIDES} s WHERE NOT EXISTS (SELECT 1 FROM l o JOIN n m ON o.cell = m.cell WHERE o.blob = l.blob AND m.i = n.i + da AND m.j = n.j + db)""")
-def g11(px):
-    cells = px.where("i < 60 AND cls = 4").select("cell").distinct()
-    return B.blob_boundary(B.blobs(cells))
+@q("g11_blob_boundary", ("members",), f"""WITH RECURSIVE n AS (SELECT * FROM members),
+e AS (SELECT a.cell AS a, b.cell AS b FROM n a, {_SIDES} s JOIN n b ON b.i = a.i + da AND b.j = a.j + db AND a.cls = b.cls),
+walk AS (SELECT cell AS start, cell AS "at" FROM n UNION SELECT walk.start, e.b FROM walk JOIN e ON walk."at" = e.a),
+l AS (SELECT n.cell, i, j, blob FROM n JOIN (SELECT start AS cell, min("at") AS blob FROM walk GROUP BY start) w ON w.cell = n.cell)
+SELECT a.blob, a.cell, side FROM (SELECT * FROM l, {_SIDES} s) a LEFT JOIN l o ON o.i = a.i + da AND o.j = a.j + db AND o.blob = a.blob WHERE o.cell IS NULL""")
+def g11(members):
+    return B.blob_boundary(B.blobs(members, "cls"))
 
 
 _TALLY = """s AS (SELECT parent, ts, coalesce(sum(w) FILTER (WHERE value >= 50), 0) AS wet, sum(w) AS tot, count(value) AS seen FROM radar GROUP BY parent, ts),
@@ -128,10 +130,10 @@ def g15(members):
     return g.join(members.select("cell", "npx"), "cell").select("cell", "g", lift.alias("lift"))
 
 
-@q("g17_seam_dissolve", ("px",), "SELECT DISTINCT cls AS zone, cell FROM px WHERE i < 40")
+@q("g17_seam_dissolve", ("px",), "SELECT DISTINCT cls AS zone, cell FROM px")
 def g17(px):
     """Tile pieces of a zone, cut by year, are one set of cells again."""
-    pieces = px.where("i < 40").select(F.col("cls").alias("zone"), "yr", "cell").distinct()
+    pieces = px.select(F.col("cls").alias("zone"), "yr", "cell").distinct()
     return pieces.select("zone", "cell").distinct()
 
 

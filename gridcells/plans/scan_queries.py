@@ -31,7 +31,7 @@ def s01(pixels):
 SELECT by_ AS by, bx, count(*) AS n FROM pixels WHERE (by_, bx) IN (SELECT by_, bx FROM k) GROUP BY 1, 2""")
 def s02(pixels, px):
     kept = px.where("cls = 3 AND i < 60").select(F.col("i").alias("row"), F.col("j").alias("col"))
-    return S.prune_blocks(_blocks(pixels), kept, 10).select("by", "bx", F.size(F.filter("values", lambda v: v.isNotNull())).alias("n"))
+    return S.prune_blocks(_blocks(pixels), kept, 10).select("by", "bx", F.size(F.filter("values", lambda v: v.isNotNull())).cast("long").alias("n"))
 
 
 @q("s03_box_scan", ("px_geo",), "SELECT id, ln, round(lon, 6) AS lon, round(lat, 6) AS lat FROM px_geo WHERE lon >= -110 AND lon < -95.5 AND lat >= 26 AND lat < 40")

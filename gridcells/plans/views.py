@@ -69,7 +69,7 @@ def parent_of(i: str = "i", j: str = "j", levels: int = 1):
 
 
 @view("px", f"""SELECT l_orderkey AS id, l_linenumber AS ln, l_partkey % 200 AS i, l_suppkey + 100 * ((l_partkey // 200) % 2) AS j,
- 1 + CAST(l_quantity AS INT) % 16 AS cls, round(l_extendedprice * 100)::BIGINT AS v, round(l_discount * 100)::BIGINT AS d, year(l_shipdate) AS yr,
+ 1 + CAST(l_quantity AS INT) % 16 AS cls, round(l_extendedprice * 100)::BIGINT AS v, round(l_discount * 100)::BIGINT AS d, year(l_shipdate)::INT AS yr,
  l_returnflag <> 'R' AS ok, {sql_pack(RES, "l_partkey % 200", "l_suppkey + 100 * ((l_partkey // 200) % 2)")} AS cell FROM lineitem""")
 def px(spark, d):
     i, j = F.col("l_partkey") % 200, F.col("l_suppkey") + 100 * F.expr("(l_partkey div 200) % 2")
@@ -155,10 +155,11 @@ def dates(spark, d):
     return px(spark, d).select((F.expr("i div 10") * 100 + F.expr("j div 10")).alias("cell"), ((F.col("id") + F.col("ln")) % 21).alias("idx"))
 
 
-@view("emb", "SELECT vec_id // 5 AS cell, 2017 + (vec_id % 5)::INT AS year, embedding AS vec, label FROM embeddings WHERE vec_id % 17 <> 0")
+@view("emb", "SELECT vec_id // 5 AS cell, (2017 + vec_id % 5)::INT AS year, CASE WHEN vec_id % 17 <> 0 THEN embedding END AS vec, label FROM embeddings")
 def emb(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id % 17 <> 0")
-    return e.select(F.expr("vec_id div 5").alias("cell"), (2017 + F.col("vec_id") % 5).cast("int").alias("year"), F.col("embedding").alias("vec"), "label")
+    """Some vectors are null, for years that are missing."""
+    e = table(spark, d, "embeddings")
+    return e.select(F.expr("vec_id div 5").alias("cell"), (2017 + F.col("vec_id") % 5).cast("int").alias("year"), F.when(F.col("vec_id") % 17 != 0, F.col("embedding")).alias("vec"), "label")
 
 
 @view("records", "SELECT o_orderkey AS h10, o_custkey AS parent, o_orderstatus AS status, o_orderdate AS dt, o_orderpriority AS activity FROM orders")
@@ -180,10 +181,10 @@ def zones(spark, d):
     return n.select("poly", F.explode(edges).alias("e")).select("poly", "e.*")
 
 
-@view("items", """SELECT 'it' || (s_suppkey // 12)::VARCHAR || '_' || (2022 + s_suppkey % 4)::VARCHAR AS item_id, 'p' || (s_suppkey // 12)::VARCHAR AS place, (2022 + s_suppkey % 4)::INT AS year,
- ['A', 'B', 'C'][1 + s_suppkey % 3] AS collection, (s_suppkey // 12 % 20 * 3)::DOUBLE AS west, (s_suppkey // 12 % 20 * 3 + 5)::DOUBLE AS east, (s_suppkey // 12 // 20 * 2)::DOUBLE AS south, (s_suppkey // 12 // 20 * 2 + 3)::DOUBLE AS north FROM supplier WHERE s_suppkey % 7 <> 0""")
+@view("items", """SELECT 'it' || (s_suppkey // 10)::VARCHAR || '_' || (2022 + s_suppkey % 4)::VARCHAR AS item_id, 'p' || (s_suppkey // 10)::VARCHAR AS place, (2022 + s_suppkey % 4)::INT AS year,
+ ['A', 'B', 'C'][1 + s_suppkey % 3] AS collection, (s_suppkey // 10 % 20 * 3)::DOUBLE AS west, (s_suppkey // 10 % 20 * 3 + 5)::DOUBLE AS east, (s_suppkey // 10 // 20 * 2)::DOUBLE AS south, (s_suppkey // 10 // 20 * 2 + 3)::DOUBLE AS north FROM supplier""")
 def items(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey % 7 <> 0").withColumns({"p": F.expr("s_suppkey div 12"), "year": (2022 + F.col("s_suppkey") % 4).cast("int")})
+    s = table(spark, d, "supplier").withColumns({"p": F.expr("s_suppkey div 10"), "year": (2022 + F.col("s_suppkey") % 4).cast("int")})
     west, south = (F.col("p") % 20 * 3).cast("double"), (F.expr("p div 20") * 2).cast("double")
     return s.select(
         F.concat(F.lit("it"), F.col("p").cast("string"), F.lit("_"), F.col("year").cast("string")).alias("item_id"), F.concat(F.lit("p"), F.col("p").cast("string")).alias("place"), "year",

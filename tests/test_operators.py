@@ -106,6 +106,21 @@ def test_true_nearest_equals_brute_force(spark):
     assert got == {i: min(b, key=lambda q: (q[1] - x) ** 2 + (q[2] - y) ** 2)[0] for i, x, y in a}
 
 
+def test_ring_fill_and_agreement(spark):
+    rng = random.Random(7)
+    a = grid(spark, [(i, j) for i in range(9) for j in range(9) if rng.random() < 0.5]).collect()
+    b = grid(spark, [(i, j) for i in range(9) for j in range(9) if rng.random() < 0.4]).collect()
+    put = lambda rows, d: [(r["cell"], r["cell"], 10.0 * r["i"] + d, 10.0 * r["j"], r["i"], r["j"]) for r in rows]
+    pa, pb = put(a, 0.0), put(b, 1.5)
+    frame = lambda rows: spark.createDataFrame([r[:4] for r in rows], "id long, cell long, x double, y double")
+    for r in J.match_grids(frame(pa), frame(pb)).collect():
+        me = next(p for p in pa if p[0] == r["id"])
+        ring = [p for p in pb if (p[4] - me[4], p[5] - me[5]) in H.NEIGHBOURS]
+        own = [p for p in pb if p[1] == me[1]]
+        best = min(own or ring, key=lambda p: ((p[2] - me[2]) ** 2 + (p[3] - me[3]) ** 2, p[0]), default=None)
+        assert (r["b_id"], r["how"]) == ((best[0], 0 if own else 1) if best else (None, 2))
+
+
 def test_too_few_stable_cells_are_unscored(spark):
     rows = spark.createDataFrame([(i, 0.1 * i) for i in range(29)], "cell long, disp double")
     r = C.quiet_level(rows, F.lit(True)).first()
