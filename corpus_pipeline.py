@@ -14,19 +14,27 @@ from gridcells.llm import decontam, langid, linededup, packing, simhash
 from gridcells.runtime import staged, table
 
 
+def _apart(docs: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its own columns of these names renamed, and the way back."""
+    own = {n: f"own_{i}_{n}" for i, n in enumerate(names) if n in docs.columns}
+    return docs.withColumnsRenamed(own), {v: k for k, v in own.items()}
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: no letters, or no codeword more likely
     than all others together."""
-    found = langid.identify(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, langid.train(docs))
-    return found.where("lang_pred <> 'und' AND score >= 0.5").select(*docs.columns)
+    renamed, back = _apart(docs, langid.ADDED)
+    found = langid.identify(renamed, langid.train(docs)).where("lang_pred <> 'und' AND score >= 0.5")
+    return found.drop(*langid.ADDED).withColumnsRenamed(back).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines found in many documents; n_chars follows the text."""
-    kept = linededup.dedup_lines(docs, linededup.build_index(docs))
+    renamed, back = _apart(docs, ("n_lines", "n_dropped", "row_id", "gone"))
+    kept = linededup.dedup_lines(renamed, linededup.build_index(docs))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    return kept.drop("n_lines", "n_dropped").withColumnsRenamed(back).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +44,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    found = decontam.scan(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~decontam.contaminated(F.col("hits"))).select(*docs.columns)
+    renamed, back = _apart(docs, ("n_words", "hits"))
+    found = decontam.scan(renamed, table(spark, sf_dir, "benchmark")).where(~decontam.contaminated(F.col("hits")))
+    return found.drop("n_words", "hits").withColumnsRenamed(back).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,15 @@ def test_stages_against_brute_force(spark, tmp_path):
     check(rows, before, 1024)
     whole = P.run(spark, SAMPLE)
     assert sorted(map(tuple, whole.select(*sorted(whole.columns)).collect())) == sorted(tuple(r[c] for c in sorted(whole.columns)) for r in rows)
+
+
+def test_stages_keep_odd_rows_and_columns(spark, tmp_path, odd_docs, no_docs):
+    for i, docs in enumerate((odd_docs.withColumn("hits", odd_docs.key), no_docs)):
+        for name, stage in P.STAGES:
+            path = str(tmp_path / f"{name}{i}")
+            stage(spark, docs, SAMPLE).write.parquet(path)
+            out = spark.read.parquet(path)
+            if name != "packing":
+                assert out.columns == docs.columns
+                assert {r["n_lines"] for r in out.collect()} <= {"x"} if "n_lines" in out.columns else True
+                docs = out
