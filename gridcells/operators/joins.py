@@ -28,8 +28,8 @@ def nearest(a: DataFrame, b: DataFrame, bucket: float, max_rounds: int = 12) ->
     square lattice, rings widened for the rows whose best distance the searched
     ring does not guarantee yet. Ties go to the lower b_id."""
     square = lambda df, x, y: df.withColumns({"gx": F.floor(F.col(x) / bucket).cast("long"), "gy": F.floor(F.col(y) / bucket).cast("long")})
-    other = square(b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by")), "bx", "by")
-    left = square(a.select("id", "x", "y"), "x", "y")
+    other = staged(square(b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by")), "bx", "by"), "b")
+    left = staged(square(a.select("id", "x", "y"), "x", "y"), "a")
     done, k = None, 1
     for _ in range(max_rounds):
         steps = F.array(*[F.lit(d) for d in range(-k, k + 1)])
@@ -38,7 +38,7 @@ def nearest(a: DataFrame, b: DataFrame, bucket: float, max_rounds: int = 12) ->
         best = met.groupBy("id").agg(F.min(F.struct("dist", "b_id")).alias("m"))
         sure = staged(best.where(F.col("m.dist") <= k * bucket).select("id", F.col("m.b_id").alias("b_id"), F.col("m.dist").alias("dist")), "nearest")
         done = sure if done is None else done.unionByName(sure)
-        left = left.join(sure.select("id"), "id", "left_anti")
+        left = staged(left.join(sure.select("id"), "id", "left_anti"), "a")
         if left.isEmpty():
             return done
         k *= 2
