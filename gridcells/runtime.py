@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +50,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to Python workers that would not find it: those of a
+    session started elsewhere than in the repository without it in PYTHONPATH."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root or getattr(context, "_gridcells_shipped", False):
+        return
+    name = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-gridcells-')}/gridcells", "zip", root, "gridcells")
+    context.addPyFile(name)
+    context._gridcells_shipped = True
