@@ -5,6 +5,11 @@ A text is cut into sentences, each is normalised (lower case, words of a-z and
 identifiers, in order, are matched against the licences' rules. A rule is an
 ordered list of sentence identifiers, with other known sentences allowed between.
 
+Notices are distributed wrapped, so a known sentence may run over lines (with
+comment marks before each), but not over an end mark or a blank line. It begins
+and ends where a sentence or a line does, so notices of one line need no end mark.
+The SQL has the tables of notices in one line and sees no others.
+
 Edge cases: null and empty texts have one empty sentence and no licence; repeated
 sentences count each; rows may repeat; an empty table gives no rows; further
 columns of the input stay.
@@ -62,8 +67,41 @@ RULES = {
     "MIT": [["mit-ref"], ["mit-title"], ["mit-under"], ["mit-grant", "mit-notice"]],
     "MPL-2.0": [["mpl-ref"]],
 }
+#: Further wordings, which the SQL does not have: those of the texts as they are
+#: distributed. An identifier may come again for a sentence of one piece. A blank
+#: line here is any break there, or none.
+WORDINGS = [
+    ("apache-ref", "Licensed under the Apache License, Version 2.0 (the \"License\")"),
+    ("apache-ref", "The ASF licenses this file to you under the Apache License, Version 2.0 (the \"License\")"),
+    ("apache-ref", "Apache License\n\nVersion 2.0, January 2004"),
+    ("apache-copy", "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-copy", "You may obtain a copy of the License at\n\nhttps://www.apache.org/licenses/LICENSE-2.0"),
+    ("mit-notice", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software"),
+    ("gpl2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("gpl2-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License"),
+    ("gpl2-comma", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
+    ("gpl3-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version"),
+    ("bsd-endorse", "Neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-endorse", "Neither the name of the copyright holders nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-endorse", "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc-grant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("cc-by-nc-ref", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-ref", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-ref", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-ref", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-ref", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa-ref", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc0-ref", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+]
+#: Alternatives to RULES for the identifiers that only WORDINGS has.
+MORE_RULES = {
+    "GPL-2.0": [["gpl2-free", "gpl-warranty", "gpl-see"], ["gpl2-only", "gpl-warranty", "gpl-see"], ["gpl2-comma", "gpl-warranty", "gpl-see"]],
+    "GPL-3.0": [["gpl3-free", "gpl-warranty", "gpl-see"]],
+}
 #: Sentences end at these marks before white space, and at line breaks.
 SPLIT = r"[.!?;:]+[ \t]+|[ \t\r]*\n"
+#: The same breaks told apart: after an end mark (H) or of lines alone (S).
+END, BREAK = r"[.!?;:]+(?:[ \t]+|\r[ \t\r]*\n|\n)", r"[ \t\r]*\n"
 
 
 def _norm(sentence: str) -> str:
@@ -71,10 +109,6 @@ def _norm(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-
-
 def _parts(sentence: str) -> list[str]:
     """A known sentence may hold marks that end one: its pieces, but empty ones."""
     return [x for x in map(_norm, re.split(SPLIT, sentence)) if x]
@@ -96,20 +130,54 @@ def rule_pattern(rules: list[list[str]]) -> str:
     return "|".join(" " + r" (?:[^ ]+ )*".join(rule) + " " for rule in rules)
 
 
+def known_wordings() -> tuple[dict[str, str], list[str]]:
+    """``known_sentences`` with the pieces of WORDINGS, and a regular expression
+    for each piece in a text of ``marked``."""
+    out, patterns = known_sentences(), {}
+    for piece in out:
+        patterns[piece] = r"(?: ?S ?| )".join(piece.split())
+    for name, sentence in WORDINGS:
+        loose = [[_norm(x) for x in part.split("\n\n")] for part in re.split(END, sentence)]
+        for i, halves in enumerate(loose):
+            piece = " ".join(halves)
+            out.setdefault(piece, name if i == len(loose) - 1 else f"{name}-{i}")
+            patterns[piece] = "[ HS]+".join(r"(?: ?S ?| )".join(h.split()) for h in halves)
+    return out, [patterns[p] for p in sorted(patterns, key=len, reverse=True)]
+
+
+def all_rules() -> dict[str, list[list[str]]]:
+    return {name: rules + MORE_RULES.get(name, []) for name, rules in RULES.items()}
+
+
+def marked(text: Column) -> Column:
+    """The normalised text between an H at each end, with each break of SPLIT as
+    H or S: capitals, which lower case leaves free."""
+    broken = F.regexp_replace(F.regexp_replace(F.lower(text), END, "H"), BREAK, "S")
+    return F.concat(F.lit("H"), F.regexp_replace(broken, "[^a-z0-9HS]+", " "), F.lit("H"))
+
+
 def recognise(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` and n_sentences, sentence_ids (array, in order),
-    sentence_at (their numbers), licenses (array): these replace columns of those
-    names."""
-    pairs = [F.lit(x) for kv in known_sentences().items() for x in kv]
-    lookup = F.create_map(*pairs)
-    sentences = F.split(F.coalesce("text", F.lit("")), SPLIT)
-    found = F.filter(F.transform(sentences, lambda s, i: F.struct(i.alias("at"), F.element_at(lookup, normalised(s)).alias("id"))), lambda x: x["id"].isNotNull())
-    base = docs.drop("n_sentences", "sentence_ids", "sentence_at", "licenses", "_found")
-    out = base.withColumn("n_sentences", F.size(sentences).cast("long")).withColumn("_found", found)
+    sentence_at (the numbers of the sentences, in the cut by SPLIT, where they
+    begin), licenses (array): these replace columns of those names."""
+    known, patterns = known_wordings()
+    lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    pattern = f"([HS]) ?({'|'.join(patterns)})(?= ?[HS])"
+    text = F.coalesce("text", F.lit(""))
+    base = docs.drop("n_sentences", "sentence_ids", "sentence_at", "licenses", "_marked", "_hits", "_at", "_found")
+    out = base.withColumn("n_sentences", F.size(F.split(text, SPLIT)).cast("long")).withColumn("_marked", marked(text))
+    out = out.withColumn("_hits", F.regexp_extract_all("_marked", F.lit(pattern), F.lit(2)))
+    # an X before each hit: the pieces that begin with one have its number
+    pieces = F.split(F.regexp_replace("_marked", pattern, "$1X$2"), "[HS]")
+    begins = F.filter(F.transform(pieces, lambda p, i: F.when(p.startswith("X"), i - 1)), lambda i: i.isNotNull())
+    out = out.withColumn("_at", F.when(F.size("_hits") > 0, begins))
+    name = lambda hit: F.element_at(lookup, F.regexp_replace(hit, "[ HS]+", " "))
+    found = F.transform("_hits", lambda hit, j: F.struct(F.get(F.col("_at"), j).alias("at"), name(hit).alias("id")))
+    out = out.withColumn("_found", found)
     line = F.concat(F.lit(" "), F.array_join("_found.id", " "), F.lit(" "))
-    matched = F.array(*[F.when(line.rlike(rule_pattern(r)), F.lit(name)) for name, r in sorted(RULES.items())])
+    matched = F.array(*[F.when(line.rlike(rule_pattern(r)), F.lit(name)) for name, r in sorted(all_rules().items())])
     licenses = F.when(F.size("_found") > 0, F.array_compact(matched)).otherwise(F.array().cast("array<string>"))
-    return out.withColumns({"sentence_ids": F.col("_found.id"), "sentence_at": F.col("_found.at"), "licenses": licenses}).drop("_found")
+    return out.withColumns({"sentence_ids": F.col("_found.id"), "sentence_at": F.col("_found.at"), "licenses": licenses}).drop("_marked", "_hits", "_at", "_found")
 
 
 def op8_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,3 +27,93 @@ def test_odd_rows_and_empty(odd_docs, no_docs):
 def test_plan_is_native(make_docs):
     plan = L.recognise(make_docs(["a"]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+ASF = """Licensed to the Apache Software Foundation (ASF) under one
+or more contributor license agreements.  See the NOTICE file
+distributed with this work for additional information
+regarding copyright ownership.  The ASF licenses this file
+to you under the Apache License, Version 2.0 (the
+"License"); you may not use this file except in compliance
+with the License.  You may obtain a copy of the License at
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+WRAPPED = [(APACHE, ["Apache-2.0"]), (ASF, ["Apache-2.0"]), (MIT, ["MIT"]), (GPL3, ["GPL-3.0"]), (GPL2, ["GPL-2.0"]), (BSD, ["BSD-2-Clause", "BSD-3-Clause"]), (ISC, ["ISC"]), (MPL, ["MPL-2.0"])]
+
+
+def test_texts_as_distributed(make_docs):
+    """Wrapped, in comments of three kinds, with the line ends of Windows, and
+    with the body of Apache's notice alone."""
+    forms = [lambda t: t, lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\nint x;", lambda t: "".join(f"# {x}\n" for x in t.splitlines()), lambda t: "".join(f"//{x}\r\n" for x in t.splitlines())]
+    cases = [(form(t), want) for t, want in WRAPPED for form in forms] + [(APACHE[APACHE.index("you may not") :], ["Apache-2.0"])]
+    got = {r["doc_id"]: r["licenses"] for r in L.recognise(make_docs([t for t, _ in cases])).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_blank_lines_and_end_marks_end_a_sentence(make_docs):
+    texts = ["Released under\n\nthe MIT License", "Released under. The MIT License", "Not released\nunder the MIT License", "x\nReleased under\nthe MIT License\ny", "a. b\nReleased under the\nMIT License"]
+    rows = {r["doc_id"]: r for r in L.recognise(make_docs(texts)).collect()}
+    assert [rows[i]["licenses"] for i in range(5)] == [[], [], [], ["MIT"], ["MIT"]]
+    assert rows[3]["sentence_at"] == [1] and rows[4]["sentence_at"] == [2] and rows[4]["n_sentences"] == 4
