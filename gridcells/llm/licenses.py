@@ -3,12 +3,14 @@
 A text is cut into sentences, each is normalised (lower case, words of a-z and
 0-9 joined by one space) and looked up among known licence sentences; the found
 identifiers, in order, are matched against the licences' rules. A rule is an
-ordered list of sentence identifiers, with other known sentences allowed between.
+ordered list of sentence identifiers, with other known sentences allowed between;
+of a sentence that holds an end mark it needs all pieces, with nothing between.
 
 Notices are distributed wrapped, so a known sentence may run over lines (with
 comment marks before each), but not over an end mark or a blank line. It begins
 and ends where a sentence or a line does, so notices of one line need no end mark.
-The SQL has the tables of notices in one line and sees no others.
+The SQL has the tables of notices in one line and sees no others; of a sentence in
+pieces it asks for the last.
 
 Edge cases: null and empty texts have one empty sentence and no licence; repeated
 sentences count each; rows may repeat; an empty table gives no rows; further
@@ -145,8 +147,14 @@ def known_wordings() -> tuple[dict[str, str], list[str]]:
     return out, [patterns[p] for p in sorted(patterns, key=len, reverse=True)]
 
 
-def all_rules() -> dict[str, list[list[str]]]:
-    return {name: rules + MORE_RULES.get(name, []) for name, rules in RULES.items()}
+def whole_rules() -> dict[str, list[list[str]]]:
+    """RULES and MORE_RULES with each sentence as all its pieces, one directly after
+    the other: a piece may be as short as the '2.0' of Mozilla's notice."""
+    known, _ = known_wordings()
+    pieces = {name: " ".join(known[p] for p in _parts(s)) for name, s in SENTENCES.items()}
+    for name, sentence in WORDINGS:
+        pieces.setdefault(name, " ".join(known[_norm(p)] for p in re.split(END, sentence)))
+    return {name: [[pieces[i] for i in r] for r in rules + MORE_RULES.get(name, [])] for name, rules in RULES.items()}
 
 
 def marked(text: Column) -> Column:
@@ -164,7 +172,7 @@ def recognise(docs: DataFrame) -> DataFrame:
     lookup = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
     pattern = f"([HS]) ?({'|'.join(patterns)})(?= ?[HS])"
     text = F.coalesce("text", F.lit(""))
-    base = docs.drop("n_sentences", "sentence_ids", "sentence_at", "licenses", "_marked", "_hits", "_at", "_found")
+    base = docs.drop("n_sentences", "sentence_ids", "sentence_at", "licenses", "_marked", "_hits", "_at", "_found", "_line")
     out = base.withColumn("n_sentences", F.size(F.split(text, SPLIT)).cast("long")).withColumn("_marked", marked(text))
     out = out.withColumn("_hits", F.regexp_extract_all("_marked", F.lit(pattern), F.lit(2)))
     # an X before each hit: the pieces that begin with one have its number
@@ -174,10 +182,14 @@ def recognise(docs: DataFrame) -> DataFrame:
     name = lambda hit: F.element_at(lookup, F.regexp_replace(hit, "[ HS]+", " "))
     found = F.transform("_hits", lambda hit, j: F.struct(F.get(F.col("_at"), j).alias("at"), name(hit).alias("id")))
     out = out.withColumn("_found", found)
-    line = F.concat(F.lit(" "), F.array_join("_found.id", " "), F.lit(" "))
-    matched = F.array(*[F.when(line.rlike(rule_pattern(r)), F.lit(name)) for name, r in sorted(all_rules().items())])
+    # an _ where words that are not known lie before a hit
+    gaps = F.when(F.size("_hits") > 0, F.split("_marked", pattern))
+    ids = F.zip_with("_found.id", gaps, lambda i, gap: F.concat(F.when(gap.rlike("[a-z0-9]"), F.lit("_ ")).otherwise(F.lit("")), i))
+    line = F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
+    out = out.withColumn("_line", line)
+    matched = F.array(*[F.when(F.col("_line").rlike(rule_pattern(r)), F.lit(name)) for name, r in sorted(whole_rules().items())])
     licenses = F.when(F.size("_found") > 0, F.array_compact(matched)).otherwise(F.array().cast("array<string>"))
-    return out.withColumns({"sentence_ids": F.col("_found.id"), "sentence_at": F.col("_found.at"), "licenses": licenses}).drop("_marked", "_hits", "_at", "_found")
+    return out.withColumns({"sentence_ids": F.col("_found.id"), "sentence_at": F.col("_found.at"), "licenses": licenses}).drop("_marked", "_hits", "_at", "_found", "_line")
 
 
 def op8_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

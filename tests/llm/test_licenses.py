@@ -117,3 +117,13 @@ def test_blank_lines_and_end_marks_end_a_sentence(make_docs):
     rows = {r["doc_id"]: r for r in L.recognise(make_docs(texts)).collect()}
     assert [rows[i]["licenses"] for i in range(5)] == [[], [], [], ["MIT"], ["MIT"]]
     assert rows[3]["sentence_at"] == [1] and rows[4]["sentence_at"] == [2] and rows[4]["n_sentences"] == 4
+
+
+def test_a_sentence_in_pieces_is_needed_whole(make_docs):
+    s = L.SENTENCES
+    head, last = s["mpl-ref"].split(". ")
+    free, rest = s["gpl-free"].split(": ")
+    tail = f"{s['gpl-warranty']}. {s['gpl-see']}."
+    texts = ["2.0", "Release notes\nVersion: 2.0\nfixes", "Changes in v. 2.0", f"{head}. Chapter two. {last}", f"{last}. {head}.", f"{rest}. {tail}", f"{free}: {tail} {rest}.", s["mpl-ref"], f"a. {head}.\n * {last}. b", f"{free}: {rest}. Thanks. {tail}"]
+    rows = {r["doc_id"]: r["licenses"] for r in L.recognise(make_docs(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [[]] * 7 + [["MPL-2.0"]] * 2 + [["GPL-3.0"]]
