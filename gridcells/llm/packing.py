@@ -30,6 +30,8 @@ from gridcells.runtime import shuffle_partitions, spread, staged, table
 
 SEQ_LEN = 1024
 BUCKETS, DIMS, BITS = 1024, 4, 15
+#: The added token of the JSON file, which the ranks lack: found in a text, it is one id.
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 @lru_cache(maxsize=2)
@@ -44,14 +46,13 @@ def encoder(path: str | None = None):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    enc = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: enc.encode_to_numpy(text, disallowed_special=())
+    enc = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return lambda text: enc.encode_to_numpy(text, allowed_special="all")
 
 
 def hilbert_key(coords: np.ndarray, bits: int = BITS) -> np.ndarray:

@@ -42,6 +42,19 @@ def test_edits_encode_little(count):
     assert n < 1500
 
 
+def test_edits_make_and_break_the_added_token():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    full = lambda t: len(plain.encode(t, add_special_tokens=False).ids)
+    encode = encoder()
+    text = "some words " * 60 + "<|endof text|> " + "more words " * 60
+    tree = E.Tree.build(text, lambda t: len(encode(t)))
+    for a, b, new in ((text.index("f t") + 1, text.index("f t") + 2, ""), (0, 0, "<|endoftext|>"), (5, 9, ""), (700, 700, "<|endoftext|>")):
+        tree, text, _ = tree.edit(text, a, b, new, lambda t: len(encode(t)))
+        check(tree, text, full)
+
+
 def test_query_against_full_count(spark, count):
     rows = {r["doc_id"]: r for r in E.op6_edit_token_counts(spark, SAMPLE).collect()}
     docs = spark.read.parquet(f"{SAMPLE}/documents.parquet").withColumn("edits", E.sample_edits()).collect()

@@ -63,6 +63,23 @@ def test_rank_file_equals_tokenizer_file():
         assert list(a(text)) == list(b(text))
 
 
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y\n", "<|endoftext| <|ENDOFTEXT|>", "it'<|endoftext|>s", "<|<|endoftext|>|>  "]
+
+
+def test_added_token_is_one_id_as_in_the_plain_tokenizer(make_docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in SPECIAL]
+    assert want[0] == [64, 220, 50256, 275]
+    for encode in (packing.encoder(), packing.encoder(path)):
+        assert [list(encode(t)) for t in SPECIAL] == want
+    for r in packing.pack(make_docs(SPECIAL)).collect():
+        ids = np.array([*want[r["doc_id"]], 0], "<u4")
+        assert r["doc_tokens"] == len(ids) and bytes(r["ids"]) == ids[r["start"] : r["start"] + r["length"]].tobytes()
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (4, 2)])
 def test_hilbert_curve_is_a_walk(dims, bits):
     side = 2**bits
