@@ -1,8 +1,9 @@
 """Edit-aware token counts (operator 6).
 
 A text is cut into segments of whole pre-tokens, at places that are always a
-boundary of the pre-tokenizer whatever stands further away: between an ASCII
-letter and one space before an ASCII letter. A segment tree keeps characters and
+boundary of the pre-tokenizer whatever stands further away: between a letter or
+digit of any script and one space before another, and between a letter of Chinese,
+Japanese or Korean and one of the full-width marks. A segment tree keeps characters and
 tokens of each segment and the sums above them. An edit re-encodes only the
 segments it touches (and a neighbour where it reaches the characters that make a
 boundary), and updates the sums on the paths to the root, so the root always has
@@ -10,7 +11,7 @@ the count of the whole edited text.
 
 Edge cases: null or empty text is a tree without characters; positions are
 clamped to the text; a null edit list or replacement means none; a text without a
-cut is one segment; repeated rows are handled each; an empty table gives no rows;
+cut (one run of letters) is one segment; repeated rows are handled each; an empty table gives no rows;
 further columns of the input stay.
 """
 
@@ -32,7 +33,7 @@ from gridcells.runtime import spread, table
 #: Least characters of a segment, and the most that edits may let one grow to
 #: before the tree is built anew.
 SEGMENT, TOO_LONG = 256, 4096
-CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+CUT = re.compile("(?<=[^\\W_]) (?=[^\\W_])|(?<=[\u4e00-\u9fea\u3041-\u3096\u30a1-\u30fa\uac00-\ud7a3])(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
 
 
 def segments(text: str) -> list[str]:

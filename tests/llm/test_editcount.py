@@ -55,6 +55,27 @@ def test_edits_make_and_break_the_added_token():
         check(tree, text, full)
 
 
+@pytest.mark.parametrize("words", ["слова длинного текста ", "λέξεις ενός κειμένου ", "كلمات نص طويل ", "一些漢字，很長的文字。", "12 345 6789 ", "한국어 문장, "])
+def test_edits_encode_little_in_any_script(count, words):
+    text = words * 2000
+    tree = E.Tree.build(text, count)
+    check(tree, text, count)
+    for a in (9_000, 9_001, 10_002, 10_003, 10_004, 10_005):
+        tree, text, n = tree.edit(text, a, a + 2, "其他 1。 ж", count)
+        assert n < 1500
+        check(tree, text, count)
+
+
+def test_cuts_are_boundaries_for_every_letter(count):
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalnum()][::7]
+    for c in letters:
+        for text in (f"x{c} {c}y", f"漢{c} {c}。"):
+            at = text.index(" ")
+            assert E.CUT.search(text).start() == at and count(text) == count(text[:at]) + count(text[at:])
+    for c in (c for c in map(chr, range(0x3041, 0xD7A4)) if E.CUT.search(f"{c}。x")):
+        assert count(f"字{c}。字") == count(f"字{c}") + count("。字")
+
+
 def test_query_against_full_count(spark, count):
     rows = {r["doc_id"]: r for r in E.op6_edit_token_counts(spark, SAMPLE).collect()}
     docs = spark.read.parquet(f"{SAMPLE}/documents.parquet").withColumn("edits", E.sample_edits()).collect()
