@@ -1,18 +1,21 @@
 """Edit-aware token counts (operator 6).
 
-A text is cut into segments of whole pre-tokens, at places that are always a
-boundary of the pre-tokenizer whatever stands further away: between a letter or
-digit of any script and one space before another, and between a letter of Chinese,
-Japanese or Korean and one of the full-width marks. A segment tree keeps characters and
-tokens of each segment and the sums above them. An edit re-encodes only the
-segments it touches (and a neighbour where it reaches the characters that make a
-boundary), and updates the sums on the paths to the root, so the root always has
-the count of the whole edited text.
+A text is cut into segments of whole pre-tokens, at places that are a boundary of
+the pre-tokenizer whatever stands further away: before white space that follows
+anything else, and where an ASCII letter or digit meets an ASCII mark or the other of
+the two, or a letter of Chinese, Japanese or Korean meets a full-width mark. A
+segment tree keeps characters and tokens of each segment and the sums above them. An
+edit re-encodes only the segments it touches (and a neighbour where it reaches the
+characters that make a boundary), and updates the sums on the paths to the root; a
+long insertion becomes segments of its own. So the root always has the count of the
+whole edited text.
 
 Edge cases: null or empty text is a tree without characters; positions are
-clamped to the text; a null edit list or replacement means none; a text without a
-cut (one run of letters) is one segment; repeated rows are handled each; an empty table gives no rows;
-further columns of the input stay.
+clamped to the text; edits at one place (ties) apply in the order of the list; a null
+edit list or replacement means none; texts of any length are handled whole, and one
+without a cut (a run of one kind of character, a single pre-token) is one segment;
+repeated rows are handled each; an empty table gives no rows; further columns of the
+input stay, but those named like the added ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,10 +33,15 @@ from gridcells.llm.batches import slices
 from gridcells.llm.packing import encoder
 from gridcells.runtime import spread, table
 
-#: Least characters of a segment, and the most that edits may let one grow to
-#: before the tree is built anew.
-SEGMENT, TOO_LONG = 256, 4096
-CUT = re.compile("(?<=[^\\W_]) (?=[^\\W_])|(?<=[\u4e00-\u9fea\u3041-\u3096\u30a1-\u30fa\uac00-\ud7a3])(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
+#: Least characters of a segment.
+SEGMENT = 256
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: None of these places lies within the added token, which has bars around letters.
+CUT = re.compile(
+    f"(?<=[^{_SPACE}])(?=[{_SPACE}])"
+    "|(?<=[A-Za-z0-9])(?=[!-/:-@\\[-`{}~])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+    "|(?<=[\u4e00-\u9fea\u3041-\u3096\u30a1-\u30fa\uac00-\ud7a3])(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])"
+)
 
 
 def segments(text: str) -> list[str]:
@@ -55,16 +63,22 @@ class Tree:
     @classmethod
     def build(cls, text: str, count) -> Tree:
         parts = segments(text)
-        leaves = 1 << max(0, (len(parts) - 1).bit_length())
-        chars, tokens = np.zeros(2 * leaves, np.int64), np.zeros(2 * leaves, np.int64)
-        chars[leaves : leaves + len(parts)] = [len(p) for p in parts]
-        tokens[leaves : leaves + len(parts)] = [count(p) for p in parts]
-        for sums in (chars, tokens):
+        return cls.over([len(p) for p in parts], [count(p) for p in parts])
+
+    @classmethod
+    def over(cls, chars, tokens) -> Tree:
+        """The tree over these leaves: sums only, nothing is encoded."""
+        leaves = 1 << max(0, (len(chars) - 1).bit_length())
+        levels = []
+        for values in (chars, tokens):
+            sums = np.zeros(2 * leaves, np.int64)
+            sums[leaves : leaves + len(values)] = values
             width = leaves
             while width > 1:
                 sums[width // 2 : width] = sums[width : 2 * width].reshape(-1, 2).sum(1)
                 width //= 2
-        return cls(chars, tokens)
+            levels.append(sums)
+        return cls(*levels)
 
     def leaf_at(self, position: int) -> tuple[int, int]:
         """The leaf that holds the character at ``position`` (the last with
@@ -95,14 +109,13 @@ class Tree:
         last, at = self.leaf_at(end + 1)
         high = at + int(self.chars[self.leaves + last])
         parts = segments(text[low:start] + new + text[end:high])
-        slots = last - first + 1
+        sizes, counts, slots = [len(p) for p in parts], [count(p) for p in parts], last - first + 1
         if len(parts) > slots:
-            parts[slots - 1 :] = ["".join(parts[slots - 1 :])]
-            if len(parts[-1]) > TOO_LONG:
-                return Tree.build(edited, count), edited, len(edited)
+            spliced = lambda old, new: np.concatenate([old[self.leaves : self.leaves + first], new, old[self.leaves + last + 1 :]])
+            return Tree.over(spliced(self.chars, sizes), spliced(self.tokens, counts)), edited, sum(sizes)
         for i in range(slots):
-            self.set_leaf(first + i, *((len(parts[i]), count(parts[i])) if i < len(parts) else (0, 0)))
-        return self, edited, sum(map(len, parts))
+            self.set_leaf(first + i, *((sizes[i], counts[i]) if i < len(parts) else (0, 0)))
+        return self, edited, sum(sizes)
 
 
 def _counter(tokenizer: str | None):

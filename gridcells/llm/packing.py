@@ -7,15 +7,19 @@ and running sums give every document its place in one gapless token stream,
 which is cut every ``seq_len`` tokens. Only the thin rows are sorted; token ids
 move once, in a join on a row number.
 
-Edge cases: a null or empty text is its end token alone; repeated rows are
-packed once each; equal keys (copies) are ordered by row number, so a hot group
-of copies spreads over many range partitions; an empty table gives no rows;
-a null doc_id stays null; further columns of the input are ignored.
+Edge cases: a null or empty text is its end token alone; a text of any length is
+encoded whole and cut over as many sequences as it fills (runs of white space too
+long for the pre-tokenizer's stack are encoded as the one pre-token that they are);
+repeated rows are packed once each; ties of the key (copies) are ordered by row
+number, so a hot group of copies spreads over many range partitions; an empty table
+gives no rows; a null doc_id stays null; further columns of the input are ignored,
+also if they are named like those added here.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +36,9 @@ SEQ_LEN = 1024
 BUCKETS, DIMS, BITS = 1024, 4, 15
 #: The added token of the JSON file, which the ranks lack: found in a text, it is one id.
 SPECIAL = {"<|endoftext|>": 50256}
+#: Runs of white space near the length at which the pre-tokenizer's backtracking
+#: stack overflows (a million characters).
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{100000,}")
 
 
 @lru_cache(maxsize=2)
@@ -52,7 +59,32 @@ def encoder(path: str | None = None):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
-    return lambda text: enc.encode_to_numpy(text, allowed_special="all")
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return enc.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # the stack of the pattern
+            return _with_long_runs(enc, text)
+
+    return encode
+
+
+def _with_long_runs(enc, text: str) -> np.ndarray:
+    """Ids of a text with long runs of white space. All of a run is one pre-token,
+    but for its last character if more text follows; so it is encoded alone, and
+    what stands around it as ever."""
+    special = next(iter(SPECIAL))
+    parts = [np.zeros(0, np.uint32)]
+    for i, section in enumerate(text.split(special)):
+        if i:
+            parts.append(np.array([SPECIAL[special]], np.uint32))
+        at = 0
+        for m in LONG_RUN.finditer(section):
+            stop = m.end() if m.end() == len(section) else m.end() - 1
+            parts += [enc.encode_to_numpy(section[at : m.start()]), np.array(enc._encode_single_piece(section[m.start() : stop]), np.uint32)]
+            at = stop
+        parts.append(enc.encode_to_numpy(section[at:]))
+    return np.concatenate(parts)
 
 
 def hilbert_key(coords: np.ndarray, bits: int = BITS) -> np.ndarray:

@@ -55,7 +55,7 @@ def test_edits_make_and_break_the_added_token():
         check(tree, text, full)
 
 
-@pytest.mark.parametrize("words", ["слова длинного текста ", "λέξεις ενός κειμένου ", "كلمات نص طويل ", "一些漢字，很長的文字。", "12 345 6789 ", "한국어 문장, "])
+@pytest.mark.parametrize("words", ["слова длинного текста ", "λέξεις ενός κειμένου ", "كلمات نص طويل ", "一些漢字，很長的文字。", "12 345 6789 ", "한국어 문장, ", "if (x[i] != 'it\'s'):\n\treturn f(a, b);\n", '{"a1":[1,2.5e3],"b":"c"},', "9f3b0aa1c4de", "\n\n\t  word"])
 def test_edits_encode_little_in_any_script(count, words):
     text = words * 2000
     tree = E.Tree.build(text, count)
@@ -66,12 +66,42 @@ def test_edits_encode_little_in_any_script(count, words):
         check(tree, text, count)
 
 
+def test_a_long_paste_splits_in_place(count):
+    text = "some words of a long text " * 2000
+    tree = E.Tree.build(text, count)
+    leaves = len(E.segments(text))
+    tree, text, n = tree.edit(text, 20_000, 20_010, "pasted words, " * 800, count)
+    assert n < 14 * 800 + 1500 and len(E.segments(text)) > leaves + 30
+    check(tree, text, count)
+    tree, text, n = tree.edit(text, 25_000, 25_001, "other", count)
+    assert n < 1500
+    check(tree, text, count)
+
+
+LONG = [" " * 5_000_000, "\n" * 5_000_000, "a" * 5_000_000]
+
+
+def test_very_long_texts(make_docs):
+    """Five million of one character: one pre-token, or (lines) several ids."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = make_docs([(0, LONG[0]), (1, LONG[1]), (2, LONG[2])])
+    edits = "array(struct(2500000 AS start, 2500001 AS end, 'x' AS new))"
+    out = E.apply_edits(E.build_trees(docs).selectExpr("doc_id", "text", "tree_chars", "tree_tokens", f"{edits} AS edits"))
+    for r in out.select("doc_id", "tree_chars", "tree_tokens").collect():
+        text = LONG[r["doc_id"]]
+        text = text[:2_500_000] + "x" + text[2_500_001:]
+        assert (r["tree_chars"][1], r["tree_tokens"][1]) == (len(text), len(plain.encode(text, add_special_tokens=False).ids))
+
+
 def test_cuts_are_boundaries_for_every_letter(count):
     letters = [chr(c) for c in range(0x30000) if chr(c).isalnum()][::7]
     for c in letters:
         for text in (f"x{c} {c}y", f"漢{c} {c}。"):
-            at = text.index(" ")
-            assert E.CUT.search(text).start() == at and count(text) == count(text[:at]) + count(text[at:])
+            cuts = [m.start() for m in E.CUT.finditer(text)]
+            assert text.index(" ") in cuts
+            assert all(count(text) == count(text[:at]) + count(text[at:]) for at in cuts)
     for c in (c for c in map(chr, range(0x3041, 0xD7A4)) if E.CUT.search(f"{c}。x")):
         assert count(f"字{c}。字") == count(f"字{c}") + count("。字")
 

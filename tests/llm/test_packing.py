@@ -80,6 +80,21 @@ def test_added_token_is_one_id_as_in_the_plain_tokenizer(make_docs):
         assert r["doc_tokens"] == len(ids) and bytes(r["ids"]) == ids[r["start"] : r["start"] + r["length"]].tobytes()
 
 
+def test_very_long_texts(make_docs):
+    """Runs on which the pre-tokenizer's stack overflows have the plain tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    run = " " * 1_100_000
+    texts = [run, f"a{run}b<|endoftext|>{run}<|endoftext|> c", "\n" * 5_000_000, f"{run}\u3000\x1c\x85x", "a" * 2_000_000, "\u3000\t" * 600_000 + "é"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [packing.encoder()(t).tolist() for t in texts] == want
+    pieces = packing.pack(make_docs(texts)).select("doc_id", "length", "doc_tokens").collect()
+    for i, ids in enumerate(want):
+        own = [r for r in pieces if r["doc_id"] == i]
+        assert {r["doc_tokens"] for r in own} == {len(ids) + 1} and sum(r["length"] for r in own) == len(ids) + 1
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (4, 2)])
 def test_hilbert_curve_is_a_walk(dims, bits):
     side = 2**bits
