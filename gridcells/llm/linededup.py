@@ -6,11 +6,20 @@ keys at or over the threshold, cuckoo filters, sharded by key, answer the probes
 of a text scan; each filter slot points at the exact key beside it, so a probe is
 verified on the spot. Inserting documents adds to the counts, deleting them
 subtracts, and the filters follow with insertions and deletions of the keys
-that crossed the threshold: insert then delete leaves the state as it was.
-
-Edge cases: each row is a document, also if rows or ids repeat; null or empty
-text is one empty line, kept; a key without a code point never counts; an empty
-table gives no rows; further columns of the input are ignored.
+that crossed the threshold: insert then delete leaves the state as it was. Filters
+that outgrow their shards are dealt out to more of them.
+
+A scan sends each distinct key of a document to the filter of its shard, with the
+shuffle that also sorts each filter before its keys, so a task holds one filter and a
+batch of keys, however many there are. Only keys so frequent that they would burden
+their shard (over one HOT_KEYS-th of all, hence at most HOT_KEYS keys) are in a filter
+that all tasks have. The places found go back to the documents in a join.
+
+Edge cases: each row is a document, also if rows or ids repeat; a key in exactly
+min_docs documents (a tie with the threshold) is dropped; null or empty text is one
+empty line, kept; a key without a code point never counts; texts of any length are
+read whole; an empty table gives no rows; further columns of the input stay, but
+those named n_lines or n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,15 +34,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridcells.llm.batches import map_arrow, slices, utf8
-from gridcells.runtime import spread, staged, table
+from gridcells.llm.batches import free_name, map_arrow, slices, utf8
+from gridcells.runtime import shuffle_partitions, spread, staged, table
 
 MIN_DOCS = 10
 SPACES = b" \t\n\v\f\r"
-#: Keys per filter shard on average, and keys whose filters may be broadcast
-#: (about 30 bytes each); beyond that, lines are joined with the table instead.
-SHARD_KEYS, BROADCAST_KEYS = 50_000, 2_000_000
+#: Keys per filter shard on average when the filters are built; they are dealt out
+#: anew at twice as many.
+SHARD_KEYS = 50_000
+#: The most keys of the filter that all tasks have (about 30 bytes each).
+HOT_KEYS = 10_000
 #: Distinct keys that a task counts before it hands them on.
 FLUSH_KEYS = 200_000
 SLOTS, MAX_KICKS = 4, 500
@@ -166,14 +178,21 @@ def _shard(key, n_shards: int):
 FILTER_SCHEMA = "shard int, prints binary, keys binary"
 
 
-def build_index(docs: DataFrame, min_docs: int = MIN_DOCS) -> LineIndex:
-    refs = staged(reference_counts(docs), "refs")
-    n_heavy = refs.where(F.col("n_docs") >= min_docs).count()
-    n_shards = max(1, -(-n_heavy // SHARD_KEYS))
-    crossed = refs.where(F.col("n_docs") >= min_docs).select("key", F.lit(True).alias("add"))
+def _heavy(refs: DataFrame, min_docs: int) -> DataFrame:
+    return refs.where(F.col("n_docs") >= min_docs).select("key")
+
+
+def _indexed(refs: DataFrame, min_docs: int) -> LineIndex:
+    """The index over these counts, with all filters new."""
+    n_shards = max(shuffle_partitions(refs.sparkSession), -(-_heavy(refs, min_docs).count() // SHARD_KEYS))
+    crossed = _heavy(refs, min_docs).withColumn("add", F.lit(True))
     return LineIndex(refs, staged(_filters(None, crossed, n_shards), "filters"), n_shards, min_docs)
 
 
+def build_index(docs: DataFrame, min_docs: int = MIN_DOCS) -> LineIndex:
+    return _indexed(staged(reference_counts(docs), "refs"), min_docs)
+
+
 def _filters(old: DataFrame | None, crossed: DataFrame, n_shards: int) -> DataFrame:
     """The filters after the crossed keys (key, add) went in or out; shards are
     bounded by SHARD_KEYS on average, since keys are digests."""
@@ -211,6 +230,8 @@ def _changed(index: LineIndex, docs: DataFrame, sign: int) -> LineIndex:
     over = lambda c: F.col(c) >= index.min_docs
     crossed = counts.where(over("was") != over("n_docs")).select("key", over("n_docs").alias("add"))
     refs = counts.where("n_docs > 0").select("key", "n_docs")
+    if _heavy(refs, index.min_docs).count() > 2 * SHARD_KEYS * index.n_shards:
+        return _indexed(refs, index.min_docs)
     return LineIndex(refs, staged(_filters(index.filters, crossed, index.n_shards), "filters"), index.n_shards, index.min_docs)
 
 
@@ -223,84 +244,89 @@ def delete_documents(index: LineIndex, docs: DataFrame) -> LineIndex:
     return _changed(index, docs, -1)
 
 
-def dedup_lines(docs: DataFrame, index: LineIndex, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """All columns of ``docs`` with ``text`` rewritten, then n_lines and
-    n_dropped. A text that loses nothing stays as it is (null too)."""
-    n_heavy = index.refs.where(F.col("n_docs") >= index.min_docs).count()
-    if n_heavy <= broadcast_keys:
-        return _by_filters(docs, index)
-    return _by_join(docs, index)
-
-
-OUT = "struct<text: string, n_lines: bigint, n_dropped: bigint>"
+def _hot_filter(index: LineIndex) -> CuckooFilter:
+    """Of the keys that each make up over one HOT_KEYS-th of all."""
+    total = index.refs.agg(F.sum("n_docs")).first()[0] or 0
+    keys = [r["key"] for r in _heavy(index.refs, max(index.min_docs, total // HOT_KEYS + 1)).collect()]  # at most HOT_KEYS
+    held = CuckooFilter(len(keys))
+    for key in words_of(keys):
+        held.insert(key)
+    return held
 
 
-def _without(text: bytes, drop: np.ndarray) -> bytes:
-    return b"\n".join(line for line, gone in zip(text.split(b"\n"), drop, strict=True) if not gone)
+def _found(held: CuckooFilter, keys: list[bytes]) -> np.ndarray:
+    """Which of the digests (or empty strings, never held) the filter has."""
+    out = np.zeros(len(keys), bool)
+    real = np.flatnonzero([bool(k) for k in keys])
+    if len(real):
+        out[real] = held.contains(words_of([keys[i] for i in real]))
+    return out
 
 
-def _rewritten(docs: DataFrame, dropper, extra: str = "") -> DataFrame:
-    """Rows of ``docs`` through ``dropper(batch, texts) -> list of masks``."""
-    names = [f.name for f in docs.schema if f.name not in {"n_lines", "n_dropped", extra}]
-    schema = docs.select(*names).schema.add("n_lines", "long").add("n_dropped", "long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = utf8(batch)
-            masks = dropper(batch, texts)
-            columns = {n: batch.column(n) for n in names}
-            nulls = batch.column("text").is_null().to_pylist()
-            columns["text"] = pa.array([None if null else _without(t, m) if m.any() else t for t, m, null in zip(texts, masks, nulls, strict=True)], pa.binary()).cast(pa.string())
-            columns |= {"n_lines": pa.array([len(m) for m in masks], pa.int64()), "n_dropped": pa.array([int(m.sum()) for m in masks], pa.int64())}
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return docs.mapInArrow(run, schema)
+def _probed(keys: DataFrame, index: LineIndex) -> DataFrame:
+    """The row and nth of those of ``keys`` (row, nth, key) that are in the filter of
+    their shard."""
+    asked = keys.select(_shard(F.col("key"), index.n_shards).alias("shard"), F.lit(1).alias("kind"), "row", "nth", "key", F.lit(None).cast("binary").alias("prints"))
+    filters = index.filters.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("nth"), F.col("keys").alias("key"), "prints")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        shard, held = -1, CuckooFilter()
+        for batch in batches:
+            shards, kinds = (batch.column(c).to_numpy() for c in ("shard", "kind"))
+            edges = [0, *(np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1), batch.num_rows]
+            for low, high in zip(edges, edges[1:], strict=False):
+                if high > low and kinds[low] == 0:
+                    shard, held = shards[low], CuckooFilter.load(batch.column("prints")[low].as_py(), batch.column("key")[low].as_py())
+                elif high > low and shard == shards[low]:
+                    hit = pa.array(_found(held, batch.column("key").slice(low, high - low).to_pylist()))
+                    yield {c: batch.column(c).slice(low, high - low).filter(hit) for c in ("row", "nth")}
 
-def _by_filters(docs: DataFrame, index: LineIndex) -> DataFrame:
-    rows = index.filters.collect()  # at most BROADCAST_KEYS keys
-    shards = docs.sparkSession.sparkContext.broadcast([(r["prints"], r["keys"]) for r in rows])
+    return map_arrow(filters.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind"), run, "row long, nth int")
 
-    def dropper(_, texts: list[bytes], loaded: list = []) -> list[np.ndarray]:  # noqa: B006
-        if not loaded:
-            loaded.extend(CuckooFilter.load(*x) for x in shards.value)
-        each = [line_keys(t) for t in texts]
-        flat = [k for keys in each for k in keys]
-        hit = np.zeros(len(flat), bool)
-        real = np.flatnonzero([bool(k) for k in flat])
-        if len(real) and loaded:
-            keys = words_of([flat[i] for i in real])
-            for held in loaded:
-                hit[real] |= held.contains(keys)
-        return np.split(hit, np.cumsum([len(x) for x in each])[:-1])
 
-    return _rewritten(docs, dropper)
+OUT = ("n_lines", "n_dropped")
 
 
-def _by_join(docs: DataFrame, index: LineIndex) -> DataFrame:
-    """For more heavy keys than a broadcast may hold: lines meet the exact table
-    in a join on the key (a hot key's lines split over tasks), and the positions
-    found go back to their documents."""
+def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
+    """All columns of ``docs`` with ``text`` rewritten, then n_lines and n_dropped
+    (which replace columns of those names). A text that loses nothing stays as it is
+    (null too)."""
+    hot = docs.sparkSession.sparkContext.broadcast(_hot_filter(index))
+    base = docs.drop(*OUT)
+    row, gone = free_name(base, "row"), free_name(base, "gone")
+    numbered = staged(base.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in slices(batches):
+            own = [list(dict.fromkeys(line_keys(t))) for t in utf8(batch)]
+            flat = [k for keys in own for k in keys]
+            sizes = [len(keys) for keys in own]
+            rest = ~_found(hot.value, flat) & np.array([bool(k) for k in flat], bool)
+            rows = np.repeat(batch.column("row").to_numpy(), sizes)
+            nth = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield {"row": rows[rest], "nth": nth[rest].astype(np.int32), "key": [flat[i] for i in np.flatnonzero(rest)]}
+
+    keys = map_arrow(numbered.select(F.col(row).alias("row"), "text"), ask, "row long, nth int, key binary")
+    places = _probed(keys, index).groupBy("row").agg(F.collect_list("nth").alias(gone)).withColumnRenamed("row", row)
+    joined = numbered.join(places, row, "left").select(*base.columns, gone)
+    names, schema = base.columns, StructType([*base.schema.fields]).add("n_lines", "long").add("n_dropped", "long")
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [(r, i, k) for r, text in zip(batch.column("row_id").to_pylist(), utf8(batch), strict=True) for i, k in enumerate(line_keys(text)) if k]
-            yield {"row_id": [x[0] for x in found], "pos": [x[1] for x in found], "key": [x[2] for x in found]}
-
-    names = [c for c in docs.columns if c not in {"row_id", "gone"}]
-    numbered = staged(docs.select(*names, F.monotonically_increasing_id().alias("row_id")), "numbered")
-    heavy = index.refs.where(F.col("n_docs") >= index.min_docs).select("key")
-    hits = map_arrow(numbered.select("row_id", "text"), lines, "row_id long, pos int, key binary").join(heavy, "key", "left_semi")
-    gone = hits.groupBy("row_id").agg(F.collect_list("pos").alias("gone"))
-    joined = numbered.join(gone, "row_id", "left").drop("row_id")
-
-    def dropper(batch: pa.RecordBatch, texts: list[bytes]) -> list[np.ndarray]:
-        masks = [np.zeros(t.count(b"\n") + 1, bool) for t in texts]
-        for mask, gone in zip(masks, batch.column("gone").to_pylist(), strict=True):
-            mask[gone or []] = True
-        return masks
-
-    return _rewritten(joined, dropper, "gone")
+            lines = [t.split(b"\n") for t in utf8(batch)]
+            keys = [line_keys(t) for t in utf8(batch)]
+            hits = np.split(_found(hot.value, [k for own in keys for k in own]), np.cumsum([len(own) for own in keys])[:-1])
+            for own, hit, nths in zip(keys, hits, batch.column(gone).to_pylist(), strict=True):
+                if nths:
+                    distinct = list(dict.fromkeys(own))
+                    drop = {distinct[i] for i in nths}
+                    hit |= np.array([k in drop for k in own])
+            nulls = batch.column("text").is_null().to_pylist()
+            texts = [None if null else b"\n".join(x for x, d in zip(own, hit, strict=True) if not d) for own, hit, null in zip(lines, hits, nulls, strict=True)]
+            columns = {n: batch.column(n) for n in names} | {"text": pa.array(texts, pa.binary()).cast(pa.string())}
+            yield pa.RecordBatch.from_pydict(columns | {"n_lines": pa.array([len(x) for x in lines], pa.int64()), "n_dropped": pa.array([int(h.sum()) for h in hits], pa.int64())})
+
+    return joined.mapInArrow(rewrite, schema)
 
 
 def op2_line_dedup_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,12 +26,40 @@ def rows_of(df):
 TEXTS = [f"Header \n{i % 7}\nunique {i}\n\n  HEADER\t\nÉ" for i in range(40)] + ["é", "", None, "header", "x\n" * 2000]
 
 
-def test_both_paths_match_brute_force(make_docs):
+def test_against_brute_force(make_docs, monkeypatch):
     docs = make_docs(TEXTS)
-    for min_docs in (2, 6, 10):
-        index = L.build_index(docs, min_docs)
-        assert rows_of(L.dedup_lines(docs, index)) == brute(TEXTS, min_docs)
-        assert rows_of(L.dedup_lines(docs, index, broadcast_keys=-1)) == brute(TEXTS, min_docs)
+    for hot_keys, shard_keys in ((L.HOT_KEYS, L.SHARD_KEYS), (20, 1), (1, 3)):  # all keys hot; some; none
+        monkeypatch.setattr(L, "HOT_KEYS", hot_keys)
+        monkeypatch.setattr(L, "SHARD_KEYS", shard_keys)
+        for min_docs in (2, 6, 10):
+            index = L.build_index(docs, min_docs)
+            assert rows_of(L.dedup_lines(docs, index)) == brute(TEXTS, min_docs)
+
+
+def test_own_columns_stay(make_docs, monkeypatch):
+    """Names that the operator uses itself, in either way to a filter."""
+    docs = make_docs(TEXTS).selectExpr("*", "doc_id AS row", "'g' AS gone", "'h' AS _row", "1 AS key", "2 AS shard", "'old' AS n_lines")
+    for hot_keys in (L.HOT_KEYS, 1):
+        monkeypatch.setattr(L, "HOT_KEYS", hot_keys)
+        out = L.dedup_lines(docs, L.build_index(docs, 6))
+        assert out.columns == [*docs.columns[:-1], "n_lines", "n_dropped"]
+        assert rows_of(out) == brute(TEXTS, 6)
+        assert all(r["row"] == r["doc_id"] and (r["gone"], r["_row"], r["key"], r["shard"]) == ("g", "h", 1, 2) for r in out.collect())
+
+
+def test_shards_follow_insertions(make_docs, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_KEYS", 2)
+    texts = [f"common {j}" for i in range(6) for j in range(60)]
+    index = L.build_index(make_docs(texts[:4]), 5)
+    grown = L.insert_documents(index, make_docs(texts))
+    assert grown.n_shards >= 30 > index.n_shards
+    assert rows_of(L.dedup_lines(make_docs(texts), grown)) == brute(texts, 5)
+
+
+def test_very_long_text(make_docs):
+    texts = ["\n" * 2_000_000 + "x", "y" * 3_000_000, *["y" * 3_000_000 + "\nz"] * 2, "\n".join(str(i) for i in range(300_000))]
+    docs = make_docs(texts)
+    assert rows_of(L.dedup_lines(docs, L.build_index(docs, 3))) == brute(texts, 3)
 
 
 def test_odd_rows_and_empty(odd_docs, no_docs):
