@@ -1,17 +1,25 @@
-"""Benchmark decontamination with one Aho-Corasick automaton (operator 4).
-
-Items and documents are normalised alike (ASCII lower case, words joined by one
-space). Every window of ``window`` words of an item is a pattern; an automaton
-over all patterns scans each normalised text once, and hits are mapped back to
-word numbers and to code-point offsets of the original text.
-
-The automaton of one block of items is built once per Python worker. Blocks hold
-at most ``block_bytes`` of item text (larger benchmarks take several scans), so
-what is broadcast is bounded.
-
-Edge cases: null text has no words; an item without words has no windows;
-repeated items or rows are each reported; an empty table gives no rows; an empty
-benchmark hits nothing; further columns of the input stay.
+"""Benchmark decontamination with an Aho-Corasick automaton (operator 4).
+
+Items and documents are normalised alike (ASCII lower case, words between all else).
+A hit is a run of ``window`` words of an item, or a whole shorter item. The automaton
+holds, of every item, blocks of half a window at such steps that each window covers
+exactly one block, so it grows with the words of the benchmark, not with the windows
+times their length. It runs over each document's words once; where a block is found,
+the few words around it decide which windows are there. Hits are mapped back to word
+numbers and to code-point offsets of the original text.
+
+Words of the automaton are written as three characters each, of one alphabet per
+place; words that no item has are one character that no pattern has. A benchmark over
+GROUP_WORDS words is dealt out to several automata, all run in the same pass over the
+texts, one after the other in memory; each is broadcast as words and built in the
+worker, so what is sent and held at once is bounded however large the benchmark is.
+
+Edge cases: null text has no words; an item without words has no windows; item ids
+are strings here, rows of one id are one item, and so are rows without id, which
+count but have no name; an item that ends where a text ends, or windows that touch
+(ties), are hit like others; texts and items of any length are read whole; an empty
+table gives no rows; an empty benchmark hits nothing; further columns of the input
+stay, but those named like the added ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,151 +27,228 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
-from gridcells.llm.batches import slices, utf8
-from gridcells.runtime import spread, table
+from gridcells.llm.batches import map_arrow, slices, utf8
+from gridcells.runtime import spread, staged, table
 
 WINDOW = 10
-BLOCK_BYTES = 256 << 10
+#: Words of the items of one automaton, on average (some 250 bytes each in a worker),
+#: and the most of one piece of an item, by which they are dealt.
+GROUP_WORDS, PIECE_WORDS = 1_000_000, 10_000
+#: Text that a task holds while it goes through several automata.
+HOLD_BYTES = 64 << 20
 #: a-z, 0-9 and bytes over 127 stay, A-Z are lowered, all else is a space.
 _FOLD = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
+#: First characters of the three alphabets, each as large as the vocabulary needs.
+_ALPHABETS, _OTHER = (0x100, 0x1000, 0x2000), "\x01"
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def item_windows(text: bytes, window: int) -> list[bytes]:
-    w = words(text)
-    return sorted({b" ".join(w[i : i + window]) for i in range(max(1, len(w) - window + 1))} - {b""})
-
-
-_BUILT: dict[str, ahocorasick.Automaton] = {}
-
-
-def _automaton(key: str, broadcast) -> ahocorasick.Automaton:
-    """Kept for the life of the worker; one block at a time."""
+def pieces(items: DataFrame, window: int, piece_words: int = PIECE_WORDS) -> DataFrame:
+    """item, words (joined by a space), n, n_item: items in pieces that overlap by a
+    window less one word, so every window lies within a piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in slices(batches):
+            out = []
+            for item, text in zip(batch.column("item").to_pylist(), utf8(batch), strict=True):
+                w = words(text)
+                for at in range(0, max(1, len(w) - window + 1), piece_words):
+                    own = w[at : at + piece_words + window - 1]
+                    if own:
+                        out.append((item, b" ".join(own).decode(), len(own)))
+            yield dict(zip(("item", "words", "n"), zip(*out, strict=True), strict=True)) if out else {"item": [], "words": [], "n": []}
+
+    return map_arrow(items.select(F.col("item_id").cast("string").alias("item"), "text").distinct(), run, "item string, words string, n long")
+
+
+class Group:
+    """Items under one automaton. ``patterns`` are tuples of word numbers with the
+    places (in ``codes``) where they stand; ``whole`` tells those of short items."""
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        self.window, self.block = window, (window + 1) // 2
+        self.vocabulary: dict[bytes, int] = {}
+        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+        self.items = [item for item, _ in items]
+        # stop signs between items equal no word of a document
+        coded = [np.array([*map(number, text.encode().split()), *repeat(-1, window)], np.int32) for _, text in items]
+        sizes = np.array([len(c) - window for c in coded], np.int64)
+        self.codes = np.concatenate([np.full(window, -1, np.int32), *coded])
+        self.item_ends = window + np.cumsum(sizes + window)
+        places: dict[tuple, list[int]] = {}
+        for codes, end in zip(coded, self.item_ends, strict=True):
+            n = len(codes) - window
+            start = int(end) - len(codes)
+            length, step = (self.block, window - self.block + 1) if n >= window else (n, 1)
+            for at in range(0, n - length + 1, step):
+                places.setdefault((n < window, *codes[at : at + length].tolist()), []).append(start + at)
+        base = max(2, int(np.ceil((len(self.vocabulary) + 1) ** (1 / 3))))
+        self.spelt = [_OTHER, *("".join(chr(a + d) for a, d in zip(_ALPHABETS, (k // base**2, k // base % base, k % base), strict=True)) for k in range(len(self.vocabulary)))]
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.length, self.whole, self.places = [], [], []
+        found: dict[str, list[int]] = {}
+        for (whole, *key), at in places.items():
+            found.setdefault("".join(self.spelt[k] for k in key), []).append(len(self.length))
+            self.length.append(len(key))
+            self.whole.append(whole)
+            self.places.append(np.array(at, np.int64))
+        self.patterns = list(found.values())
+        for i, spelling in enumerate(found):
+            self.machine.add_word(spelling, i)
+        self.machine.make_automaton()
+
+    def hits(self, text_words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(item number, first word, word after the last) of windows found."""
+        if not len(self.machine):
+            return
+        numbers = list(map(self.vocabulary.get, text_words, repeat(0)))
+        spelt = [self.spelt[k] for k in numbers]
+        found = list(self.machine.iter("".join(spelt)))
+        if not found:
+            return
+        ends = np.cumsum([len(x) for x in spelt])
+        padded = np.concatenate([np.zeros(self.window, np.int32), np.array(numbers, np.int32), np.zeros(self.window, np.int32)])
+        side = self.window - self.block
+        for end, spelling in found:
+            after = int(np.searchsorted(ends, end)) + 1
+            for pattern in self.patterns[spelling]:
+                places, first = self.places[pattern], after - self.length[pattern]
+                if self.whole[pattern]:
+                    for item in np.unique(np.searchsorted(self.item_ends, places, "right")):
+                        yield int(item), first, after
+                    continue
+                # words equal to the left and to the right of the block, at most ``side``
+                reach = np.arange(1, side + 1)
+                left = np.cumprod(self.codes[places[:, None] - reach] == padded[self.window + first - reach], axis=1).sum(1)
+                right = np.cumprod(self.codes[places[:, None] + self.block - 1 + reach] == padded[self.window + after - 1 + reach], axis=1).sum(1)
+                for k in np.flatnonzero(left + right >= side):
+                    yield int(np.searchsorted(self.item_ends, places[k], "right")), first - int(left[k]), after + int(right[k])
+
+
+def merged(found: list[tuple[str | None, int, int]]) -> list[tuple[str | None, int, int]]:
+    """Runs of overlapping or touching windows, item by item."""
+    out: list[list] = []
+    for item, first, after in sorted(found, key=lambda h: (h[0] is not None, h[0] or "", h[1], h[2])):
+        if out and out[-1][0] == item and first <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], after)
+        else:
+            out.append([item, first, after])
+    return [tuple(x) for x in out]
+
+
+def digest(found: list[tuple[str | None, int, int]], text: bytes) -> dict:
+    """Of one document's hits: words hit, items, and the original spans of runs of
+    words hit (start and end in code points)."""
+    runs = merged([("", first, after) for _, first, after in found])
+    items = {h[0] for h in found}
+    names = sorted(i for i in items if i is not None)
+    spans = []
+    if runs:
+        points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+        at = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
+        spans = [[int(points[at[first][0]]), int(points[at[after - 1][1]])] for _, first, after in runs]
+    return {"n_hit": sum(after - first for _, first, after in runs), "item_ids": names, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(), "spans": spans}
+
+
+ADDED = {"n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "item_ids": "array<string>", "items_sha256": "string", "spans": "array<array<int>>", "hits": "array<struct<item: string, first: int, after: int>>"}
+
+
+def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_words: int = GROUP_WORDS) -> DataFrame:
+    """All columns of ``docs``, then ADDED (which replace columns of those names):
+    ``hits`` are runs of words (first, after) by item, ``spans`` the code points
+    (start, end) of runs of words hit by any item."""
+    context = docs.sparkSession.sparkContext
+    cut = staged(pieces(items, window), "items")
+    n_groups = max(1, -(-(cut.agg(F.sum("n")).first()[0] or 0) // group_words))
+    dealt = cut.withColumn("grp", F.pmod(F.xxhash64("item", "words"), F.lit(n_groups)))
+    # one bounded group at a time passes the driver
+    groups = [context.broadcast([(r["item"], r["words"]) for r in dealt.where(F.col("grp") == g).orderBy("item", "words").collect()]) for g in range(n_groups)]
+    key = uuid.uuid4().hex if n_groups == 1 else None
+    base = docs.drop(*ADDED)
+    names, schema = base.columns, StructType([*base.schema.fields, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in ADDED.items()))])
+    arrow = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "item_ids": pa.list_(pa.string()), "items_sha256": pa.string(), "spans": pa.list_(pa.list_(pa.int32())), "hits": pa.list_(pa.struct([("item", pa.string()), ("first", pa.int32()), ("after", pa.int32())]))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded: list = [None, None]
+        for held in _held(slices(batches), HOLD_BYTES if n_groups > 1 else 0):
+            found: list[list] = [[] for batch in held for _ in range(batch.num_rows)]
+            for g, broadcast in enumerate(groups):
+                if loaded[0] != g:
+                    loaded = [None, None]  # the automaton before goes first
+                    loaded = [g, _group(broadcast.value, window, key)]
+                group, texts = loaded[1], (t for batch in held for t in utf8(batch))
+                for own, text in zip(found, texts, strict=True):
+                    own.extend((group.items[i], first, after) for i, first, after in group.hits(words(text)))
+            at = 0
+            for batch in held:
+                texts, own = utf8(batch), [merged(x) for x in found[at : at + batch.num_rows]]
+                at += batch.num_rows
+                new = [digest(h, t) for h, t in zip(own, texts, strict=True)]
+                columns = {n: batch.column(n) for n in names} | {n: pa.array([d[n] for d in new], arrow[n]) for n in ("n_hit", "item_ids", "n_items", "items_sha256", "spans")}
+                columns["n_words"] = pa.array([len(words(t)) for t in texts], pa.int64())
+                columns["hits"] = pa.array([[dict(zip(("item", "first", "after"), h, strict=True)) for h in x] for x in own], arrow["hits"])
+                yield pa.RecordBatch.from_pydict({n: columns[n] for n in schema.names})
+
+    return base.mapInArrow(run, schema)
+
+
+_BUILT: dict[str, Group] = {}
+
+
+def _group(items: list[tuple[str | None, str]], window: int, key: str | None) -> Group:
+    """A worker keeps the automaton of a benchmark that has one (``key``) for its
+    next tasks."""
+    if key is None:
+        return Group(items, window)
     if key not in _BUILT:
         _BUILT.clear()
-        machine = ahocorasick.Automaton()
-        for pattern, (n, items) in broadcast.value.items():
-            machine.add_word(f" {pattern} ", (n, items))
-        machine.make_automaton()
-        _BUILT[key] = machine
+        _BUILT[key] = Group(items, window)
     return _BUILT[key]
 
 
-HIT = "array<struct<item: bigint, first: int, last: int, start: int, end: int>>"
-
-
-def _hits(text: bytes, joined: str, machine: ahocorasick.Automaton) -> list[tuple]:
-    """(item, first word, last word, start, end) of runs of overlapping or
-    adjacent windows of one item; offsets are code points of the original."""
-    if len(machine) == 0:
-        return []
-    found = [(end, value) for end, value in machine.iter(joined)]
-    if not found:
-        return []
-    gaps = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), "<u4") == 32)
-    runs: dict[int, list[list[int]]] = defaultdict(list)
-    for end, (n, items) in found:
-        last = int(np.searchsorted(gaps, end)) - 1
-        for item in items:
-            own = runs[item]
-            if own and own[-1][1] + 1 >= last - n + 1:
-                own[-1][0], own[-1][1] = min(own[-1][0], last - n + 1), last
-            else:
-                own.append([last - n + 1, last])
-    points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-    at = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
-    return [(item, a, b, int(points[at[a][0]]), int(points[at[b][1]])) for item, own in runs.items() for a, b in own]
-
-
-def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs``, then n_words and hits (which replace columns of
-    those names)."""
-    spark = docs.sparkSession
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-n_bytes // block_bytes))
-    out = docs.drop("n_words", "hits").withColumn("n_words", F.lit(0).cast("long")).withColumn("hits", F.array().cast(HIT))
-    hits_type = pa.list_(pa.struct([("item", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    for block in range(n_blocks):
-        patterns: dict[str, tuple[int, list[int]]] = {}
-        for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).orderBy("item_id").collect():  # one bounded block
-            for w in item_windows(r["text"].encode(), window):
-                n, ids = patterns.setdefault(w.decode(), (w.count(b" ") + 1, []))
-                if r["item_id"] not in ids:
-                    ids.append(r["item_id"])
-        held = spark.sparkContext.broadcast(patterns)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            machine = _automaton(key, held)
-            for batch in slices(batches):
-                counts, hits = [], []
-                for text, before in zip(utf8(batch), batch.column("hits").to_pylist(), strict=True):
-                    w = words(text)
-                    counts.append(len(w))
-                    own = _hits(text, f" {b' '.join(w).decode()} ", machine)
-                    hits.append([tuple(x.values()) for x in before] + own)
-                columns = {n: batch.column(n) for n in batch.schema.names}
-                columns["n_words"] = pa.array(counts, pa.int64())
-                columns["hits"] = pa.array([[dict(zip(("item", "first", "last", "start", "end"), h, strict=True)) for h in x] for x in hits], hits_type)
-                yield pa.RecordBatch.from_pydict(columns)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
-
-
-DIGEST = T.StructType().add("n_hit", T.LongType()).add("n_items", T.LongType()).add("item_ids", T.ArrayType(T.LongType())).add("items_sha256", T.StringType()).add("spans", T.ArrayType(T.ArrayType(T.IntegerType())))
-
-
-@F.pandas_udf(DIGEST)
-def digest(hits: pd.Series) -> pd.DataFrame:
-    """Of one document's hits: words hit, items, and merged original spans."""
-    rows = []
-    for hit in hits:
-        n, spans, upto, reached = 0, [], -1, -1
-        for h in sorted(hit, key=lambda h: (h["first"], h["last"])):
-            n += max(0, h["last"] - max(upto, h["first"] - 1))
-            upto = max(upto, h["last"])
-            if spans and h["start"] <= reached:
-                spans[-1][1] = reached = max(reached, h["end"])
-            else:
-                spans.append([h["start"], h["end"]])
-                reached = h["end"]
-        items = sorted({h["item"] for h in hit})
-        names = ",".join(sorted(map(str, items)))
-        rows.append((n, len(items), items, hashlib.sha256(names.encode()).hexdigest(), spans))
-    return pd.DataFrame(rows, columns=["n_hit", "n_items", "item_ids", "items_sha256", "spans"])
-
-
-def contaminated(hits: Column) -> Column:
-    return F.size(hits) > 0
+def _held(batches: Iterator[pa.RecordBatch], n_bytes: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches of about that many bytes of text, of one batch at least."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= n_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def contaminated(n_hit: Column) -> Column:
+    return n_hit > 0
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = scan(docs, table(spark, sf_dir, "benchmark")).withColumn("d", digest("hits"))
-    return found.select("doc_id", "n_words", "d.n_hit", "d.n_items", "d.items_sha256", (F.col("d.n_hit") > 0).alias("contaminated"))
+    found = scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s[0], s[1])), ",").alias("spans")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", contaminated(F.col("n_hit")).alias("contaminated"), spans)
 
 
 QUERIES = {"op4_decontaminate": op4_decontaminate}
+_SQL_GAPS = r"string_split_regex(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL = {
     "op4_decontaminate": f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_SQL_WORDS} AS ws FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_SQL_WORDS} AS ws, {_SQL_GAPS} AS gaps FROM documents),
 it AS (SELECT item_id, {_SQL_WORDS} AS ws FROM benchmark),
 iw AS (SELECT DISTINCT item_id, least(len(ws), {WINDOW}) AS k, array_to_string(ws[i:i + least(len(ws), {WINDOW}) - 1], ' ') AS s
        FROM it, LATERAL (SELECT unnest(range(1, greatest(len(ws) - {WINDOW}, 0) + 2)) AS i) t WHERE len(ws) > 0),
@@ -171,10 +256,16 @@ ks AS (SELECT DISTINCT k FROM iw),
 dw AS (SELECT rid, i, k, array_to_string(ws[i:i + k - 1], ' ') AS s
        FROM (SELECT * FROM d, ks WHERE len(ws) >= k) x, LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i) t),
 hit AS (SELECT rid, i, dw.k, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.s = iw.s),
-nh AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hit) h GROUP BY rid),
+hp AS (SELECT DISTINCT rid, unnest(range(i, i + k)) AS p FROM hit),
+nh AS (SELECT rid, count(*) AS n_hit FROM hp GROUP BY rid),
+runs AS (SELECT rid, min(p) AS a, max(p) AS b FROM (SELECT *, p - row_number() OVER (PARTITION BY rid ORDER BY p) AS g FROM hp) x GROUP BY rid, g),
+wl AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word, unnest(gaps) AS gap FROM d WHERE rid IN (SELECT rid FROM nh)),
+pl AS (SELECT rid, p, sum(length(word) + length(gap)) OVER (PARTITION BY rid ORDER BY p) AS stop, length(word) AS size FROM wl WHERE word IS NOT NULL),
+sp AS (SELECT runs.rid, string_agg((s.stop - s.size) || ':' || e.stop, ',' ORDER BY runs.a) AS spans
+       FROM runs JOIN pl s ON s.rid = runs.rid AND s.p = runs.a JOIN pl e ON e.rid = runs.rid AND e.p = runs.b GROUP BY runs.rid),
 ni AS (SELECT rid, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM (SELECT DISTINCT rid, item_id FROM hit) h GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN nh ON d.rid = nh.rid LEFT JOIN ni ON d.rid = ni.rid
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN nh ON d.rid = nh.rid LEFT JOIN ni ON d.rid = ni.rid LEFT JOIN sp ON d.rid = sp.rid
 """
 }
