@@ -30,11 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines found in many documents; n_chars follows the text."""
-    renamed, back = _apart(docs, ("n_lines", "n_dropped", "row_id", "gone"))
+    renamed, back = _apart(docs, linededup.OUT)
     kept = linededup.dedup_lines(renamed, linededup.build_index(docs))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")))
-    return kept.drop("n_lines", "n_dropped").withColumnsRenamed(back).select(*docs.columns)
+    return kept.drop(*linededup.OUT).withColumnsRenamed(back).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +44,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    renamed, back = _apart(docs, ("n_words", "hits"))
-    found = decontam.scan(renamed, table(spark, sf_dir, "benchmark")).where(~decontam.contaminated(F.col("hits")))
-    return found.drop("n_words", "hits").withColumnsRenamed(back).select(*docs.columns)
+    renamed, back = _apart(docs, decontam.ADDED)
+    found = decontam.scan(renamed, table(spark, sf_dir, "benchmark")).where(~decontam.contaminated(F.col("n_hit")))
+    return found.drop(*decontam.ADDED).withColumnsRenamed(back).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
