@@ -1,11 +1,14 @@
 import hashlib
+import math
 import random
 import re
-import string
+import zlib
+from collections import defaultdict
 
 from gridcells.llm import secrets as S
 
 SAMPLE = "/root/testdata/sf0.01"
+SMALL = "/root/testdata/sf0.001"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -39,28 +42,147 @@ def test_base_patterns():
         assert S.base_spans(text or "") == brute(text), text
 
 
-def test_battery_tells_random_from_ordered():
+def scalar_fit(token, encoding):
+    """The three tests, one token at a time."""
+    alphabet, n = S.ALPHABETS[encoding], len(token)
+    size = len(alphabet)
+    values = [alphabet.index(c) for c in token]
+
+    def part(i):
+        c = alphabet[i]
+        if size <= 16:
+            return i * 4 // size
+        return 2 if size > 36 and c.isupper() else 0 if c in S.COMMON else 1 if c.isalpha() else 3
+
+    parts = sorted({part(i) for i in range(size)})
+    x = 0.0
+    for k in parts:
+        want = n * sum(part(i) == k for i in range(size)) / size
+        x += (sum(part(v) == k for v in values) - want) ** 2 / want
+    free = len(parts) - 1
+    z = ((x / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    chi = math.erfc(z / math.sqrt(2)) / 2
+    high = [v >= size / 2 for v in values]
+    up, down = sum(high), n - sum(high)
+    if not up or not down:
+        run = 2.0 ** (1 - min(n, 100))
+    else:
+        mean = 2 * up * down / n + 1
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+        run = math.erfc(abs(runs - mean) / math.sqrt(spread) / math.sqrt(2)) if spread > 0 else 1.0
+    mean = sum(values) / n
+    total = sum((v - mean) ** 2 for v in values)
+    if total < 1e-9:
+        serial = 2.0 ** (1 - min(n, 100))
+    else:
+        lag = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:]))
+        serial = math.erfc(abs((lag / total + 1 / n) * math.sqrt(n)) / math.sqrt(2))
+    return min(1, 3 * min(chi, run, serial))
+
+
+def plain_bin(fit):
+    return min(S.MAX_BIN, int(-math.log10(max(fit, 1e-40)) * S.BINS))
+
+
+def brute_spans(texts, rate):
+    """All spans of all texts: candidate by candidate, step by step."""
+    null, cands = {}, []
+    for f, counts in S.fixed_null().items():
+        null.setdefault(f, []).extend(b for b in range(S.MAX_BIN + 1) for _ in range(int(counts[b])))
+    for d, t in enumerate(texts):
+        t = t or ""
+        for token in S.identifiers(re.findall("[A-Za-z]{2,}", t), re.findall("[0-9]+", t), zlib.crc32(t.encode())):
+            e = S.encoding_of(token)
+            null.setdefault(S.family(token, e), []).append(plain_bin(scalar_fit(token, e)))
+        cands += [(d, s, e, S.family(token, enc), plain_bin(scalar_fit(token, enc))) for s, e, token, enc in S.candidates(t)]
+    p_of = lambda f, b: (1 + sum(x <= b for x in null.get(f, []))) / (1 + len(null.get(f, [])))
+    out = [[(s, S.KINDS.index(k), k, e) for k, s, e in brute(t)] for t in texts]
+    for f in {c[3] for c in cands}:
+        own = sorted((c for c in cands if c[3] == f), key=lambda c: c[4])
+        ps = [p_of(f, c[4]) for c in own]
+        last = max((i for i, p in enumerate(ps) if p * len(own) <= rate * sum(c[4] <= own[i][4] for c in own)), default=-1)
+        for c in own:
+            if last >= 0 and c[4] <= own[last][4]:
+                out[c[0]].append((c[1], 3, "random", c[2]))
+    return [",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(own)) for own in out]
+
+
+def spans_of(docs):
+    rows = S.find_secrets(docs).orderBy("doc_id").collect()
+    return [",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["spans"]) for r in rows], rows
+
+
+PLANTED = [("hex", 32), ("hex", 40), ("hex", 64), ("HEX", 32), ("base32", 26), ("base32", 52), ("upper36", 20), ("lower36", 25), ("base62", 20), ("base62", 24), ("base62", 40), ("base64", 44), ("base64", 88), ("base64url", 43), ("letters", 40)]
+NAMES = [
+    "getUserAccountInformationById", "component-of-the-page-header-2024", "/2024/01/15/a-very-long-article-title", "INTERNAL_SERVER_ERROR_CODE", "application_settings_v2_backup",
+    "thisisaverylongidentifierwithoutend", "Donaudampfschifffahrtsgesellschaft", "node_modules/package/lib/index", "AbstractSingletonProxyFactoryBean", "0000000000000000000000000000",
+    "aaaaaaaaaaaaaaaaaaaaaaaa", "2024011520240116202401172024", "x_train_batch_size_32_epochs_10", "https-example-org-download-page",
+]
+
+
+def planted(seed=3, each=20):
+    rng = random.Random(seed)
+    words = [*"some quite ordinary words of a text that nobody would ever hide from anyone else reading it 42 1999 7".split()]
+    texts, truth = [], []
+    for kind, length in PLANTED:
+        for _ in range(each):
+            token = "".join(rng.choices(S.ALPHABETS[kind], k=length))
+            before = " ".join(rng.choices(words, k=30))
+            texts.append(f"{before} {token} " + " ".join(rng.choices(words, k=30)))
+            truth.append((len(before) + 1, kind))
+    ordinary = [" ".join(rng.choices(words, k=20)) + f" {name}{rng.choice(['', '1', 'Test'])} ok" for name in NAMES for _ in range(each)]
+    return texts, truth, ordinary
+
+
+def test_planted_secrets_are_found_and_names_are_not(make_docs):
+    texts, truth, ordinary = planted()
+    spans, rows = spans_of(make_docs(texts + ordinary))
+    found = defaultdict(list)
+    for r, (at, kind) in zip(rows, truth):
+        found[kind].append(any(s["kind"] == "random" and s["start"] == at for s in r["spans"]))
+    assert sum(map(sum, found.values())) > 0.93 * len(truth)
+    assert all(sum(x) >= 0.8 * len(x) for x in found.values()), {k: sum(x) / len(x) for k, x in found.items()}
+    false = sum(s["kind"] == "random" for r in rows[len(truth) :] for s in r["spans"])
+    reported = sum(s["kind"] == "random" for r in rows for s in r["spans"])
+    assert false <= 0.1 * reported
+    assert all(0 < s["p"] <= 0.05 for r in rows for s in r["spans"] if s["kind"] == "random")
+
+
+def test_all_spans_against_brute_force(make_docs):
+    texts, _, ordinary = planted(5, 2)
+    texts += [*ordinary, *TRICKY, "a" * 300 + " " + "0123456789abcdef" * 30]
+    assert spans_of(make_docs(texts))[0] == brute_spans(texts, S.RATE)
+
+
+def test_query_spans_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()
+    rows = S.op5_secret_scan(spark, SMALL).orderBy("doc_id").collect()
+    assert [r["spans"] for r in rows] == brute_spans([d["text"] for d in docs], S.RATE)
+
+
+def test_battery_is_uniform_for_random_strings_and_low_for_ordered():
     rng = random.Random(4)
-    alphabet = S.ALPHABETS["base62"]
-    drawn = ["".join(rng.choices(alphabet, k=40)) for _ in range(300)]
-    ps = [S.battery(t, "base62") for t in drawn]
-    assert sum(p < 0.05 for p in ps) < 40
-    assert S.battery("a1" * 20, "base62") < 1e-4 and S.battery(string.digits * 8, "hex") < 1e-4
-    assert S.battery("component2of3inthelistofallthewords" * 2, "base62") < 1e-3
-
-
-def test_discoveries_are_controlled_by_length(make_docs):
-    rng = random.Random(9)
-    key = lambda n: "".join(rng.choices(S.ALPHABETS["base62"], k=n - 1)) + "7a"[:1]
-    words = ["aaaaaaaaaaaaaaaaaaaaaa1bbbbbbbbbbbbbbbbbbb", "thisisaverylongidentifier00000000000001"]
-    keys = [key(40) for _ in range(60)]
-    docs = make_docs([f"see {w} ok" for w in words * 10] + [f"é {k} ok" for k in keys] + TRICKY)
-    rows = S.find_secrets(docs).collect()
-    found = {r["doc_id"]: [s for s in r["spans"] if s["kind"] == "random"] for r in rows}
-    assert not any(found[i] for i in range(20))
-    mixed = [i for i, k in enumerate(keys, 20) if S.encoding_of(k)]
-    assert sum(bool(found[i]) for i in mixed) > 0.9 * len(mixed)
-    assert all(s["start"] == 2 and s["end"] == 42 for i in mixed for s in found[i])
+    for kind in S.ENCODINGS:
+        drawn = ["".join(rng.choices(S.ALPHABETS[kind], k=40)) for _ in range(400)]
+        fit = S.battery(drawn, [kind] * 400)
+        assert (fit < 0.05).mean() < 0.08
+        assert all(abs(a - scalar_fit(t, kind)) < 1e-9 for a, t in zip(fit[:50], drawn))
+    ordered = ["a1" * 20, "0123456789" * 8, "component2of3inthelistofallthewords" * 2]
+    assert S.battery(ordered, ["lower36", "decimal", "lower36"]).max() < 1e-3
+
+
+def test_runs_are_cut_at_marks():
+    token = "Zk9xQ2mB7LtR4vWn"
+    assert [c[2] for c in S.candidates(f"/reset-password/{token}?x")] == [token]
+    assert [(c[0], c[1]) for c in S.candidates("QUJDREVGR0hJSktMTU5PUFFSU1RVVg==")] == [(0, 32)]
+    assert S.candidates("überdonaudampfschifffahrt ädonaudampfschifffahrt") == []
+
+
+def test_very_long_text(make_docs):
+    texts = ["x" * 3_000_000, "word " * 600_000, "0" * 2_000_000 + "g", " " * 3_000_000]
+    spans, _ = spans_of(make_docs(texts))
+    assert spans == ["", "", "hex:0:2000000", ""]
 
 
 def test_odd_rows_and_empty(odd_docs, no_docs):
