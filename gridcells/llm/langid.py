@@ -7,23 +7,27 @@ logistic loss by how reliable the bit was in training and chooses the nearest
 codeword. Texts whose two nearest codewords are close are flagged ambiguous.
 
 Training reads a bounded sample: about ``sample_per_lang`` labelled documents of
-each language (fewer if there are fewer), chosen by a hash of doc_id among rows
-outside the held-out fifth. Prediction sees the text only, whole.
-
-Edge cases: null text or text without a letter is ``und`` with score 0; with no
-labelled rows everything is ``und``; with one language every lettered text gets
-it with score 1; repeated rows get equal answers; an empty table gives no rows;
-a null doc_id counts as held out; further columns of the input stay.
+each language (fewer if there are fewer, and of copies with one id one), chosen by a
+hash of doc_id and text among rows outside the held-out fifth whose text has a letter
+and at most SAMPLE_BYTES. Prediction sees the text only, whole.
+
+Edge cases: null text or text without a letter (Unicode's category, so no digit,
+fraction, roman or circled number is one) is ``und`` with score 0; without labelled
+texts that have a letter everything is ``und``; with one language every lettered text
+gets it with score 1; of languages equally near (a tie) the first by name is taken, and
+the text flagged ambiguous; texts of any length are read whole; repeated rows get equal
+answers; an empty table gives no rows; a null doc_id counts as held out; further
+columns of the input stay, but those named like the added ones, which are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,29 +35,35 @@ from pyspark.sql.types import StructType
 from gridcells.llm.batches import map_arrow, slices, split_of
 from gridcells.runtime import spread, staged, table
 
-SAMPLE_PER_LANG = 2000
+SAMPLE_PER_LANG, SAMPLE_BYTES = 2000, 1 << 20
 DIMS = 1 << 14
 ORDERS = (2, 3, 4)
 #: Loss between the two nearest codewords below which a text is ambiguous.
 MARGIN = 0.7
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: ASCII letters stay, every other ASCII byte is a space; other bytes stay.
 _LETTERS_ONLY = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+#: Bytes of one text that are hashed at once.
+CHUNK = 1 << 20
+
+
 def gram_counts(texts: list[str]) -> np.ndarray:
     """Counts of hashed byte n-grams, texts x DIMS."""
     out = np.zeros((len(texts), DIMS), np.float32)
     for row, text in zip(out, texts, strict=True):
-        joined = b" ".join(text.lower().encode().translate(_LETTERS_ONLY).split())
-        b = np.frombuffer(b" " + joined + b" ", np.uint8).astype(np.uint32)
-        mixed = b * np.uint32(0x9E3779B1)
-        for n in range(2, max(ORDERS) + 1):
-            if len(b) < n:
-                break
-            mixed = (mixed[:-1] ^ (b[n - 1 :] + np.uint32(n))) * np.uint32(0x85EBCA6B)
-            if n in ORDERS:
-                row += np.bincount(mixed >> np.uint32(32 - 14), minlength=DIMS)
+        joined = b" " + b" ".join(text.lower().encode().translate(_LETTERS_ONLY).split()) + b" "
+        for low in range(0, len(joined), CHUNK):
+            own = min(CHUNK, len(joined) - low)  # the n-grams that begin here
+            b = np.frombuffer(joined[low : low + CHUNK + max(ORDERS) - 1], np.uint8).astype(np.uint32)
+            mixed = b * np.uint32(0x9E3779B1)
+            for n in range(2, max(ORDERS) + 1):
+                if len(b) < n:
+                    break
+                mixed = (mixed[:-1] ^ (b[n - 1 :] + np.uint32(n))) * np.uint32(0x85EBCA6B)
+                if n in ORDERS:
+                    row += np.bincount(mixed[:own] >> np.uint32(32 - 14), minlength=DIMS)
     return out
 
 
@@ -115,15 +125,16 @@ def _calibrate(values: np.ndarray, bit: np.ndarray) -> tuple[float, float, float
 
 
 def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
-    labelled = docs.where(F.col("lang").isNotNull() & (split_of(F.col("doc_id")) != 0))
+    key = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("langid"))
+    labelled = docs.where(F.col("lang").isNotNull() & (split_of(F.col("doc_id")) != 0) & (F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     code = codebook(len(langs))
     if len(langs) < 2:
         return Model(langs, code, *[np.zeros(0)] * 4)
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_per_lang / counts[k]))]), F.col("lang"))
-    chosen = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 20)) < share * (1 << 20)
-    sample = staged(labelled.where(chosen & F.col("text").rlike(r"\p{L}")).select("lang", "text"), "langid-sample")
+    chosen = labelled.withColumn("key", key).where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20))
+    sample = staged(chosen.groupBy("lang", "key").agg(F.first("text").alias("text")).drop("key"), "langid-sample")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         sums = np.zeros((len(langs), DIMS))
@@ -146,8 +157,8 @@ def train(docs: DataFrame, sample_per_lang: int = SAMPLE_PER_LANG) -> Model:
             yield {"lang": batch.column("lang"), "v": bit_values(batch.column("text").to_pylist(), weights).astype(float).tolist()}
 
     rows = map_arrow(sample, values, "lang string, v array<double>").collect()  # about sample_per_lang a language
-    if not rows:
-        return Model(langs[:1], codebook(1), *[np.zeros(0)] * 4)
+    if not rows:  # the shares of a few documents chose none
+        return train(docs, max(counts.values()))
     v, truth = np.array([r["v"] for r in rows]), code[[langs.index(r["lang"]) for r in rows]]
     fits = np.array([_calibrate(v[:, b], truth[:, b]) for b in range(code.shape[1])])
     trust = 1 / (fits[:, 2] + 0.05)

@@ -14,9 +14,11 @@ nothing. Within an anchor only a spanning forest of the links leaves the task,
 never all pairs; an anchor over ``hot`` rows is cut into a grid of parts.
 
 Edge cases: null, empty or wordless texts have fingerprint 0; fewer words than a
-shingle form one shingle; repeated rows share fingerprint and component; a null
-doc_id never names a component unless all are null; an empty table gives no
-rows; further columns of the input are ignored.
+shingle form one shingle; a bit set in exactly half the shingles (a tie) is 0;
+repeated rows share fingerprint and component, and of rows with one doc_id
+``keep_one`` keeps one; a null doc_id never names a component unless all are null;
+texts of any length are read whole; an empty table gives no rows; further columns of
+the input stay in ``keep_one`` and are ignored by ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -32,15 +34,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcells.llm.batches import map_arrow, slices, utf8
+from gridcells.llm.batches import free_name, map_arrow, slices, utf8
 from gridcells.operators.components import connected_components
 from gridcells.runtime import shuffle_partitions, spread, staged, table
 
 WORDS, SEED, THRESHOLD = 4, 42, 4
 #: Rows of one anchor compared in one go; rows of a group of anchors.
 HOT_ROWS, GROUP_ROWS = 20_000, 60_000
-#: Hot anchors whose list may go to all tasks (12 bytes each).
+#: Hot anchors whose list may go to all tasks (two arrays, 16 bytes each anchor).
 HOT_ANCHORS = 1_000_000
+#: Bits of an anchor in the one number that it makes with its block.
+ANCHOR_BITS = 40
 
 
 def fingerprint(text: bytes, n_words: int = WORDS) -> int:
@@ -58,15 +62,16 @@ def fingerprint(text: bytes, n_words: int = WORDS) -> int:
     return int(np.packbits(ones * 2 > len(bits)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
-    """row_id, doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, n_words: int = WORDS, row: str | None = None) -> DataFrame:
+    """row_id (column ``row``, or new numbers), doc_id, fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in slices(batches):
             fps = np.array([fingerprint(t, n_words) for t in utf8(batch)], np.uint64)
             yield {"row_id": batch.column("row_id"), "doc_id": batch.column("doc_id"), "fp": fps.view(np.int64)}
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(number.alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return map_arrow(rows, run, "row_id long, doc_id long, fp long")
 
 
@@ -183,7 +188,8 @@ def links(nodes: DataFrame, blocks: list[Block], n_nodes: int, threshold: int =
     each = sum(int(np.ceil(_patterns(b)[1].max())) for b in blocks)
     hot_rows = max(hot_rows, n_nodes * each // HOT_ANCHORS)  # so the hot are HOT_ANCHORS at most
     hot = map_arrow(nodes.select("fp"), sizes, "block int, anchor long, n long").groupBy("block", "anchor").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows)
-    parts = spark.sparkContext.broadcast({(r["block"], r["anchor"]): -(-r["n"] // hot_rows) for r in hot.collect()})
+    found = sorted((r["block"] << ANCHOR_BITS | r["anchor"], -(-r["n"] // hot_rows)) for r in hot.collect())
+    parts = spark.sparkContext.broadcast(tuple(np.array([x[i] for x in found], np.int64) for i in (0, 1)))
     n_groups = max(shuffle_partitions(spark), -(-n_nodes * each // GROUP_ROWS))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -213,21 +219,21 @@ def links(nodes: DataFrame, blocks: list[Block], n_nodes: int, threshold: int =
     return dealt.groupBy("grp").applyInArrow(compare, "a long, b long")
 
 
-def _dealt(k: int, fps: np.ndarray, anchor: np.ndarray, home: np.ndarray, parts: dict) -> Iterator[tuple]:
+def _dealt(k: int, fps: np.ndarray, anchor: np.ndarray, home: np.ndarray, parts: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple]:
     """Rows of (fp, anchor, role, cell). Role 0 compares as a guest, 1 as both, 2
     at home only; a hot anchor's rows go to a row or column of a grid of cells."""
-    hot = np.array([(k, a) in parts for a in anchor.tolist()]) if any(b == k for b, _ in parts) else np.zeros(len(fps), bool)
-    cold = ~hot
-    yield fps[cold], anchor[cold], home[cold].astype(np.int8), np.zeros(int(cold.sum()), np.int32)
-    for i in np.flatnonzero(hot):
-        n = parts[k, int(anchor[i])]
-        own = int((int(fps[i]) * 0x9E3779B97F4A7C15 >> 24) % n)
-        cells = np.array([p * n + own for p in range(n)], np.int32)  # as a guest: all rows of its column
-        roles = np.zeros(n, np.int8)
-        if home[i]:
-            cells = np.append(cells, np.array([own * n + p for p in range(n)], np.int32))
-            roles = np.append(roles, np.full(n, 2, np.int8))
-        yield np.full(len(cells), fps[i]), np.full(len(cells), anchor[i]), roles, cells
+    keys = anchor.astype(np.int64) | np.int64(k << ANCHOR_BITS)
+    at = np.minimum(np.searchsorted(parts[0], keys), max(0, len(parts[0]) - 1))
+    hot = parts[0][at] == keys if len(parts[0]) else np.zeros(len(keys), bool)
+    yield fps[~hot], anchor[~hot], home[~hot].astype(np.int8), np.zeros(int((~hot).sum()), np.int32)
+    for rows, role in ((np.flatnonzero(hot), 0), (np.flatnonzero(hot & home), 2)):
+        n = parts[1][at[rows]]
+        own = ((fps[rows] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)).astype(np.int64) % n
+        row, n, own = np.repeat(rows, n), np.repeat(n, n), np.repeat(own, n)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(parts[1][at[rows]]) - parts[1][at[rows]], parts[1][at[rows]])
+        # as a guest all rows of its column, at home all columns of its row
+        cells = nth * n + own if role == 0 else own * n + nth
+        yield fps[row], anchor[row], np.full(len(row), role, np.int8), cells.astype(np.int32)
 
 
 def components(fps: DataFrame, threshold: int = THRESHOLD, blocks: list[Block] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -253,11 +259,13 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, n_words: int =
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, n_words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` (a table read from files, so its row numbers are the
-    same each time) without all but the first document of each component."""
-    fps = staged(fingerprints(docs, n_words), "fps")
-    keepers = components(fps, threshold).select(F.col("keeper").alias("_keeper")).distinct()
-    return docs.withColumn("_keeper", F.monotonically_increasing_id()).join(keepers, "_keeper", "left_semi").drop("_keeper")
+    """The rows of ``docs`` without all but the first document of each component. The
+    rows are numbered once, in a written copy."""
+    row = free_name(docs, "row")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    fps = staged(fingerprints(numbered, n_words, row), "fps")
+    keepers = components(fps, threshold).select(F.col("keeper").alias(row)).distinct()
+    return numbered.join(keepers, row, "left_semi").select(*docs.columns)
 
 
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,3 +92,18 @@ def test_keep_one(spark, tmp_path, make_docs):
     make_docs([(5, text), (3, text), (3, text), (9, "quite another text with other words in it"), (None, text)]).write.parquet(str(tmp_path / "d"))
     kept = S.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect()
     assert sorted(r["doc_id"] for r in kept) == [3, 9]
+
+
+def test_very_long_text_and_ties(make_docs):
+    texts = ["w " * 1_000_000, "x" * 3_000_000, "w w w w", "\n" * 2_000_000, None]
+    rows = S.near_duplicates(make_docs(texts)).orderBy("doc_id").collect()
+    assert [int(r["fingerprint"], 16) for r in rows] == [brute_fp(t) if t != texts[0] else brute_fp("w w w w") for t in texts]
+    assert [r["component_id"] for r in rows] == [0, 1, 0, 3, 3]
+
+
+def test_keep_one_numbers_rows_once(make_docs):
+    rows = [(7, "same words in this text"), (7, "same words in this text"), (3, "other words in that text here"), (None, None)]
+    docs = make_docs(rows).selectExpr("*", "'r' AS row", "'i' AS row_id", "'k' AS _keeper")
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["row"], r["row_id"], r["_keeper"]) for r in kept.collect()) == [(0, "r", "i", "k"), (3, "r", "i", "k"), (7, "r", "i", "k")]
