@@ -1,6 +1,8 @@
 import random
 import zlib
 
+import numpy as np
+
 from gridcells.llm import toxicity as X
 
 SAMPLE = "/root/testdata/sf0.01"
@@ -40,6 +42,69 @@ def test_query(spark):
     assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.8
 
 
+def slow_logits(text, weights, bias):
+    """Window by window and n-gram by n-gram."""
+    space = set(b" \t\n\v\f\r")
+    b = [32 if x in space else x for x in b" " + text.lower() + b"    "]
+    windows, every = [], []
+    for low in range(0, len(b) - 4, X.WINDOW):
+        own = []
+        for at in range(low, min(low + X.WINDOW, len(b) - 4)):
+            mixed = (b[at] * 0x9E3779B1 % 2**32 ^ b[at + 1]) * 0x85EBCA6B % 2**32
+            for order in X.ORDERS:
+                mixed = (mixed ^ (b[at + order - 1] + order)) * 0xC2B2AE35 % 2**32
+                if all(x != 32 for x in b[at + 1 : at + order - 1]):
+                    own.append(float(weights[mixed >> (32 - X.BITS)]))
+        every += own
+        if own:
+            windows.append(sum(own) / len(own))
+    if not windows:
+        return bias, bias
+    return bias + np.log(np.mean(np.exp(windows))), bias + sum(every) / len(every)
+
+
+def test_query_scores_against_slow_scoring(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = X.train(docs.repartition(8).select("doc_id", "text"), spark.read.parquet(f"{small}/labels.parquet"))
+    rows = {r["doc_id"]: r for r in X.op9_toxicity_subwords(spark, small).collect()}
+    for d in docs.limit(60).collect():
+        pooled, mean = slow_logits((d["text"] or "").encode(), model.weights, model.bias)
+        r = rows[d["doc_id"]]
+        assert abs(r["score"] - 1 / (1 + np.exp(-pooled))) < 1e-5 and abs(r["mean_logit"] - mean) < 1e-4
+
+
+def test_chunks_change_nothing():
+    rng = np.random.default_rng(1)
+    model = X.Model(rng.standard_normal(X.NONE + 1).astype("<f4") * (np.arange(X.NONE + 1) < X.NONE), 0.3)
+    text = b"some words of a text\n" * 40
+    whole, keep = model.logits(text), X.CHUNK
+    for X.CHUNK in (16, 48, 160):
+        assert np.allclose(model.logits(text), whole)
+    X.CHUNK = keep
+    assert np.allclose(whole, slow_logits(text, model.weights, 0.3))
+
+
+def test_sample_is_bounded(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(X, "SAMPLE_BYTES", 3000)
+    monkeypatch.setattr(X, "TEXT_BYTES", 1000)
+    docs = make_docs([(1, "a copy of one text")] * 500 + [(i, "x" * (i * 7 % 1400)) for i in range(2, 200)])
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(200)] * 2, "doc_id long, toxic int")
+    rows = X._sampled(docs, labels, 2500).collect()
+    for c in (0, 1):
+        own = [r["text"] for r in rows if r["toxic"] == c]
+        assert 0 < sum(map(len, own)) <= 3000 and max(map(len, own)) <= 1000
+    assert sum(r["text"].startswith("a copy") for r in rows) <= 1
+
+
+def test_very_long_text(spark, make_docs):
+    docs, labels = made(spark, make_docs, 100)
+    model = X.train(docs, labels)
+    texts = ["the river and " * 250_000, "y" * 3_000_000, " " * 3_000_000]
+    rows = X.score(make_docs(texts), model).orderBy("doc_id").collect()
+    assert rows[0]["predicted"] == 0 and abs(rows[2]["score"] - X._chance(model.bias)) < 1e-12
+
+
 def test_odd_rows_and_empty(spark, odd_docs, no_docs, make_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     out = X.score(odd_docs, X.train(odd_docs, none)).collect()
