@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import importlib
+from gridcells.llm import decontam, editcount, langid, licenses, linededup, packing, quality, secrets, simhash, toxicity
 
-#: Modules with QUERIES and SQL, in the order of the operators.
-MODULES = ("packing", "linededup", "langid", "decontam", "secrets", "editcount", "simhash", "licenses", "toxicity", "quality")
+#: Modules with QUERIES and SQL, in the order of the operators. They are imported here
+#: and now, so that a missing library shows where the entry module tries this import.
+MODULES = (packing, linededup, langid, decontam, secrets, editcount, simhash, licenses, toxicity, quality)
 
 
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in importlib.import_module(f"gridcells.llm.{m}").QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in importlib.import_module(f"gridcells.llm.{m}").SQL.items()}
+    return {k: s for m in MODULES for k, s in m.SQL.items()}

@@ -127,3 +127,79 @@ def test_a_sentence_in_pieces_is_needed_whole(make_docs):
     texts = ["2.0", "Release notes\nVersion: 2.0\nfixes", "Changes in v. 2.0", f"{head}. Chapter two. {last}", f"{last}. {head}.", f"{rest}. {tail}", f"{free}: {tail} {rest}.", s["mpl-ref"], f"a. {head}.\n * {last}. b", f"{free}: {rest}. Thanks. {tail}"]
     rows = {r["doc_id"]: r["licenses"] for r in L.recognise(make_docs(texts)).collect()}
     assert [rows[i] for i in range(len(texts))] == [[]] * 7 + [["MPL-2.0"]] * 2 + [["GPL-3.0"]]
+
+
+HOLDER = BSD.replace("the copyright holder nor", "Some Company, Incorporated, nor").replace("1. ", "* ")
+LGPL = GPL3.replace("This program is free software:", "This library is free software;").replace("GNU General", "GNU Lesser General").replace("Foundation, either version 3", "Foundation; either version 2.1").replace("This program is dist", "This library is dist")
+AGPL = GPL3.replace("GNU General", "GNU Affero General")
+NAMED = GPL2.replace("This program is", "Frobnicator Two is")
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty.  In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment would be appreciated.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+"""
+TITLE2 = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 2, June 1991
+
+ Copyright (C) 1989, 1991 Free Software Foundation, Inc.
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+"""
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+"""
+MORE = [
+    (HOLDER, ["BSD-2-Clause", "BSD-3-Clause"]), (LGPL.replace("program", "library"), ["LGPL-2.1"]), (AGPL, ["AGPL-3.0"]), (NAMED, ["GPL-2.0"]), (ZLIB, ["Zlib"]), (UNLICENSE, ["Unlicense"]), (BOOST, ["BSL-1.0"]), (TITLE2, ["GPL-2.0"]), (EPL, ["EPL-2.0"]),
+    ("Frobnicator is released under the MIT License.", ["MIT"]), ("One two three four five six seven eight nine is released under the MIT License.", []), ("Distributed under the Boost Software License 1.0", ["BSL-1.0"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike\n3.0 Unported License.", ["CC-BY-NC-SA-3.0"]), ("Licensed under CC BY-ND 4.0", ["CC-BY-ND-4.0"]), ("Released under the LGPLv3", ["LGPL-3.0"]), ("Released under the sun", []),
+]
+
+
+def test_more_licences_stars_and_names(make_docs):
+    forms = [lambda t: t, lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\nint x;"]
+    cases = [(form(t), want) for t, want in MORE for form in forms]
+    got = {r["doc_id"]: r["licenses"] for r in L.recognise(make_docs([t for t, _ in cases])).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_tables_made_by_rule(make_docs):
+    """Every sentence of SENTENCES that is a whole rule gives its licence, and only that."""
+    single = {r[0]: name for name, rules in L.RULES.items() for r in rules if len(r) == 1}
+    assert len(single) > 300
+    ids = sorted(single)
+    got = {r["doc_id"]: r["licenses"] for r in L.recognise(make_docs([f"x.\n{L.SENTENCES[i]}.\ny" for i in ids])).collect()}
+    assert [got[k] for k in range(len(ids))] == [[single[i]] for i in ids]
+
+
+def test_very_long_text(make_docs):
+    texts = ["a " * 1_000_000, "word. " * 300_000 + L.SENTENCES["mit-ref"], "x" * 2_000_000, "\n" * 1_000_000, ". " * 1_000_000]
+    rows = L.recognise(make_docs(texts)).orderBy("doc_id").collect()
+    assert [r["licenses"] for r in rows] == [[], ["MIT"], [], [], []]
+    assert [r["n_sentences"] for r in rows] == [1, 300_001, 1, 1_000_001, 1_000_001]
