@@ -25,10 +25,8 @@ def blobs(cells: DataFrame, same: str | None = None) -> DataFrame:
 
 def keyed_blobs(members: DataFrame, by: Sequence[str]) -> DataFrame:
     """Blobs within each group of ``by`` (an hour, a level): a node is a cell of
-    a group, numbered by a hash of both that is checked to be unique."""
-    nodes = staged(members.select(*by, "cell").distinct().withColumn("node", F.xxhash64(*by, "cell")), "nodes")
-    if nodes.count() != nodes.select("node").distinct().count():
-        raise ValueError("two nodes share a hash")
+    a group, numbered once, in a written table."""
+    nodes = staged(members.select(*by, "cell").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
     probe = nodes.select(*by, F.col("node").alias("a"), F.col("cell").alias("own"), F.explode(H.grid_disk("cell")).alias("cell")).where("own < cell")
     pairs = probe.join(nodes.select(*by, "cell", F.col("node").alias("b")), [*by, "cell"]).select("a", "b")
     found = connected_components(pairs)
@@ -54,6 +52,16 @@ def blob_boundary(labelled: DataFrame) -> DataFrame:
     return probe.join(labelled.select("blob", F.col("cell").alias("at")), ["blob", "at"], "left_anti").select("blob", "cell", "side")
 
 
+def dissolve(pieces: DataFrame, zone: str, attrs: Sequence[str]) -> DataFrame:
+    """The pieces of each zone (zone, cell, attributes; a cell may come in several
+    pieces) as one shape: n_pieces, ncell, n_sides of its outline, and any value of
+    each attribute (the pieces of a zone agree in them)."""
+    cells = staged(pieces.groupBy(zone, "cell").agg(F.count("*").alias("k"), *[F.any_value(a, True).alias(a) for a in attrs]), "dissolved")
+    outline = blob_boundary(cells.select(F.col(zone).alias("blob"), "cell")).groupBy(F.col("blob").alias(zone)).agg(F.count("*").alias("n_sides"))
+    whole = cells.groupBy(zone).agg(F.sum("k").alias("n_pieces"), F.count("*").alias("ncell"), *[F.any_value(a, True).alias(a) for a in attrs])
+    return whole.join(outline, zone)
+
+
 def shapes(labelled: DataFrame, keys: Sequence[str], area_km2: float) -> DataFrame:
     """Per blob: ncell, km2, centroid and elongation (axis ratio of the centres'
     covariance) from plane coordinates x, y."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridcells.functions import exprs as X
 from gridcells.operators.stats import global_quantiles
@@ -16,23 +18,36 @@ def accumulate(film: DataFrame, half_life: float, start, flush: str | None = Non
     """pixel, ts, load of ``film`` (pixel, ts, x and, if named, a flush factor):
     each hour ``load = flush * (a * load + (1 - a) * x)`` with a = 2^(-1/half).
     Hours without a row decay the load (``gap="hold"`` keeps it); the hour
-    ``start`` itself adds nothing unless ``first``. Series are folded per pixel in
-    time order; they should span some hundreds of hours at most."""
+    ``start`` itself adds nothing unless ``first``. Pixels are dealt to partitions and
+    sorted by time, and a task carries one load from row to row, so series of any
+    length take one pass."""
     a = 2 ** (-1 / half_life)
     fl = F.col(flush) if flush else F.lit(1.0)
     hour = (F.unix_timestamp("ts") / 3600).cast("long")
-    series = film.select("pixel", F.struct(hour.alias("h"), "ts", F.col("x").cast("double").alias("x"), fl.cast("double").alias("fl")).alias("r"))
-    grouped = series.groupBy("pixel").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    series = film.select("pixel", "ts", hour.alias("h"), F.col("x").cast("double").alias("x"), fl.cast("double").alias("fl"))
     start_hour = (F.unix_timestamp(F.lit(start).cast("timestamp")) / 3600).cast("long")
-    zero = F.struct(start_hour.alias("h"), F.lit(0.0).alias("load"), F.array().cast("array<struct<ts: timestamp, load: double>>").alias("path"))
-
-    def step(acc: Column, r: Column) -> Column:
-        kept = acc["load"] * (F.pow(F.lit(a), r["h"] - acc["h"]) if gap == "decay" else F.when(r["h"] > acc["h"], a).otherwise(1.0))
-        load = r["fl"] * (kept + (1 - a) * r["x"])
-        load = load if first else F.when(r["h"] <= start_hour, 0.0).otherwise(load)
-        return F.struct(r["h"].alias("h"), load.alias("load"), F.array_append(acc["path"], F.struct(r["ts"].alias("ts"), load.alias("load"))).alias("path"))
-
-    return grouped.select("pixel", F.explode(F.aggregate("rows", zero, step)["path"]).alias("p")).select("pixel", "p.ts", "p.load")
+    begin = film.sparkSession.range(1).select(start_hour.alias("h")).first()["h"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pixel, last, load = None, begin, 0.0
+        for batch in batches:
+            out = []
+            for p, h, x, f in zip(*(batch.column(c).to_pylist() for c in ("pixel", "h", "x", "fl")), strict=True):
+                if p != pixel:
+                    pixel, last, load = p, begin, 0.0
+                if x is None or f is None or load is None:
+                    load = None
+                else:
+                    kept = load * (a ** (h - last) if gap == "decay" else a if h > last else 1.0)
+                    load = f * (kept + (1 - a) * x)
+                if h <= begin and not first:
+                    load = 0.0
+                last = h
+                out.append(load)
+            yield pa.RecordBatch.from_pydict({"pixel": batch.column("pixel"), "ts": batch.column("ts"), "load": pa.array(out, pa.float64())})
+
+    rows = series.repartition("pixel").sortWithinPartitions("pixel", "h", "ts")
+    return rows.mapInArrow(run, StructType([series.schema["pixel"], series.schema["ts"], StructField("load", DoubleType())]))
 
 
 def excess(value: Column, threshold: float, wind: Column | None = None, vent: float = 0.0) -> Column:
@@ -146,17 +161,32 @@ def first_step_above(steps: DataFrame, base: DataFrame, level: DataFrame) -> Dat
     return base.select("cell").join(above, "cell", "left").select("cell", F.when(F.col("d0").isNull(), -2).otherwise(F.coalesce("y", F.lit(-1))).alias("first_year"))
 
 
-def change_clusters(diffs: DataFrame, vector: str, k: int = 10, seed: int = 0, steps: int = 12) -> DataFrame:
-    """Spherical k-means of difference vectors; clusters numbered by size."""
+def edge_differences(vecs: DataFrame, y0: int, y1: int) -> DataFrame:
+    """cell, diff: the unit vector of y1 less that of y0; null where a year is missing."""
+    u = vecs.withColumn("u", unit(F.col("vec")))
+    at = lambda y: F.max_by("u", F.when(F.col("year") == y, 1))
+    g = u.groupBy("cell").agg(at(y0).alias("a"), at(y1).alias("b"))
+    return g.select("cell", F.zip_with("b", "a", lambda x, y: x - y).alias("diff"))
+
+
+def change_clusters(diffs: DataFrame, vector: str, k: int = 10, seed: int = 0, steps: int = 12, least: float = 1e-6) -> DataFrame:
+    """Spherical k-means of the directions of difference vectors: adds cluster, by size
+    from 0, or -1 for vectors that are missing or shorter than ``least``. Seeding is
+    that of Spark's k-means, a parallel form of k-means++."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = diffs.withColumn("_v", array_to_vector(F.col(vector)))
+    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
+    far = staged(diffs.withColumn("_far", F.coalesce(norm > least, F.lit(False))), "differences")
+    rows = far.where("_far").withColumn("_v", array_to_vector(unit(F.col(vector))))
+    rest = far.where("NOT _far").withColumn("cluster", F.lit(-1)).drop("_far")
+    if rows.isEmpty():
+        return rest
     model = KMeans(k=k, seed=seed, maxIter=steps, distanceMeasure="cosine", featuresCol="_v", predictionCol="_c").fit(rows)
-    out = model.transform(rows).drop("_v")
+    out = staged(model.transform(rows).drop("_v", "_far"), "clusters")
     sizes = out.groupBy("_c").agg(F.count("*").alias("n"))  # k rows
     rank = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "_c")) - 1).select("_c", "cluster")
-    return out.join(F.broadcast(rank), "_c").drop("_c")
+    return out.join(F.broadcast(rank), "_c").drop("_c").unionByName(rest)
 
 
 def cause_class(burned: Column, harvested: Column, fine_cells: float = 343.0, share: float = 0.1) -> Column:

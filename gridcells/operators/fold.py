@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcells.operators.stats import on_keys, quantiles, with_medians
+from gridcells.runtime import staged
+
 
 def fold(pixels: DataFrame, keys: Sequence[str], aggs: Mapping[str, Column]) -> DataFrame:
     return pixels.groupBy(*keys).agg(*[c.alias(k) for k, c in aggs.items()])
@@ -100,13 +103,15 @@ def weighted(df: DataFrame, keys: Sequence[str], value: str, weight: str, thresh
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
-    """Exact, with linear interpolation."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, p).alias(f"p{round(p * 100)}") for p in points])
+    """Exact, with linear interpolation; groups without a value are left out."""
+    q = quantiles(df, value, points, keys)
+    return q.select(*keys, *[F.col("q")[k].alias(f"p{round(p * 100)}") for k, p in enumerate(points)])
 
 
 def median_mad(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    med = df.groupBy(*keys).agg(F.median(value).alias("med"))
-    return df.join(med, list(keys)).groupBy(*keys).agg(F.first("med").alias("med"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    med = staged(quantiles(df, value, [0.5], keys).select(*keys, F.col("q")[0].alias("med")), "medians")
+    off = on_keys(df, med, keys).select(*keys, F.abs(F.col(value) - F.col("med")).alias("off"))
+    return with_medians(med, off, {"mad": F.col("off")}, keys)
 
 
 def histogram_quantile(df: DataFrame, keys: Sequence[str], q: str, share: float) -> DataFrame:

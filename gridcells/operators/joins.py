@@ -23,26 +23,34 @@ def match_grids(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id").join(best, "id", "left").select("id", F.col("m.b_id").alias("b_id"), F.coalesce("m.how", F.lit(2)).alias("how"), F.col("m.dist").alias("dist"))
 
 
-def nearest(a: DataFrame, b: DataFrame, bucket: float, max_rounds: int = 12) -> DataFrame:
-    """True nearest row of ``b`` (id, x, y) for each row of ``a``: buckets of a
-    square lattice, rings widened for the rows whose best distance the searched
-    ring does not guarantee yet. Ties go to the lower b_id."""
-    square = lambda df, x, y: df.withColumns({"gx": F.floor(F.col(x) / bucket).cast("long"), "gy": F.floor(F.col(y) / bucket).cast("long")})
-    other = staged(square(b.select(F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by")), "bx", "by"), "b")
-    left = staged(square(a.select("id", "x", "y"), "x", "y"), "a")
-    done, k = None, 1
-    for _ in range(max_rounds):
-        steps = F.array(*[F.lit(d) for d in range(-k, k + 1)])
-        probe = left.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")})
-        met = probe.join(other, ["gx", "gy"]).withColumn("dist", F.hypot(F.col("bx") - F.col("x"), F.col("by") - F.col("y")))
-        best = met.groupBy("id").agg(F.min(F.struct("dist", "b_id")).alias("m"))
-        sure = staged(best.where(F.col("m.dist") <= k * bucket).select("id", F.col("m.b_id").alias("b_id"), F.col("m.dist").alias("dist")), "nearest")
+def nearest(a: DataFrame, b: DataFrame, bucket: float) -> DataFrame:
+    """id, b_id, dist: the true nearest row of ``b`` (id, x, y) for each row of
+    ``a``. Rows meet in the nine buckets of a square lattice around them; what is
+    found within a bucket's width is certain. The rest goes on with buckets of twice
+    the width, until they are wider than both grids. Ties go to the lower b_id; rows
+    without coordinates, or all if ``b`` is empty, get nulls."""
+    whole = lambda df, c, x, y: df.select(F.col("id").alias(c), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y)).dropna(subset=[x, y])
+    other, left = staged(whole(b, "b_id", "bx", "by"), "b"), staged(whole(a, "id", "x", "y"), "a")
+    ends = lambda df, x, y: df.agg(*[f(c) for c in (x, y) for f in (F.min, F.max)]).first()
+    e, f = ends(left, "x", "y"), ends(other, "bx", "by")
+    if e[0] is None or f[0] is None:
+        return a.select("id", F.lit(None).cast(dict(b.dtypes)["id"]).alias("b_id"), F.lit(None).cast("double").alias("dist"))
+    extent = max(max(e[k + 1], f[k + 1]) - min(e[k], f[k]) for k in (0, 2))
+    done, size = None, float(bucket)
+    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    at = lambda c: F.floor(F.col(c) / size).cast("long")  # noqa: E731, B023
+    while True:
+        probe = left.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumns({"gx": at("x") + F.col("dx"), "gy": at("y") + F.col("dy")})
+        met = probe.join(other.withColumns({"gx": at("bx"), "gy": at("by")}), ["gx", "gy"]).withColumn("dist", F.hypot(F.col("bx") - F.col("x"), F.col("by") - F.col("y")))
+        best = met.groupBy("id").agg(F.min(F.struct("dist", "b_id")).alias("m")).select("id", F.col("m.b_id").alias("b_id"), F.col("m.dist").alias("dist"))
+        last = size > extent  # the nine buckets hold all of b
+        sure = staged(best if last else best.where(F.col("dist") <= size), "nearest")
         done = sure if done is None else done.unionByName(sure)
-        left = staged(left.join(sure.select("id"), "id", "left_anti"), "a")
-        if left.isEmpty():
-            return done
-        k *= 2
-    raise ValueError("rows are too far from each other for this bucket size")
+        if not last:
+            left = staged(left.join(sure.select("id"), "id", "left_anti"), "a")
+        if last or left.isEmpty():
+            return a.select("id").join(done, "id", "left")
+        size *= 2
 
 
 def own_or_ring(cells: DataFrame, pixels: DataFrame, value: str = "v") -> DataFrame:
@@ -94,16 +102,34 @@ def at_levels(df: DataFrame, level: str, levels: Sequence[int]) -> DataFrame:
     return df.withColumn("lvl", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x <= F.col(level))))
 
 
-def polygon_hits(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(point id, poly) of points inside polygons: parity of ray crossings over
-    the edges (poly, x0, y0, x1, y1), a vertex counting once. Points and edges
-    meet in unit rows of y, so only edges that a point's ray can cross join."""
-    lo, hi = F.floor(F.least("y0", "y1")).cast("long"), F.floor(F.greatest("y0", "y1")).cast("long")
-    rows = edges.where("y0 <> y1").withColumn("gy", F.explode(F.sequence(lo, hi)))
-    met = points.withColumn("gy", F.floor("y").cast("long")).join(rows, "gy")
+def boxes_of(edges: DataFrame) -> DataFrame:
+    """poly, xmin, ymin, xmax, ymax, n_edges."""
+    low, high = (lambda c: F.min(F.least(f"{c}0", f"{c}1"))), (lambda c: F.max(F.greatest(f"{c}0", f"{c}1")))
+    return edges.groupBy("poly").agg(low("x").alias("xmin"), low("y").alias("ymin"), high("x").alias("xmax"), high("y").alias("ymax"), F.count("*").alias("n_edges"))
+
+
+#: The most rows that a polygon's edges are sorted into.
+POLYGON_ROWS = 4096
+
+
+def polygon_hits(points: DataFrame, edges: DataFrame, cell: float = 8.0) -> DataFrame:
+    """(point id, poly) of points inside polygons: parity of ray crossings over the
+    edges (poly, x0, y0, x1, y1), a vertex counting once. Points meet boxes first, in
+    square cells, then of each polygon whose box holds them the edges of their row,
+    of as many rows as the polygon has edges; so a point sees few edges of few
+    polygons, whatever else lies at its height."""
+    boxes = boxes_of(edges)
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    spread = boxes.withColumn("gx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("gy", F.explode(F.sequence(at("ymin"), at("ymax"))))
+    n_rows = F.least(F.col("n_edges"), F.lit(POLYGON_ROWS))
+    row = lambda y: F.floor((y - F.col("ymin")) * n_rows / (F.col("ymax") - F.col("ymin"))).cast("long")
+    near = points.select("id", "x", "y", at("x").alias("gx"), at("y").alias("gy")).join(spread, ["gx", "gy"])
+    near = near.where("x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax AND ymin < ymax").select("id", "x", "y", "poly", row(F.col("y")).alias("row"))
+    sorted_edges = edges.where("y0 <> y1").join(boxes, "poly").withColumn("row", F.explode(F.sequence(row(F.least("y0", "y1")), row(F.greatest("y0", "y1")))))
+    met = near.join(sorted_edges.select("poly", "row", "x0", "y0", "x1", "y1"), ["poly", "row"])
     spans = (F.col("y0") <= F.col("y")) != (F.col("y1") <= F.col("y"))
-    at = F.col("x0") + (F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    crossed = met.where(spans & (F.col("x") < at))
+    cross = F.col("x0") + (F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
+    crossed = met.where(spans & (F.col("x") < cross))
     return crossed.groupBy("id", "poly").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "poly")
 
 
@@ -114,11 +140,11 @@ def polyfill(cells: DataFrame, edges: DataFrame) -> DataFrame:
     return hits.groupBy(F.col("id").alias("cell")).agg(F.min("poly").alias("poly"))
 
 
-def divisions_at(points: DataFrame, edges: DataFrame, boxes: DataFrame, attrs: DataFrame, order: Mapping[str, int]) -> DataFrame:
+def divisions_at(points: DataFrame, edges: DataFrame, attrs: DataFrame, order: Mapping[str, int]) -> DataFrame:
     """Per point, the first division (lowest id) of each subtype, smallest kind
-    first; ``boxes``: poly, xmin, ymin, xmax, ymax; ``attrs``: poly, subtype, ..."""
-    inside = polygon_hits(points, edges).join(boxes, "poly").join(points, "id").where("x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax")
-    named = inside.select("id", "poly").join(attrs, "poly")
+    first, among those of ``attrs`` (poly, subtype, ...): filter it, say by country,
+    and only their edges are looked at."""
+    named = polygon_hits(points, edges.join(attrs.select("poly").distinct(), "poly", "left_semi")).join(attrs, "poly")
     w = Window.partitionBy("id", "subtype").orderBy("poly")
     first = named.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])

@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcells.operators.stats import with_medians
+
 
 def class_summary(frame: DataFrame, cls: str, value: str, moved: Column, low: float) -> DataFrame:
     """Per class: n, mean and median of the value, median where moved, share below low."""
     v = F.col(value)
-    return frame.groupBy(cls).agg(F.count("*").alias("n"), F.count(v).alias("scored"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.median(F.when(moved, v)).alias("median_moved"), F.avg(F.when(v.isNotNull(), (v < low).cast("double"))).alias("below"))
+    table = frame.groupBy(cls).agg(F.count("*").alias("n"), F.count(v).alias("scored"), F.avg(v).alias("mean"), F.avg(F.when(v.isNotNull(), (v < low).cast("double"))).alias("below"))
+    return with_medians(table, frame, {"median": v, "median_moved": F.when(moved, v)}, [cls])
 
 
 def mode_of(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -36,7 +39,7 @@ def top_mix(df: DataFrame, group: str, name: str, k: int = 3) -> DataFrame:
 
 def shares(df: DataFrame, cls: str, value: str) -> DataFrame:
     total = df.agg(F.count("*").alias("_t"))
-    each = df.groupBy(cls).agg(F.count("*").alias("n"), F.median(value).alias("median"))
+    each = with_medians(df.groupBy(cls).agg(F.count("*").alias("n")), df, {"median": F.col(value)}, [cls])
     return each.crossJoin(F.broadcast(total)).select(cls, "n", (F.col("n") * 100 / F.col("_t")).alias("pct"), "median")
 
 
@@ -56,5 +59,5 @@ def peaks(blobs: DataFrame, level: str = "lvl", key: str = "ts", size: str = "km
 
 def peer_compare(frame: DataFrame, cell_filter: Column, cls: str, value: str) -> DataFrame:
     """The picked rows beside the median of their class."""
-    peers = frame.groupBy(cls).agg(F.median(value).alias("peer_median"), F.count("*").alias("peers"))
+    peers = with_medians(frame.groupBy(cls).agg(F.count("*").alias("peers")), frame, {"peer_median": F.col(value)}, [cls])
     return frame.where(cell_filter).join(peers, cls)

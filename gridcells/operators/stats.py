@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,34 +12,57 @@ from pyspark.sql import functions as F
 from gridcells.runtime import shuffle_partitions, staged
 
 
-def ranks(df: DataFrame, value: str) -> DataFrame:
-    """value, n, before, rank of each distinct value: rank is the average rank of
-    its ties, before the number of smaller rows. Only distinct values are sorted,
-    in range partitions whose totals are added up as one number each."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange(shuffle_partitions(df.sparkSession), value)
+def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names in which null equals null."""
+    other = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(other, reduce(Column.__and__, same), how).drop(*[f"_of_{k}" for k in keys])
+
+
+def ranks(df: DataFrame, value: str | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """by, value, n, before, rank of each distinct value (or tuple of values) in each
+    group: rank is the average rank of its ties, before the number of smaller rows of
+    the group. Only distinct values are sorted, in range partitions that may cut a
+    group anywhere; the totals of the parts are added up as one number each. So no
+    task holds a group, however few there are."""
+    order, keys = [value] if isinstance(value, str) else list(value), list(by)
+    counts = df.dropna(subset=order).groupBy(*keys, *order).agg(F.count("*").alias("n"))
+    ranged = counts.repartitionByRange(shuffle_partitions(df.sparkSession), *keys, *order)
     parts = staged(ranged.withColumn("part", F.spark_partition_id()), "ranks")
-    totals = parts.groupBy("part").agg(F.sum("n").alias("m"))
-    base = totals.withColumn("base", F.sum("m").over(Window.orderBy("part")) - F.col("m")).select("part", "base")  # a row per partition
-    w = Window.partitionBy("part").orderBy(value)
-    run = parts.withColumn("cum", F.sum("n").over(w)).join(F.broadcast(base), "part")
+    # a row per part of a group: parts and groups, but for one, at most
+    totals = parts.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
+    base = totals.withColumn("base", F.sum("m").over(Window.partitionBy(*keys).orderBy("part")) - F.col("m")).drop("m")
+    run = on_keys(parts.withColumn("cum", F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(*order))), base, [*keys, "part"])
     before = F.col("base") + F.col("cum") - F.col("n")
-    return run.select(value, "n", before.alias("before"), (before + (F.col("n") + 1) / 2).alias("rank"))
+    return run.select(*keys, *order, "n", before.alias("before"), (before + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def global_quantiles(df: DataFrame, value: str, points: Sequence[float]) -> DataFrame:
-    """One row, ``q``: exact quantiles (linear interpolation) of the whole table,
-    read off the ranks, so no task holds all values. Null for no rows."""
-    r = ranks(df, value)
-    total = r.agg(F.max(F.col("before") + F.col("n")).alias("_all"))  # one row
-    rows = r.crossJoin(F.broadcast(total))
+def quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by, ``q``: exact quantiles (linear interpolation) of each group with a value
+    (without ``by``: one row, null for no rows), read off the ranks."""
+    r = ranks(df, value, by)
+    total = r.groupBy(*by).agg(F.max(F.col("before") + F.col("n")).alias("_all"))
+    rows = on_keys(r, total, by) if by else r.crossJoin(F.broadcast(total))  # one row
     at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value)))
     out = []
     for p in points:
         k = p * (F.col("_all") - 1)
         low, high = F.floor(k), F.ceil(k)
         out.append((at(low).cast("double"), at(high).cast("double"), F.max(k - low)))
-    return rows.agg(F.array(*[a + (b - a) * f for a, b, f in out]).alias("q"))
+    return rows.groupBy(*by).agg(F.array(*[a + (b - a) * f for a, b, f in out]).alias("q"))
+
+
+def global_quantiles(df: DataFrame, value: str, points: Sequence[float]) -> DataFrame:
+    return quantiles(df, value, points)
+
+
+def with_medians(table: DataFrame, df: DataFrame, values: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
+    """``table`` (a row per group of ``by``) and the median of each named value of
+    ``df`` in its group."""
+    for name, value in values.items():
+        medians = quantiles(df.select(*by, value.alias("_v")), "_v", [0.5], by)
+        table = on_keys(table, medians.select(*by, F.col("q")[0].alias(name)), by, "left")
+    return table
 
 
 def avg_rank(df: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -50,11 +74,12 @@ def avg_rank(df: DataFrame, values: Sequence[str]) -> DataFrame:
 
 
 def rank_scale(df: DataFrame, value: str, tie: str) -> DataFrame:
-    """Adds scale: the row's place by value (then tie) from 0 to 1."""
-    order = Window.partitionBy(value).orderBy(tie)
+    """Adds scale: the row's place by value (then tie) from 0 to 1. Only rows equal in
+    both are numbered in a window."""
     total = df.agg(F.count(value).alias("_n"))
-    rows = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(order) - 1).join(ranks(df, value).select(value, "before"), value)
-    return rows.crossJoin(F.broadcast(total)).withColumn("scale", F.try_divide(F.col("before") + F.col("_k"), F.col("_n") - 1)).drop("_k", "_n", "before")
+    rows = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy(value, tie).orderBy(tie)) - 1)
+    placed = rows.join(ranks(df, [value, tie]).select(value, tie, "before"), [value, tie])
+    return placed.crossJoin(F.broadcast(total)).withColumn("scale", F.try_divide(F.col("before") + F.col("_k"), F.col("_n") - 1)).drop("_k", "_n", "before")
 
 
 def spearman(df: DataFrame, x: str, y: str, control: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -72,12 +97,9 @@ def spearman(df: DataFrame, x: str, y: str, control: str | None = None, by: Sequ
 
 
 def _grouped_ranks(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Ranks within groups, each sorted as one window of its distinct values."""
     out = df
     for v in values:
-        counts = df.groupBy(*by, v).agg(F.count("*").alias("n"))
-        w = Window.partitionBy(*by).orderBy(v)
-        out = out.join(counts.select(*by, v, (F.sum("n").over(w) - F.col("n") + (F.col("n") + 1) / 2).alias(f"rank_{v}")), [*by, v])
+        out = on_keys(out, ranks(df, v, by).select(*by, v, F.col("rank").alias(f"rank_{v}")), [*by, v])
     return out
 
 
@@ -93,7 +115,9 @@ def quantile_bins(df: DataFrame, value: str, q: int = 5) -> DataFrame:
 
 
 def quantile_table(df: DataFrame, x: str, y: str, q: int = 5) -> DataFrame:
-    return quantile_bins(df, x, q).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.median(y).alias("median_y"), F.avg(y).alias("mean_y"))
+    rows = staged(quantile_bins(df, x, q).where("bin IS NOT NULL").select("bin", F.col(x).alias("_x"), F.col(y).alias("_y")), "bins")
+    table = rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("_x").alias("mean_x"), F.avg("_y").alias("mean_y"))
+    return with_medians(table, rows, {"median_y": F.col("_y")}, ["bin"])
 
 
 def stratified_report(df: DataFrame, stratum: Column, x: str, y: str, control: str, n_min: int = 200) -> DataFrame:
@@ -102,8 +126,8 @@ def stratified_report(df: DataFrame, stratum: Column, x: str, y: str, control: s
 
 
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row: n1, n2, u (of the rows where group is true), z with tie
-    correction and no continuity shift."""
+    """One row: n1, n2, u (of the rows where group is true), z with tie correction
+    and no continuity shift, and p, the chance of so great a z or a greater one."""
     rows = df.dropna(subset=[value, group])
     r = ranks(rows, value)
     g = rows.join(r, value).agg(F.count_if(group).alias("n1"), F.count_if(~F.col(group)).alias("n2"), F.sum(F.when(F.col(group), F.col("rank"))).alias("r1"))
@@ -112,19 +136,34 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("t") / (n * (n - 1))))
-    return g.crossJoin(F.broadcast(ties)).select("n1", "n2", u.alias("u"), F.try_divide(u - n1 * n2 / 2, sd).alias("z"))
+    out = g.crossJoin(F.broadcast(ties)).select("n1", "n2", u.alias("u"), F.try_divide(u - n1 * n2 / 2, sd).alias("z"))
+    return out.withColumn("p", normal_tail(F.col("z")))
 
 
-def one_sided_p(z: float) -> float:
-    return math.erfc(z / math.sqrt(2)) / 2
+def normal_tail(z: Column) -> Column:
+    """Upper tail of the standard normal distribution: erfc's rational approximation
+    of relative error below 1.2e-7 (Press et al., Numerical Recipes), whose
+    coefficients are fixed values, in Horner's form."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + x / 2)
+    poly = F.lit(0.0)
+    for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        poly = poly * t + c
+    tail = t * F.exp(poly - x * x) / 2
+    return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
 def paired_shift(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.agg(F.median(F.col(b) - F.col(a)).alias("median_shift"), F.median(F.col(b) / F.greatest(F.col(a), F.lit(1e-6))).alias("median_ratio"))
+    values = {"median_shift": F.col(b) - F.col(a), "median_ratio": F.col(b) / F.greatest(F.col(a), F.lit(1e-6))}
+    found = [quantiles(df.select(v.alias("_v")), "_v", [0.5]).select(F.col("q")[0].alias(n)) for n, v in values.items()]
+    return found[0].crossJoin(F.broadcast(found[1]))  # one row each
 
 
 def health(df: DataFrame, value: str, wet: float = 0.1) -> DataFrame:
     v = F.col(value)
     bad = v.isNull() | F.isnan(v)
     ok = F.when(~bad, v)
-    return df.agg(F.count("*").alias("n"), F.avg(bad.cast("double")).alias("missing"), F.min(ok).alias("lo"), F.max(ok).alias("hi"), F.avg(ok).alias("mean"), F.avg((ok > wet).cast("double")).alias("wet_share"), *[F.percentile(ok, p).alias(f"p{round(p * 100)}") for p in (0.5, 0.9, 0.99)])
+    sums = df.agg(F.count("*").alias("n"), F.avg(bad.cast("double")).alias("missing"), F.min(ok).alias("lo"), F.max(ok).alias("hi"), F.avg(ok).alias("mean"), F.avg((ok > wet).cast("double")).alias("wet_share"))
+    points = (0.5, 0.9, 0.99)
+    q = quantiles(df.select(ok.alias("_v")), "_v", points)  # one row
+    return sums.crossJoin(F.broadcast(q)).select(*sums.columns, *[F.col("q")[k].alias(f"p{round(p * 100)}") for k, p in enumerate(points)])

@@ -6,6 +6,7 @@ from gridcells.operators import change as C
 from gridcells.operators import stats as S
 from gridcells.plans.book import Book
 from gridcells.plans.views import PARENT_SQL, parent_of
+from gridcells.runtime import staged
 
 BOOK = Book()
 q = BOOK.add
@@ -23,11 +24,14 @@ def w01(film):
 _T0 = "2024-01-01 00:00:00"
 
 
-@q("w03_accumulator", ("weather",), f"""WITH RECURSIVE f AS (SELECT pixel, ts, (epoch(ts) // 3600)::BIGINT AS h, greatest(value - 20000, 0) / 1000 * greatest(0, 1 - 0.1 * w / 10) AS x,
+ACCUMULATOR_SQL = f"""WITH RECURSIVE f AS (SELECT pixel, ts, (epoch(ts) // 3600)::BIGINT AS h, greatest(value - 20000, 0) / 1000 * greatest(0, 1 - 0.1 * w / 10) AS x,
  CASE WHEN rain > 0 THEN 1 - 0.5 * least(1.0::DOUBLE, rain / 2.5) ELSE 1 END AS fl, row_number() OVER (PARTITION BY pixel ORDER BY ts) AS k FROM weather),
 s AS (SELECT pixel, ts, h, k, CASE WHEN h <= epoch(TIMESTAMP '{_T0}') // 3600 THEN 0.0::DOUBLE ELSE fl * (1 - power(2, -1 / 24.0::DOUBLE)) * x END AS load FROM f WHERE k = 1
  UNION ALL SELECT f.pixel, f.ts, f.h, f.k, fl * (load * power(power(2, -1 / 24.0::DOUBLE), f.h - s.h) + (1 - power(2, -1 / 24.0::DOUBLE)) * x) FROM s JOIN f ON f.pixel = s.pixel AND f.k = s.k + 1)
-SELECT pixel, ts, round(load, 5) AS load FROM s""")
+SELECT pixel, ts, round(load, 5) AS load FROM s"""
+
+
+@q("w03_accumulator", ("weather",), ACCUMULATOR_SQL)
 def w03(weather):
     """Heat load with a 24-hour half life, thinned by wind and flushed by rain."""
     film = weather.select("pixel", "ts", (C.excess(F.col("value"), 20_000.0, F.col("w"), 0.1) / 1000).alias("x"), C.rain_flush(F.col("rain"), 0.5).alias("fl"))
@@ -146,15 +150,16 @@ z AS (SELECT cell, says, disp, coalesce(disp > d0, false) AS moved, 1 / (1 + exp
 SELECT cell, round(disp, 6) AS disp, moved, round(CASE WHEN says THEN g ELSE 1 - g END, 5) AS agree, CASE WHEN disp IS NULL THEN -1 WHEN says AND moved THEN 1 WHEN says THEN 2 WHEN moved THEN 3 ELSE 0 END AS verdict FROM z""")
 def c04(emb):
     says = F.col("cell") % 3 == 0
-    scored = emb.select("cell").distinct().join(C.displacement(emb, 2019).select("cell", "disp"), "cell", "left")
+    scored = staged(emb.select("cell").distinct().join(C.displacement(emb, 2019).select("cell", "disp"), "cell", "left"), "scored")
     out = C.agreement(scored, C.quiet_level(scored, ~says), says)
     return out.withColumn("agree", F.round("agree", 5))
 
 
 @q("c07_change_clusters", ("emb",), None)
 def c07(emb):
-    """Rows only: seeding differs between engines. Clusters are numbered by size."""
-    return C.change_clusters(C.year_steps(emb), "diff", k=4).select("cell", "year", "cluster")
+    """Rows only: seeding differs between engines. Differences of the edge years;
+    clusters are numbered by size, cells without a difference have -1."""
+    return C.change_clusters(C.edge_differences(emb, 2017, 2021), "diff", k=4).select("cell", "cluster")
 
 
 @q("c10_cause_class", ("records",), "WITH r AS (SELECT parent, count(DISTINCT h10) FILTER (WHERE status = 'F') AS b, count(DISTINCT h10) FILTER (WHERE status = 'O') AS h FROM records GROUP BY parent) SELECT parent, CASE WHEN h / 20.0 >= 0.1 THEN 1 ELSE 0 END + CASE WHEN b / 20.0 >= 0.1 THEN 2 ELSE 0 END AS cause FROM r")
@@ -183,9 +188,12 @@ def c15(s):
 
 @q("c16_mann_whitney", ("stats_in",), """WITH r AS (SELECT z, cell % 2 = 0 AS g, rank() OVER (ORDER BY z) + (count(*) OVER (PARTITION BY z) - 1) / 2.0::DOUBLE AS rk FROM stats_in), t AS (SELECT sum(k * k * k - k) AS t FROM (SELECT count(*) AS k FROM stats_in GROUP BY z) x),
 a AS (SELECT count(*) FILTER (WHERE g) AS n1, count(*) FILTER (WHERE NOT g) AS n2, sum(rk) FILTER (WHERE g) AS r1 FROM r), u AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, t FROM a, t)
-SELECT n1, n2, round(u, 6) AS u, round((u - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM u""")
+, z AS (SELECT n1, n2, u, (u - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * ((n1 + n2 + 1) - t / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM u),
+-- the tail of the normal distribution as an integral, by Simpson's rule over 2000 steps
+p AS (SELECT z, 0.5 - sign(z) * abs(z) / 6000 / sqrt(2 * pi()) * sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z * k / 2000, 2) / 2)) AS p FROM z, (SELECT unnest(range(2001)) AS k) r GROUP BY z)
+SELECT n1, n2, round(u, 6) AS u, round(z.z, 6) AS z, round(p, 5) AS p FROM z, p""")
 def c16(s):
-    return S.mann_whitney(s.withColumn("g", F.col("cell") % 2 == 0), "z", "g")
+    return S.mann_whitney(s.withColumn("g", F.col("cell") % 2 == 0), "z", "g").withColumn("p", F.round("p", 5))
 
 
 @q("c17_delta_table", ("px",), """WITH f AS (SELECT cell, round(avg(v) FILTER (WHERE yr <= 1997), 4) AS early, round(avg(v) FILTER (WHERE yr >= 1999), 4) AS late, round(avg(d), 4) AS unc, count(*) AS n_px FROM px GROUP BY cell) SELECT cell, round(late - early, 4) AS delta, early, late, unc, n_px FROM f WHERE early IS NOT NULL AND late IS NOT NULL""")
@@ -222,14 +230,22 @@ def x04(px, members):
     return hot.join(pop, "cell", "left").fillna(0, ["pop"]).withColumn("exposure", F.col("pop") * F.col("v"))
 
 
-@q("x06_greedy_track", ("film",), """WITH b AS (SELECT date_trunc('day', ts) AS ts, pixel // 10 AS blob, avg(pixel) AS cx, avg(value) AS cy FROM film GROUP BY 1, 2),
-p AS (SELECT a.ts, a.blob, b.blob AS nxt, row_number() OVER (PARTITION BY a.ts, a.blob ORDER BY power(b.cx - a.cx, 2) + power((b.cy - a.cy) / 100, 2), b.blob) AS rk FROM b a JOIN b ON b.ts = a.ts + INTERVAL 1 DAY) SELECT ts, blob, nxt FROM p WHERE rk = 1""")
+_GATE = 40.0
+
+
+@q("x06_greedy_track", ("film",), f"""WITH RECURSIVE b AS (SELECT date_trunc('day', ts) AS ts, pixel // 10 AS blob, avg(pixel) AS cx, avg(value) / 500 AS cy FROM film GROUP BY 1, 2),
+p AS (SELECT a.ts, a.blob, b.blob AS nxt, sqrt(power(b.cx - a.cx, 2) + power(b.cy - a.cy, 2)) AS d FROM b a JOIN b ON b.ts = a.ts + INTERVAL 1 DAY),
+n AS (SELECT * FROM p WHERE d <= {_GATE} QUALIFY row_number() OVER (PARTITION BY ts, blob ORDER BY d, nxt) = 1),
+l AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY ts, nxt ORDER BY d, blob) = 1),
+t AS (SELECT b.ts, b.blob, b.ts AS born, b.blob AS first FROM b LEFT JOIN l ON l.ts + INTERVAL 1 DAY = b.ts AND l.nxt = b.blob WHERE l.blob IS NULL
+ UNION ALL SELECT l.ts + INTERVAL 1 DAY, l.nxt, born, first FROM t JOIN l ON l.ts = t.ts AND l.blob = t.blob)
+SELECT ts, blob, born, first, count(*) OVER (PARTITION BY born, first) AS days FROM t""")
 def x06(film):
-    """Each blob's nearest centroid of the next day, the links of tracks."""
-    b = film.groupBy(F.date_trunc("day", "ts").alias("ts"), F.expr("pixel div 10").alias("blob")).agg(F.avg("pixel").alias("cx"), F.avg("value").alias("cy"))
-    nxt = b.select((F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("ts"), F.col("blob").alias("nxt"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
-    d = F.pow(F.col("nx") - F.col("cx"), F.lit(2)) + F.pow((F.col("ny") - F.col("cy")) / 100, F.lit(2))
-    return b.join(nxt, "ts").groupBy("ts", "blob").agg(F.min(F.struct(d.alias("d"), "nxt"))["nxt"].alias("nxt"))
+    """Tracks of blobs from day to day, each named by the day and blob it began with."""
+    from gridcells.operators.tracks import tracks
+
+    b = film.groupBy(F.date_trunc("day", "ts").alias("ts"), F.expr("pixel div 10").alias("blob")).agg(F.avg("pixel").alias("cx"), (F.avg("value") / 500).alias("cy"))
+    return tracks(b, "1 DAY", _GATE)
 
 
 @q("x07_exceedance", ("film",), "SELECT pixel, count(*) FILTER (WHERE value > 30000) AS hours, max(value) AS peak FROM film GROUP BY pixel")

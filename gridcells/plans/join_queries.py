@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from gridcells.functions import cells as H
 from gridcells.operators import joins as J
+from gridcells.operators.stats import quantiles
 from gridcells.plans.book import Book
 from gridcells.plans.views import PARENT_SQL, RES, parent_of
+from gridcells.runtime import staged
 
 BOOK = Book()
 q = BOOK.add
@@ -40,8 +42,10 @@ def j03(a, b):
 FROM n JOIN r ON r.id = n.id AND rk = 1 GROUP BY how""")
 def j04(a, b):
     true = J.nearest(a, b, 6000.0).withColumnsRenamed({"b_id": "t_id", "dist": "t_dist"})
-    m = J.match_grids(a, b).where("how < 2").join(true, "id")
-    return m.groupBy("how").agg(F.count("*").alias("n"), F.avg((F.col("b_id") == F.col("t_id")).cast("double")).alias("agree"), F.percentile("dist", 0.5).alias("p50"), F.percentile("dist", 0.95).alias("p95"), F.max(F.col("dist") - F.col("t_dist")).alias("worst"))
+    m = staged(J.match_grids(a, b).where("how < 2").join(true, "id"), "agreement")
+    table = m.groupBy("how").agg(F.count("*").alias("n"), F.avg((F.col("b_id") == F.col("t_id")).cast("double")).alias("agree"), F.max(F.col("dist") - F.col("t_dist")).alias("worst"))
+    q = quantiles(m, "dist", [0.5, 0.95], ["how"])
+    return table.join(q, "how").select("how", "n", "agree", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), "worst")
 
 
 @q("j05_u04_reverse_semi", ("grid_a", "grid_b"), "SELECT count(*) AS n FROM grid_b WHERE cell IN (SELECT cell FROM grid_a)")
@@ -105,10 +109,9 @@ def j16(spark, sf_dir, a, zones):
     from gridcells.runtime import table
 
     points = a.select("id", (F.col("i") + 0.25).alias("x"), (F.col("j") + 0.25).alias("y"))
-    boxes = zones.groupBy("poly").agg(F.min(F.least("x0", "x1")).alias("xmin"), F.min(F.least("y0", "y1")).alias("ymin"), F.max(F.greatest("x0", "x1")).alias("xmax"), F.max(F.greatest("y0", "y1")).alias("ymax"))
     kinds = ["locality", "county", "region", "country"]
     attrs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("poly"), F.element_at(F.array(*map(F.lit, kinds)), (1 + F.col("n_nationkey") % 4).cast("int")).alias("subtype"), F.col("n_name").alias("name"))
-    return J.divisions_at(points, zones, boxes, attrs, {k: i for i, k in enumerate(kinds)}).select("id", "poly", "subtype", "name", "rank")
+    return J.divisions_at(points, zones, attrs, {k: i for i, k in enumerate(kinds)}).select("id", "poly", "subtype", "name", "rank")
 
 
 @q("j17_enrich_by_ids", ("*",), "SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 2 AND list_contains([1, 5, 9, 33, 50], s_suppkey % 60)")

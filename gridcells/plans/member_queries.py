@@ -130,11 +130,13 @@ def g15(members):
     return g.join(members.select("cell", "npx"), "cell").select("cell", "g", lift.alias("lift"))
 
 
-@q("g17_seam_dissolve", ("px",), "SELECT DISTINCT cls AS zone, cell FROM px")
+@q("g17_seam_dissolve", ("px",), f"""WITH p AS (SELECT DISTINCT cls AS zone, yr, i, j, cell, 'zone ' || cls AS name FROM px), n AS (SELECT DISTINCT zone, i, j, cell FROM p),
+s AS (SELECT a.zone, count(*) AS n_sides FROM (SELECT * FROM n, {_SIDES} s) a LEFT JOIN n o ON o.i = a.i + da AND o.j = a.j + db AND o.zone = a.zone WHERE o.cell IS NULL GROUP BY a.zone)
+SELECT p.zone, count(*) AS n_pieces, count(DISTINCT cell) AS ncell, any_value(name) AS name, any_value(n_sides) AS n_sides FROM p JOIN s ON p.zone = s.zone GROUP BY p.zone""")
 def g17(px):
-    """Tile pieces of a zone, cut by year, are one set of cells again."""
-    pieces = px.select(F.col("cls").alias("zone"), "yr", "cell").distinct()
-    return pieces.select("zone", "cell").distinct()
+    """Tile pieces of a zone, cut by year, are one shape again, with its outline."""
+    pieces = px.select(F.col("cls").alias("zone"), "yr", "cell", F.concat(F.lit("zone "), F.col("cls").cast("string")).alias("name")).distinct()
+    return B.dissolve(pieces, "zone", ["name"])
 
 
 @q("g18_division_filter", ("*",), "SELECT n_nationkey AS id, split_part(n_name, '_', 2) AS suffix FROM nation WHERE n_regionkey IN (1, 2) AND n_nationkey NOT IN (3, 11)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -17,27 +18,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a local test) gets a temporary one.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or that
+    of ``SparkContext.setCheckpointDir``. Only a local session without either gets a
+    temporary one; elsewhere executors would each write to a disk of their own.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_gridcells_dir", None)
-        if path is None:
-            path = spark._gridcells_dir = "file://" + tempfile.mkdtemp(prefix="spark-gridcells-")
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    held = spark.sparkContext.getCheckpointDir()
+    if held:
+        return held.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = getattr(spark, "_gridcells_dir", None)
+    if path is None:
+        local = tempfile.mkdtemp(prefix="spark-gridcells-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        path = spark._gridcells_dir = "file://" + local
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the intermediates that this session has written. Call it when the results
+    made of them have been written themselves."""
+    for path in getattr(spark, "_gridcells_staged", []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._gridcells_staged = []
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the shared folder and read it back.
 
-    Cuts the lineage with files that outlive any executor. The schema is given
-    to the reader, so an empty result stays readable.
+    Cuts the lineage with files that outlive any executor; ``clean`` deletes them.
+    The schema is given to the reader, so an empty result stays readable.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridcells-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._gridcells_staged = [*getattr(spark, "_gridcells_staged", []), path]
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,11 +72,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to Python workers that would not find it: those of a
-    session started elsewhere than in the repository without it in PYTHONPATH."""
+    """Give the package to Python workers that would not find it: those of a session
+    started without it in PYTHONPATH. Local workers also find it in the driver's own
+    folder, or where it is installed."""
     root = Path(__file__).resolve().parent.parent
     context = spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or Path.cwd() == root or getattr(context, "_gridcells_shipped", False):
+    here = context.master.startswith("local[") and (Path.cwd() == root or root.name == "site-packages")
+    if here or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_gridcells_shipped", False):
         return
     name = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-gridcells-')}/gridcells", "zip", root, "gridcells")
     context.addPyFile(name)

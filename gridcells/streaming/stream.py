@@ -21,10 +21,11 @@ def read_stream(spark, path: str, schema, files_per_batch: int | None = None) ->
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything available goes through to parquet in the shared folder."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Everything available goes through to parquet in the shared folder. A run with
+    the ``base`` of an earlier one takes up its state and adds to its table."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -37,24 +38,33 @@ def hourly_fold(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     return hours.agg(F.sum("cents").alias("cents"), F.count("*").alias("n")).select("pixel", F.col("w.start").alias("ts"), "cents", "n")
 
 
-def accumulate(stream: DataFrame, half_life: float, start_hour: int) -> DataFrame:
+def accumulate(stream: DataFrame, half_life: float, start_hour: int, late: str = "2 hours", idle_half_lives: int = 200) -> DataFrame:
     """pixel, ts, load: the accumulator's recurrence with (last hour, load) kept
-    per pixel between batches. Rows (pixel, ts, x, fl) arrive in hour order from
-    batch to batch; within one they may come in any order."""
-    a = 2 ** (-1 / half_life)
+    per pixel between batches. Rows (pixel, ts, x, fl) may come in any order within a
+    batch; one whose hour a batch before has passed already is late and left out, as
+    its load is part of what was handed on. The state of a pixel without rows for
+    ``idle_half_lives`` is dropped, when nothing of its load is left in a double."""
+    a, idle = 2 ** (-1 / half_life), int(half_life * idle_half_lives)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts)).sort_values("ts")
+        rows["h"] = rows["ts"].astype("datetime64[s]").astype("int64") // 3600
         last, load = state.get if state.exists else (start_hour, 0.0)
-        hours, out = (rows["ts"].astype("datetime64[s]").astype("int64") // 3600).tolist(), []
-        for h, x, fl in zip(hours, rows["x"], rows["fl"], strict=True):
+        if state.exists:
+            rows = rows[rows["h"] > last]
+        out = []
+        for h, x, fl in zip(rows["h"].tolist(), rows["x"], rows["fl"], strict=True):
             load = 0.0 if h <= start_hour else fl * (load * a ** (h - last) + (1 - a) * x)
             last = h
             out.append(load)
         state.update((last, load))
+        state.setTimeoutTimestamp(max((last + idle) * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"pixel": key[0], "ts": rows["ts"], "load": out})
 
-    return stream.groupBy("pixel").applyInPandasWithState(step, "pixel long, ts timestamp, load double", "last long, load double", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", late).groupBy("pixel").applyInPandasWithState(step, "pixel long, ts timestamp, load double", "last long, load double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def match(model: DataFrame, radar: DataFrame, late: str = "2 hours") -> DataFrame:

@@ -1,17 +1,24 @@
 """Operators against brute force on small and random inputs."""
 
+import datetime
+import math
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from gridcells import runtime
 from gridcells.functions import cells as H
 from gridcells.operators import blobs as B
 from gridcells.operators import change as C
+from gridcells.operators import components
 from gridcells.operators import fold as O
 from gridcells.operators import joins as J
 from gridcells.operators import member as G
 from gridcells.operators import stats as S
 from gridcells.operators.components import connected_components
+from gridcells.operators.tracks import tracks
 
 
 def find(parent, x):
@@ -133,3 +140,125 @@ def test_average_ranks_over_partitions(spark):
     got = {r["v"]: r["rank"] for r in S.ranks(spark.createDataFrame([(x,) for x in v], "v int"), "v").collect()}
     s = sorted(v)
     assert got == {x: (s.index(x) + 1 + len(s) - s[::-1].index(x)) / 2 for x in set(v)}
+
+
+def test_ranks_and_quantiles_within_few_groups(spark):
+    """Groups cut over range partitions, null groups and null values included."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(25)])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(7)
+    of = {g: sorted(v for h, v in rows if h == g and v is not None) for g in ("a", "b", None)}
+    for r in S.ranks(df, "v", ["g"]).collect():
+        s = of[r["g"]]
+        assert (r["before"], r["n"]) == (s.index(r["v"]), s.count(r["v"])) and r["rank"] == s.index(r["v"]) + (s.count(r["v"]) + 1) / 2
+    got = {r["g"]: r["q"] for r in S.quantiles(df, "v", [0, 0.3, 0.5, 1], ["g"]).collect()}
+    for g, s in of.items():
+        for p, q in zip((0, 0.3, 0.5, 1), got[g]):
+            k = p * (len(s) - 1)
+            assert abs(q - (s[int(k)] + (s[min(int(k) + 1, len(s) - 1)] - s[int(k)]) * (k - int(k)))) < 1e-9
+    scaled = S.rank_scale(spark.createDataFrame([(2, 1), (1, 5), (2, 1), (2, 0), (None, 3)], "v int, t int"), "v", "t").collect()
+    assert sorted((r["v"], r["t"], round(r["scale"] * 3)) for r in scaled) == [(1, 5, 0), (2, 0, 1), (2, 1, 2), (2, 1, 3)]
+    assert S.quantiles(df.limit(0), "v", [0.5]).collect()[0]["q"] == [None] and S.quantiles(df.limit(0), "v", [0.5], ["g"]).collect() == []
+
+
+def test_one_sided_p_of_the_rank_test(spark):
+    z = spark.createDataFrame([(x / 4,) for x in range(-24, 25)], "z double")
+    for r in z.select("z", S.normal_tail(F.col("z")).alias("p")).collect():
+        assert abs(r["p"] - math.erfc(r["z"] / math.sqrt(2)) / 2) < 1e-6
+
+
+def test_nearest_far_away_null_and_empty(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e7, 5.0), (3, None, 1.0), (4, 3.0, 0.0)], "id long, x double, y double")
+    b = spark.createDataFrame([(7, 0.5, 0.0), (8, None, 0.0), (9, 5.0, 0.0), (6, 5.0, 0.0)], "id long, x double, y double")
+    got = {r["id"]: (r["b_id"], r["dist"]) for r in J.nearest(a, b, 1.0).collect()}
+    assert got[1] == (7, 0.5) and got[4] == (6, 2.0) and got[3] == (None, None)
+    assert got[2][0] == 6 and abs(got[2][1] - math.hypot(1e7 - 5, 5)) < 1e-6
+    assert [(r["b_id"], r["dist"]) for r in J.nearest(a, b.limit(0), 1.0).collect()] == [(None, None)] * 4
+    assert J.nearest(a.limit(0), b, 1.0).collect() == []
+
+
+def test_points_in_polygons_equal_ray_casting(spark):
+    rng = random.Random(10)
+    edges, polys = [], {}
+    for k in range(12):
+        cx, cy, n = rng.uniform(-30, 30), rng.uniform(-30, 30), rng.randrange(3, 40)
+        ring = [(cx + rng.uniform(2, 15) * math.cos(2 * math.pi * i / n), cy + rng.uniform(2, 15) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+        polys[k] = list(zip(ring, ring[1:] + ring[:1]))
+        edges += [(k, *p, *q) for p, q in polys[k]]
+    edges.append((99, 1.0, 2.0, 5.0, 2.0))  # flat
+    points = [(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(800)] + [(900, None, 1.0)]
+    want = {(i, k) for i, x, y in points[:-1] for k, es in polys.items() if sum(((a[1] <= y) != (b[1] <= y)) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in es) % 2}
+    df = spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(edges, "poly long, x0 double, y0 double, x1 double, y1 double")
+    for cell in (3.0, 8.0, 500.0):
+        assert {(r["id"], r["poly"]) for r in J.polygon_hits(*df, cell).collect()} == want
+
+
+def test_components_over_blocks(spark, monkeypatch):
+    """Paths, stars and cycles cut into many blocks."""
+    monkeypatch.setattr(components, "BLOCK_EDGES", 40)
+    rng = random.Random(11)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 60)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)] + [(5000, 5000)]
+    edges += [(3000 + rng.randrange(200), 3000 + rng.randrange(200)) for _ in range(150)]
+    rng.shuffle(edges)
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        root[find(a)] = find(b)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    for n in (40, 1 << 20):
+        monkeypatch.setattr(components, "BLOCK_EDGES", n)
+        got = {r["node"]: r["component"] for r in components.connected_components(df).collect()}
+        assert got.keys() == root.keys()
+        assert all((got[a] == got[b]) == (find(a) == find(b)) for a in list(root)[::7] for b in list(root)[::11])
+        assert all(got[c] == c for c in set(got.values()))
+    assert components.connected_components(df.limit(0)).collect() == []
+
+
+def test_change_clusters_leave_out_equal_years(spark):
+    rows = [(c, y, [float(c % 3 == k) + (0.5 if y and c % 3 == (k + 1) % 3 else 0.0) for k in range(3)]) for c in range(30) for y in (0, 1)]
+    rows += [(100, 0, [1.0, 2.0, 3.0]), (100, 1, [2.0, 4.0, 6.0]), (101, 0, [1.0, 0.0, 0.0]), (102, 0, [0.0, 0.0, 0.0]), (102, 1, [1.0, 0.0, 0.0])]
+    d = C.edge_differences(spark.createDataFrame(rows, "cell long, year int, vec array<double>"), 0, 1)
+    got = {r["cell"]: r["cluster"] for r in C.change_clusters(d, "diff", k=3).collect()}
+    assert {got[c] for c in (100, 101, 102)} == {-1}
+    assert all((got[a] == got[b]) == (a % 3 == b % 3) for a in range(30) for b in range(30)) and {got[c] for c in range(30)} == {0, 1, 2}
+    assert {r["cluster"] for r in C.change_clusters(d.where("cell >= 100"), "diff", k=3).collect()} == {-1}
+
+
+def test_tracks_follow_the_nearest_free_centroid(spark):
+    day = lambda d: datetime.datetime(2024, 1, d)
+    rows = [(day(1), 1, 0.0, 0.0), (day(1), 2, 3.0, 0.0), (day(2), 5, 1.0, 0.0), (day(3), 9, 2.0, 1.0), (day(3), 8, 90.0, 0.0), (day(5), 9, 2.0, 1.0)]
+    out = tracks(spark.createDataFrame(rows, "ts timestamp, blob long, cx double, cy double"), "1 DAY", 10.0).collect()
+    assert {(r["ts"].day, r["blob"]): (r["born"].day, r["first"], r["days"]) for r in out} == {(1, 1): (1, 1, 3), (2, 5): (1, 1, 3), (3, 9): (1, 1, 3), (1, 2): (1, 2, 1), (3, 8): (3, 8, 1), (5, 9): (5, 9, 1)}
+
+
+def test_a_local_folder_needs_a_local_master(spark, monkeypatch):
+    class Context:
+        master = "spark://elsewhere:7077"
+
+        def getCheckpointDir(self):
+            return self.dir
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+    Context.dir = None
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        runtime.shared_dir(Session())
+    Context.dir = "hdfs://x/y/"
+    assert runtime.shared_dir(Session()) == "hdfs://x/y"
+
+
+def test_intermediates_can_be_deleted(spark):
+    kept = runtime.staged(spark.range(3), "kept")
+    path = spark._gridcells_staged[-1].removeprefix("file://")
+    assert kept.count() == 3 and os.path.isdir(path)
+    runtime.clean(spark)
+    assert not os.path.exists(path) and spark._gridcells_staged == []

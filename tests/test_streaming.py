@@ -1,6 +1,9 @@
 """Streams give what the batch operators give on the same rows."""
 
+import datetime
+
 from gridcells.plans import registry
+from gridcells.streaming import stream as R
 
 SAMPLE = "/root/testdata/sf0.001"
 
@@ -11,3 +14,19 @@ def test_stateful_accumulator_equals_batch(spark):
     stream = {(r["pixel"], r["ts"]): r["load"] for r in q["r04_accumulator_stream"](spark, SAMPLE).collect()}
     assert batch.keys() == stream.keys()
     assert max(abs(batch[k] - stream[k]) for k in batch) < 2e-5
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    """A row behind the hour that was handed on changes nothing, nor is it output."""
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    schema, out = "pixel long, ts timestamp, x double, fl double", None
+    batches = [[(1, at(1), 8.0, 1.0), (1, at(3), 4.0, 1.0)], [(1, at(2), 1e6, 1.0), (1, at(4), 2.0, 1.0), (2, at(4), 2.0, 1.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "feed"))
+        stream = R.read_stream(spark, str(tmp_path / "feed"), schema)
+        start = int(datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).timestamp()) // 3600
+        out = R.run_to_table(R.accumulate(stream, 1.0, start, late="3 hours"), "late", base=str(tmp_path / "load"))
+    got = {(r["pixel"], r["ts"].hour): r["load"] for r in out.collect()}
+    a = 0.5 * 8
+    b = a * 0.25 + 0.5 * 4
+    assert got == {(1, 1): a, (1, 3): b, (1, 4): b * 0.5 + 1.0, (2, 4): 1.0}
