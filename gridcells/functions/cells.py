@@ -186,3 +186,9 @@ def pick_res(box_km2: float, budget: int, base: int = 6, lo: int = 0, hi: int =
     while res > lo and box_km2 / cell_area_km2(res) > budget:
         res -= 1
     return res
+
+
+def pick_res_of(box_km2: Column, budget: int, base: int = 6, lo: int = 0) -> Column:
+    """``pick_res`` of each row's box."""
+    fits = [F.when(box_km2 / cell_area_km2(res) <= budget, res) for res in range(base, lo, -1)]
+    return F.coalesce(*fits, F.lit(lo))

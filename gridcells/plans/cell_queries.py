@@ -90,12 +90,15 @@ def h10(grid_a, grid_b):
     return grid_b.join(a, "cell", "left").select("id", F.coalesce("ai", snap("x")).alias("row"), F.coalesce("aj", snap("y")).alias("col"), F.col("ai").isNotNull().alias("exact"))
 
 
-_PICKED = H.pick_res(1.0, 5_000, base=RES)
-
-
-@q("h11_resolution_ladder", ("px",), f"SELECT count(*) AS n, {_PICKED} AS res FROM px")
+@q("h11_resolution_ladder", ("px",), f"""WITH b AS (SELECT cls, count(*) AS n, (max(i) - min(i) + 1) * (max(j) - min(j) + 1) * power(10.0::DOUBLE, (cls % 5) - 2) AS km2 FROM px GROUP BY cls),
+r AS (SELECT unnest(range(0, {RES} + 1)) AS res), a AS (SELECT res, {H.EDGE_M!r} * {H.EDGE_M!r} * sqrt(3.0::DOUBLE) / 2 * power(7.0::DOUBLE, {RES} - res) / 1e6 AS cell FROM r)
+SELECT cls, n, round(km2, 6) AS km2, coalesce(max(res) FILTER (WHERE km2 / cell <= 5000), 0)::INT AS res FROM b, a GROUP BY cls, n, km2""")
 def h11(px):
-    return px.agg(F.count("*").alias("n")).withColumn("res", F.lit(H.pick_res(1.0, 5_000, base=RES)))
+    """The resolution of each class's own window, windows of five sizes."""
+    span = lambda c: F.max(c) - F.min(c) + 1
+    b = px.groupBy("cls").agg(F.count("*").alias("n"), (span("i") * span("j")).alias("px"))
+    km2 = F.col("px") * F.pow(F.lit(10.0), F.col("cls") % 5 - 2)
+    return b.select("cls", "n", km2.alias("km2"), H.pick_res_of(km2, 5_000, RES).alias("res"))
 
 
 @q("x01_focal_mean", ("pixels",), f"""WITH d AS (SELECT unnest(range(-2, 3)) AS a), s AS (SELECT x.a, y.a AS b FROM d x, d y WHERE greatest(abs(x.a), abs(y.a), abs(x.a - y.a)) <= 2)
@@ -170,19 +173,26 @@ def p13(px_geo):
     return a.select("lon", "lat", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), lon2.alias("lon2"), lat2.alias("lat2"), tx.alias("tx"), ty.alias("ty"))
 
 
-@q("p14_projection_check", ("px_geo",), "SELECT true AS lambert_ok, true AS albers_ok, count(DISTINCT (lon, lat)) AS n FROM px_geo")
+_LAMBERT, _ALBERS = (-97.5, 38.5, 38.5, 38.5), (-96.0, 23.0, 29.5, 45.5)
+
+
+@q("p14_projection_check", ("px_geo",), """WITH p AS (SELECT DISTINCT lon, lat FROM px_geo),
+k AS (SELECT sin(radians(38.5)) AS n, cos(radians(38.5)) * power(tan(pi() / 4 + radians(38.5) / 2), sin(radians(38.5))) / sin(radians(38.5)) AS f, (sin(radians(29.5)) + sin(radians(45.5))) / 2 AS m),
+l AS (SELECT lon, lat, n, f, m, 6370000 * f / power(tan(pi() / 4 + radians(38.5) / 2), n) AS top, 6370000 * f / power(tan(pi() / 4 + radians(lat) / 2), n) AS rho, n * radians(lon + 97.5) AS th,
+ power(cos(radians(29.5)), 2) + 2 * m * sin(radians(29.5)) AS c, m * radians(lon + 96) AS ph FROM p, k),
+x AS (SELECT *, rho * sin(th) AS lx, top - rho * cos(th) AS ly, 6370997 / m * sqrt(c - 2 * m * sin(radians(lat))) AS r FROM l),
+i AS (SELECT *, sqrt(lx * lx + power(top - ly, 2)) AS back FROM x),
+v AS (SELECT *, -97.5 + degrees(atan2(lx, top - ly) / n) AS lon2, degrees(2 * atan(power(6370000 * f / back, 1 / n)) - pi() / 2) AS lat2 FROM i)
+SELECT round(lon, 6) AS lon, round(lat, 6) AS lat, round(lx, 3) AS lx, round(ly, 3) AS ly, round(r * sin(ph), 3) AS ax, round(6370997 / m * sqrt(c - 2 * m * sin(radians(23.0))) - r * cos(ph), 3) AS ay,
+ round(lon2, 6) AS lon2, round(lat2, 6) AS lat2, sqrt(power((lat2 - lat) * 111000, 2) + power((lon2 - lon) * 111000 * cos(radians(lat)), 2)) <= 50 AS within FROM v""")
 def p14(px_geo):
-    """Lambert forward and back stays within 50 m; Albers keeps the area of a cell
-    of the graticule within one part in a thousand."""
+    """Lambert forward and back, which must come within 50 m, and Albers."""
     a = px_geo.select("lon", "lat").distinct()
-    args = (-97.5, 38.5, 38.5, 38.5)
-    lon, lat = X.lambert_conic_inverse(*X.lambert_conic(F.col("lon"), F.col("lat"), *args), *args)
-    off = X.equirect_m(F.col("lat"), F.col("lon"), lat, lon)
-    p = lambda dx, dy: X.albers(F.col("lon") + dx, F.col("lat") + dy, -96.0, 23.0, 29.5, 45.5)
-    (x0, y0), (x1, y1), (x2, y2) = p(0, 0), p(0.01, 0), p(0, 0.01)
-    area = F.abs((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0))
-    true = 6_370_997.0**2 * math.radians(0.01) * (F.sin(F.radians(F.col("lat") + 0.01)) - F.sin(F.radians("lat")))
-    return a.agg((F.max(off) <= 50.0).alias("lambert_ok"), (F.max(F.abs(area / true - 1)) < 1e-3).alias("albers_ok"), F.count("*").alias("n"))
+    lx, ly = X.lambert_conic(F.col("lon"), F.col("lat"), *_LAMBERT)
+    lon2, lat2 = X.lambert_conic_inverse(lx, ly, *_LAMBERT)
+    ax, ay = X.albers(F.col("lon"), F.col("lat"), *_ALBERS)
+    mm = {n: F.round(c, 3).alias(n) for n, c in {"lx": lx, "ly": ly, "ax": ax, "ay": ay}.items()}
+    return a.select("lon", "lat", *mm.values(), lon2.alias("lon2"), lat2.alias("lat2"), (X.equirect_m(F.col("lat"), F.col("lon"), lat2, lon2) <= 50.0).alias("within"))
 
 
 @q("p15_p16_affine_distance", ("pixels",), "SELECT i, j, (-125 + (j + 0.5) * 0.25)::DOUBLE AS x, (50 + (i + 0.5) * (-0.125))::DOUBLE AS y, round(sqrt(power((j + 0.5) * 0.25, 2) + power((i + 0.5) * 0.125, 2)), 6) AS planar, round(sqrt(power(((i + 0.5) * 0.125) * 111000, 2) + power((j + 0.5) * 0.25 * 111000 * cos(radians(50.0)), 2)), 3) AS metres FROM pixels")

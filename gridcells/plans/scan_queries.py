@@ -58,14 +58,17 @@ def s06(pixels):
     return S.stride_sample(pixels, S.sample_stride(40_000, 5_000), "i", "j", 1, 0).select("i", "j", "v")
 
 
-@q("s07_overview_level", ("pixels",), "SELECT i // 4 AS row, j // 4 AS col, sum(v)::BIGINT AS v FROM pixels GROUP BY 1, 2")
-def s07(pixels):
-    """A pyramid of levels in one table; the level is picked before the read."""
-    pyramid = None
-    for level in (0, 1, 2, 3):
-        own = pixels.groupBy(F.floor(F.col("i") / 2**level).alias("row"), F.floor(F.col("j") / 2**level).alias("col")).agg(F.sum("v").alias("v")).withColumn("level", F.lit(level))
-        pyramid = own if pyramid is None else pyramid.unionByName(own)
-    return S.at_level(pyramid, S.pick_level(0.3, 16, 40_000, 4_000))
+@q("s07_overview_level", ("*", "pixels"), """WITH w AS (SELECT (max(i) - min(i) + 1) * (max(j) - min(j) + 1) AS px FROM pixels), l AS (SELECT (2 ** greatest(2, ceil(ln(px / 4000) / ln(4))))::BIGINT AS k FROM w)
+SELECT i // k AS row, j // k AS col, sum(v)::BIGINT AS v FROM pixels, l GROUP BY 1, 2""")
+def s07(spark, sf_dir, pixels):
+    """A pyramid stored by level, each built of the one below; the level is picked
+    from the window's size before the read, which then lists that folder alone."""
+    side = lambda c: F.max(c) - F.min(c) + 1
+    window = pixels.agg((side("i") * side("j")).alias("px")).first()["px"] or 0
+    level = S.pick_level(0.3, 16, window, 4_000)
+    path = f"{shared_dir(spark)}/pyramid-{uuid.uuid4().hex}"
+    S.write_pyramid(pixels.select(F.col("i").alias("row"), F.col("j").alias("col"), "v"), path, level + 2)
+    return S.at_level(spark.read.parquet(path), level)
 
 
 @q("s08_s14_partitioned_cells", ("*", "px"), "SELECT cell, count(*) AS n, sum(v)::BIGINT AS v FROM px WHERE i % 8 IN (2, 5) GROUP BY cell")

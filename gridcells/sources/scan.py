@@ -71,6 +71,16 @@ def pick_level(cell_km2: float, px_per_cell: float, window_px: int, budget: int,
     return level
 
 
+def write_pyramid(pixels: DataFrame, path: str, n_levels: int) -> None:
+    """row, col, v (sum) of each level, a folder per level; level k + 1 is added up
+    from what level k has stored."""
+    own = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("v").cast("long").alias("v"))
+    for level in range(n_levels):
+        own.write.option("compression", "zstd").parquet(f"{path}/level={level}")
+        below = pixels.sparkSession.read.schema(own.schema).parquet(f"{path}/level={level}")
+        own = below.groupBy(F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col")).agg(F.sum("v").alias("v"))
+
+
 def at_level(pixels: DataFrame, level: int) -> DataFrame:
     return pixels.where(F.col("level") == level).drop("level")
 
