@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridcells.functions import exprs as X
 from gridcells.operators.stats import global_quantiles
-from gridcells.runtime import staged
+from gridcells.runtime import ship, staged
 
 
 def accumulate(film: DataFrame, half_life: float, start, flush: str | None = None, gap: str = "decay", first: bool = False) -> DataFrame:
@@ -46,6 +46,7 @@ def accumulate(film: DataFrame, half_life: float, start, flush: str | None = Non
                 out.append(load)
             yield pa.RecordBatch.from_pydict({"pixel": batch.column("pixel"), "ts": batch.column("ts"), "load": pa.array(out, pa.float64())})
 
+    ship(film.sparkSession)
     rows = series.repartition("pixel").sortWithinPartitions("pixel", "h", "ts")
     return rows.mapInArrow(run, StructType([series.schema["pixel"], series.schema["ts"], StructField("load", DoubleType())]))
 

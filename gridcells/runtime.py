@@ -54,6 +54,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The schema is given to the reader, so an empty result stays readable.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/gridcells-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     spark._gridcells_staged = [*getattr(spark, "_gridcells_staged", []), path]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gridcells.runtime import shared_dir
+from gridcells.runtime import shared_dir, ship
 
 
 def read_stream(spark, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -64,6 +64,7 @@ def accumulate(stream: DataFrame, half_life: float, start_hour: int, late: str =
         state.setTimeoutTimestamp(max((last + idle) * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"pixel": key[0], "ts": rows["ts"], "load": out})
 
+    ship(stream.sparkSession)
     return stream.withWatermark("ts", late).groupBy("pixel").applyInPandasWithState(step, "pixel long, ts timestamp, load double", "last long, load double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
