@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from gridcells.runtime import ship
+
 #: Rows and text bytes that one step inside a task handles at once.
 SLICE_ROWS, SLICE_BYTES = 1024, 16 << 20
 
@@ -45,6 +47,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[d
         for columns in fn(batches):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, arrow.field(k).type) for k, c in ((f.name, columns[f.name]) for f in arrow)], schema=arrow)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, parsed)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 
 from gridcells.llm.batches import slices
 from gridcells.llm.packing import encoder
-from gridcells.runtime import spread, table
+from gridcells.runtime import ship, spread, table
 
 #: Least characters of a segment.
 SEGMENT = 256
@@ -126,6 +126,7 @@ def _counter(tokenizer: str | None):
 def build_trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """All columns of ``docs``, then tree_chars, tree_tokens (which replace
     columns of those names)."""
+    ship(docs.sparkSession)
     base = docs.drop("tree_chars", "tree_tokens")
     names = base.columns
 
@@ -142,6 +143,7 @@ def apply_edits(trees: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``trees`` has text, tree_chars, tree_tokens and edits (array of start,
     end, new; each on the text the one before left). The same columns with text
     and trees after the edits, and n_encoded, the characters encoded for them."""
+    ship(trees.sparkSession)
     base = trees.drop("n_encoded")
     names = base.columns
 
