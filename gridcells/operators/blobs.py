@@ -52,6 +52,21 @@ def blob_boundary(labelled: DataFrame) -> DataFrame:
     return probe.join(labelled.select("blob", F.col("cell").alias("at")), ["blob", "at"], "left_anti").select("blob", "cell", "side")
 
 
+def outline_rings(boundary: DataFrame) -> DataFrame:
+    """blob, cell, side of ``blob_boundary`` with ring_cell and ring_side, the least
+    side of its ring: the outer one or that of a hole. Three cells meet in a corner, so
+    two sides of a blob's boundary or none do, and rings never touch."""
+    i, j = H.axial("cell")
+    near = [H.pack(H.resolution("cell"), i + a, j + b) for a, b in H.NEIGHBOURS]  # in the order in which they go round
+    corner = [F.array_sort(F.array("cell", near[k], near[(k + 1) % 6])) for k in range(6)]  # behind side k
+    ends = F.coalesce(*[F.when(F.col("side") == k, F.array(corner[k - 1], corner[k])) for k in range(6)])
+    sides = staged(boundary.withColumn("node", F.monotonically_increasing_id()), "sides")
+    met = sides.select("blob", "node", F.explode(ends).alias("corner")).groupBy("blob", "corner").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    found = staged(sides.join(connected_components(met.select("a", "b")), "node").drop("node"), "rings")
+    least = found.groupBy("component").agg(F.min(F.struct("cell", "side")).alias("m"))
+    return found.join(least, "component").select("blob", "cell", "side", F.col("m.cell").alias("ring_cell"), F.col("m.side").alias("ring_side"))
+
+
 def dissolve(pieces: DataFrame, zone: str, attrs: Sequence[str]) -> DataFrame:
     """The pieces of each zone (zone, cell, attributes; a cell may come in several
     pieces) as one shape: n_pieces, ncell, n_sides of its outline, and any value of
