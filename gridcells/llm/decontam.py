@@ -41,7 +41,7 @@ from gridcells.llm.batches import map_arrow, slices, utf8
 from gridcells.runtime import spread, staged, table
 
 WINDOW = 10
-#: Words of the items of one automaton, on average (some 250 bytes each in a worker),
+#: Words of the items of one automaton, on average (some 300 bytes each in a worker),
 #: and the most of one piece of an item, by which they are dealt.
 GROUP_WORDS, PIECE_WORDS = 1_000_000, 10_000
 #: Text that a task holds while it goes through several automata.

@@ -13,7 +13,8 @@ A scan sends each distinct key of a document to the filter of its shard, with th
 shuffle that also sorts each filter before its keys, so a task holds one filter and a
 batch of keys, however many there are. Only keys so frequent that they would burden
 their shard (over one HOT_KEYS-th of all, hence at most HOT_KEYS keys) are in a filter
-that all tasks have. The places found go back to the documents in a join.
+that all tasks have. The places found go back to the documents in a join, which Spark does by a broadcast
+below its threshold of size and by a shuffle above.
 
 Edge cases: each row is a document, also if rows or ids repeat; a key in exactly
 min_docs documents (a tie with the threshold) is dropped; null or empty text is one
@@ -45,7 +46,7 @@ SPACES = b" \t\n\v\f\r"
 #: anew at twice as many.
 SHARD_KEYS = 50_000
 #: The most keys of the filter that all tasks have (about 30 bytes each).
-HOT_KEYS = 10_000
+HOT_KEYS = 100_000
 #: Distinct keys that a task counts before it hands them on.
 FLUSH_KEYS = 200_000
 SLOTS, MAX_KICKS = 4, 500
@@ -68,6 +69,22 @@ class CuckooFilter:
         self.prints = np.zeros((size, SLOTS), np.uint16)
         self.keys = np.zeros((size, SLOTS, 2), np.uint64)
 
+    @classmethod
+    def of(cls, keys: np.ndarray) -> CuckooFilter:
+        """Of distinct keys: those that find room in their first bucket at once, the
+        others one by one."""
+        out = cls(len(keys))
+        if not len(keys):
+            return out
+        prints, first, _ = out._where(keys)
+        order = np.argsort(first, kind="stable")
+        nth = np.arange(len(keys)) - np.searchsorted(first[order], first[order])
+        now = order[nth < SLOTS]
+        out.prints[first[now], nth[nth < SLOTS]], out.keys[first[now], nth[nth < SLOTS]] = prints[now], keys[now]
+        for key in keys[order[nth >= SLOTS]]:
+            out.insert(key)
+        return out
+
     def _where(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mask = np.uint64(len(self.prints) - 1)
         prints = (keys[:, 0] >> np.uint64(48)) | np.uint64(1)
@@ -198,6 +215,8 @@ def _filters(old: DataFrame | None, crossed: DataFrame, n_shards: int) -> DataFr
     bounded by SHARD_KEYS on average, since keys are digests."""
 
     def change(held: CuckooFilter | None, delta: pd.DataFrame) -> CuckooFilter:
+        if held is None and delta["add"].all():
+            return CuckooFilter.of(words_of(delta["key"].tolist()))
         held = held or CuckooFilter(len(delta))
         for key, add in zip(words_of(delta["key"].tolist()), delta["add"], strict=True):
             if add:
@@ -248,10 +267,7 @@ def _hot_filter(index: LineIndex) -> CuckooFilter:
     """Of the keys that each make up over one HOT_KEYS-th of all."""
     total = index.refs.agg(F.sum("n_docs")).first()[0] or 0
     keys = [r["key"] for r in _heavy(index.refs, max(index.min_docs, total // HOT_KEYS + 1)).collect()]  # at most HOT_KEYS
-    held = CuckooFilter(len(keys))
-    for key in words_of(keys):
-        held.insert(key)
-    return held
+    return CuckooFilter.of(words_of(keys))
 
 
 def _found(held: CuckooFilter, keys: list[bytes]) -> np.ndarray:
@@ -307,7 +323,9 @@ def dedup_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
             yield {"row": rows[rest], "nth": nth[rest].astype(np.int32), "key": [flat[i] for i in np.flatnonzero(rest)]}
 
     keys = map_arrow(numbered.select(F.col(row).alias("row"), "text"), ask, "row long, nth int, key binary")
-    places = _probed(keys, index).groupBy("row").agg(F.collect_list("nth").alias(gone)).withColumnRenamed("row", row)
+    # written, so Spark knows its size when it chooses the join: texts move only where
+    # the places are too many to go to all tasks
+    places = staged(_probed(keys, index).groupBy("row").agg(F.collect_list("nth").alias(gone)).withColumnRenamed("row", row), "places")
     joined = numbered.join(places, row, "left").select(*base.columns, gone)
     names, schema = base.columns, StructType([*base.schema.fields]).add("n_lines", "long").add("n_dropped", "long")
 

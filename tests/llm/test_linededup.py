@@ -88,6 +88,9 @@ def test_filter_grows_and_deletes():
     for k in keys:
         f.insert(k)
     assert f.contains(keys).all() and len(f.all_keys()) == 3000
+    at_once = L.CuckooFilter.of(keys)
+    assert at_once.contains(keys).all() and len(at_once.all_keys()) == 3000
+    assert L.CuckooFilter.of(keys[:0]).contains(keys).sum() == 0
     for k in keys[:1500]:
         assert f.delete(k)
     assert not f.contains(keys[:1500]).any() and f.contains(keys[1500:]).all()
