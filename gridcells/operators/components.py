@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from gridcells.runtime import staged
 
-#: Edges that a task joins up at once, before it hands their components on.
-BLOCK_EDGES = 1 << 20
+#: Edges that a task joins up at once (some 40 MB), before it hands their components on.
+BLOCK_EDGES = 1 << 18
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,18 +63,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     node of it, the same for all its nodes.
 
     Each round first joins up the edges of every block of a partition, so what is left
-    of a block are stars. If that was one block, they are the answer. Otherwise each
-    node maps to the neighbour (or itself) of least random priority, and the edges
-    contract along that map; random priorities shrink even long paths by a constant
-    factor a round. Edges without a partner (a = b) keep their node. Every round is
+    of a block are stars. If that was one block, or they fit in one, they are the answer.
+    Otherwise each node maps to the neighbour (or itself) of least random priority, and
+    the edges contract along that map; random priorities shrink even long paths by a
+    constant factor a round. Edges without a partner (a = b) keep their node. Every round is
     written to the shared folder.
     """
     rest = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct()
     maps: list[DataFrame] = []
     while True:
-        # without a number, so that small remainders come in few partitions
-        met = staged(_joined_up(rest.repartition("a")), "stars")
-        if met.select("block").distinct().count() <= 1:
+        # in the partitions of ``distinct``, which deal the edges of a hub out
+        met = staged(_joined_up(rest), "stars")
+        n_blocks, n_rows = met.agg(F.count_distinct("block"), F.count("*")).first()
+        if 1 < n_blocks and n_rows <= BLOCK_EDGES:
+            met, n_blocks = staged(_joined_up(met.select("a", "b").coalesce(1)), "stars"), 1
+        if n_blocks <= 1:
             maps.append(met.select(F.col("b").alias("node"), F.col("a").alias("to")))
             break
         ranked = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(maps))).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
