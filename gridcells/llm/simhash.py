@@ -260,12 +260,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, n_words: int =
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, n_words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` without all but the first document of each component. The
-    rows are numbered once, in a written copy."""
+    rows are numbered once, in a written copy; those to go are written too, so Spark
+    knows their size when it chooses the join."""
     row = free_name(docs, "row")
     numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     fps = staged(fingerprints(numbered, n_words, row), "fps")
-    keepers = components(fps, threshold).select(F.col("keeper").alias(row)).distinct()
-    return numbered.join(keepers, row, "left_semi").select(*docs.columns)
+    found = components(fps, threshold).select("fp", "keeper")
+    gone = staged(fps.join(found, "fp").where("row_id <> keeper").select(F.col("row_id").alias(row)), "gone")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op7_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
