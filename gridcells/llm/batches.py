@@ -62,3 +62,10 @@ def free_name(df: DataFrame, name: str) -> str:
 def split_of(doc_id) -> F.Column:
     """crc32 of the id as text, mod 5: remainder 0 marks held-out rows."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of a short ASCII text. The polynomial is a fixed value."""
+    codes = f"list_transform(list_filter(string_split({text}, ''), lambda x: x <> ''), lambda x: ascii(x)::BIGINT)"
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce({codes}, lambda c, b: {bits}, 4294967295::BIGINT), 4294967295)"
