@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from gridcells.llm import decontam, editcount, exactdedup, langid, licenses, linededup, packing, periodic, quality, secrets, simhash, toxicity
+from gridcells.llm import decontam, editcount, exactdedup, langid, licenses, linededup, packing, periodic, quality, repair, secrets, simhash, toxicity
 
 #: Modules with QUERIES and SQL, in the order of the operators. They are imported here
 #: and now, so that a missing library shows where the entry module tries this import.
-MODULES = (packing, linededup, langid, decontam, secrets, editcount, simhash, licenses, toxicity, quality, periodic, exactdedup)
+MODULES = (packing, linededup, langid, decontam, secrets, editcount, simhash, licenses, toxicity, quality, repair, periodic, exactdedup)
 
 
 def queries() -> dict:
