@@ -329,11 +329,11 @@ def recognise(docs: DataFrame) -> DataFrame:
     # an X before each hit: the pieces that begin with one have its number
     pieces = F.split(F.regexp_replace("_marked", pattern, "$1X$2"), "[HS]")
     begins = F.filter(F.transform(pieces, lambda p, i: F.when(p.startswith("X"), i - 1)), lambda i: i.isNotNull())
-    out = out.withColumn("_at", F.when(F.size("_hits") > 0, begins))
+    out = out.withColumn("_at", F.when(F.size("_hits") > 0, begins).otherwise(F.array().cast("array<int>")))
     plain = lambda hit: F.regexp_replace(hit, "[ HS]+", " ")
     name = lambda hit: F.coalesce(F.element_at(lookup, plain(hit)), *[F.when(plain(hit).rlike(e), i) for i, e in starred])
-    found = F.transform("_hits", lambda hit, j: F.struct(F.get(F.col("_at"), j).alias("at"), name(hit).alias("id")))
-    out = out.withColumn("_found", found)
+    # no column of the text's size inside the function: it would be computed for each hit
+    out = out.withColumn("_found", F.zip_with("_hits", "_at", lambda hit, at: F.struct(at.alias("at"), name(hit).alias("id"))))
     # an _ where words that are not known lie before a hit
     gaps = F.when(F.size("_hits") > 0, F.split("_marked", pattern))
     ids = F.zip_with("_found.id", gaps, lambda i, gap: F.concat(F.when(gap.rlike("[a-z0-9]"), F.lit("_ ")).otherwise(F.lit("")), i))

@@ -203,3 +203,18 @@ def test_very_long_text(make_docs):
     rows = L.recognise(make_docs(texts)).orderBy("doc_id").collect()
     assert [r["licenses"] for r in rows] == [[], ["MIT"], [], [], []]
     assert [r["n_sentences"] for r in rows] == [1, 300_001, 1, 1_000_001, 1_000_001]
+
+
+def test_many_sentences_in_one_text(make_docs):
+    """Time grows with the hits, not with their square."""
+    import time
+
+    took = []
+    for n in (20, 5_000, 20_000):  # the first one compiles
+        lines = [L.SENTENCES["mit-ref" if k % 2 else "apache-ref"] + "." for k in range(n)]
+        began = time.time()
+        r = L.recognise(make_docs(["\n".join(lines)])).first()
+        took.append(time.time() - began)
+        assert len(r["sentence_ids"]) >= n and set(r["licenses"]) == {"MIT", "Apache-2.0"}
+        assert r["sentence_at"] == sorted(r["sentence_at"])
+    assert took[2] < 8 * took[1] + 10
