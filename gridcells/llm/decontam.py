@@ -11,8 +11,12 @@ numbers and to code-point offsets of the original text.
 Words of the automaton are written as three characters each, of one alphabet per
 place; words that no item has are one character that no pattern has. A benchmark over
 GROUP_WORDS words is dealt out to several automata, all run in the same pass over the
-texts, one after the other in memory; each is broadcast as words and built in the
-worker, so what is sent and held at once is bounded however large the benchmark is.
+texts, one after the other in memory; each is built once, by a task, and broadcast, so
+what is built, sent and held at once is bounded however large the benchmark is.
+
+Of an item only places with different words around them are kept, and a document's hits
+are merged as they are found: texts and items of a few words, again and again, take time
+and memory by their words, not by the pairs of equal places.
 
 Edge cases: null text has no words; an item without words has no windows; item ids
 are strings here, rows of one id are one item, and so are rows without id, which
@@ -25,6 +29,7 @@ stay, but those named like the added ones, which are replaced.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import uuid
 from collections.abc import Iterator
@@ -33,6 +38,7 @@ from itertools import repeat
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -44,6 +50,8 @@ WINDOW = 10
 #: Words of the items of one automaton, on average (some 300 bytes each in a worker),
 #: and the most of one piece of an item, by which they are dealt.
 GROUP_WORDS, PIECE_WORDS = 1_000_000, 10_000
+#: What a worker remembers of blocks and the words around them: their hits.
+KNOWN = 1 << 16
 #: Text that a task holds while it goes through several automata.
 HOLD_BYTES = 64 << 20
 #: a-z, 0-9 and bytes over 127 stay, A-Z are lowered, all else is a space.
@@ -76,8 +84,9 @@ def pieces(items: DataFrame, window: int, piece_words: int = PIECE_WORDS) -> Dat
 
 
 class Group:
-    """Items under one automaton. ``patterns`` are tuples of word numbers with the
-    places (in ``codes``) where they stand; ``whole`` tells those of short items."""
+    """Items under one automaton. A pattern is a tuple of word numbers; ``at[starts[k]:
+    starts[k + 1]]`` are places (in ``codes``) where pattern k stands, of places with the
+    same words around them in one item only one; ``whole`` tells patterns of short items."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.window, self.block = window, (window + 1) // 2
@@ -99,44 +108,103 @@ class Group:
         base = max(2, int(np.ceil((len(self.vocabulary) + 1) ** (1 / 3))))
         self.spelt = [_OTHER, *("".join(chr(a + d) for a, d in zip(_ALPHABETS, (k // base**2, k // base % base, k % base), strict=True)) for k in range(len(self.vocabulary)))]
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self.length, self.whole, self.places = [], [], []
+        length, whole, kept = [], [], []
         found: dict[str, list[int]] = {}
-        for (whole, *key), at in places.items():
-            found.setdefault("".join(self.spelt[k] for k in key), []).append(len(self.length))
-            self.length.append(len(key))
-            self.whole.append(whole)
-            self.places.append(np.array(at, np.int64))
-        self.patterns = list(found.values())
+        for (short, *key), at in places.items():
+            found.setdefault("".join(self.spelt[k] for k in key), []).append(len(length))
+            length.append(len(key))
+            whole.append(short)
+            kept.append(self._apart(np.array(at, np.int64), len(key)))
+        self.length, self.whole = np.array(length, np.int32), np.array(whole, bool)
+        self.at = np.concatenate([np.zeros(0, np.int64), *kept])
+        self.starts = np.concatenate([[0], np.cumsum([len(x) for x in kept])]).astype(np.int64)
+        # of a spelling the pattern, and a second one where a block and an item are spelt alike
+        self.first = np.array([x[0] for x in found.values()], np.int32)
+        self.second = {i: x[1] for i, x in enumerate(found.values()) if len(x) > 1}
         for i, spelling in enumerate(found):
             self.machine.add_word(spelling, i)
         self.machine.make_automaton()
+        self.known: dict[tuple[int, bytes], tuple] = {}
 
-    def hits(self, text_words: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """(item number, first word, word after the last) of windows found."""
-        if not len(self.machine):
-            return
-        numbers = list(map(self.vocabulary.get, text_words, repeat(0)))
-        spelt = [self.spelt[k] for k in numbers]
-        found = list(self.machine.iter("".join(spelt)))
-        if not found:
-            return
-        ends = np.cumsum([len(x) for x in spelt])
-        padded = np.concatenate([np.zeros(self.window, np.int32), np.array(numbers, np.int32), np.zeros(self.window, np.int32)])
+    def _apart(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Of the places of a block, one of each item and words around it: others are hit
+        alike. So a long item of few words has few places."""
+        if len(at) < 2:
+            return at
+        side = self.window - self.block
+        around = self.codes[at[:, None] + np.arange(-side, length + side)]
+        item = np.searchsorted(self.item_ends, at, "right")
+        return at[np.sort(np.unique(np.column_stack([item, around]), axis=0, return_index=True)[1])]
+
+    def _meets(self, pattern: int, words: np.ndarray) -> tuple[tuple[int, int, int], ...]:
+        """Item, and the words hit to the left and to the right of the block, for the
+        items of which a window covers the block; ``words`` are the block's and ``side``
+        more on either side of it."""
+        at = self.at[self.starts[pattern] : self.starts[pattern + 1]]
+        item = np.searchsorted(self.item_ends, at, "right")
+        if self.whole[pattern]:
+            return tuple((int(i), 0, 0) for i in np.unique(item))
         side = self.window - self.block
-        for end, spelling in found:
-            after = int(np.searchsorted(ends, end)) + 1
-            for pattern in self.patterns[spelling]:
-                places, first = self.places[pattern], after - self.length[pattern]
-                if self.whole[pattern]:
-                    for item in np.unique(np.searchsorted(self.item_ends, places, "right")):
-                        yield int(item), first, after
+        same = self.codes[at[:, None] + np.arange(-side, self.block + side)] == words
+        left = np.cumprod(same[:, :side][:, ::-1], axis=1).sum(1)
+        right = np.cumprod(same[:, side + self.block :], axis=1).sum(1)
+        reach: dict[int, tuple[int, int]] = {}
+        for k in np.flatnonzero(left + right >= side):
+            was = reach.get(int(item[k]), (0, 0))
+            # all of them cover the block, so their union is one run
+            reach[int(item[k])] = max(was[0], int(left[k])), max(was[1], int(right[k]))
+        return tuple((i, a, b) for i, (a, b) in reach.items())
+
+    def hits(self, text_words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(item number, first word, word after the last) of the runs of windows found:
+        merged as they come, so a text of few words, again and again, takes no more memory
+        or time than another one."""
+        if not len(self.machine):
+            return []
+        numbers = np.fromiter(map(self.vocabulary.get, text_words, repeat(0)), np.int32, len(text_words))
+        spelt = list(map(self.spelt.__getitem__, numbers.tolist()))
+        text = "".join(spelt)
+        word_of, padded, side = None, None, self.window - self.block
+        runs: dict[int, list[list[int]]] = {}
+        # of blocks and of short items, what is hit by places one after the other
+        pending: dict[bool, list] = {}
+
+        def put(meets: tuple, first: int, last: int, length: int) -> None:
+            for item, left, right in meets:
+                own, a, b = runs.setdefault(item, []), first - left, last + length + right
+                if own and own[-1][0] <= b and a <= own[-1][1]:
+                    own[-1][:] = min(a, own[-1][0]), max(b, own[-1][1])
+                else:
+                    own.append([a, b])
+
+        for end, spelling in self.machine.iter(text):
+            if word_of is None:
+                word_of = np.repeat(np.arange(len(spelt), dtype=np.int32), np.fromiter(map(len, spelt), np.int64, len(spelt)))
+                padded = np.concatenate([np.zeros(self.window, np.int32), numbers, np.zeros(self.window, np.int32)])
+            for pattern in (int(self.first[spelling]), self.second.get(spelling)):
+                if pattern is None:
+                    continue
+                length, short = int(self.length[pattern]), bool(self.whole[pattern])
+                first = int(word_of[end]) + 1 - length
+                words = padded[:0] if short else padded[self.window + first - side : self.window + first + length + side]
+                key = pattern, words.tobytes()
+                meets = self.known.get(key)
+                if meets is None:
+                    if len(self.known) >= KNOWN:
+                        self.known.clear()
+                    meets = self.known[key] = self._meets(pattern, words)
+                if not meets:
                     continue
-                # words equal to the left and to the right of the block, at most ``side``
-                reach = np.arange(1, side + 1)
-                left = np.cumprod(self.codes[places[:, None] - reach] == padded[self.window + first - reach], axis=1).sum(1)
-                right = np.cumprod(self.codes[places[:, None] + self.block - 1 + reach] == padded[self.window + after - 1 + reach], axis=1).sum(1)
-                for k in np.flatnonzero(left + right >= side):
-                    yield int(np.searchsorted(self.item_ends, places[k], "right")), first - int(left[k]), after + int(right[k])
+                was = pending.get(short)
+                if was and was[0] is meets and first == was[2] + 1:
+                    was[2] = first
+                else:
+                    if was:
+                        put(*was)
+                    pending[short] = [meets, first, first, length]
+        for was in pending.values():
+            put(*was)
+        return [(item, a, b) for item, own in runs.items() for a, b in own]
 
 
 def merged(found: list[tuple[str | None, int, int]]) -> list[tuple[str | None, int, int]]:
@@ -175,8 +243,8 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_words: i
     cut = staged(pieces(items, window), "items")
     n_groups = max(1, -(-(cut.agg(F.sum("n")).first()[0] or 0) // group_words))
     dealt = cut.withColumn("grp", F.pmod(F.xxhash64("item", "words"), F.lit(n_groups)))
-    # one bounded group at a time passes the driver
-    groups = [context.broadcast([(r["item"], r["words"]) for r in dealt.where(F.col("grp") == g).orderBy("item", "words").collect()]) for g in range(n_groups)]
+    # each automaton is built once, by a task; one bounded group at a time passes the driver
+    groups = [context.broadcast(_built(dealt.where(F.col("grp") == g).select("item", "words"), window)) for g in range(n_groups)]
     key = uuid.uuid4().hex if n_groups == 1 else None
     base = docs.drop(*ADDED)
     names, schema = base.columns, StructType([*base.schema.fields, *StructType.fromDDL(", ".join(f"{n} {t}" for n, t in ADDED.items()))])
@@ -189,7 +257,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_words: i
             for g, broadcast in enumerate(groups):
                 if loaded[0] != g:
                     loaded = [None, None]  # the automaton before goes first
-                    loaded = [g, _group(broadcast.value, window, key)]
+                    loaded = [g, _group(broadcast, key)]
                 group, texts = loaded[1], (t for batch in held for t in utf8(batch))
                 for own, text in zip(found, texts, strict=True):
                     own.extend((group.items[i], first, after) for i, first, after in group.hits(words(text)))
@@ -206,18 +274,31 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_words: i
     return base.mapInArrow(run, schema)
 
 
-_BUILT: dict[str, Group] = {}
+def _built(items: DataFrame, window: int) -> bytes:
+    """The automaton of a group of items, made by one task and pickled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist(), strict=True)]
+        rows.sort(key=lambda r: (r[0] is not None, r))
+        yield pa.RecordBatch.from_pydict({"made": pa.array([pickle.dumps(Group(rows, window), 5)], pa.binary())})
+
+    return bytes(items.coalesce(1).mapInArrow(run, "made binary").first()["made"])
+
+
+_LOADED: dict[str, Group] = {}
 
 
-def _group(items: list[tuple[str | None, str]], window: int, key: str | None) -> Group:
-    """A worker keeps the automaton of a benchmark that has one (``key``) for its
-    next tasks."""
-    if key is None:
-        return Group(items, window)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Group(items, window)
-    return _BUILT[key]
+def _group(broadcast: Broadcast, key: str | None) -> Group:
+    """A worker keeps the automaton of a benchmark that has one (``key``) for its next
+    tasks. Of others it keeps none, nor what they are read from."""
+    if key in _LOADED:
+        return _LOADED[key]
+    group = pickle.loads(broadcast.value)
+    vars(broadcast).pop("_value", None)
+    if key is not None:
+        _LOADED.clear()
+        _LOADED[key] = group
+    return group
 
 
 def _held(batches: Iterator[pa.RecordBatch], n_bytes: int) -> Iterator[list[pa.RecordBatch]]:

@@ -104,3 +104,25 @@ def test_odd_rows_and_empty(odd_docs, no_docs, spark):
     assert out.count() == odd_docs.count() and "pos" in out.columns
     assert D.scan(no_docs, items).collect() == []
     assert {len(r["hits"]) for r in D.scan(odd_docs, items.limit(0)).collect()} == {0}
+
+
+def test_repeated_words(make_docs, spark):
+    """A long item and a long text of one word, or of one phrase, again and again."""
+    phrase = " ".join(f"w{k}" for k in range(10))
+    items = spark.createDataFrame([("a", "a " * 10_000), ("p", f"{phrase} " * 1_000), ("z", "a " * 30)], "item_id string, text string")
+    texts = ["a " * 1_000_000, f"{phrase} " * 100_000, "b " + "a " * 9 + "b", "a " * 2_000 + "b " + "a " * 12]
+    rows = D.scan(make_docs(texts), items).orderBy("doc_id").collect()
+    assert [(r["n_hit"], r["item_ids"]) for r in rows] == [(1_000_000, ["a", "z"]), (1_000_000, ["p"]), (0, []), (2_012, ["a", "z"])]
+    assert [tuple(h) for h in rows[0]["hits"]] == [("a", 0, 1_000_000), ("z", 0, 1_000_000)] and len(rows[3]["hits"]) == 4
+    group = D.Group([("a", "a " * 10_000)], 10)
+    assert len(group.at) < 20
+
+
+def test_remembered_hits_are_forgotten(make_docs, spark, monkeypatch):
+    monkeypatch.setattr(D, "KNOWN", 2)
+    rng = random.Random(11)
+    text = " ".join(rng.choices("ab", k=400))
+    items = [(0, " ".join(rng.choices("ab", k=60)))]
+    group = D.Group([("0", items[0][1])], 6)
+    (n, hit, _), = brute([text], items, 6)
+    assert sum(b - a for _, a, b in D.merged([("", a, b) for _, a, b in group.hits(D.words(text.encode()))])) == hit
