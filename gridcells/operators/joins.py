@@ -1,4 +1,4 @@
-"""Joins on cells: equal labels, ring fill, nearest neighbours, polygons."""
+"""Joins on cells: equal labels, ring fill, polygons. ``nearest`` has its own module."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcells.functions import cells as H
-from gridcells.runtime import staged
+from gridcells.operators.nearest import nearest
 
 
 def match_grids(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -23,36 +23,6 @@ def match_grids(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("id").join(best, "id", "left").select("id", F.col("m.b_id").alias("b_id"), F.coalesce("m.how", F.lit(2)).alias("how"), F.col("m.dist").alias("dist"))
 
 
-def nearest(a: DataFrame, b: DataFrame, bucket: float) -> DataFrame:
-    """id, b_id, dist: the true nearest row of ``b`` (id, x, y) for each row of
-    ``a``. Rows meet in the nine buckets of a square lattice around them; what is
-    found within a bucket's width is certain. The rest goes on with buckets of twice
-    the width, until they are wider than both grids. Ties go to the lower b_id; rows
-    without coordinates, or all if ``b`` is empty, get nulls."""
-    whole = lambda df, c, x, y: df.select(F.col("id").alias(c), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y)).dropna(subset=[x, y])
-    other, left = staged(whole(b, "b_id", "bx", "by"), "b"), staged(whole(a, "id", "x", "y"), "a")
-    ends = lambda df, x, y: df.agg(*[f(c) for c in (x, y) for f in (F.min, F.max)]).first()
-    e, f = ends(left, "x", "y"), ends(other, "bx", "by")
-    if e[0] is None or f[0] is None:
-        return a.select("id", F.lit(None).cast(dict(b.dtypes)["id"]).alias("b_id"), F.lit(None).cast("double").alias("dist"))
-    extent = max(max(e[k + 1], f[k + 1]) - min(e[k], f[k]) for k in (0, 2))
-    done, size = None, float(bucket)
-    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    at = lambda c: F.floor(F.col(c) / size).cast("long")  # noqa: E731, B023
-    while True:
-        probe = left.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumns({"gx": at("x") + F.col("dx"), "gy": at("y") + F.col("dy")})
-        met = probe.join(other.withColumns({"gx": at("bx"), "gy": at("by")}), ["gx", "gy"]).withColumn("dist", F.hypot(F.col("bx") - F.col("x"), F.col("by") - F.col("y")))
-        best = met.groupBy("id").agg(F.min(F.struct("dist", "b_id")).alias("m")).select("id", F.col("m.b_id").alias("b_id"), F.col("m.dist").alias("dist"))
-        last = size > extent  # the nine buckets hold all of b
-        sure = staged(best if last else best.where(F.col("dist") <= size), "nearest")
-        done = sure if done is None else done.unionByName(sure)
-        if not last:
-            left = staged(left.join(sure.select("id"), "id", "left_anti"), "a")
-        if last or left.isEmpty():
-            return a.select("id").join(done, "id", "left")
-        size *= 2
-
-
 def own_or_ring(cells: DataFrame, pixels: DataFrame, value: str = "v") -> DataFrame:
     """mean, max, n of the cell's own pixels, else of all pixels of its ring."""
     probe = cells.select("cell", F.explode(H.grid_disk("cell")).alias("at"))

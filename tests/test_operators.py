@@ -177,6 +177,25 @@ def test_nearest_far_away_null_and_empty(spark):
     assert J.nearest(a.limit(0), b, 1.0).collect() == []
 
 
+def test_nearest_of_far_and_clustered_points(spark):
+    """Grids far apart, and clusters of clusters, meet in few boxes a row."""
+    a = spark.range(100_000).selectExpr("id", "id % 316 * 3000D AS x", "id div 316 * 3000D AS y")
+    b = spark.range(100_000).selectExpr("id", "5e7D + id % 316 * 3000D AS x", "1e6D + id div 316 * 3000D AS y")
+    got = J.nearest(a, b, counted=True).selectExpr("count(*) AS n", "count(b_id) AS found", "max(met) AS met", "avg(met) AS mean").first()
+    assert got["n"] == got["found"] == 100_000 and got["mean"] < 100 and got["met"] < 400
+    rng = random.Random(12)
+    points = [(i, 10.0 ** rng.randrange(7) + rng.random() * 10.0 ** rng.randrange(-5, 3), 10.0 ** rng.randrange(7) + rng.random()) for i in range(700)]
+    points += [(1000 + i, 7.0, 7.0) for i in range(50)]
+    b = [(i, x, y) for i, x, y in points if i % 2]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, x double, y double")
+    for fan in (2, 5, 16):
+        got = {r["id"]: (r["b_id"], r["dist"]) for r in J.nearest(frame(points), frame(b), fan).collect()}
+        assert len(got) == len(points)
+        for i, x, y in points:
+            best = min((math.hypot(p[1] - x, p[2] - y), p[0]) for p in b)
+            assert got[i][1] == pytest.approx(best[0], rel=1e-12, abs=1e-12) and (best[0] > 0 or got[i][0] == best[1])
+
+
 def test_points_in_polygons_equal_ray_casting(spark):
     rng = random.Random(10)
     edges, polys = [], {}
