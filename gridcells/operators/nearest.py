@@ -33,12 +33,13 @@ def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     The keys that make up much of ``left``, of which there are few, meet in a broadcast,
     so none gathers in one task; the others in a join that Spark chooses."""
     counts = left.groupBy(key).agg(F.count("*").alias("_n"))
-    total = left.count()
-    hot = staged(counts.where(F.col("_n") > total // HOT_KEYS).select(key), "hot")
-    if hot.isEmpty():
+    total = left.agg(F.count("*").alias("_all"))  # one row
+    hot = [(r[key],) for r in counts.crossJoin(F.broadcast(total)).where(F.col("_n") > F.floor(F.col("_all") / HOT_KEYS)).select(key).collect()]
+    if not hot:
         return left.join(right, key)
-    frequent = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key)
-    return frequent.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
+    keys = left.sparkSession.createDataFrame(hot, left.select(key).schema)
+    frequent = left.join(F.broadcast(right.join(F.broadcast(keys), key, "left_semi")), key)
+    return frequent.unionByName(left.join(F.broadcast(keys), key, "left_anti").join(right, key))
 
 
 def hilbert(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
@@ -55,9 +56,9 @@ def hilbert(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
     return place
 
 
-def along_curve(points: DataFrame) -> DataFrame:
+def along_curve(points: DataFrame) -> tuple[DataFrame, int]:
     """``points`` (b_id, bx, by) with ``place``, their numbers along the curve, from 0
-    without gaps."""
+    without gaps, and how many there are."""
     low_x, high_x, low_y, high_y = points.agg(*[f(c) for c in ("bx", "by") for f in (F.min, F.max)]).first()
     side = max(high_x - low_x, high_y - low_y) or 1.0
 
@@ -76,7 +77,7 @@ def along_curve(points: DataFrame) -> DataFrame:
     spark = points.sparkSession
     ship(spark)
     fields = f"b_id {dict(points.dtypes)['b_id']}, bx double, by double"
-    keys = staged(points.select("b_id", "bx", "by").mapInArrow(keyed, f"{fields}, key long"), "keys")
+    keys = points.select("b_id", "bx", "by").mapInArrow(keyed, f"{fields}, key long")
     ordered = keys.repartitionByRange(shuffle_partitions(spark), "key", "bx", "by").sortWithinPartitions("key", "bx", "by")
     rows = staged(ordered.mapInArrow(numbered, f"{fields}, part long, own long"), "curve")
     # a number for each range partition
@@ -86,25 +87,27 @@ def along_curve(points: DataFrame) -> DataFrame:
         base.append((part, before))
         before += n
     bases = spark.createDataFrame(base, "part long, base long")
-    return rows.join(F.broadcast(bases), "part").select("b_id", "bx", "by", (F.col("base") + F.col("own")).alias("place"))
+    return rows.join(F.broadcast(bases), "part").select("b_id", "bx", "by", (F.col("base") + F.col("own")).alias("place")), before
 
 
 _BOX = [("w", F.array_min, "bx"), ("e", F.array_max, "bx"), ("s", F.array_min, "by"), ("n", F.array_max, "by")]
 
 
-def tree(points: DataFrame, fan: int) -> list[DataFrame]:
-    """The levels of the tree from its leaves up: ``node`` and its children, which are
-    structs of b_id, bx, by in a leaf and of child, w, e, s, n above. The last has one."""
-    rows = along_curve(points)
+def tree(points: DataFrame, fan: int) -> list[tuple[DataFrame, int]]:
+    """The levels of the tree from its leaves up, each with its number of nodes: ``node``
+    and its children, which are structs of b_id, bx, by in a leaf and of child, w, e, s, n
+    above. The last has one. Levels that do not fit in a broadcast are written."""
+    rows, n = along_curve(points)
+    n = -(-n // fan)
     leaf = rows.groupBy(F.expr(f"place div {fan}").alias("node")).agg(F.collect_list(F.struct("b_id", "bx", "by")).alias("children"))
-    levels = [staged(leaf, "level")]
-    while True:
+    levels = [(staged(leaf, "level"), n)]
+    while n > 1 or len(levels) == 1:
         sides = [(name, of, point if len(levels) == 1 else name) for name, of, point in _BOX]
-        boxes = levels[-1].select(F.col("node").alias("child"), *[of(F.col(f"children.{c}")).alias(name) for name, of, c in sides])
+        boxes = levels[-1][0].select(F.col("node").alias("child"), *[of(F.col(f"children.{c}")).alias(name) for name, of, c in sides])
         up = boxes.groupBy(F.expr(f"child div {fan}").alias("node")).agg(F.collect_list(F.struct("child", "w", "e", "s", "n")).alias("children"))
-        levels.append(staged(up, "level"))
-        if levels[-1].count() <= 1:
-            return levels
+        n = -(-n // fan)
+        levels.append((staged(up, "level") if n > HOT_KEYS else up, n))
+    return levels
 
 
 def _square(v: Column) -> Column:
@@ -139,21 +142,22 @@ def nearest(a: DataFrame, b: DataFrame, fan: float = 16, counted: bool = False)
         return none.withColumn("met", F.lit(0).cast("long")) if counted else none
     levels = tree(points, fan)
     rows = staged(whole(a, "id", "x", "y").withColumns({"row": F.monotonically_increasing_id(), "node": F.lit(0).cast("long"), "met": F.lit(0).cast("long")}), "a")
-    for level in reversed(levels[1:]):
-        met = hot_join(rows, level, "node")
 
-        def judged(child: Column) -> Column:
-            low, within = bounds(F.col("x"), F.col("y"), child)
-            return F.struct(low.alias("low"), within.alias("within"), child["child"].alias("child"))
+    def down(level: DataFrame, n: int) -> DataFrame:
+        return rows.join(F.broadcast(level), "node") if n <= HOT_KEYS else hot_join(rows, level, "node")
 
-        own = met.withColumn("to", F.transform("children", judged)).groupBy("row").agg(
-            F.first("id").alias("id"), F.first("x").alias("x"), F.first("y").alias("y"), F.first("met").alias("was"),
-            F.min(F.array_min(F.col("to.within"))).alias("bound"), F.flatten(F.collect_list("to")).alias("to"),
+    for level in reversed(levels[1:]):
+        met = down(*level)
+        low, within = bounds(F.col("x"), F.col("y"), F.col("to"))
+        each = met.withColumn("to", F.explode("children")).select("row", "id", "x", "y", "met", low.alias("low"), within.alias("within"), F.col("to.child").alias("child"))
+        own = each.groupBy("row").agg(
+            F.first("id").alias("id"), F.first("x").alias("x"), F.first("y").alias("y"), (F.first("met") + F.count("*")).alias("met"),
+            F.min("within").alias("bound"), F.collect_list(F.struct("low", "child")).alias("to"),
         )
-        left = own.withColumn("left", F.filter("to", lambda t: t["low"] <= F.col("bound") * (1 + SLACK)))
-        rows = staged(left.select("row", "id", "x", "y", (F.col("was") + F.size("to")).alias("met"), F.explode("left.child").alias("node")), "a")
-    met = hot_join(rows, levels[0], "node")
-    near = F.transform("children", lambda p: F.struct(F.hypot(p["bx"] - F.col("x"), p["by"] - F.col("y")).alias("dist"), p["b_id"].alias("b_id")))
-    best = met.withColumn("near", near).groupBy("row").agg(F.first("id").alias("id"), F.min(F.array_min("near")).alias("m"), (F.first("met") + F.sum(F.size("near"))).alias("met"))
+        left = F.filter("to", lambda t: t["low"] <= F.col("bound") * (1 + SLACK))
+        rows = staged(own.select("row", "id", "x", "y", "met", F.explode(left).alias("to")).select("row", "id", "x", "y", "met", F.col("to.child").alias("node")), "a")
+    met = down(*levels[0])
+    each = met.withColumn("to", F.explode("children")).select("row", "id", "met", F.struct(F.hypot(F.col("to.bx") - F.col("x"), F.col("to.by") - F.col("y")).alias("dist"), F.col("to.b_id").alias("b_id")).alias("near"))
+    best = each.groupBy("row").agg(F.first("id").alias("id"), F.min("near").alias("m"), (F.first("met") + F.count("*")).alias("met"))
     found = best.select("id", F.col("m.b_id").alias("b_id"), F.col("m.dist").alias("dist"), *(["met"] if counted else []))
     return a.select("id").join(found, "id", "left")
