@@ -1,4 +1,5 @@
-"""Joins on cells: equal labels, ring fill, polygons. ``nearest`` has its own module."""
+"""Joins on cells: equal labels, ring fill, polygons. ``nearest`` and
+``polygon_hits`` have modules of their own."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcells.functions import cells as H
+from gridcells.operators.cover import polygon_hits
 from gridcells.operators.nearest import nearest
 
 
@@ -72,37 +74,6 @@ def at_levels(df: DataFrame, level: str, levels: Sequence[int]) -> DataFrame:
     return df.withColumn("lvl", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x <= F.col(level))))
 
 
-def boxes_of(edges: DataFrame) -> DataFrame:
-    """poly, xmin, ymin, xmax, ymax, n_edges."""
-    low, high = (lambda c: F.min(F.least(f"{c}0", f"{c}1"))), (lambda c: F.max(F.greatest(f"{c}0", f"{c}1")))
-    return edges.groupBy("poly").agg(low("x").alias("xmin"), low("y").alias("ymin"), high("x").alias("xmax"), high("y").alias("ymax"), F.count("*").alias("n_edges"))
-
-
-#: The most rows that a polygon's edges are sorted into.
-POLYGON_ROWS = 4096
-
-
-def polygon_hits(points: DataFrame, edges: DataFrame, cell: float = 8.0) -> DataFrame:
-    """(point id, poly) of points inside polygons: parity of ray crossings over the
-    edges (poly, x0, y0, x1, y1), a vertex counting once. Points meet boxes first, in
-    square cells, then of each polygon whose box holds them the edges of their row,
-    of as many rows as the polygon has edges; so a point sees few edges of few
-    polygons, whatever else lies at its height."""
-    boxes = boxes_of(edges)
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    spread = boxes.withColumn("gx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("gy", F.explode(F.sequence(at("ymin"), at("ymax"))))
-    n_rows = F.least(F.col("n_edges"), F.lit(POLYGON_ROWS))
-    row = lambda y: F.floor((y - F.col("ymin")) * n_rows / (F.col("ymax") - F.col("ymin"))).cast("long")
-    near = points.select("id", "x", "y", at("x").alias("gx"), at("y").alias("gy")).join(spread, ["gx", "gy"])
-    near = near.where("x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax AND ymin < ymax").select("id", "x", "y", "poly", row(F.col("y")).alias("row"))
-    sorted_edges = edges.where("y0 <> y1").join(boxes, "poly").withColumn("row", F.explode(F.sequence(row(F.least("y0", "y1")), row(F.greatest("y0", "y1")))))
-    met = near.join(sorted_edges.select("poly", "row", "x0", "y0", "x1", "y1"), ["poly", "row"])
-    spans = (F.col("y0") <= F.col("y")) != (F.col("y1") <= F.col("y"))
-    cross = F.col("x0") + (F.col("y") - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0"))
-    crossed = met.where(spans & (F.col("x") < cross))
-    return crossed.groupBy("id", "poly").agg(F.count("*").alias("n")).where("n % 2 = 1").select("id", "poly")
-
-
 def polyfill(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """cell, poly of cells (cell, x, y of the centre) in a polygon; a cell that
     two polygons claim goes to the lower id."""

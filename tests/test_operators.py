@@ -12,7 +12,7 @@ from gridcells import runtime
 from gridcells.functions import cells as H
 from gridcells.operators import blobs as B
 from gridcells.operators import change as C
-from gridcells.operators import components
+from gridcells.operators import components, cover
 from gridcells.operators import fold as O
 from gridcells.operators import joins as J
 from gridcells.operators import member as G
@@ -212,6 +212,39 @@ def test_points_in_polygons_equal_ray_casting(spark):
         assert {(r["id"], r["poly"]) for r in J.polygon_hits(*df, cell).collect()} == want
 
 
+def test_large_covers_meet_points_in_a_join(spark, monkeypatch):
+    monkeypatch.setattr(cover, "SMALL_COVER", 0)
+    edges = [(k, *e) for k in range(3) for e in ((k, 0.0, k + 10.0, 0.0), (k + 10.0, 0.0, k + 10.0, 10.0), (k + 10.0, 10.0, k, 10.0), (k, 10.0, k, 0.0))]
+    points = [(i, i % 20 - 3 + 0.5, i // 20 - 2 + 0.25) for i in range(300)]
+    frames = spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame([(k, *map(float, e)) for k, *e in edges], "poly long, x0 double, y0 double, x1 double, y1 double")
+    assert {(r["id"], r["poly"]) for r in J.polygon_hits(*frames).collect()} == {(i, k) for i, x, y in points for k in range(3) if k < x < k + 10 and 0 < y < 10}
+
+
+def test_covers_follow_the_size_of_polygons(spark):
+    """In degrees, in metres and of all sizes at once: equal answers, small covers."""
+    rng = random.Random(13)
+    shapes = {}
+    for k in range(9):
+        size, n = 10.0 ** (k - 4), (4, 7, 60)[k % 3]
+        cx, cy = rng.uniform(-60, 60), rng.uniform(-60, 60)
+        shapes[k] = [(cx + size * (0.3 + rng.random()) * math.cos(2 * math.pi * i / n), cy + size * (0.3 + rng.random()) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    shapes[20] = [(0.0, 0.0), (64.0, 0.0), (64.0, 64.0), (0.0, 64.0)]  # along the borders of cells
+    points = []
+    for k, ring in shapes.items():
+        x, y, reach = ring[0][0], ring[0][1], max(abs(p[0] - ring[0][0]) for p in ring) or 1.0
+        points += [(1000 * k + i, x + rng.uniform(-2, 2) * reach, y + rng.uniform(-2, 2) * reach) for i in range(60)]
+    points += [(90_000 + i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (64, 64), (32, 0), (0, 32), (64, 32), (32, 64), (16, 16)])]
+    for scale in (1.0, 111_320.0, 1e-3):
+        edges = [(k, *(c * scale for c in (*p, *q))) for k, ring in shapes.items() for p, q in zip(ring, ring[1:] + ring[:1])]
+        own = [(i, x * scale, y * scale) for i, x, y in points]
+        frames = spark.createDataFrame(own, "id long, x double, y double"), spark.createDataFrame(edges, "poly long, x0 double, y0 double, x1 double, y1 double")
+        want = {(i, k) for i, x, y in own for k in shapes if sum(((e[2] <= y) != (e[4] <= y)) and x < e[1] + (y - e[2]) * (e[3] - e[1]) / (e[4] - e[2]) for e in edges if e[0] == k) % 2}
+        assert {(r["id"], r["poly"]) for r in J.polygon_hits(*frames).collect()} == want
+        sizes = cover.covers(frames[1]).groupBy("poly").agg(F.count("*").alias("n"), F.count_if("inner").alias("inner")).collect()
+        assert len(sizes) == len(shapes) and max(r["n"] for r in sizes) <= 18 * 18
+        assert sum(r["inner"] for r in sizes) > 0
+
+
 def test_components_over_blocks(spark, monkeypatch):
     """Paths, stars and cycles cut into many blocks."""
     monkeypatch.setattr(components, "BLOCK_EDGES", 40)
