@@ -4,51 +4,91 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from gridcells.functions import exprs as X
 from gridcells.operators.stats import global_quantiles
-from gridcells.runtime import ship, staged
+from gridcells.runtime import ship, shuffle_partitions, staged
 
 
 def accumulate(film: DataFrame, half_life: float, start, flush: str | None = None, gap: str = "decay", first: bool = False) -> DataFrame:
     """pixel, ts, load of ``film`` (pixel, ts, x and, if named, a flush factor):
     each hour ``load = flush * (a * load + (1 - a) * x)`` with a = 2^(-1/half).
     Hours without a row decay the load (``gap="hold"`` keeps it); the hour
-    ``start`` itself adds nothing unless ``first``. Pixels are dealt to partitions and
-    sorted by time, and a task carries one load from row to row, so series of any
-    length take one pass."""
+    ``start`` itself adds nothing unless ``first``. From a null on, loads are null.
+
+    A row maps the load before it to ``m * load + c``, and such maps compose. Rows lie in
+    range partitions by pixel and hour, which may cut a series anywhere; a task composes
+    the maps of its rows by doubling, in arrays, so each row is written with its map of
+    the load at the partition's border. The driver adds up one map for each partition,
+    and a column expression puts the loads in."""
     a = 2 ** (-1 / half_life)
+    spark = film.sparkSession
     fl = F.col(flush) if flush else F.lit(1.0)
-    hour = (F.unix_timestamp("ts") / 3600).cast("long")
+    hour = F.floor(F.unix_timestamp("ts") / 3600).cast("long")
     series = film.select("pixel", "ts", hour.alias("h"), F.col("x").cast("double").alias("x"), fl.cast("double").alias("fl"))
-    start_hour = (F.unix_timestamp(F.lit(start).cast("timestamp")) / 3600).cast("long")
-    begin = film.sparkSession.range(1).select(start_hour.alias("h")).first()["h"]
+    begin = spark.range(1).select(F.floor(F.unix_timestamp(F.lit(start).cast("timestamp")) / 3600).cast("long").alias("h")).first()["h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pixel, last, load = None, begin, 0.0
+        part, n, last, hour_before, carry = TaskContext.get().partitionId(), 0, None, None, None
         for batch in batches:
-            out = []
-            for p, h, x, f in zip(*(batch.column(c).to_pylist() for c in ("pixel", "h", "x", "fl")), strict=True):
-                if p != pixel:
-                    pixel, last, load = p, begin, 0.0
-                if x is None or f is None or load is None:
-                    load = None
-                else:
-                    kept = load * (a ** (h - last) if gap == "decay" else a if h > last else 1.0)
-                    load = f * (kept + (1 - a) * x)
-                if h <= begin and not first:
-                    load = 0.0
-                last = h
-                out.append(load)
-            yield pa.RecordBatch.from_pydict({"pixel": batch.column("pixel"), "ts": batch.column("ts"), "load": pa.array(out, pa.float64())})
-
-    ship(film.sparkSession)
-    rows = series.repartition("pixel").sortWithinPartitions("pixel", "h", "ts")
-    return rows.mapInArrow(run, StructType([series.schema["pixel"], series.schema["ts"], StructField("load", DoubleType())]))
+            if not batch.num_rows:
+                continue
+            x, f = (pc.fill_null(batch.column(c), float("nan")).to_numpy() for c in ("x", "fl"))
+            h = batch.column("h").to_numpy()
+            pixel = batch.column("pixel")
+            ids = pc.fill_null(pc.index_in(pixel, pc.unique(pixel)), -1).to_numpy(zero_copy_only=False)
+            same = np.append(n > 0 and pixel[0].as_py() == last, ids[1:] == ids[:-1])
+            gaps = h - np.append(h[0] if hour_before is None else hour_before, h[:-1])
+            kept = np.where(gaps > 0, a, 1.0) if gap == "hold" else a ** np.maximum(gaps, 0).astype(float)
+            # a series begins with no load; only what the partition's first one begins with
+            # is not known here
+            m = np.where(same, f * kept, 0.0)
+            if carry is None:
+                m[0] = f[0]
+            c = f * (1 - a) * x
+            if not first:
+                m, c = np.where(h <= begin, 0.0, m), np.where(h <= begin, 0.0, c)
+            m, c = composed(m, c)
+            if carry is not None:
+                m, c = m * carry[0], np.where(m == 0, c, c + m * carry[1])
+            carry, last, hour_before = (m[-1], c[-1]), pixel[-1].as_py(), h[-1]
+            yield pa.RecordBatch.from_pydict({"pixel": pixel, "ts": batch.column("ts"), "h": batch.column("h"), "m": m, "c": c, "part": np.full(len(m), part), "own": np.arange(n, n + len(m))})
+            n += len(m)
+
+    ship(spark)
+    rows = series.repartitionByRange(shuffle_partitions(spark), "pixel", "h", "ts").sortWithinPartitions("pixel", "h", "ts")
+    fields = [StructField(n, t()) for n, t in (("h", LongType), ("m", DoubleType), ("c", DoubleType), ("part", LongType), ("own", LongType))]
+    maps = staged(rows.mapInArrow(run, StructType([series.schema["pixel"], series.schema["ts"], *fields])), "maps")
+    ends = maps.groupBy("part").agg(F.min_by(F.struct("pixel", "h"), "own").alias("head"), F.max_by(F.struct("pixel", "h", "m", "c"), "own").alias("tail")).orderBy("part")
+    carried, before = [], None
+    for part, head, tail in ends.collect():  # a row for each partition
+        load = 0.0
+        if before and before["pixel"] == head["pixel"]:
+            passed = head["h"] - before["h"]
+            load = before["load"] * ((a if passed > 0 else 1.0) if gap == "hold" else a**passed)
+        carried.append((part, load))
+        before = {"pixel": tail["pixel"], "h": tail["h"], "load": tail["c"] + (tail["m"] * load if tail["m"] else 0.0)}
+    given = spark.createDataFrame(carried, "part long, given double")
+    load = F.when(F.col("m") == 0, F.col("c")).otherwise(F.col("c") + F.col("m") * F.col("given"))
+    return maps.join(F.broadcast(given), "part").select("pixel", "ts", F.nanvl(load, F.lit(None).cast("double")).alias("load"))
+
+
+def composed(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maps x -> m x + c, each after all before it, by doubling; one whose m is 0
+    forgets what was before."""
+    m, c, reach = m.copy(), c.copy(), 1
+    while reach < len(m):
+        c[reach:] = np.where(m[reach:] == 0, c[reach:], c[reach:] + m[reach:] * c[:-reach])
+        m[reach:] = np.where(m[reach:] == 0, 0.0, m[reach:] * m[:-reach])
+        reach *= 2
+    return m, c
 
 
 def excess(value: Column, threshold: float, wind: Column | None = None, vent: float = 0.0) -> Column:

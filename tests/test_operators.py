@@ -98,6 +98,36 @@ def test_accumulator_with_a_missing_hour(spark):
         assert max(abs(x - y) for x, y in zip(got, loads)) < 1e-9
 
 
+@pytest.mark.parametrize("gap", ["decay", "hold"])
+def test_accumulator_over_many_partitions(spark, gap):
+    """One series cut by every partition, short ones around it, nulls and gaps."""
+    rng = random.Random(14)
+    rows = [(7, h, rng.uniform(0, 9), rng.choice([1.0, 1.0, 0.3, 0.0])) for h in range(-3, 900) if rng.random() < 0.8]
+    rows += [(p, h, float(p + h), 0.5) for p in (1, 2, 8, 9) for h in range(5)]
+    rows += [(10, h, None if h == 3 else 1.0, 1.0) for h in range(-2, 6)]
+    at = lambda h: datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(hours=h)
+    want, a = {}, 2 ** (-1 / 5)
+    for pixel in {r[0] for r in rows}:
+        last, load = 0, 0.0
+        for _, h, x, fl in sorted(r for r in rows if r[0] == pixel):
+            passed = max(h - last, 0)
+            kept = None if load is None else load * (a**passed if gap == "decay" else a if passed else 1.0)
+            load = 0.0 if h <= 0 else None if x is None or kept is None else fl * (kept + (1 - a) * x)
+            last = h
+            want[pixel, at(h)] = load
+    film = spark.createDataFrame([(p, at(h), x, fl) for p, h, x, fl in rows], "pixel long, ts timestamp, x double, fl double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = C.accumulate(film, 5.0, "2024-01-01 00:00:00", "fl", gap)
+        got = {(r["pixel"], r["ts"].astimezone(datetime.timezone.utc)): r["load"] for r in out.collect()}
+        again = C.accumulate(film.repartition(1), 5.0, "2024-01-01 00:00:00", "fl", gap).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and again == len(want)
+    assert all((v is None) == (got[k] is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in want.items())
+    assert C.accumulate(film.limit(0), 5.0, "2024-01-01 00:00:00", "fl", gap).collect() == []
+
+
 def test_partials_equal_one_shot(spark):
     rows = spark.range(500).select((F.col("id") % 9).alias("cell"), (F.col("id") % 4).alias("tile"), (F.col("id") * 7 % 31).alias("v"))
     tiles = O.fold(rows, ["tile", "cell"], O.sums(["v"]))
