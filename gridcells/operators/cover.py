@@ -19,7 +19,8 @@ from gridcells.runtime import staged
 
 #: The most rows that a polygon's edges are sorted into.
 POLYGON_ROWS = 4096
-#: Rows of a cover (some 100 bytes each) up to which it is broadcast.
+#: Rows of covers, and of edges by strips (some 100 bytes each), up to which they are
+#: broadcast.
 SMALL_COVER = 50_000
 #: Rounding of cell numbers: an edge this near to a border, in widths, passes both cells.
 EDGE_SLACK = 1e-7
@@ -114,6 +115,9 @@ def polygon_hits(points: DataFrame, edges: DataFrame, side: float = 16) -> DataF
         spans = (e["y0"] <= y) != (e["y1"] <= y)
         return spans & (x < e["x0"] + (y - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"]))
 
-    tested = hot_join(staged(near, "near"), strips, "strip").where(F.size(F.filter("edges", crossed)) % 2 == 1)
+    # the most places that edges have in strips
+    places = boxes.agg(F.sum(F.col("n_edges") * n_rows)).first()[0]
+    tested = near.join(F.broadcast(strips), "strip") if places <= SMALL_COVER else hot_join(staged(near, "near"), strips, "strip")
+    tested = tested.where(F.size(F.filter("edges", crossed)) % 2 == 1)
     return met.where("inner").select("id", "poly").unionByName(tested.select("id", "strip.poly"))
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from gridcells.operators.change import composed
 from gridcells.runtime import shared_dir, ship
 
 
@@ -21,13 +24,31 @@ def read_stream(spark, path: str, schema, files_per_batch: int | None = None) ->
     return reader.parquet(path)
 
 
+#: Keeps state in local RocksDB instances with changes logged to the checkpoint, so it is
+#: not bounded by the memory of executors.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in this block keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
     """Everything available goes through to parquet in the shared folder. A run with
     the ``base`` of an earlier one takes up its state and adds to its table."""
     spark = stream.sparkSession
     base = base or f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    with state_store(spark):
+        query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -38,34 +59,56 @@ def hourly_fold(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     return hours.agg(F.sum("cents").alias("cents"), F.count("*").alias("n")).select("pixel", F.col("w.start").alias("ts"), "cents", "n")
 
 
-def accumulate(stream: DataFrame, half_life: float, start_hour: int, late: str = "2 hours", idle_half_lives: int = 200) -> DataFrame:
-    """pixel, ts, load: the accumulator's recurrence with (last hour, load) kept
-    per pixel between batches. Rows (pixel, ts, x, fl) may come in any order within a
-    batch; one whose hour a batch before has passed already is late and left out, as
-    its load is part of what was handed on. The state of a pixel without rows for
-    ``idle_half_lives`` is dropped, when nothing of its load is left in a double."""
-    a, idle = 2 ** (-1 / half_life), int(half_life * idle_half_lives)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class Accumulator(StatefulProcessor):
+    """The accumulator's recurrence with (last hour, load) kept per pixel between batches.
+    A timer in event time clears the state of a pixel that has long been silent."""
+
+    def __init__(self, half_life: float, start_hour: int, idle_hours: int):
+        self.a, self.start, self.idle = 2 ** (-1 / half_life), start_hour, idle_hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("load", "last long, load double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        h = own["ts"].astype("datetime64[s]").astype("int64").to_numpy() // 3600
+        known = self.state.exists()
+        last, load = self.state.get() if known else (self.start, 0.0)
+        if known:
+            # hours that were handed on are closed
+            own, h = own[h > last], h[h > last]
+        if not len(h):
             return
-        rows = pd.concat(list(parts)).sort_values("ts")
-        rows["h"] = rows["ts"].astype("datetime64[s]").astype("int64") // 3600
-        last, load = state.get if state.exists else (start_hour, 0.0)
-        if state.exists:
-            rows = rows[rows["h"] > last]
-        out = []
-        for h, x, fl in zip(rows["h"].tolist(), rows["x"], rows["fl"], strict=True):
-            load = 0.0 if h <= start_hour else fl * (load * a ** (h - last) + (1 - a) * x)
-            last = h
-            out.append(load)
-        state.update((last, load))
-        state.setTimeoutTimestamp(max((last + idle) * 3_600_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"pixel": key[0], "ts": rows["ts"], "load": out})
+        fl = own["fl"].to_numpy(float)
+        m = fl * self.a ** np.maximum(np.diff(h, prepend=last), 0).astype(float)
+        c = fl * (1 - self.a) * own["x"].to_numpy(float)
+        m, c = composed(np.where(h <= self.start, 0.0, m), np.where(h <= self.start, 0.0, c))
+        loads = np.where(m == 0, c, c + m * load)
+        self.state.update((int(h[-1]), float(loads[-1])))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max((int(h[-1]) + self.idle) * 3_600_000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({"pixel": key[0], "ts": own["ts"], "load": loads})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
+
+
+def accumulate(stream: DataFrame, half_life: float, start_hour: int, late: str = "2 hours", idle_half_lives: int = 200) -> DataFrame:
+    """pixel, ts, load of rows (pixel, ts, x, fl), which may come in any order within a
+    batch; one whose hour a batch before has passed already is late and left out, as its
+    load is part of what was handed on. The state of a pixel without rows for
+    ``idle_half_lives`` is dropped, when nothing of its load is left in a double. Needs the
+    state store of ROCKSDB, which ``run_to_table`` sets."""
     ship(stream.sparkSession)
-    return stream.withWatermark("ts", late).groupBy("pixel").applyInPandasWithState(step, "pixel long, ts timestamp, load double", "last long, load double", "append", GroupStateTimeout.EventTimeTimeout)
+    processor = Accumulator(half_life, start_hour, int(half_life * idle_half_lives))
+    rows = stream.withWatermark("ts", late).groupBy("pixel")
+    return rows.transformWithStateInPandas(processor, "pixel long, ts timestamp, load double", "Append", "EventTime")
 
 
 def match(model: DataFrame, radar: DataFrame, late: str = "2 hours") -> DataFrame:

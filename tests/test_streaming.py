@@ -30,3 +30,26 @@ def test_late_rows_are_left_out(spark, tmp_path):
     a = 0.5 * 8
     b = a * 0.25 + 0.5 * 4
     assert got == {(1, 1): a, (1, 3): b, (1, 4): b * 0.5 + 1.0, (2, 4): 1.0}
+
+
+def test_a_timer_drops_the_state_of_silent_pixels(spark, tmp_path):
+    """A pixel that comes back after its timer begins anew; each batch is a run of its
+    own, which takes up state and timers from the checkpoint."""
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    schema, start = "pixel long, ts timestamp, x double, fl double", int(datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).timestamp()) // 3600
+    batches = [[(1, at(1), 8.0, 1.0), (2, at(1), 8.0, 1.0)], [(2, at(20), 0.0, 1.0)], [(2, at(30), 0.0, 1.0)], [(1, at(31), 0.0, 1.0), (2, at(31), 0.0, 1.0)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "feed"))
+        stream = R.read_stream(spark, str(tmp_path / "feed"), schema)
+        out = R.run_to_table(R.accumulate(stream, 1.0, start, late="1 hours", idle_half_lives=15), "timer", base=str(tmp_path / "load"))
+    got = {(r["pixel"], int((r["ts"] - at(0)).total_seconds()) // 3600): r["load"] for r in out.collect()}
+    assert got[1, 1] == 4.0 and got[2, 20] == 4.0 * 0.5**19
+    assert got[1, 31] == 0.0  # 4 * 0.5 ** 30 if its state were there
+    assert got[2, 31] == got[2, 30] * 0.5 > 0
+
+
+def test_state_is_kept_in_rocksdb(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with R.state_store(spark):
+        assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
