@@ -1,14 +1,12 @@
 """Queries of the scan family (S*, M*, X2, R1)."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from gridcells.functions import exprs as X
 from gridcells.operators.stats import global_quantiles
 from gridcells.plans.book import Book
 from gridcells.plans.views import PARENT_SQL, parent_of
-from gridcells.runtime import shared_dir
+from gridcells.runtime import scratch
 from gridcells.sources import scan as S
 
 BOOK = Book()
@@ -66,7 +64,7 @@ def s07(spark, sf_dir, pixels):
     side = lambda c: F.max(c) - F.min(c) + 1
     window = pixels.agg((side("i") * side("j")).alias("px")).first()["px"] or 0
     level = S.pick_level(0.3, 16, window, 4_000)
-    path = f"{shared_dir(spark)}/pyramid-{uuid.uuid4().hex}"
+    path = scratch(spark, "pyramid")
     S.write_pyramid(pixels.select(F.col("i").alias("row"), F.col("j").alias("col"), "v"), path, level + 2)
     return S.at_level(spark.read.parquet(path), level)
 
@@ -74,7 +72,7 @@ def s07(spark, sf_dir, pixels):
 @q("s08_s14_partitioned_cells", ("*", "px"), "SELECT cell, count(*) AS n, sum(v)::BIGINT AS v FROM px WHERE i % 8 IN (2, 5) GROUP BY cell")
 def s08(spark, sf_dir, px):
     """Written by coarse cell, sorted by cell, zstd; read back by partition."""
-    path = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    path = scratch(spark, "cells")
     S.write_table(px.withColumn("h0", F.col("i") % 8).select("cell", "v", "h0"), path, ["h0"], ["cell"])
     return spark.read.parquet(path).where(F.col("h0").isin(2, 5)).groupBy("cell").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
 
@@ -96,7 +94,7 @@ def s10(items):
 @q("s11_s13_tiles", ("*", "px"), "SELECT cell, sum(v)::BIGINT AS v, count(*) AS n FROM px WHERE ok AND cls < 12 GROUP BY cell")
 def s11(spark, sf_dir, px):
     """Tiles written apart and merged; a tile without valid pixels has only keys."""
-    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    path = scratch(spark, "tiles")
     for k in (0, 1):
         own = px.where((F.col("id") % 2 == k) & F.col("ok") & (F.col("cls") < 12)).groupBy("cell").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
         S.write_table(own, f"{path}/tile={k}")

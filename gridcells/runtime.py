@@ -38,12 +38,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _file_system(spark, path)
+    return system.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, at = _file_system(spark, path)
+    system.delete(at, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for what a query writes itself; ``clean``
+    deletes it."""
+    path = f"{shared_dir(spark)}/gridcells-{name}-{uuid.uuid4().hex}"
+    spark._gridcells_staged = [*getattr(spark, "_gridcells_staged", []), path]
+    return path
+
+
 def clean(spark: SparkSession) -> None:
     """Delete the intermediates that this session has written. Call it when the results
     made of them have been written themselves."""
     for path in getattr(spark, "_gridcells_staged", []):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, path)
     spark._gridcells_staged = []
 
 
@@ -55,9 +77,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/gridcells-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    spark._gridcells_staged = [*getattr(spark, "_gridcells_staged", []), path]
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridcells.operators.change import composed
-from gridcells.runtime import shared_dir, ship
+from gridcells.runtime import delete, exists, scratch, ship
 
 
 def read_stream(spark, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -45,7 +44,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", base: str |
     """Everything available goes through to parquet in the shared folder. A run with
     the ``base`` of an earlier one takes up its state and adds to its table."""
     spark = stream.sparkSession
-    base = base or f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    base = base or scratch(spark, f"stream-{name}")
     with state_store(spark):
         query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
         query.awaitTermination()
@@ -59,6 +58,57 @@ def hourly_fold(stream: DataFrame, late: str = "2 hours") -> DataFrame:
     return hours.agg(F.sum("cents").alias("cents"), F.count("*").alias("n")).select("pixel", F.col("w.start").alias("ts"), "cents", "n")
 
 
+_HOURS = "pixel long, ts timestamp, cents long, n long"
+
+
+def put_hours(batch: DataFrame, batch_id: int, base: str, late_hours: int = 2) -> None:
+    """Fold a batch of rows (pixel, ts, cents) into the table under ``base``: the sums of
+    its hours are added to the hours still open after the batch before, and those that no
+    row may reach any more are closed. What a batch writes depends on its rows and on the
+    batch before alone, goes to folders of its number, and counts once the mark of the
+    batch is there; so a batch that is run again, whole or after a failure, changes nothing.
+    Rows of closed hours are late: left out, but counted in the mark."""
+    spark = batch.sparkSession
+    marks = spark.read.schema("newest timestamp, late long, batch long").parquet(f"{base}/marks") if exists(spark, f"{base}/marks") else None
+    before = marks.where(F.col("batch") < batch_id).orderBy(F.desc("batch")).first() if marks is not None else None
+    limit = lambda newest: F.lit(newest) - F.expr(f"INTERVAL {late_hours} HOURS")
+    end = F.col("ts") + F.expr("INTERVAL 1 HOUR")
+    sums = batch.groupBy("pixel", F.date_trunc("hour", "ts").alias("ts")).agg(F.sum("cents").alias("cents"), F.count("*").alias("n"), F.max("ts").alias("seen"))
+    sums = sums.persist()  # of one batch; a lost part is made anew
+    newest, late = sums.agg(F.max("seen"), F.sum(F.when(end <= limit(before["newest"]), F.col("n")) if before else F.lit(0))).first()
+    own = sums.drop("seen")
+    if before:
+        newest = before["newest"] if newest is None else max(newest, before["newest"])
+        held = spark.read.schema(_HOURS).parquet(f"{base}/open/batch={before['batch']}")
+        own = own.where(end > limit(before["newest"])).unionByName(held).groupBy("pixel", "ts").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n"))
+    closed = end <= limit(newest)
+    if newest is not None:
+        own.where(closed).write.mode("overwrite").parquet(f"{base}/closed/batch={batch_id}")
+        own.where(~closed).write.mode("overwrite").parquet(f"{base}/open/batch={batch_id}")
+        spark.createDataFrame([(newest, late or 0)], "newest timestamp, late long").coalesce(1).write.mode("overwrite").parquet(f"{base}/marks/batch={batch_id}")
+    sums.unpersist()
+    if marks is not None and before:
+        for old in marks.where(F.col("batch") < before["batch"]).select("batch").collect():
+            delete(spark, f"{base}/open/batch={old['batch']}")  # two batches of open hours are enough
+
+
+def upsert_hours(stream: DataFrame, base: str, late_hours: int = 2) -> None:
+    """Everything available of a stream of rows (pixel, ts, cents) into ``base``."""
+    query = stream.writeStream.foreachBatch(lambda rows, k: put_hours(rows, k, base, late_hours)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def hours_so_far(spark: SparkSession, base: str) -> DataFrame:
+    """pixel, ts, cents, n and provisional: closed hours, and open ones as they stand
+    after the last batch that was finished."""
+    if not exists(spark, f"{base}/marks"):
+        return spark.createDataFrame([], f"{_HOURS}, provisional boolean")
+    last = spark.read.schema("newest timestamp, late long, batch long").parquet(f"{base}/marks").agg(F.max("batch")).first()[0]
+    closed = spark.read.schema(f"{_HOURS}, batch long").parquet(f"{base}/closed").where(F.col("batch") <= last).drop("batch")
+    still = spark.read.schema(_HOURS).parquet(f"{base}/open/batch={last}")
+    return closed.withColumn("provisional", F.lit(False)).unionByName(still.withColumn("provisional", F.lit(True)))
+
+
 class Accumulator(StatefulProcessor):
     """The accumulator's recurrence with (last hour, load) kept per pixel between batches.
     A timer in event time clears the state of a pixel that has long been silent."""

@@ -2,6 +2,7 @@
 
 import datetime
 
+from gridcells import runtime
 from gridcells.plans import registry
 from gridcells.streaming import stream as R
 
@@ -53,3 +54,33 @@ def test_state_is_kept_in_rocksdb(spark):
     with R.state_store(spark):
         assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_provisional_hours_are_set_right(spark, tmp_path):
+    """Open hours are seen and flagged, corrected by later rows, and closed; a batch run
+    again changes nothing, also if it failed before its mark."""
+    base = "file://" + str(tmp_path / "hours")
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    rows = lambda *r: spark.createDataFrame(list(r), "pixel long, ts timestamp, cents long")
+    seen = lambda: {(r["pixel"], r["ts"].hour): (r["cents"], r["n"], r["provisional"]) for r in R.hours_so_far(spark, base).collect()}
+    assert R.hours_so_far(spark, base).count() == 0
+    first, second = rows((1, at(0), 5), (1, at(3), 7), (2, at(3, 30), 1)), rows((1, at(3, 59), 2), (2, at(2), 4), (1, at(0, 5), 1000), (2, at(6), 9))
+    R.put_hours(first, 0, base)
+    want = {(1, 0): (5, 1, False), (1, 3): (7, 1, True), (2, 3): (1, 1, True)}
+    assert seen() == want
+    R.put_hours(first, 0, base)
+    assert seen() == want
+    for _ in range(2):
+        R.put_hours(second, 1, base)
+        # hour 0 was closed: the late row is left out and counted
+        assert seen() == {(1, 0): (5, 1, False), (1, 3): (9, 2, False), (2, 3): (1, 1, False), (2, 2): (4, 1, False), (2, 6): (9, 1, True)}
+    marks = {r["batch"]: r["late"] for r in spark.read.parquet(f"{base}/marks").collect()}
+    assert marks == {0: 0, 1: 1}
+    # a batch that failed after its hours were written, before its mark, does not count
+    R.put_hours(rows((2, at(6), 1)), 2, base)
+    runtime.delete(spark, f"{base}/marks/batch=2")
+    assert seen()[2, 6] == (9, 1, True)
+    R.put_hours(rows((2, at(6), 1)), 2, base)
+    assert seen()[2, 6] == (10, 2, True)
+    R.put_hours(rows((1, at(1), 1)).limit(0), 3, base)
+    assert seen()[2, 6] == (10, 2, True)
