@@ -2,12 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from gridcells.functions import cells as H
 from gridcells.functions import exprs as X
+from gridcells.operators import fold as O
 from gridcells.operators.stats import global_quantiles
 from gridcells.plans.book import Book
-from gridcells.plans.views import PARENT_SQL, parent_of
+from gridcells.plans.views import PARENT_SQL, RES, parent_of
 from gridcells.runtime import scratch
 from gridcells.sources import scan as S
+from gridcells.sources import store as T
 
 BOOK = Book()
 q = BOOK.add
@@ -32,6 +35,32 @@ def s02(pixels, px):
     return S.prune_blocks(_blocks(pixels), kept, 10).select("by", "bx", F.size(F.filter("values", lambda v: v.isNotNull())).cast("long").alias("n"))
 
 
+def _region(by, bx):
+    return F.floor(by / 4) * 1000 + F.floor(bx / 4)
+
+
+@q("s02_x02_pruned_blocks", ("*", "pixels", "px"), f"""WITH c AS (SELECT DISTINCT {PARENT_SQL} AS parent, i, j FROM px), w AS (SELECT DISTINCT i // 10 AS by_, j // 10 AS bx FROM c WHERE parent IN (SELECT parent FROM c WHERE i = 25 AND j BETWEEN 30 AND 60))
+SELECT by_ AS by, bx, count(*) AS n, sum(v)::BIGINT AS v FROM pixels WHERE (by_, bx) IN (SELECT by_, bx FROM w) GROUP BY 1, 2""")
+def s02_stored(spark, sf_dir, pixels, px):
+    """Blocks stored by region, those of a few coarse cells read through their index."""
+    path = scratch(spark, "blocks")
+    T.write_blocks(_blocks(pixels), px.withColumnsRenamed({"i": "row", "j": "col"}), path, 10, _region, parent_of("row", "col"))
+    cells = [r["p"] for r in px.where("i = 25 AND j BETWEEN 30 AND 60").select(parent_of().alias("p")).distinct().collect()]  # of a column of 31 pixels
+    found = T.blocks_of(spark, path, F.col("parent").isin(cells))
+    return S.blocks_to_pixels(found, 10).groupBy(F.floor(F.col("row") / 10).alias("by"), F.floor(F.col("col") / 10).alias("bx")).agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+
+
+@q("t03_stored_lookup", ("*", "px"), f"""WITH f AS (SELECT cell, i, j, count(*) AS n, sum(v)::BIGINT AS v FROM px GROUP BY ALL)
+SELECT cell, n, v FROM f WHERE i % 50 = 7 AND j % 40 = 3""")
+def t03_stored(spark, sf_dir, px):
+    """Folds stored in the order of cells; some cells looked up, with others that the table
+    has not."""
+    path = scratch(spark, "folds")
+    T.cluster(px.groupBy("cell").agg(F.count("*").alias("n"), F.sum("v").alias("v")), path, "cell", 4, 1 << 16)
+    cells = spark.range(40).select(H.pack(RES, F.col("id") % 8 * 50 + 7, F.floor(F.col("id") / 8) * 40 + 3).alias("cell"))
+    return T.lookup(spark, path, "cell", [r["cell"] for r in cells.collect()])
+
+
 @q("s03_box_scan", ("px_geo",), "SELECT id, ln, round(lon, 6) AS lon, round(lat, 6) AS lat FROM px_geo WHERE lon >= -110 AND lon < -95.5 AND lat >= 26 AND lat < 40")
 def s03(px_geo):
     return S.in_box(px_geo, (-110.0, 26.0, -95.5, 40.0)).select("id", "ln", "lon", "lat")
@@ -108,6 +137,25 @@ def s12(pixels, px):
     return S.pending(pixels.select("by_", "bx").distinct(), done, ["by_", "bx"])
 
 
+@q("s12_a02_resumable_ingest", ("*", "px"), "SELECT cell, round(avg(v), 6) AS v, count(v) AS n_v FROM px WHERE ok AND i // 40 <> 2 GROUP BY cell")
+def s12_ingest(spark, sf_dir, px):
+    """Partial sums by tile: a run that is stopped after some tiles, one that goes on, and
+    one tile that is made again, of other rows and then of the right ones."""
+    source = px.where("ok AND i div 40 <> 2").withColumn("tile", F.concat_ws("_", F.expr("i div 40"), F.expr("j div 100")))
+    work = px.select(F.concat_ws("_", F.expr("i div 40"), F.expr("j div 100")).alias("tile")).distinct()
+    base, values = scratch(spark, "ingest"), O.sums(["v"])
+
+    def make(tiles, rows=source):
+        return O.fold(rows.join(F.broadcast(tiles), "tile", "left_semi"), ["tile", "cell"], values)  # a few tiles
+
+    T.ingest(work.where("tile < '2'"), make, base, 2)
+    T.ingest(work, make, base, 4)
+    one = work.where("tile = '1_0'")
+    T.ingest(one, lambda t: make(t, source.where("cls < 4")), base, again=True)
+    T.ingest(one, make, base, again=True)
+    return O.merge_partials(T.read_tiles(spark, base, "cell long, sum_v long, n_v long"), ["v"])
+
+
 @q("s15_nodata_mask", ("px",), "SELECT id, ln, CASE WHEN cls NOT IN (1, 16) THEN cls END AS cls, CASE WHEN d <> 0 THEN d END AS d FROM px WHERE cls >= 1 AND cls <= 15")
 def s15(px):
     return S.mask_nodata(px.where("cls BETWEEN 1 AND 15"), {"cls": [1, 16], "d": [0]}).select("id", "ln", "cls", "d")
