@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcells.functions import cells as H
@@ -52,13 +53,18 @@ def blob_boundary(labelled: DataFrame) -> DataFrame:
     return probe.join(labelled.select("blob", F.col("cell").alias("at")), ["blob", "at"], "left_anti").select("blob", "cell", "side")
 
 
+def _corners() -> list[Column]:
+    """The corner behind each side of ``cell``: the three cells that meet there."""
+    i, j = H.axial("cell")
+    near = [H.pack(H.resolution("cell"), i + a, j + b) for a, b in H.NEIGHBOURS]  # in the order in which they go round
+    return [F.array_sort(F.array("cell", near[k], near[(k + 1) % 6])) for k in range(6)]
+
+
 def outline_rings(boundary: DataFrame) -> DataFrame:
     """blob, cell, side of ``blob_boundary`` with ring_cell and ring_side, the least
     side of its ring: the outer one or that of a hole. Three cells meet in a corner, so
     two sides of a blob's boundary or none do, and rings never touch."""
-    i, j = H.axial("cell")
-    near = [H.pack(H.resolution("cell"), i + a, j + b) for a, b in H.NEIGHBOURS]  # in the order in which they go round
-    corner = [F.array_sort(F.array("cell", near[k], near[(k + 1) % 6])) for k in range(6)]  # behind side k
+    corner = _corners()
     ends = F.coalesce(*[F.when(F.col("side") == k, F.array(corner[k - 1], corner[k])) for k in range(6)])
     sides = staged(boundary.withColumn("node", F.monotonically_increasing_id()), "sides")
     met = sides.select("blob", "node", F.explode(ends).alias("corner")).groupBy("blob", "corner").agg(F.min("node").alias("a"), F.max("node").alias("b"))
@@ -67,6 +73,66 @@ def outline_rings(boundary: DataFrame) -> DataFrame:
     return found.join(least, "component").select("blob", "cell", "side", F.col("m.cell").alias("ring_cell"), F.col("m.side").alias("ring_side"))
 
 
+def ranked(lists: DataFrame) -> DataFrame:
+    """node, rest: how many nodes follow each in its list (node, to; null at the end), by
+    pointer doubling. Every round, of two doublings, is written; a list of n nodes takes
+    log n by 4 rounds, and no task sees more of it than of any other."""
+
+    def doubled(rows: DataFrame) -> DataFrame:
+        beyond = rows.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("rest").alias("more"))
+        return rows.join(beyond, "to", "left").select("node", F.col("further").alias("to"), (F.col("rest") + F.coalesce("more", F.lit(0))).alias("rest"))
+
+    rows = staged(lists.select("node", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("rest")), "lists")
+    while not rows.where("to IS NOT NULL").isEmpty():
+        rows = staged(doubled(doubled(rows)), "lists")
+    return rows.select("node", "rest")
+
+
+def ordered_rings(boundary: DataFrame) -> DataFrame:
+    """``outline_rings`` with ``place``, the number of the side along its ring from its
+    least side, and n, the sides of the ring. Sides run with their cell to the left, so
+    outer rings go anticlockwise and those of holes clockwise."""
+    corner = _corners()
+    pick = lambda d: F.coalesce(*[F.when(F.col("side") == k, corner[(k + d) % 6]) for k in range(6)])
+    sides = staged(outline_rings(boundary).withColumn("node", F.monotonically_increasing_id()), "ring-sides")
+    head = sides.select("blob", "node", pick(0).alias("corner"))
+    tail = sides.select("blob", F.col("node").alias("to"), ((F.col("cell") == F.col("ring_cell")) & (F.col("side") == F.col("ring_side"))).alias("first"), pick(-1).alias("corner"))
+    # the side that begins where another ends; the list ends before the first
+    follow = head.join(tail, ["blob", "corner"]).select("node", F.when(~F.col("first"), F.col("to")).alias("to"))
+    placed = staged(sides.join(ranked(follow), "node").drop("node"), "placed")
+    size = placed.groupBy("ring_cell", "ring_side").agg((F.max("rest") + 1).alias("n"))
+    return placed.join(size, ["ring_cell", "ring_side"]).withColumn("place", F.col("n") - 1 - F.col("rest")).drop("rest")
+
+
+def polygons(boundary: DataFrame, res: int) -> DataFrame:
+    """blob, n_rings, n_sides, area_m2 (signed areas of the rings, holes negative) and wkb
+    of each blob: a polygon in plane metres, its outer ring first, then its holes, as
+    big-endian well-known binary. A blob is connected, so it has one outer ring, and all
+    its other rings are holes of that."""
+    (a, b), (c, d) = H._descent(res, H.MAX_RES)
+    i, j = H.axial("cell")
+    i0, j0 = H.axial("ring_cell")
+    steps = H._step_vectors(res)
+    turn = [((steps[k][0] + steps[(k + 1) % 6][0]) / 3, (steps[k][1] + steps[(k + 1) % 6][1]) / 3) for k in range(6)]
+    at = lambda k, n: F.coalesce(*[F.when(F.col("side") == s, F.lit(turn[(s + k) % 6][n])) for s in range(6)])
+    # from the ring's own cell, so that areas lose nothing far from the origin
+    u, v = a * (i - i0) + b * (j - j0), c * (i - i0) + d * (j - j0)
+    x, y = (u - v / 2) * H.EDGE_M, v * (H.EDGE_M * math.sqrt(3) / 2)
+    cross = (x + at(-1, 0)) * (y + at(0, 1)) - (x + at(0, 0)) * (y + at(-1, 1))
+    px, py = H.cell_to_plane("cell", res)
+    bits = lambda v: F.lpad(F.hex(F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v).cast("long")), 16, "0")
+    point = F.concat(bits(px + at(-1, 0)), bits(py + at(-1, 1)))
+    sides = ordered_rings(boundary).select("blob", "ring_cell", "ring_side", "place", cross.alias("cross"), point.alias("point"))
+    rings = sides.groupBy("blob", "ring_cell", "ring_side").agg((F.sum("cross") / 2).alias("area"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("place", "point"))).alias("points"))
+    word = lambda v: F.lpad(F.hex(v.cast("long")), 8, "0")
+    line = F.concat(word(F.col("n") + 1), F.array_join("points.point", ""), F.col("points")[0]["point"])
+    shell = (F.col("area") < 0).alias("hole")
+    whole = rings.select("blob", "area", "n", F.struct(shell, "ring_cell", "ring_side", line.alias("line")).alias("ring"))
+    out = whole.groupBy("blob").agg(F.count("*").alias("n_rings"), F.sum("n").alias("n_sides"), F.sum("area").alias("area_m2"), F.sort_array(F.collect_list("ring")).alias("rings"))
+    wkb = F.unhex(F.concat(F.lit("0000000003"), word(F.col("n_rings")), F.array_join("rings.line", "")))
+    return out.select("blob", "n_rings", "n_sides", "area_m2", wkb.alias("wkb"))
+
+
 def dissolve(pieces: DataFrame, zone: str, attrs: Sequence[str]) -> DataFrame:
     """The pieces of each zone (zone, cell, attributes; a cell may come in several
     pieces) as one shape: n_pieces, ncell, n_sides of its outline, and any value of

@@ -235,8 +235,11 @@ _GATE = 40.0
 
 @q("x06_greedy_track", ("film",), f"""WITH RECURSIVE b AS (SELECT date_trunc('day', ts) AS ts, pixel // 10 AS blob, avg(pixel) AS cx, avg(value) / 500 AS cy FROM film GROUP BY 1, 2),
 p AS (SELECT a.ts, a.blob, b.blob AS nxt, sqrt(power(b.cx - a.cx, 2) + power(b.cy - a.cy, 2)) AS d FROM b a JOIN b ON b.ts = a.ts + INTERVAL 1 DAY),
-n AS (SELECT * FROM p WHERE d <= {_GATE} QUALIFY row_number() OVER (PARTITION BY ts, blob ORDER BY d, nxt) = 1),
-l AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY ts, nxt ORDER BY d, blob) = 1),
+-- pair by pair in order, with the blobs that are taken
+o AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY d, blob, nxt) AS k FROM p WHERE d <= {_GATE}),
+g AS (SELECT ts, 0::BIGINT AS k, []::BIGINT[] AS ua, []::BIGINT[] AS ub FROM (SELECT DISTINCT ts FROM o) z
+ UNION ALL SELECT o.ts, o.k, CASE WHEN list_contains(ua, blob) OR list_contains(ub, nxt) THEN ua ELSE list_append(ua, blob) END, CASE WHEN list_contains(ua, blob) OR list_contains(ub, nxt) THEN ub ELSE list_append(ub, nxt) END FROM g JOIN o ON o.ts = g.ts AND o.k = g.k + 1),
+l AS (SELECT ts, unnest(ua) AS blob, unnest(ub) AS nxt FROM g QUALIFY row_number() OVER (PARTITION BY ts ORDER BY k DESC) = 1),
 t AS (SELECT b.ts, b.blob, b.ts AS born, b.blob AS first FROM b LEFT JOIN l ON l.ts + INTERVAL 1 DAY = b.ts AND l.nxt = b.blob WHERE l.blob IS NULL
  UNION ALL SELECT l.ts + INTERVAL 1 DAY, l.nxt, born, first FROM t JOIN l ON l.ts = t.ts AND l.blob = t.blob)
 SELECT ts, blob, born, first, count(*) OVER (PARTITION BY born, first) AS days FROM t""")

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from gridcells.functions import cells as H
 from gridcells.operators import blobs as B
 from gridcells.operators import member as G
 from gridcells.plans.book import Book
+from gridcells.plans.views import RES
 from gridcells.runtime import table
 
 BOOK = Book()
@@ -116,6 +118,20 @@ def g11_rings(members):
     return rings.groupBy("blob").agg(F.count("*").alias("n_sides"), F.count_distinct("ring_cell", "ring_side").alias("n_rings"))
 
 
+@q("g11_blob_polygons", ("members",), f"""WITH RECURSIVE n AS (SELECT * FROM members),
+e AS (SELECT a.cell AS a, b.cell AS b FROM n a, {_SIDES} s JOIN n b ON b.i = a.i + da AND b.j = a.j + db AND a.cls = b.cls),
+walk AS (SELECT cell AS start, cell AS "at" FROM n UNION SELECT walk.start, e.b FROM walk JOIN e ON walk."at" = e.a),
+l AS (SELECT n.cell, i, j, blob FROM n JOIN (SELECT start AS cell, min("at") AS blob FROM walk GROUP BY start) w ON w.cell = n.cell),
+-- one ring more than holes, and holes by Euler's formula: 1 - cells + neighbour pairs - full corners
+c AS (SELECT a.blob, count(*) AS cells, count(u.cell) + count(v.cell) + count(w.cell) AS pairs, count(CASE WHEN u.cell IS NOT NULL THEN w.cell END) + count(CASE WHEN v.cell IS NOT NULL THEN w.cell END) AS corners
+ FROM l a LEFT JOIN l u ON u.i = a.i + 1 AND u.j = a.j AND u.blob = a.blob LEFT JOIN l v ON v.i = a.i AND v.j = a.j + 1 AND v.blob = a.blob LEFT JOIN l w ON w.i = a.i + 1 AND w.j = a.j + 1 AND w.blob = a.blob GROUP BY a.blob)
+SELECT blob, 6 * cells - 2 * pairs AS n_sides, 2 - cells + pairs - corners AS n_rings, round(cells * {H.cell_area_km2(RES) * 1e6!r}::DOUBLE, 4) AS area_m2, (9 + 20 * (2 - cells + pairs - corners) + 16 * (6 * cells - 2 * pairs))::BIGINT AS n_bytes FROM c""")
+def g11_polygons(members):
+    """Outlines with holes as well-known binary; the area is that of the rings."""
+    made = B.polygons(B.blob_boundary(B.blobs(members, "cls")), RES)
+    return made.select("blob", "n_sides", "n_rings", F.round("area_m2", 4).alias("area_m2"), F.octet_length("wkb").cast("long").alias("n_bytes"))
+
+
 _TALLY = """s AS (SELECT parent, ts, coalesce(sum(w) FILTER (WHERE value >= 50), 0) AS wet, sum(w) AS tot, count(value) AS seen FROM radar GROUP BY parent, ts),
 t AS (SELECT s.ts, coalesce(plane >= 50, false) AS m, wet * 2 > tot AS r FROM s LEFT JOIN model USING (parent, ts) WHERE seen > 0),
 k AS (SELECT ts, count(*) FILTER (WHERE m AND r) AS hit, count(*) FILTER (WHERE NOT m AND r) AS miss, count(*) FILTER (WHERE m AND NOT r) AS false_alarm FROM t GROUP BY ts)"""

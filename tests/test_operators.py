@@ -4,6 +4,7 @@ import datetime
 import math
 import os
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from gridcells.operators import joins as J
 from gridcells.operators import member as G
 from gridcells.operators import stats as S
 from gridcells.operators.components import connected_components
-from gridcells.operators.tracks import tracks
+from gridcells.operators.tracks import links, tracks
 
 
 def find(parent, x):
@@ -53,6 +54,51 @@ def test_blobs_and_fence_of_a_ring_with_a_hole(spark):
     assert one.count() == 7 * 6 - 12
 
 
+def parsed(wkb):
+    """Rings of a big-endian polygon."""
+    assert wkb[:5] == b"\0\0\0\0\3"
+    (n,), at, rings = struct.unpack(">I", wkb[5:9]), 9, []
+    for _ in range(n):
+        (k,) = struct.unpack(">I", wkb[at : at + 4])
+        flat = struct.unpack(f">{2 * k}d", wkb[at + 4 : at + 4 + 16 * k])
+        rings.append(list(zip(flat[::2], flat[1::2])))
+        at += 4 + 16 * k
+    assert at == len(wkb)
+    return rings
+
+
+@pytest.mark.parametrize("res", [10, 11])
+def test_polygons_of_blobs(spark, res):
+    """Signed areas, holes, closed rings of unit steps; a hole within a hole is a blob."""
+    rng = random.Random(15)
+    ring = [(a, b) for a in range(-3, 4) for b in range(-3, 4) if max(abs(a), abs(b), abs(a - b)) == 3]
+    ij = [*ring, (0, 0), (50, 50)] + [(100 + i, 100 + j) for i in range(16) for j in range(16) if rng.random() < 0.75]
+    cells = B.blobs(grid(spark, ij, res))
+    sizes = {r["blob"]: r["n"] for r in cells.groupBy("blob").agg(F.count("*").alias("n")).collect()}
+    rings = {(r["blob"], r["ring_cell"], r["ring_side"], r["n"]) for r in B.ordered_rings(B.blob_boundary(cells)).collect()}
+    area, out = H.cell_area_km2(res) * 1e6, B.polygons(B.blob_boundary(cells), res).collect()
+    step = math.hypot(*H._step_vectors(res)[0]) / math.sqrt(3)
+    assert {r["blob"] for r in out} == set(sizes)
+    for r in out:
+        made = parsed(bytes(r["wkb"]))
+        signed = []
+        for points in made:
+            assert all(math.hypot(p[0] - q[0], p[1] - q[1]) == pytest.approx(step, rel=1e-6) for p, q in zip(points, points[1:]))
+            assert points[0] == points[-1]
+            x0, y0 = points[0]
+            signed.append(sum((p[0] - x0) * (q[1] - y0) - (q[0] - x0) * (p[1] - y0) for p, q in zip(points, points[1:])) / 2)
+        assert signed[0] > 0 and all(s < 0 for s in signed[1:])
+        assert sum(signed) == pytest.approx(sizes[r["blob"]] * area, rel=1e-6) == pytest.approx(r["area_m2"], rel=1e-6)
+        assert (r["n_rings"], r["n_sides"]) == (len(made), sum(len(p) - 1 for p in made)) and r["n_rings"] == len({x for x in rings if x[0] == r["blob"]})
+    assert max(r["n_rings"] for r in out) > 2 and min(r["n_rings"] for r in out) == 1
+
+
+def test_lists_are_ranked(spark):
+    rows = [(k, k + 1 if k % 100 != 99 else None) for k in range(300)] + [(1000, None)]
+    got = {r["node"]: r["rest"] for r in B.ranked(spark.createDataFrame(rows, "node long, to long")).collect()}
+    assert got == {k: 99 - k % 100 for k in range(300)} | {1000: 0}
+
+
 def test_every_fence_edge_has_one_member_side(spark):
     rng = random.Random(4)
     cells = grid(spark, [(i, j) for i in range(12) for j in range(12) if rng.random() < 0.7])
@@ -318,6 +364,26 @@ def test_tracks_follow_the_nearest_free_centroid(spark):
     assert {(r["ts"].day, r["blob"]): (r["born"].day, r["first"], r["days"]) for r in out} == {(1, 1): (1, 1, 3), (2, 5): (1, 1, 3), (3, 9): (1, 1, 3), (1, 2): (1, 2, 1), (3, 8): (3, 8, 1), (5, 9): (5, 9, 1)}
 
 
+def test_links_equal_sequential_greedy_matching(spark):
+    """Random blobs and a chain in which each blob prefers one that is taken."""
+    rng = random.Random(16)
+    day = lambda d: datetime.datetime(2024, 1, d)
+    rows = [(day(d), k, rng.uniform(0, 60), rng.uniform(0, 60)) for d in range(1, 5) for k in rng.sample(range(90), 40)]
+    rows += [(day(10), k, 1000.0 + 2 * k * (k + 1), 0.0) for k in range(8)] + [(day(11), k, 1000.0 + 2 * k * (k + 1) + 2.0 * k + 1.5, 0.0) for k in range(8)]
+    nodes = [(n, *r) for n, r in enumerate(rows)]
+    got = sorted(map(tuple, links(spark.createDataFrame(nodes, "node long, ts timestamp, blob long, cx double, cy double"), "1 DAY", 20.0).collect()))
+    want = []
+    for d in range(1, 12):
+        here, there = ([n for n in nodes if n[1] == day(x)] for x in (d, d + 1))
+        pairs = sorted((math.hypot(b[3] - a[3], b[4] - a[4]), a[2], b[2], a[0], b[0]) for a in here for b in there)
+        used = set()
+        for dist, _, _, a, b in pairs:
+            if dist <= 20.0 and a not in used and b not in used:
+                used |= {a, b}
+                want.append((a, b))
+    assert got == sorted(want)
+
+
 def test_a_local_folder_needs_a_local_master(spark, monkeypatch):
     class Context:
         master = "spark://elsewhere:7077"
