@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridcells.operators.nearest import hot_join
+from gridcells.operators.skew import hot_join
 from gridcells.runtime import staged
 
 #: The most rows that a polygon's edges are sorted into.

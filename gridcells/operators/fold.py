@@ -30,6 +30,17 @@ def merge_partials(tiles: DataFrame, values: Sequence[str], key: str = "cell") -
     return total.select(key, *[F.try_divide(f"sum_{v}", f"n_{v}").alias(v) for v in values], *[f"n_{v}" for v in values])
 
 
+def distinct_sketches(rows: DataFrame, keys: Sequence[str], value: str, lg: int = 14) -> DataFrame:
+    """keys, sketch: a HyperLogLog sketch of 2^lg registers of the distinct values, which
+    merge from tile to tile; relative error about 1.04 / sqrt(2^lg)."""
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg(value, lg).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, sketch: of the tiles of a key as one."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
 def rollup(cells: DataFrame, keys: Sequence[str], mean: str = "mean", top: str = "max", n: str = "n") -> DataFrame:
     """Exact statistics of the parents from their children's."""
     return cells.groupBy(*keys).agg(F.try_divide(F.sum(F.col(mean) * F.col(n)), F.sum(n)).alias(mean), F.max(top).alias(top), F.sum(n).alias(n))

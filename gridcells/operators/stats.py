@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from gridcells.runtime import shuffle_partitions, staged
+from gridcells.operators.skew import hot_join
+from gridcells.runtime import ship, shuffle_partitions, staged
 
 
 def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -23,18 +29,48 @@ def ranks(df: DataFrame, value: str | Sequence[str], by: Sequence[str] = ()) ->
     """by, value, n, before, rank of each distinct value (or tuple of values) in each
     group: rank is the average rank of its ties, before the number of smaller rows of
     the group. Only distinct values are sorted, in range partitions that may cut a
-    group anywhere; the totals of the parts are added up as one number each. So no
-    task holds a group, however few there are."""
+    group anywhere; a task adds up the rows of its own, and what the first group of a
+    partition has before it is one number for each partition. So no task holds a group,
+    however few there are, and nothing is shuffled twice."""
     order, keys = [value] if isinstance(value, str) else list(value), list(by)
+    spark = df.sparkSession
     counts = df.dropna(subset=order).groupBy(*keys, *order).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange(shuffle_partitions(df.sparkSession), *keys, *order)
-    parts = staged(ranged.withColumn("part", F.spark_partition_id()), "ranks")
-    # a row per part of a group: parts and groups, but for one, at most
-    totals = parts.groupBy(*keys, "part").agg(F.sum("n").alias("m"))
-    base = totals.withColumn("base", F.sum("m").over(Window.partitionBy(*keys).orderBy("part")) - F.col("m")).drop("m")
-    run = on_keys(parts.withColumn("cum", F.sum("n").over(Window.partitionBy(*keys, "part").orderBy(*order))), base, [*keys, "part"])
-    before = F.col("base") + F.col("cum") - F.col("n")
-    return run.select(*keys, *order, "n", before.alias("before"), (before + (F.col("n") + 1) / 2).alias("rank"))
+    ranged = counts.repartitionByRange(shuffle_partitions(spark), *keys, *order).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows, last, carry, in_head = TaskContext.get().partitionId(), 0, None, 0, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column("n").to_numpy()
+            begins = np.zeros(len(n), bool)
+            for k in keys:
+                codes = pc.dictionary_encode(batch.column(k), null_encoding="encode").indices.to_numpy()
+                begins[1:] |= codes[1:] != codes[:-1]
+            first = tuple(batch.column(k)[0].as_py() for k in keys)
+            begins[0] = rows > 0 and first != last
+            ends = np.cumsum(n)
+            # rows of the batch before each group; its first one may go on from the batch before
+            start = np.maximum.accumulate(np.where(begins, ends - n, 0))
+            own = ends - n - start + np.where(np.cumsum(begins) == 0, carry, 0)
+            head = in_head & (np.cumsum(begins) == 0)
+            in_head, carry, last = bool(head[-1]), int(own[-1] + n[-1]), tuple(batch.column(k)[-1].as_py() for k in keys)
+            extra = {"before": own, "head": head, "part": np.full(len(n), part), "own": np.arange(rows, rows + len(n))}
+            rows += len(n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, extra.values())], names=[*batch.schema.names, *extra])
+
+    ship(spark)
+    extra = [StructField("before", LongType()), StructField("head", BooleanType()), StructField("part", LongType()), StructField("own", LongType())]
+    placed = staged(ranged.mapInArrow(run, StructType([*counts.schema.fields, *extra])), "ranks")
+    group, total = F.struct(F.lit(0), *keys), F.col("before") + F.col("n")
+    ends = placed.groupBy("part").agg(F.min_by(group, "own").alias("a"), F.max_by(group, "own").alias("z"), F.max_by(total, "own").alias("rest"), F.min_by("head", -F.col("own")).alias("one"))
+    given, carry, before = [], 0, None
+    for part, a, z, rest, one in ends.orderBy("part").collect():  # a row for each partition
+        given.append((part, carry if before is not None and a == before else 0))
+        carry, before = rest + (given[-1][1] if one else 0), z
+    run_on = placed.join(F.broadcast(spark.createDataFrame(given, "part long, given long")), "part")
+    smaller = F.col("before") + F.when(F.col("head"), F.col("given")).otherwise(0)
+    return run_on.select(*keys, *order, "n", smaller.alias("before"), (smaller + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def quantiles(df: DataFrame, value: str, points: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -58,18 +94,24 @@ def global_quantiles(df: DataFrame, value: str, points: Sequence[float]) -> Data
 
 def with_medians(table: DataFrame, df: DataFrame, values: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
     """``table`` (a row per group of ``by``) and the median of each named value of
-    ``df`` in its group."""
-    for name, value in values.items():
-        medians = quantiles(df.select(*by, value.alias("_v")), "_v", [0.5], by)
-        table = on_keys(table, medians.select(*by, F.col("q")[0].alias(name)), by, "left")
-    return table
+    ``df`` in its group: all in one pass over ``df`` and one sort."""
+    each = F.array(*[F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_v")) for n, v in values.items()])
+    stacked = df.select(*by, F.explode(each).alias("_e")).select(*by, "_e._name", "_e._v")
+    medians = quantiles(stacked, "_v", [0.5], [*by, "_name"])
+    wide = medians.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("q")[0])).alias(n) for n in values])
+    return on_keys(table, wide, by, "left")
 
 
-def avg_rank(df: DataFrame, values: Sequence[str]) -> DataFrame:
-    """Adds rank_<value> for each."""
+def avg_rank(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Adds rank_<value> for each, within groups of ``by``; null for a null value. A value
+    that many rows share meets its rank in a broadcast."""
     out = df
     for v in values:
-        out = out.join(ranks(df, v).select(v, F.col("rank").alias(f"rank_{v}")), v, "left")
+        key = F.struct(*by, v)
+        found = ranks(df, v, by).select(key.alias("_key"), F.col("rank").alias(f"rank_{v}"))
+        keyed = staged(out.withColumn("_key", key), "ranked")
+        some = hot_join(keyed.where(F.col(v).isNotNull()), found, "_key").drop("_key")
+        out = some.unionByName(keyed.where(F.col(v).isNull()).drop("_key").withColumn(f"rank_{v}", F.lit(None).cast("double")))
     return out
 
 
@@ -86,7 +128,7 @@ def spearman(df: DataFrame, x: str, y: str, control: str | None = None, by: Sequ
     """n, rho and, with a control, partial: the correlation of the ranks' residuals."""
     names = [x, y] + ([control] if control else [])
     rows = df.dropna(subset=names)
-    r = avg_rank(rows, names) if not by else _grouped_ranks(rows, names, by)
+    r = avg_rank(rows, names, by)
     c = lambda a, b: F.corr(f"rank_{a}", f"rank_{b}")
     aggs = [F.count("*").alias("n"), c(x, y).alias("rho")] + ([c(x, control).alias("_xz"), c(y, control).alias("_yz")] if control else [])
     out = r.groupBy(*by).agg(*aggs)
@@ -96,13 +138,6 @@ def spearman(df: DataFrame, x: str, y: str, control: str | None = None, by: Sequ
     return out.withColumn("partial", F.try_divide(F.col("rho") - xz * yz, F.sqrt((1 - xz * xz) * (1 - yz * yz)))).drop("_xz", "_yz")
 
 
-def _grouped_ranks(df: DataFrame, values: Sequence[str], by: Sequence[str]) -> DataFrame:
-    out = df
-    for v in values:
-        out = on_keys(out, ranks(df, v, by).select(*by, v, F.col("rank").alias(f"rank_{v}")), [*by, v])
-    return out
-
-
 def quantile_edges(df: DataFrame, value: str, q: int) -> DataFrame:
     return global_quantiles(df, value, [k / q for k in range(q + 1)]).withColumnRenamed("q", "edges")
 
@@ -130,7 +165,10 @@ def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     and no continuity shift, and p, the chance of so great a z or a greater one."""
     rows = df.dropna(subset=[value, group])
     r = ranks(rows, value)
-    g = rows.join(r, value).agg(F.count_if(group).alias("n1"), F.count_if(~F.col(group)).alias("n2"), F.sum(F.when(F.col(group), F.col("rank"))).alias("r1"))
+    # rows of equal value and group count as one
+    each = rows.groupBy(value, group).agg(F.count("*").alias("_m")).join(r.select(value, "rank"), value)
+    first = lambda c: F.coalesce(F.sum(F.when(F.col(group), c)), F.lit(0))
+    g = each.agg(first(F.col("_m")).alias("n1"), (F.coalesce(F.sum("_m"), F.lit(0)) - first(F.col("_m"))).alias("n2"), F.sum(F.when(F.col(group), F.col("rank") * F.col("_m"))).alias("r1"))
     ties = r.agg(F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).alias("t"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2

@@ -209,10 +209,10 @@ def p17(records):
     return records.where(F.year("dt").between(1996, 1999)).select("h10", kind.alias("kind"), year.alias("fy"))
 
 
-@q("p18_regex_filter", ("*",), "SELECT p_type, count(*) AS n FROM part WHERE regexp_matches(lower(p_type), 'steel|brass|copper') AND NOT regexp_matches(lower(p_type), 'small|plated') GROUP BY p_type")
+@q("p18_regex_filter", ("*",), "SELECT doc_id, source FROM documents WHERE regexp_matches(lower(text), 'licen[sc]e|warrant') AND NOT regexp_matches(lower(text), 'apache|gnu ')")
 def p18(spark, sf_dir):
-    low = F.lower("p_type")
-    return table(spark, sf_dir, "part").where(low.rlike("steel|brass|copper") & ~low.rlike("small|plated")).groupBy("p_type").agg(F.count("*").alias("n"))
+    low = F.lower("text")
+    return table(spark, sf_dir, "documents").where(low.rlike("licen[sc]e|warrant") & ~low.rlike("apache|gnu ")).select("doc_id", "source")
 
 
 @q("p20_sigmoid", ("pixels",), "SELECT i, j, round(1 / (1 + exp(-least(greatest((v % 200000) / 1000.0::DOUBLE - 100, -40), 40))), 6) AS s FROM pixels")

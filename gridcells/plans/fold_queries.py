@@ -79,6 +79,16 @@ def a13(records):
     return O.touched_fold(records.withColumn("yr", F.year("dt")), "parent", "h10", "status", ["F", "O"], "yr")
 
 
+@q("a13_h08_mergeable_counts", ("px",), "SELECT cls, count(DISTINCT cell) AS n_cells, true AS near FROM px GROUP BY cls")
+def a13_sketches(px):
+    """Distinct cells of each class, exactly and from sketches of tiles that were merged:
+    within 3 percent, about four standard errors."""
+    tiles = O.distinct_sketches(px.withColumn("tile", F.expr("i div 40")), ["tile", "cls"], "cell")
+    about = O.merge_sketches(tiles, ["cls"]).select("cls", F.hll_sketch_estimate("sketch").alias("about"))
+    exact = px.groupBy("cls").agg(F.count_distinct("cell").alias("n_cells"))
+    return exact.join(about, "cls").select("cls", "n_cells", (F.abs(F.col("about") - F.col("n_cells")) <= 0.03 * F.col("n_cells") + 1).alias("near"))
+
+
 @q("a15_valid_count_mean", ("px",), "SELECT cell, round(avg(CASE WHEN ok THEN v END), 6) AS mean, count(CASE WHEN ok THEN v END) AS n_valid, count(*) AS n FROM px WHERE yr IN (1995, 1996, 1997) GROUP BY cell")
 def a15(px):
     v = F.when(F.col("ok"), F.col("v"))

@@ -17,6 +17,7 @@ from gridcells.operators import components, cover
 from gridcells.operators import fold as O
 from gridcells.operators import joins as J
 from gridcells.operators import member as G
+from gridcells.operators import skew
 from gridcells.operators import stats as S
 from gridcells.operators.components import connected_components
 from gridcells.operators.tracks import links, tracks
@@ -174,6 +175,17 @@ def test_accumulator_over_many_partitions(spark, gap):
     assert C.accumulate(film.limit(0), 5.0, "2024-01-01 00:00:00", "fl", gap).collect() == []
 
 
+def test_sketches_of_tiles_merge(spark):
+    """Unions of tiles estimate what the whole does; errors stay within their bound."""
+    for n in (50, 3_000, 60_000):
+        rows = spark.range(4 * n).select((F.col("id") % n).alias("v"), (F.col("id") * 7 % 13).alias("tile"), F.lit(1).alias("k"))
+        about = lambda df: O.merge_sketches(df, ["k"]).select(F.hll_sketch_estimate("sketch").alias("n")).first()["n"]  # noqa: E731, B023
+        tiles = O.distinct_sketches(rows, ["k", "tile"], "v", 12)
+        assert about(tiles) == about(O.distinct_sketches(rows, ["k"], "v", 12))
+        assert about(O.merge_sketches(tiles.where("tile < 6"), ["k"]).unionByName(O.merge_sketches(tiles.where("tile >= 6"), ["k"]))) == about(tiles)
+        assert abs(about(tiles) - n) <= 4 * 1.04 / math.sqrt(1 << 12) * n + 1
+
+
 def test_partials_equal_one_shot(spark):
     rows = spark.range(500).select((F.col("id") % 9).alias("cell"), (F.col("id") % 4).alias("tile"), (F.col("id") * 7 % 31).alias("v"))
     tiles = O.fold(rows, ["tile", "cell"], O.sums(["v"]))
@@ -237,6 +249,32 @@ def test_ranks_and_quantiles_within_few_groups(spark):
     assert S.quantiles(df.limit(0), "v", [0.5]).collect()[0]["q"] == [None] and S.quantiles(df.limit(0), "v", [0.5], ["g"]).collect() == []
 
 
+def test_rank_correlation_with_a_value_that_most_rows_share(spark, monkeypatch):
+    """Null groups, ties that half the rows share, both ways to meet a rank."""
+    rng = random.Random(17)
+    rows = [(rng.choice(["a", None]), rng.choice([0.0, 0.0, rng.random()]), rng.choice([1.0, rng.random()])) for _ in range(400)]
+
+    def rank(v):
+        s = sorted(v)
+        return [(s.index(x) + 1 + len(s) - s[::-1].index(x)) / 2 for x in v]
+
+    def rho(own):
+        x, y = rank([r[1] for r in own]), rank([r[2] for r in own])
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        return sum((a - mx) * (b - my) for a, b in zip(x, y)) / math.sqrt(sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y))
+
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
+    for hot in (1000, 3):
+        monkeypatch.setattr(skew, "HOT_KEYS", hot)
+        assert S.spearman(df, "x", "y").first()["rho"] == pytest.approx(rho(rows))
+        got = {r["g"]: (r["n"], r["rho"]) for r in S.spearman(df, "x", "y", by=["g"]).collect()}
+        for g in ("a", None):
+            own = [r for r in rows if r[0] == g]
+            assert got[g] == (len(own), pytest.approx(rho(own)))
+    ranked = S.avg_rank(spark.createDataFrame([(1.0,), (None,), (1.0,), (3.0,)], "v double"), ["v"]).collect()
+    assert sorted(((r["v"], r["rank_v"]) for r in ranked), key=str) == [(1.0, 1.5), (1.0, 1.5), (3.0, 3.0), (None, None)]
+
+
 def test_one_sided_p_of_the_rank_test(spark):
     z = spark.createDataFrame([(x / 4,) for x in range(-24, 25)], "z double")
     for r in z.select("z", S.normal_tail(F.col("z")).alias("p")).collect():
