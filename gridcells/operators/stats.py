@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from gridcells.operators.skew import hot_join
+from gridcells.operators.skew import HOT_KEYS
 from gridcells.runtime import ship, shuffle_partitions, staged
 
 
@@ -92,26 +92,41 @@ def global_quantiles(df: DataFrame, value: str, points: Sequence[float]) -> Data
     return quantiles(df, value, points)
 
 
+def stacked(df: DataFrame, values: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
+    """by, _name, _v: a row for each named value of each row."""
+    each = F.array(*[F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_v")) for n, v in values.items()])
+    return df.select(*by, F.explode(each).alias("_e")).select(*by, "_e._name", "_e._v")
+
+
 def with_medians(table: DataFrame, df: DataFrame, values: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
     """``table`` (a row per group of ``by``) and the median of each named value of
     ``df`` in its group: all in one pass over ``df`` and one sort."""
-    each = F.array(*[F.struct(F.lit(n).alias("_name"), v.cast("double").alias("_v")) for n, v in values.items()])
-    stacked = df.select(*by, F.explode(each).alias("_e")).select(*by, "_e._name", "_e._v")
-    medians = quantiles(stacked, "_v", [0.5], [*by, "_name"])
+    medians = quantiles(stacked(df, values, by), "_v", [0.5], [*by, "_name"])
     wide = medians.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == n, F.col("q")[0])).alias(n) for n in values])
     return on_keys(table, wide, by, "left")
 
 
 def avg_rank(df: DataFrame, values: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Adds rank_<value> for each, within groups of ``by``; null for a null value. A value
-    that many rows share meets its rank in a broadcast."""
-    out = df
+    """Adds rank_<value> for each, within groups of ``by``; null for a null value. All
+    values are ranked in one sort. A value that over one in HOT_KEYS rows share, of which
+    there are few, meets its rank in a broadcast."""
+    out = staged(df, "ranked")
+    found = ranks(stacked(out, {v: F.col(v) for v in values}, by), "_v", [*by, "_name"])
+    sizes = {r["_name"]: r for r in found.groupBy("_name").agg(F.count("*").alias("keys"), F.sum("n").alias("rows"), F.max("n").alias("most")).collect()}
     for v in values:
-        key = F.struct(*by, v)
-        found = ranks(df, v, by).select(key.alias("_key"), F.col("rank").alias(f"rank_{v}"))
-        keyed = staged(out.withColumn("_key", key), "ranked")
-        some = hot_join(keyed.where(F.col(v).isNotNull()), found, "_key").drop("_key")
-        out = some.unionByName(keyed.where(F.col(v).isNull()).drop("_key").withColumn(f"rank_{v}", F.lit(None).cast("double")))
+        own = found.where(F.col("_name") == v).select(F.struct(*by, "_v").alias("_key"), F.col("rank").alias(f"rank_{v}"), "n")
+        keyed = out.withColumn("_key", F.struct(*by, F.col(v).cast("double").alias("_v")))
+        size = sizes.get(v)
+        share = size["rows"] // HOT_KEYS if size else 0
+        if not size or size["keys"] <= HOT_KEYS:
+            met = keyed.join(F.broadcast(own.drop("n")), "_key", "left")
+        elif size["most"] <= share:
+            met = keyed.join(own.drop("n"), "_key", "left")
+        else:
+            hot, cold = own.where(F.col("n") > share).drop("n"), own.where(F.col("n") <= share).drop("n")
+            apart = keyed.join(F.broadcast(hot.select("_key")), "_key", "left_anti")
+            met = keyed.join(F.broadcast(hot), "_key").unionByName(apart.join(cold, "_key", "left"))
+        out = met.drop("_key")
     return out
 
 

@@ -17,7 +17,6 @@ from gridcells.operators import components, cover
 from gridcells.operators import fold as O
 from gridcells.operators import joins as J
 from gridcells.operators import member as G
-from gridcells.operators import skew
 from gridcells.operators import stats as S
 from gridcells.operators.components import connected_components
 from gridcells.operators.tracks import links, tracks
@@ -265,7 +264,7 @@ def test_rank_correlation_with_a_value_that_most_rows_share(spark, monkeypatch):
 
     df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
     for hot in (1000, 3):
-        monkeypatch.setattr(skew, "HOT_KEYS", hot)
+        monkeypatch.setattr(S, "HOT_KEYS", hot)
         assert S.spearman(df, "x", "y").first()["rho"] == pytest.approx(rho(rows))
         got = {r["g"]: (r["n"], r["rho"]) for r in S.spearman(df, "x", "y", by=["g"]).collect()}
         for g in ("a", None):
