@@ -143,15 +143,24 @@ def dissolve(pieces: DataFrame, zone: str, attrs: Sequence[str]) -> DataFrame:
     return whole.join(outline, zone)
 
 
-def shapes(labelled: DataFrame, keys: Sequence[str], area_km2: float) -> DataFrame:
-    """Per blob: ncell, km2, centroid and elongation (axis ratio of the centres'
-    covariance) from plane coordinates x, y."""
+def shapes(labelled: DataFrame, keys: Sequence[str], area_km2: float, least_km: float = 2000.0, least_ratio: float = 2.0) -> DataFrame:
+    """Per blob of cells with plane coordinates x, y in steps of a cell: ncell, km2, centroid,
+    elongation (axis ratio of the centres' covariance, null for a line), length_km and
+    width_km along the principal axes, and is_ar: over ``least_km`` long and over
+    ``least_ratio`` times as long as wide.
+
+    A rod of n cells has the variance (n * n - 1) / 12, so with a cell's own extent added
+    the length of a straight row is that of its cells, and no width is 0. Lengths are
+    rounded to six digits, so that shapes on the very border (not over it) count alike."""
     g = labelled.groupBy(*keys).agg(
         F.count("*").alias("ncell"), (F.count("*") * area_km2).alias("km2"), F.avg("x").alias("cx"), F.avg("y").alias("cy"),
         F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("vxy"),
     )
     mid, half = (F.col("vx") + F.col("vy")) / 2, F.hypot((F.col("vx") - F.col("vy")) / 2, F.col("vxy"))
-    return g.withColumn("elongation", F.when(mid - half > 1e-9, F.sqrt((mid + half) / F.when(mid - half > 1e-9, mid - half)))).drop("vx", "vy", "vxy")
+    extent = lambda var: F.round(F.sqrt((F.greatest(var, F.lit(0.0)) * 12 + 1) * area_km2), 6)
+    g = g.withColumn("elongation", F.when(mid - half > 1e-9, F.sqrt((mid + half) / F.when(mid - half > 1e-9, mid - half))))
+    g = g.withColumns({"length_km": extent(mid + half), "width_km": extent(mid - half)}).drop("vx", "vy", "vxy")
+    return g.withColumn("is_ar", (F.col("length_km") > least_km) & (F.col("length_km") > F.round(F.col("width_km") * least_ratio, 6)))
 
 
 def smooth(cells: DataFrame, value: str, rounds: int) -> DataFrame:

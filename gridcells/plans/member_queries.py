@@ -89,11 +89,13 @@ l AS (SELECT cls, start AS cell, min("at") AS blob FROM walk GROUP BY cls, start
 
 @q("g10_x05_dome_blobs", ("px",), f"""WITH RECURSIVE {_KEYED}, s AS (SELECT l.cls, blob, count(*) AS ncell, count(*) * 4.0::DOUBLE AS km2, avg(i) AS cx, avg(j) AS cy, var_pop(i) AS vx, var_pop(j) AS vy, covar_pop(i, j) AS vxy
  FROM l JOIN n ON l.cls = n.cls AND l.cell = n.cell GROUP BY l.cls, blob), t AS (SELECT *, (vx + vy) / 2 AS mid, sqrt(power((vx - vy) / 2, 2) + power(vxy, 2)) AS half FROM s)
-SELECT cls, blob, ncell, km2, round(cx, 6) AS cx, round(cy, 6) AS cy, round(CASE WHEN mid - half > 1e-9 THEN sqrt((mid + half) / (mid - half)) END, 4) AS elongation FROM t WHERE km2 >= 12""")
+SELECT cls, blob, ncell, km2, round(cx, 6) AS cx, round(cy, 6) AS cy, round(CASE WHEN mid - half > 1e-9 THEN sqrt((mid + half) / (mid - half)) END, 4) AS elongation,
+ length_km, width_km, length_km > 7 AND length_km > round(width_km * 2, 6) AS is_ar
+FROM (SELECT *, round(sqrt((greatest(mid + half, 0) * 12 + 1) * 4), 6) AS length_km, round(sqrt((greatest(mid - half, 0) * 12 + 1) * 4), 6) AS width_km FROM t) u WHERE km2 >= 12""")
 def g10(px):
     cells = px.select("cls", "i", "j", "cell").distinct()
     labelled = B.keyed_blobs(cells, ["cls"]).join(cells.select("cls", "cell", F.col("i").alias("x"), F.col("j").alias("y")), ["cls", "cell"])
-    return B.shapes(labelled, ["cls", "blob"], 4.0).where("km2 >= 12").withColumn("elongation", F.round("elongation", 4))
+    return B.shapes(labelled, ["cls", "blob"], 4.0, least_km=7.0).where("km2 >= 12").withColumn("elongation", F.round("elongation", 4))
 
 
 @q("g11_blob_boundary", ("members",), f"""WITH RECURSIVE n AS (SELECT * FROM members),

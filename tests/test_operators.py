@@ -421,6 +421,21 @@ def test_links_equal_sequential_greedy_matching(spark):
     assert got == sorted(want)
 
 
+def test_shape_test_of_rivers(spark):
+    turned = [(3 * k, 4 * k) for k in range(300)]  # a line of 1,500 steps across the axes
+    blobs = {
+        "row": [(x, 0) for x in range(300)], "short": [(x, 0) for x in range(30)], "dome": [(x, y) for x in range(60) for y in range(60)],
+        "band": [(x, y) for x in range(201) for y in range(100)], "border": [(x, y) for x in range(200) for y in range(100)], "turned": turned, "one": [(5, 5)],
+    }
+    rows = [(k, float(x), float(y)) for k, cells in blobs.items() for x, y in cells]
+    got = {r["blob"]: r for r in B.shapes(spark.createDataFrame(rows, "blob string, x double, y double"), ["blob"], 100.0, 1000.0).collect()}
+    for k, (length, width) in {"row": (3000, 10), "short": (300, 10), "dome": (600, 600), "band": (2010, 1000), "border": (2000, 1000), "one": (10, 10)}.items():
+        assert (got[k]["length_km"], got[k]["width_km"]) == pytest.approx((length, width))
+    assert got["turned"]["length_km"] == pytest.approx(15000, rel=1e-4) and got["turned"]["width_km"] == pytest.approx(10)
+    assert {k for k, r in got.items() if r["is_ar"]} == {"row", "band", "turned"}
+    assert got["row"]["elongation"] is None and got["band"]["elongation"] == pytest.approx(2.01, rel=1e-3)
+
+
 def test_a_local_folder_needs_a_local_master(spark, monkeypatch):
     class Context:
         master = "spark://elsewhere:7077"
