@@ -30,6 +30,8 @@ def test_held_out_and_misspellings(spark, make_docs):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held) / len(held) > 0.95
+    plain = [[r["plain_score"] for r in held if (r["doc_id"] % 4 == 0) == toxic] for toxic in (True, False)]
+    assert sum(a > b for a in plain[0] for b in plain[1]) > 0.95 * len(plain[0]) * len(plain[1])  # its order; 0.5 is no good border after 80 steps
     clean = "the river and the stone walking green " * 5
     assert model.score((clean + "idiots worthles morron " + clean).encode()) > model.score((clean + "window paper house " + clean).encode())
 
@@ -38,8 +40,10 @@ def test_query(spark):
     rows = X.op9_toxicity_subwords(spark, SAMPLE).collect()
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SAMPLE}/labels.parquet").collect()}
     held = [(r["score"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
-    good, bad = [s for s, y in held if y], [s for s, y in held if not y]
-    assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.8
+    plain = [(r["plain_score"], truth[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in truth]
+    for scored in (held, plain):
+        good, bad = [s for s, y in scored if y], [s for s, y in scored if not y]
+        assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.8
 
 
 def slow_logits(text, weights, bias):
@@ -54,13 +58,13 @@ def slow_logits(text, weights, bias):
             for order in X.ORDERS:
                 mixed = (mixed ^ (b[at + order - 1] + order)) * 0xC2B2AE35 % 2**32
                 if all(x != 32 for x in b[at + 1 : at + order - 1]):
-                    own.append(float(weights[mixed >> (32 - X.BITS)]))
+                    own.append(weights[mixed >> (32 - X.BITS)].astype(float))
         every += own
         if own:
-            windows.append(sum(own) / len(own))
+            windows.append(sum(own)[0] / len(own))
     if not windows:
-        return bias, bias
-    return bias + np.log(np.mean(np.exp(windows))), bias + sum(every) / len(every)
+        return tuple(bias)
+    return bias[0] + np.log(np.mean(np.exp(windows))), bias[1] + sum(every)[1] / len(every)
 
 
 def test_query_scores_against_slow_scoring(spark):
@@ -71,18 +75,19 @@ def test_query_scores_against_slow_scoring(spark):
     for d in docs.limit(60).collect():
         pooled, mean = slow_logits((d["text"] or "").encode(), model.weights, model.bias)
         r = rows[d["doc_id"]]
-        assert abs(r["score"] - 1 / (1 + np.exp(-pooled))) < 1e-5 and abs(r["mean_logit"] - mean) < 1e-4
+        assert abs(r["score"] - 1 / (1 + np.exp(-pooled))) < 1e-5 and abs(r["plain_score"] - 1 / (1 + np.exp(-mean))) < 1e-5
 
 
 def test_chunks_change_nothing():
     rng = np.random.default_rng(1)
-    model = X.Model(rng.standard_normal(X.NONE + 1).astype("<f4") * (np.arange(X.NONE + 1) < X.NONE), 0.3)
+    bias = np.array([0.3, -0.2])
+    model = X.Model(rng.standard_normal((X.NONE + 1, 2)).astype("<f4") * (np.arange(X.NONE + 1) < X.NONE)[:, None], bias)
     text = b"some words of a text\n" * 40
     whole, keep = model.logits(text), X.CHUNK
     for X.CHUNK in (16, 48, 160):
         assert np.allclose(model.logits(text), whole)
     X.CHUNK = keep
-    assert np.allclose(whole, slow_logits(text, model.weights, 0.3))
+    assert np.allclose(whole, slow_logits(text, model.weights, bias))
 
 
 def test_sample_is_bounded(spark, make_docs, monkeypatch):
@@ -102,7 +107,7 @@ def test_very_long_text(spark, make_docs):
     model = X.train(docs, labels)
     texts = ["the river and " * 250_000, "y" * 3_000_000, " " * 3_000_000]
     rows = X.score(make_docs(texts), model).orderBy("doc_id").collect()
-    assert rows[0]["predicted"] == 0 and abs(rows[2]["score"] - X._chance(model.bias)) < 1e-12
+    assert rows[0]["predicted"] == 0 and abs(rows[2]["score"] - X._chance(model.bias[0])) < 1e-12 and abs(rows[2]["plain_score"] - X._chance(model.bias[1])) < 1e-12
 
 
 def test_odd_rows_and_empty(spark, odd_docs, no_docs, make_docs):
@@ -111,6 +116,6 @@ def test_odd_rows_and_empty(spark, odd_docs, no_docs, make_docs):
     assert len(out) == odd_docs.count() and {r["predicted"] for r in out} == {0} and "shard" in out[0].asDict()
     model = X.train(*made(spark, make_docs, 40))
     assert X.score(no_docs, model).collect() == []
-    assert all(0 <= r["score"] <= 1 for r in X.score(odd_docs, model).collect())
+    assert all(0 <= r["score"] <= 1 and 0 <= r["plain_score"] <= 1 for r in X.score(odd_docs, model).collect())
     one = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int")
     assert {r["predicted"] for r in X.score(odd_docs, X.train(odd_docs, one)).collect()} == {1}
