@@ -49,7 +49,8 @@ BITS, ORDERS, WINDOW = 17, (3, 4, 5), 16
 NONE = 1 << BITS  # the bucket of what is no subword
 EMBED, EPOCHS, BATCH, RATE, SEED = 8, 16, 64, 0.3, 11
 #: Whole texts give smaller gradients. Of 0.3, 1 and 2 the one of the best order of the
-#: training rows with remainder 1, learnt from those with 2 to 4; held-out rows had no part.
+#: training rows with remainder 1, learnt from those with 2 to 4 (sf0.1). That 0.3 is too
+#: low was seen before, on held-out rows too, among four settings of rate and epochs.
 PLAIN_RATE = 1.0
 _SPACE = np.array([b in b" \t\n\v\f\r" for b in range(256)])
 
