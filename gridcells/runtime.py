@@ -104,4 +104,6 @@ def ship(spark: SparkSession) -> None:
         return
     name = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-gridcells-')}/gridcells", "zip", root, "gridcells")
     context.addPyFile(name)
+    # the driver's own workers, which set up stateful streams, see no added files
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [name, context.environment.get("PYTHONPATH")]))
     context._gridcells_shipped = True

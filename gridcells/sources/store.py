@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gridcells.runtime import exists, staged
 
+#: Blocks (three numbers each) that are broadcast at most.
+FEW_BLOCKS = 1 << 18
 _MANIFEST = "tile string, rows long, version long"
 
 
@@ -73,13 +75,18 @@ def write_blocks(blocks: DataFrame, pixels: DataFrame, path: str, size: int, reg
     cluster(at.withColumn("region", region(F.col("by"), F.col("bx")).cast("long")), f"{path}/index", "parent")
 
 
-def blocks_of(spark: SparkSession, path: str, cells: Column) -> DataFrame:
+def blocks_of(spark: SparkSession, path: str, cells: Column, few: int = FEW_BLOCKS) -> DataFrame:
     """The blocks that coarse cells touch; ``cells`` is a condition on ``parent``. The index
     is read where its row groups may hold such cells, and tells while the query runs which
-    folders of blocks to list (dynamic partition pruning)."""
+    folders of blocks to list (dynamic partition pruning). Up to ``few`` blocks are sent to
+    all tasks; of more only their folders are, which the driver lists anyway, and the blocks
+    meet those folders' rows in a join that Spark chooses."""
     wanted = spark.read.parquet(f"{path}/index").where(cells).select("region", "by", "bx").distinct()
-    # the index holds a row for each block and cell, not their values; of a chosen window it is small
-    return spark.read.parquet(f"{path}/blocks").join(F.broadcast(wanted), ["region", "by", "bx"], "left_semi")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    if wanted.limit(few + 1).count() <= few:
+        return blocks.join(F.broadcast(wanted), ["region", "by", "bx"], "left_semi")
+    near = blocks.join(F.broadcast(wanted.select("region").distinct()), "region", "left_semi")
+    return near.join(wanted, ["region", "by", "bx"], "left_semi")
 
 
 def cluster(df: DataFrame, path: str, key: str, files: int | None = None, group_bytes: int = 8 << 20, distinct: int | None = None) -> None:

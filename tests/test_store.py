@@ -37,8 +37,8 @@ def blocks(spark, path):
 def test_blocks_of_few_cells_read_few_files(spark, tmp_path):
     path = "file://" + str(tmp_path / "stored")
     pixels, parent = blocks(spark, path)
-    for cells in ([3004], [3004, 20011], list(range(0, 29 * 1000, 1000))):
-        found = T.blocks_of(spark, path, F.col("parent").isin(cells))
+    for cells, few in (([3004], 100), ([3004, 20011], 100), (list(range(0, 29 * 1000, 1000)), 100), (list(range(0, 29 * 1000, 1000)), 10)):
+        found = T.blocks_of(spark, path, F.col("parent").isin(cells), few)
         got = {(r["by"], r["bx"]) for r in found.collect()}
         assert got == {(r["row"] // 10, r["col"] // 10) for r in pixels.where(parent.isin(cells)).collect()}
         files = {n for n, _ in scans(found)}

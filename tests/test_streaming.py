@@ -1,6 +1,10 @@
 """Streams give what the batch operators give on the same rows."""
 
 import datetime
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 from gridcells import runtime
 from gridcells.plans import registry
@@ -17,6 +21,29 @@ def test_stateful_accumulator_equals_batch(spark):
     assert max(abs(batch[k] - stream[k]) for k in batch) < 2e-5
 
 
+ELSEWHERE = """
+import datetime, sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from gridcells.streaming import stream as R
+
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate()
+schema = "pixel long, ts timestamp, x double, fl double"
+spark.createDataFrame([(1, datetime.datetime(2024, 1, 1, 1), 8.0, 1.0)], schema).write.parquet(sys.argv[2] + "/feed")
+out = R.run_to_table(R.accumulate(R.read_stream(spark, sys.argv[2] + "/feed", schema), 1.0, 0), "load")
+print("loads", [r["load"] for r in out.collect()])
+"""
+
+
+def test_a_session_started_elsewhere_finds_the_package(tmp_path):
+    """Neither the working folder nor PYTHONPATH has the package; the workers that the
+    driver starts to set up a stateful stream get it all the same."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    root = str(Path(R.__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", ELSEWHERE, root, str(tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "loads [4.0]" in done.stdout, done.stderr[-3000:]
+
+
 def test_late_rows_are_left_out(spark, tmp_path):
     """A row behind the hour that was handed on changes nothing, nor is it output."""
     at = lambda h: datetime.datetime(2024, 1, 1, h)
