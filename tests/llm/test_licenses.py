@@ -1,3 +1,7 @@
+import functools
+import random
+import re
+
 from gridcells.llm import licenses as L
 
 
@@ -218,3 +222,123 @@ def test_many_sentences_in_one_text(make_docs):
         assert len(r["sentence_ids"]) >= n and set(r["licenses"]) == {"MIT", "Apache-2.0"}
         assert r["sentence_at"] == sorted(r["sentence_at"])
     assert took[2] < 8 * took[1] + 10
+
+
+def tokens(text):
+    """The words, and between them the breaks: H after end marks, S of lines alone."""
+    words, gaps = [], ["H"]
+    for m in re.finditer(rf"(?P<H>{L.END})|(?P<S>{L.BREAK})|[a-z0-9]+", text.lower()):
+        if m.lastgroup:
+            gaps[-1] += m.lastgroup
+        else:
+            words.append(m.group())
+            gaps.append("")
+    gaps[-1] += "H"
+    return words, gaps
+
+
+def after(words, gaps, at, piece):
+    """The words after a piece that begins at word ``at``, the longest stars first; None if
+    it does not. A piece holds words, stars (X) and places for any break (None)."""
+    if not piece:
+        return at if gaps[at] else None
+    first, *rest = piece
+    if first is None:
+        return after(words, gaps, at, rest)
+    reach, free = at, True
+    while reach < len(words) and reach - at < (L.HOLDER if first == "X" else 1) and (reach == at or free):
+        reach += 1
+        free = gaps[reach] in ("", "S")
+    for end in range(reach, at, -1):
+        if first != "X" and words[at] != first:
+            return None
+        if not rest or rest[0] is None or gaps[end] in ("", "S"):
+            found = after(words, gaps, end, rest)
+            if found is not None:
+                return found
+    return None
+
+
+def all_pieces():
+    """(identifier, piece) of all tables, in the order in which they are tried."""
+    known, _ = L.known_wordings()
+    halves = {p: [p.split()] for p in known if "X" not in p}
+    for _, sentence in L.WORDINGS:
+        for part in re.split(L.END, sentence):
+            own = [" X ".join(L._norm(x) for x in half.split("*")).split() for half in part.split("\n\n")]
+            halves[" ".join(w for h in own for w in h)] = own
+    flat = {p: [w for k, h in enumerate(own) for w in ([None] if k else []) + h] for p, own in halves.items()}
+    return [(known[p], flat[p]) for p in sorted(flat, key=lambda p: (p.startswith("X "), -len(p)))]
+
+
+def brute(text, pieces):
+    """Identifiers, the breaks before each, and licences, word by word."""
+    words, gaps = tokens(text)
+    ids, places, line, at, last = [], [], [], 0, 0
+    while at < len(words):
+        hit = next(((i, end) for i, p in pieces if (p[0] in ("X", words[at])) and (end := after(words, gaps, at, p)) is not None), None) if gaps[at] else None
+        if hit is None:
+            at += 1
+            continue
+        ids.append(hit[0])
+        places.append(len("".join(gaps[: at + 1])) - 1)
+        line += ["_"] * (at > last) + [hit[0]]
+        at = last = hit[1]
+    return ids, places, sorted(n for n, rules in rule_blocks().items() if any(in_order(line, r) for r in rules))
+
+
+@functools.cache
+def rule_blocks():
+    """Of each licence the rules, each a list of sentences, each one or several lists of
+    identifiers that stand next to each other."""
+    known, _ = L.known_wordings()
+    forms = {}
+    for name, s in [*L.SENTENCES.items(), *L.WORDINGS]:
+        parts = [" ".join(" ".join(" X ".join(L._norm(x) for x in half.split("*")).split()) for half in part.split("\n\n")) for part in re.split(L.END, s)]
+        forms.setdefault(name, []).append([known[p] for p in parts if p])
+    return {n: [[forms[i] for i in r] for r in L.RULES.get(n, []) + L.MORE_RULES.get(n, [])] for n in L.RULES | L.MORE_RULES}
+
+
+def in_order(line, rule):
+    at = 0
+    for forms in rule:
+        ends = [k + len(f) for f in forms for k in range(at, len(line)) if line[k : k + len(f)] == f]
+        if not ends:
+            return False
+        at = min(ends)
+    return True
+
+
+def test_all_wordings_and_rules_against_brute_force(make_docs):
+    """Every sentence of the tables, wrapped anywhere, with comment marks and names of one
+    to nine words in the place of stars; every rule in order, with other lines between,
+    turned round, and without one of its sentences."""
+    rng = random.Random(5)
+    told = [*L.SENTENCES.items(), *L.WORDINGS]
+
+    def written(sentence):
+        name = lambda: " ".join(rng.choice(["Jane", "Doe", "the", "Example", "3d", "Group"]) for _ in range(rng.randint(1, 9)))
+        halves = [re.sub(r"\*", lambda _: name(), h) for h in sentence.split("\n\n")]
+        text, mark = halves[0], rng.choice(["", "", " * ", "# ", "    "])
+        for h in halves[1:]:
+            text += rng.choice([" ", "\n", "\n\n"]) + h
+        often = rng.choice([0, 0.05, 0.2])
+        return re.sub(" ", lambda _: "\n" + mark if rng.random() < often else " ", text) + rng.choice([".", "\n", ". ", ".\n\n"])
+
+    by_name = {}
+    for n, s in told:
+        by_name.setdefault(n, []).append(s)
+    texts = ["Some words.\n" + written(s) + rng.choice(["int x", "", "\nmore"]) for _, s in told for _ in range(3)]
+    for rules in (L.RULES, L.MORE_RULES):
+        for own in rules.values():
+            for rule in (r for r in own if len(r) > 1 or rng.random() < 0.1):
+                parts = [written(rng.choice(by_name[i])) for i in rule]
+                between = [rng.choice(["", "", "\nother words\n", "\n" + written(rng.choice(told)[1])]) for _ in parts]
+                texts += ["\n".join(map("".join, zip(parts, between))), "\n".join(parts), "\n".join(parts[::-1]), "\n".join(parts[:-1])]
+    pieces = all_pieces()
+    want = [brute(t, pieces) for t in texts]
+    got = {r["doc_id"]: (r["sentence_ids"], r["sentence_at"], sorted(r["licenses"])) for r in L.recognise(make_docs(texts)).collect()}
+    wrong = [(texts[k], got[k], want[k]) for k in range(len(texts)) if got[k] != want[k]]
+    assert not wrong, (len(wrong), wrong[0])
+    assert {i for ids, _, _ in want for i in ids} == {i for i, _ in pieces}
+    assert {n for _, _, names in want for n in names} >= set(L.MORE_RULES)
