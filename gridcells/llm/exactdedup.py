@@ -4,7 +4,8 @@ The index is a table of Spark, bucketed and sorted by digest: one row per text t
 ever arrived, with the row that stays and the batch that brought it. A batch of documents
 is reduced to digests first, and to one row per digest before anything is shuffled; a
 sort-merge anti-join with the index, whose side needs no shuffle, finds the new digests,
-and those are appended. So a batch costs what it brings, however large the index is.
+and those are appended. So a batch costs what it brings, however large the index is. Each
+batch adds a file to each bucket; ``compacted`` puts them together, in more buckets if need be.
 
 Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` has become one
 space; of equal texts the row that arrived first stays, within a batch that of the smallest
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcells.llm.batches import free_name
-from gridcells.runtime import shared_dir, shuffle_partitions, spread, staged, table
+from gridcells.runtime import exists, scratch, shared_dir, shuffle_partitions, spread, staged, table
 
 #: Digests that each make up over one HOT_GROUPS-th of a batch; at most so many exist.
 HOT_GROUPS = 1000
@@ -41,12 +42,13 @@ def normalised(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """The table ``name`` of digest, keep_id, place (of the row that stays in its batch)
+    """The table ``name``, under ``path``, of digest, keep_id, place (of the row that stays in its batch)
     and batch, in ``buckets`` buckets by digest, each file of which is sorted by digest."""
 
     spark: SparkSession
     name: str
     buckets: int
+    path: str
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -64,7 +66,19 @@ def create_index(spark: SparkSession, buckets: int | None = None, path: str | No
     path = path or f"{shared_dir(spark)}/{name}"
     buckets = buckets or shuffle_partitions(spark)
     spark.sql(f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, place BIGINT, batch STRING) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return Index(spark, name, buckets)
+    return Index(spark, name, buckets, path)
+
+
+def compacted(index: Index, buckets: int | None = None, path: str | None = None) -> Index:
+    """The index written anew under ``path``, with one file a bucket (each batch has left
+    one), in more ``buckets`` if it has grown. The old one stays as it is, and is the one to
+    go on with if this fails; batches that had a name keep it."""
+    fresh = create_index(index.spark, buckets or index.buckets, path)
+    if exists(index.spark, index.path):
+        # read as files: for the buckets of a table the dealing out would be left away, and
+        # the tasks of the scan, which then ignores the buckets, would each write to all
+        fresh._append(index.spark.read.schema(index.rows().schema).parquet(index.path))
+    return fresh
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", place: Column | None = None) -> DataFrame:
@@ -138,7 +152,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents arrive in two batches, the lower ids first, so the row that arrives
     first is that of the smallest id. Groups are counted over both."""
     rows = digests(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    index = create_index(spark)
+    index = create_index(spark, path=scratch(spark, "index"))
     for batch in arrivals(rows):
         add_batch(index, batch)
     found = verdicts(index, rows)

@@ -82,6 +82,26 @@ def test_the_index_side_is_not_shuffled(spark, make_docs):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("buckets", [3, 5])
+def test_a_compacted_index_says_the_same(spark, make_docs, tmp_path, buckets):
+    index = E.create_index(spark, 3)
+    for k in range(4):
+        E.add_batch(index, E.digests(make_docs([(10 * k + i, f"text {(7 * k + i) % 40}") for i in range(10)])), f"b{k}")
+    path = "file://" + str(tmp_path / "compacted")
+    fresh = E.compacted(index, buckets, path)
+    rows = lambda x: sorted((bytes(r["digest"]), r["keep_id"], r["place"], r["batch"]) for r in x.rows().collect())
+    assert rows(fresh) == rows(index) and len(rows(index)) > 10
+    files = lambda x: len(x.rows().inputFiles())
+    assert files(fresh) <= buckets < files(index)
+    # it goes on like the old one, also when it is opened again, and knows the batches' names
+    docs = make_docs([(100, "text 3"), (101, "text 99")])
+    E.add_batch(fresh, E.digests(make_docs(["no news"])), "b2")
+    again = E.create_index(spark, buckets, path)
+    said = [sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in E.dedup(docs, x).collect()) for x in (again, index)]
+    assert said[0] == said[1] == [(100, 3, False), (101, 101, True)]
+    assert rows(E.compacted(E.create_index(spark, 2))) == []
+
+
 def test_query_equals_one_batch(spark):
     """Two arrivals in the order of the ids give what one gives."""
     got = E.op13_exact_dedup(spark, "/root/testdata/sf0.001")
