@@ -67,9 +67,14 @@ def put_hours(batch: DataFrame, batch_id: int, base: str, late_hours: int = 2) -
     row may reach any more are closed. What a batch writes depends on its rows and on the
     batch before alone, goes to folders of its number, and counts once the mark of the
     batch is there; so a batch that is run again, whole or after a failure, changes nothing.
-    Rows of closed hours are late: left out, but counted in the mark."""
+    Rows of closed hours are late: left out, but counted in the mark, with those of all
+    batches before. The marks and open hours of two batches are kept, so what a batch reads
+    does not grow with their number. Once a later batch has its mark, a batch was finished,
+    and is left."""
     spark = batch.sparkSession
     marks = spark.read.schema("newest timestamp, late long, batch long").parquet(f"{base}/marks") if exists(spark, f"{base}/marks") else None
+    if marks is not None and not marks.where(F.col("batch") > batch_id).isEmpty():
+        return
     before = marks.where(F.col("batch") < batch_id).orderBy(F.desc("batch")).first() if marks is not None else None
     limit = lambda newest: F.lit(newest) - F.expr(f"INTERVAL {late_hours} HOURS")
     end = F.col("ts") + F.expr("INTERVAL 1 HOUR")
@@ -80,6 +85,7 @@ def put_hours(batch: DataFrame, batch_id: int, base: str, late_hours: int = 2) -
     if before:
         newest = before["newest"] if newest is None else max(newest, before["newest"])
         held = spark.read.schema(_HOURS).parquet(f"{base}/open/batch={before['batch']}")
+        late = before["late"] + (late or 0)
         own = own.where(end > limit(before["newest"])).unionByName(held).groupBy("pixel", "ts").agg(F.sum("cents").alias("cents"), F.sum("n").alias("n"))
     closed = end <= limit(newest)
     if newest is not None:
@@ -89,7 +95,8 @@ def put_hours(batch: DataFrame, batch_id: int, base: str, late_hours: int = 2) -
     sums.unpersist()
     if marks is not None and before:
         for old in marks.where(F.col("batch") < before["batch"]).select("batch").collect():
-            delete(spark, f"{base}/open/batch={old['batch']}")  # two batches of open hours are enough
+            for part in ("open", "marks"):  # the mark last: it tells what there is to delete
+                delete(spark, f"{base}/{part}/batch={old['batch']}")
 
 
 def upsert_hours(stream: DataFrame, base: str, late_hours: int = 2) -> None:

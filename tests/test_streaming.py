@@ -111,3 +111,18 @@ def test_provisional_hours_are_set_right(spark, tmp_path):
     assert seen()[2, 6] == (10, 2, True)
     R.put_hours(rows((1, at(1), 1)).limit(0), 3, base)
     assert seen()[2, 6] == (10, 2, True)
+
+
+def test_batches_read_as_much_however_many_there_were(spark, tmp_path):
+    """Marks and open hours of two batches are kept, late rows are counted over all."""
+    base = "file://" + str(tmp_path / "hours")
+    for k in range(6):
+        ts = [datetime.datetime(2024, 1, 1, 4 * k), datetime.datetime(2024, 1, 1)]
+        R.put_hours(spark.createDataFrame([(1, t, 1) for t in ts], "pixel long, ts timestamp, cents long"), k, base)
+    for part in ("marks", "open"):
+        assert {r["batch"] for r in spark.read.option("basePath", f"{base}/{part}").parquet(f"{base}/{part}/batch=*").collect()} == {4, 5}
+    assert spark.read.parquet(f"{base}/marks").where("batch = 5").first()["late"] == 4  # hour 0 is open until the batch with hour 4
+    # one of long ago, run again, changes nothing
+    R.put_hours(spark.createDataFrame([(1, datetime.datetime(2024, 1, 1, 20), 7)], "pixel long, ts timestamp, cents long"), 1, base)
+    got = {r["ts"].hour: (r["cents"], r["provisional"]) for r in R.hours_so_far(spark, base).collect()}
+    assert got == {0: (3, False), **{4 * k: (1, k == 5) for k in range(1, 6)}}
