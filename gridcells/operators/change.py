@@ -143,10 +143,14 @@ def growth(dates: DataFrame, y0: int, y1: int, base: int = 2016, n_idx: int = 20
     return dates.select(*[x for x in dates.columns if not (x[0] == "c" and x[1:].isdigit())], p_built.alias("p_built"), p_new.alias("p_new"), grew.alias("grew"), F.when(grew, -top["y"]).when(p_built > 0, -1).otherwise(-3).alias("byear"), first.alias("first_idx"))
 
 
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
+
+
 def unit(v: Column) -> Column:
     """The vector over its norm; null if the norm is 0 or missing."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
-    return F.when(norm.isNotNull() & ~F.isnan(norm) & (norm > 0), F.transform(v, lambda x: x / norm))
+    n = norm(v)
+    return F.when(n.isNotNull() & ~F.isnan(n) & (n > 0), F.transform(v, lambda x: x / n))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -155,12 +159,16 @@ def dot(a: Column, b: Column) -> Column:
 
 def year_steps(vecs: DataFrame, strict: bool = True) -> DataFrame:
     """cell, year, step: 1 - cosine from the year before (``strict``) or from the
-    last present year; ``diff`` is the difference of the unit vectors."""
+    last present year; ``diff`` is the difference of the unit vectors. The product of the
+    vectors is divided by the later norm, then by the earlier one: steps of equal vectors
+    are nothing but rounding, and whether such a one is over a level of such ones hangs on
+    its last bits."""
     w = Window.partitionBy("cell").orderBy("year")
-    u = vecs.withColumn("u", unit(F.col("vec"))).where("u IS NOT NULL")
-    lagged = u.select("cell", "year", "u", F.lag("u").over(w).alias("pu"), F.lag("year").over(w).alias("py")).where("pu IS NOT NULL")
+    u = vecs.select("cell", "year", F.col("vec").cast("array<double>").alias("v")).withColumn("n", norm(F.col("v"))).where("NOT isnan(n) AND n > 0")
+    lagged = u.select("cell", "year", "v", "n", F.lag("v").over(w).alias("pv"), F.lag("n").over(w).alias("pn"), F.lag("year").over(w).alias("py")).where("pv IS NOT NULL")
     lagged = lagged.where("year = py + 1") if strict else lagged
-    return lagged.select("cell", "year", (1 - dot(F.col("u"), F.col("pu"))).alias("step"), F.zip_with("u", "pu", lambda a, b: a - b).alias("diff"))
+    step = 1 - dot(F.col("v"), F.col("pv")) / F.col("n") / F.col("pn")
+    return lagged.select("cell", "year", step.alias("step"), F.zip_with("v", "pv", lambda a, b: a / F.col("n") - b / F.col("pn")).alias("diff"))
 
 
 def displacement(vecs: DataFrame, y: int) -> DataFrame:
@@ -217,8 +225,8 @@ def change_clusters(diffs: DataFrame, vector: str, k: int = 10, seed: int = 0, s
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
-    far = staged(diffs.withColumn("_far", F.coalesce(norm > least, F.lit(False))), "differences")
+    length = F.sqrt(dot(F.col(vector), F.col(vector)))
+    far = staged(diffs.withColumn("_far", F.coalesce(length > least, F.lit(False))), "differences")
     rows = far.where("_far").withColumn("_v", array_to_vector(unit(F.col(vector))))
     rest = far.where("NOT _far").withColumn("cluster", F.lit(-1)).drop("_far")
     if rows.isEmpty():

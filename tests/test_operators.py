@@ -6,6 +6,7 @@ import os
 import random
 import struct
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from gridcells.operators import member as G
 from gridcells.operators import stats as S
 from gridcells.operators.components import connected_components
 from gridcells.operators.tracks import links, tracks
+from gridcells.plans import registry
 
 
 def find(parent, x):
@@ -462,3 +464,18 @@ def test_intermediates_can_be_deleted(spark):
     assert kept.count() == 3 and os.path.isdir(path)
     runtime.clean(spark)
     assert not os.path.exists(path) and spark._gridcells_staged == []
+
+
+def test_verdicts_over_a_level_of_equal_vectors_equal_the_sql(spark, tmp_path):
+    """Nearly all steps are those of equal vectors: what is over their level is decided by
+    the last bits of the same arithmetic as in SQL."""
+    rng = random.Random(8)
+    vectors = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(12)]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame([(240 * b + k, v, b) for b, v in enumerate(vectors) for k in range(240)], "vec_id long, embedding array<float>, label int").write.parquet(path)
+    got = {r["cell"]: (r["moved"], r["verdict"]) for r in registry.queries()["c04_c06_c08_verdict"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    cur = con.execute(registry.oracle_sql()["c04_c06_c08_verdict"])
+    at = [d[0] for d in cur.description]
+    assert got == {r[at.index("cell")]: (r[at.index("moved")], r[at.index("verdict")]) for r in cur.fetchall()}
