@@ -54,11 +54,13 @@ def s02_stored(spark, sf_dir, pixels, px):
 SELECT cell, n, v FROM f WHERE i % 50 = 7 AND j % 40 = 3""")
 def t03_stored(spark, sf_dir, px):
     """Folds stored in the order of cells; some cells looked up, with others that the table
-    has not."""
+    has not. Their columns reach as far as the table does, whatever its size."""
     path = scratch(spark, "folds")
     T.cluster(px.groupBy("cell").agg(F.count("*").alias("n"), F.sum("v").alias("v")), path, "cell", 4, 1 << 16)
-    cells = spark.range(40).select(H.pack(RES, F.col("id") % 8 * 50 + 7, F.floor(F.col("id") / 8) * 40 + 3).alias("cell"))
-    return T.lookup(spark, path, "cell", [r["cell"] for r in cells.collect()])
+    to_i, to_j = px.agg(F.max("i"), F.max("j")).first()
+    rows, cols = (spark.range(7 if f == 50 else 3, (to or 0) + 1 + f, f) for to, f in ((to_i, 50), (to_j, 40)))
+    cells = rows.select(F.col("id").alias("i")).crossJoin(cols.select(F.col("id").alias("j"))).select(H.pack(RES, "i", "j").alias("cell"))
+    return T.lookup(spark, path, "cell", cells)
 
 
 @q("s03_box_scan", ("px_geo",), "SELECT id, ln, round(lon, 6) AS lon, round(lat, 6) AS lat FROM px_geo WHERE lon >= -110 AND lon < -95.5 AND lat >= 26 AND lat < 40")

@@ -12,6 +12,8 @@ from gridcells.runtime import exists, staged
 
 #: Blocks (three numbers each) that are broadcast at most.
 FEW_BLOCKS = 1 << 18
+#: Keys that a lookup puts into the filter of a scan at most.
+FEW_KEYS = 1000
 _MANIFEST = "tile string, rows long, version long"
 
 
@@ -101,6 +103,16 @@ def cluster(df: DataFrame, path: str, key: str, files: int | None = None, group_
     writer.parquet(path)
 
 
-def lookup(spark: SparkSession, path: str, key: str, values: Sequence) -> DataFrame:
-    """Rows of a clustered table by some keys, which reach its scan as a filter."""
-    return spark.read.parquet(path).where(F.col(key).isin(list(values)))
+def lookup(spark: SparkSession, path: str, key: str, values: Sequence | DataFrame, few: int = FEW_KEYS) -> DataFrame:
+    """Rows of a clustered table by some keys, which reach its scan as a filter. ``values``
+    may be a table with the column ``key``: if it has over ``few`` keys, only their bounds
+    reach the scan, and the rows meet the keys in a join that Spark chooses."""
+    stored = spark.read.parquet(path)
+    if isinstance(values, DataFrame):
+        keys = staged(values.select(key).distinct(), "keys")
+        held = [r[key] for r in keys.limit(few + 1).collect()]
+        if len(held) > few:
+            low, high = keys.agg(F.min(key), F.max(key)).first()
+            return stored.where(F.col(key).between(low, high)).join(keys, key, "left_semi")
+        values = held
+    return stored.where(F.col(key).isin(list(values)))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridcells.operators import fold as O
+from gridcells.plans import registry, views
 from gridcells.sources import store as T
 
 
@@ -60,6 +61,26 @@ def test_lookups_skip_files_and_row_groups(spark, tmp_path):
         assert rows == 0 if n == 0 else n <= rows < 100_000
 
 
+@pytest.mark.parametrize("few", [1000, 3])
+def test_lookups_of_a_table_of_keys(spark, tmp_path, few):
+    path = "file://" + str(tmp_path / "cells")
+    T.cluster(spark.range(50_000).select((F.col("id") * 3).alias("cell"), F.col("id").alias("a")), path, "cell", 4, 1 << 16)
+    keys = spark.range(90, 120_000, 10_000).select(F.col("id").alias("cell"))
+    got = sorted(r["cell"] for r in T.lookup(spark, path, "cell", keys.union(keys), few).collect())
+    assert got == [k for k in range(90, 120_000, 10_000) if k % 3 == 0]
+
+
+def test_the_stored_lookup_reaches_as_far_as_the_table(spark, tmp_path):
+    """Cells of columns far beyond those of the smallest table."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    far = rows.withColumns({"l_partkey": F.col("l_partkey") * 50 + 7, "l_suppkey": F.col("l_suppkey") * 40 + 803})
+    rows.unionByName(far.select(rows.columns)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r["cell"], r["n"], r["v"]) for r in registry.queries()["t03_stored_lookup"](spark, str(tmp_path)).collect()}
+    px = views.get(spark, str(tmp_path), "px").where("i % 50 = 7 AND j % 40 = 3")
+    want = {(r["cell"], r["n"], r["v"]) for r in px.groupBy("cell").agg(F.count("*").alias("n"), F.sum("v").alias("v")).collect()}
+    assert got == want and len(want) > 20
+
+
 def work_and_source(spark):
     rows = spark.range(4000).select((F.col("id") % 20).cast("string").alias("tile"), (F.col("id") % 37).alias("cell"), (F.col("id") * 7 % 101).alias("v"))
     return spark.range(22).select(F.col("id").cast("string").alias("tile")), rows
