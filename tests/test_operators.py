@@ -470,9 +470,9 @@ def test_verdicts_over_a_level_of_equal_vectors_equal_the_sql(spark, tmp_path):
     """Nearly all steps are those of equal vectors: what is over their level is decided by
     the last bits of the same arithmetic as in SQL."""
     rng = random.Random(8)
-    vectors = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(12)]
+    vectors = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(60)]
     path = str(tmp_path / "embeddings.parquet")
-    spark.createDataFrame([(240 * b + k, v, b) for b, v in enumerate(vectors) for k in range(240)], "vec_id long, embedding array<float>, label int").write.parquet(path)
+    spark.createDataFrame([(60 * b + k, v, b) for b, v in enumerate(vectors) for k in range(60)], "vec_id long, embedding array<float>, label int").write.parquet(path)
     got = {r["cell"]: (r["moved"], r["verdict"]) for r in registry.queries()["c04_c06_c08_verdict"](spark, str(tmp_path)).collect()}
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
