@@ -8,7 +8,7 @@ from gridcells.operators import fold as O
 from gridcells.operators.stats import global_quantiles
 from gridcells.plans.book import Book
 from gridcells.plans.views import PARENT_SQL, RES, parent_of
-from gridcells.runtime import scratch
+from gridcells.runtime import scratch, staged
 from gridcells.sources import scan as S
 from gridcells.sources import store as T
 
@@ -143,12 +143,14 @@ def s12(pixels, px):
 def s12_ingest(spark, sf_dir, px):
     """Partial sums by tile: a run that is stopped after some tiles, one that goes on, and
     one tile that is made again, of other rows and then of the right ones."""
-    source = px.where("ok AND i div 40 <> 2").withColumn("tile", F.concat_ws("_", F.expr("i div 40"), F.expr("j div 100")))
-    work = px.select(F.concat_ws("_", F.expr("i div 40"), F.expr("j div 100")).alias("tile")).distinct()
+    tiled = px.withColumn("tile", F.concat_ws("_", F.expr("i div 40"), F.expr("j div 100")))
+    # each group of tiles goes over the source, without the columns that it does not need
+    source = staged(tiled.where("ok AND i div 40 <> 2").select("tile", "cell", "cls", "v"), "source")
+    work = staged(tiled.select("tile").distinct(), "tiles")
     base, values = scratch(spark, "ingest"), O.sums(["v"])
 
     def make(tiles, rows=source):
-        return O.fold(rows.join(F.broadcast(tiles), "tile", "left_semi"), ["tile", "cell"], values)  # a few tiles
+        return O.fold(rows.join(F.broadcast(tiles), "tile", "left_semi"), ["tile", "cell"], values)  # names of one group
 
     T.ingest(work.where("tile < '2'"), make, base, 2)
     T.ingest(work, make, base, 4)

@@ -12,6 +12,8 @@ from gridcells.runtime import exists, staged
 
 #: Blocks (three numbers each) that are broadcast at most.
 FEW_BLOCKS = 1 << 18
+#: Tiles of one group at most; their names are broadcast.
+GROUP_TILES = 1 << 16
 #: Keys that a lookup puts into the filter of a scan at most.
 FEW_KEYS = 1000
 _MANIFEST = "tile string, rows long, version long"
@@ -26,24 +28,38 @@ def finished(spark: SparkSession, base: str) -> DataFrame:
     return last.where("m.rows >= 0").select("tile", "m.rows", "m.version")
 
 
+def group_ends(n_tiles: int, group: int) -> list[int]:
+    """Where the groups of a run end: each is larger than the one before, by twice the factor
+    of that, up to half of the tiles (and GROUP_TILES). So some six groups do for thousands
+    of tiles, and a run that is stopped loses half of its work at most."""
+    ends, done, size, factor = [], 0, group, 2
+    while done < n_tiles:
+        done = min(done + min(size, max(group, -(-n_tiles // 2)), GROUP_TILES), n_tiles)
+        ends.append(done)
+        size, factor = size * factor, factor * 2
+    return ends
+
+
 def ingest(work: DataFrame, make: Callable[[DataFrame], DataFrame], base: str, group: int = 64, again: bool = False) -> int:
     """Write the tiles of ``work`` (tile string, and what ``make`` needs) that have not been
     written yet, or all of them ``again``: the number of tiles written. ``make`` turns rows
-    of the work list into rows with ``tile``. Some ``group`` tiles at a time are entered in
-    the manifest as begun, put in place of what is there of them (dynamic partition
+    of the work list into rows with ``tile``. Groups of tiles, the first of some ``group``, are
+    entered in the manifest as begun, put in place of what is there of them (dynamic partition
     overwrite), and entered with their rows; so a run that was stopped leaves whole tiles
     and begun ones, and the next one goes on with those. A tile without rows is entered
-    too, with none. Runs over the same tiles must not overlap in time."""
+    too, with none. Runs over the same tiles must not overlap in time. ``make`` may go over
+    its whole source for a group, so groups grow (see ``group_ends``)."""
     spark = work.sparkSession
     todo = work if again else work.join(finished(spark, base), "tile", "left_anti")
     todo = staged(todo, "work")
     n_tiles = todo.select("tile").distinct().count()
     known = spark.read.schema(_MANIFEST).parquet(f"{base}/manifest").agg(F.max("version")).first()[0] if exists(spark, f"{base}/manifest") else 0
     version = F.lit((known or 0) + 1).cast("long").alias("version")
-    n_groups = -(-n_tiles // group)
-    for g in range(n_groups):
-        own = todo.where(F.pmod(F.xxhash64("tile"), F.lit(n_groups)) == g)
-        tiles = own.select("tile").distinct()
+    start = 0
+    for end in group_ends(n_tiles, group):
+        # each tile has a place by its hash among as many as there are
+        own = todo.where(F.pmod(F.xxhash64("tile"), F.lit(n_tiles)).between(start, end - 1))
+        tiles, start = own.select("tile").distinct(), end
 
         def enter(rows: DataFrame) -> None:
             rows.select("tile", F.col("rows").cast("long").alias("rows"), version).coalesce(1).write.mode("append").parquet(f"{base}/manifest")

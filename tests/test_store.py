@@ -150,3 +150,20 @@ def test_a_tile_made_again_replaces_its_sums(spark, tmp_path):
     assert "3" not in {r["tile"] for r in T.finished(spark, base).collect()}
     assert T.ingest(work, made(rows.where("tile <> '4'")), base) == 1
     assert merged(spark, base) == sorted(map(tuple, rows.where("tile <> '4'").groupBy("cell").agg(F.avg("v").alias("v"), F.count("v").alias("n_v")).collect()))
+
+
+def test_a_run_of_many_tiles_takes_few_groups(spark, tmp_path):
+    """What ``make`` costs for a group, a pass over its source, is paid a few times only."""
+    base, calls = "file://" + str(tmp_path / "ingest"), []
+    rows = spark.range(4000).select((F.col("id") % 400).cast("string").alias("tile"), (F.col("id") % 37).alias("cell"), F.col("id").alias("v"))
+
+    def counting(tiles):
+        calls.append(tiles.count())
+        return made(rows)(tiles)
+
+    assert T.ingest(rows.select("tile").distinct(), counting, base, 2) == 400 == sum(calls)
+    assert len(calls) <= 7 and max(calls) < 300 and T.read_tiles(spark, base, SCHEMA).agg(F.sum("n_v")).first()[0] == 4000
+    for n, group in ((0, 4), (1, 4), (22, 4), (3000, 2), (10**6, 64)):
+        ends = T.group_ends(n, group)
+        sizes = [b - a for a, b in zip([0, *ends], ends)]
+        assert sum(sizes) == n and all(0 < k <= max(group, -(-n // 2), 1) and k <= T.GROUP_TILES for k in sizes)
