@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gridcells.operators import change as C
 from gridcells.plans.book import Book
 from gridcells.plans.views import get
-from gridcells.runtime import scratch, table
+from gridcells.runtime import scratch, staged, table
 from gridcells.streaming import stream as R
 
 BOOK = Book()
@@ -26,13 +26,14 @@ def r04(spark, sf_dir):
     one before."""
     weather = get(spark, sf_dir, "weather")
     film = weather.select("pixel", "ts", (C.excess(F.col("value"), 20_000.0, F.col("w"), 0.1) / 1000).alias("x"), C.rain_flush(F.col("rain"), 0.5).alias("fl"))
+    schema, film = film.schema, staged(film, "film")
     first, last = film.agg(F.min("ts"), F.max("ts")).first()
     feed, base = (scratch(spark, n) for n in ("feed", "load"))
     start = 1_704_067_200 // 3600  # 2024-01-01 00:00 UTC
     out = None
     for k in range(((last.date() - first.date()).days // 8 + 1) if first else 1):
         film.where(F.floor(F.datediff("ts", F.lit(first)) / 8) == k).write.mode("append").parquet(feed)
-        stream = R.read_stream(spark, feed, film.schema)
+        stream = R.read_stream(spark, feed, schema)
         out = R.run_to_table(R.accumulate(stream, 24.0, start), "load", base=base)
     return out.withColumn("load", F.round("load", 5))
 

@@ -116,40 +116,75 @@ def hours_so_far(spark: SparkSession, base: str) -> DataFrame:
     return closed.withColumn("provisional", F.lit(False)).unionByName(still.withColumn("provisional", F.lit(True)))
 
 
+#: Pixels of neighbouring numbers whose state is one value.
+BLOCK_PIXELS = 64
+HELD = np.dtype([("pixel", np.int64), ("last", np.int64), ("load", np.float64)])
+
+
 class Accumulator(StatefulProcessor):
-    """The accumulator's recurrence with (last hour, load) kept per pixel between batches.
-    A timer in event time clears the state of a pixel that has long been silent."""
+    """The accumulator's recurrence with (last hour, load) of each pixel kept between batches,
+    those of a block of BLOCK_PIXELS pixels in one value, so what a call costs is not paid for
+    each pixel. A timer in event time drops those of pixels that have long been silent."""
 
     def __init__(self, half_life: float, start_hour: int, idle_hours: int):
         self.a, self.start, self.idle = 2 ** (-1 / half_life), start_hour, idle_hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("load", "last long, load double")
+        self.state = handle.getValueState("loads", "held binary")
+
+    def _held(self) -> np.ndarray:
+        return np.frombuffer(bytes(self.state.get()[0]), HELD) if self.state.exists() else np.zeros(0, HELD)
+
+    def _expiry(self, held: np.ndarray) -> np.ndarray:
+        return (held["last"] + self.idle) * 3_600_000
+
+    def _keep(self, held: np.ndarray, watermark: int) -> None:
+        """Puts ``held`` (by pixel) into the state, and a timer for the first that runs out."""
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if not len(held):
+            self.state.clear()
+            return
+        self.state.update((held.tobytes(),))
+        self.handle.registerTimer(max(int(self._expiry(held).min()), watermark + 1))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        own = pd.concat(list(rows)).sort_values(["pixel", "ts"], kind="stable")
+        # the rows without a pixel are a block of one
+        pixel = own["pixel"].to_numpy(np.int64) if key[0] is not None else np.zeros(len(own), np.int64)
         h = own["ts"].astype("datetime64[s]").astype("int64").to_numpy() // 3600
-        known = self.state.exists()
-        last, load = self.state.get() if known else (self.start, 0.0)
-        if known:
-            # hours that were handed on are closed
-            own, h = own[h > last], h[h > last]
+        watermark, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        held = held[(self._expiry(held) > watermark) | np.isin(held["pixel"], pixel)]
+        at = np.searchsorted(held["pixel"], pixel)
+        known = np.append(held["pixel"], 0)[at] == pixel
+        known &= at < len(held)
+        last = np.where(known, np.append(held["last"], 0)[at], self.start)
+        load = np.where(known, np.append(held["load"], 0.0)[at], 0.0)
+        # hours that were handed on are closed
+        there = ~known | (h > last)
+        own, pixel, h, last, load = own[there], pixel[there], h[there], last[there], load[there]
         if not len(h):
+            self._keep(held, watermark)
             return
+        first = np.append(True, pixel[1:] != pixel[:-1])
+        gap = h - np.where(first, last, np.append(0, h[:-1]))
         fl = own["fl"].to_numpy(float)
-        m = fl * self.a ** np.maximum(np.diff(h, prepend=last), 0).astype(float)
+        m = fl * self.a ** np.maximum(gap, 0).astype(float)
         c = fl * (1 - self.a) * own["x"].to_numpy(float)
-        m, c = composed(np.where(h <= self.start, 0.0, m), np.where(h <= self.start, 0.0, c))
-        loads = np.where(m == 0, c, c + m * load)
-        self.state.update((int(h[-1]), float(loads[-1])))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max((int(h[-1]) + self.idle) * 3_600_000, timerValues.getCurrentWatermarkInMs() + 1))
-        yield pd.DataFrame({"pixel": key[0], "ts": own["ts"], "load": loads})
+        m, c = np.where(h <= self.start, 0.0, m), np.where(h <= self.start, 0.0, c)
+        c = np.where(first & (m != 0), c + m * load, c)
+        loads = composed(np.where(first, 0.0, m), c)[1]
+        new = np.zeros(int(first.sum()), HELD)
+        ends = np.append(first[1:], True)
+        new["pixel"], new["last"], new["load"] = pixel[ends], h[ends], loads[ends]
+        held = np.concatenate([held[~np.isin(held["pixel"], new["pixel"])], new])
+        self._keep(held[np.argsort(held["pixel"])], watermark)
+        yield pd.DataFrame({"pixel": own["pixel"], "ts": own["ts"], "load": loads})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
+        watermark, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        self._keep(held[self._expiry(held) > watermark], watermark)
         return iter(())
 
     def close(self) -> None:
@@ -164,7 +199,7 @@ def accumulate(stream: DataFrame, half_life: float, start_hour: int, late: str =
     state store of ROCKSDB, which ``run_to_table`` sets."""
     ship(stream.sparkSession)
     processor = Accumulator(half_life, start_hour, int(half_life * idle_half_lives))
-    rows = stream.withWatermark("ts", late).groupBy("pixel")
+    rows = stream.withColumn("block", F.expr(f"pixel div {BLOCK_PIXELS}")).withWatermark("ts", late).groupBy("block")
     return rows.transformWithStateInPandas(processor, "pixel long, ts timestamp, load double", "Append", "EventTime")
 
 

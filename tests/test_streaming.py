@@ -76,6 +76,28 @@ def test_a_timer_drops_the_state_of_silent_pixels(spark, tmp_path):
     assert got[2, 31] == got[2, 30] * 0.5 > 0
 
 
+def test_pixels_of_a_block_share_a_value(spark, tmp_path):
+    """Two batches of 200 pixels, negative and missing ones too, give what each pixel's
+    recurrence gives, with one value of state for each block."""
+    pixels, a = [*range(-70, 130), None], 0.5
+    schema, want = "pixel long, ts timestamp, x double, fl double", {}
+    start = int(datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).timestamp()) // 3600
+    for batch in ((1, 2, 4), (5, 9)):
+        rows = [(p, datetime.datetime(2024, 1, 1, h), float((p or 0) % 7 * h), 0.5 if h == 4 else 1.0) for p in pixels for h in batch]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "feed"))
+        out = R.run_to_table(R.accumulate(R.read_stream(spark, str(tmp_path / "feed"), schema), 1.0, start), "block", base=str(tmp_path / "load"))
+    for p in pixels:
+        load, last = 0.0, 0
+        for h in (1, 2, 4, 5, 9):
+            load = (0.5 if h == 4 else 1.0) * (a ** (h - last) * load + (1 - a) * ((p or 0) % 7 * h))
+            want[p, h], last = load, h
+    got = {(r["pixel"], r["ts"].hour): r["load"] for r in out.collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    with R.state_store(spark):
+        kept = spark.read.format("statestore").option("stateVarName", "loads").load(str(tmp_path / "load" / "state")).count()
+    assert 0 < kept <= len(pixels) // R.BLOCK_PIXELS + 3
+
+
 def test_state_is_kept_in_rocksdb(spark):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     with R.state_store(spark):
