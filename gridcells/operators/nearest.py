@@ -3,26 +3,34 @@
 The rows of ``b`` lie along a Hilbert curve; each ``fan`` of them in a row form a leaf,
 each ``fan`` leaves a node, and so on to a few nodes at the top, each with the bounding
 box of its points. So the tree follows the points, however they cluster. Rows of ``a`` go
-down level by level: of the boxes that a row has come to, the least distance within which
-one must hold a point (a box touches a point on every side) is an upper bound, and boxes
-farther than that are left. Two grids far apart meet in a few boxes a level, like two that
-lie in each other.
+down level by level, those of a group together, GROUP in a row along a curve of their own:
+of the boxes that a row has come to, the least distance within which one must hold a point
+(a box touches a point on every side) is an upper bound, and boxes farther than that from
+every row of the group are left. Two grids far apart meet in a few boxes a level, like two
+that lie in each other. What is shuffled at a level is a list of rows and one of boxes for
+each group, not boxes for each row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridcells.operators.skew import HOT_KEYS, hot_join
 from gridcells.runtime import ship, shuffle_partitions, staged
 
 BITS = 26
+#: Rows that go down together.
+GROUP = 256
+#: Boxes or points that a group is held against at once.
+CHUNK = 4096
 #: Rounding of squared distances, beyond which a box is farther than the bound.
 SLACK = 1e-9
 
@@ -49,7 +57,7 @@ def along_curve(points: DataFrame) -> tuple[DataFrame, int]:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [np.minimum((batch.column(c).to_numpy() - low) / side * 2**BITS, 2**BITS - 1) for c, low in (("bx", low_x), ("by", low_y))]
+            at = [np.minimum(np.nan_to_num((batch.column(c).to_numpy() - low) / side) * 2**BITS, 2**BITS - 1) for c, low in (("bx", low_x), ("by", low_y))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hilbert(*at, BITS))], names=[*batch.schema.names, "key"])
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,22 +103,53 @@ def tree(points: DataFrame, fan: int) -> list[tuple[DataFrame, int]]:
     return levels
 
 
-def _square(v: Column) -> Column:
-    return v * v
+def _off(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of values to intervals, a row for each value."""
+    return np.maximum(np.maximum(low - v[:, None], v[:, None] - high), 0.0) ** 2
 
 
-def bounds(x: Column, y: Column, box: Column) -> tuple[Column, Column]:
-    """Squared distances to the nearest point of a box, and within which it must hold
-    one of its points: one lies on the nearer side of each pair."""
-    gap = lambda v, lo, hi: F.greatest(lo - v, v - hi, F.lit(0.0))
-    low = _square(gap(x, box["w"], box["e"])) + _square(gap(y, box["s"], box["n"]))
+def _sides(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first, second = (v[:, None] - low) ** 2, (v[:, None] - high) ** 2
+    return np.minimum(first, second), np.maximum(first, second)
 
-    def sides(v: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
-        first, second = _square(v - lo), _square(v - hi)
-        return F.least(first, second), F.greatest(first, second)
 
-    (near_x, far_x), (near_y, far_y) = sides(x, box["w"], box["e"]), sides(y, box["s"], box["n"])
-    return low, F.least(near_x + far_y, near_y + far_x)
+def within(x: np.ndarray, y: np.ndarray, w: np.ndarray, e: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Squared distances within which each box must hold one of its points: one lies on
+    the nearer side of each pair."""
+    (near_x, far_x), (near_y, far_y) = _sides(x, w, e), _sides(y, s, n)
+    return np.minimum(near_x + far_y, near_y + far_x)
+
+
+def _chunks(to: pa.StructArray, names: str) -> Iterator[list[np.ndarray]]:
+    for at in range(0, len(to), CHUNK):
+        part = to.slice(at, CHUNK)
+        yield [np.asarray(part.field(c)) for c in names.split()]
+
+
+def _kept(rows: pa.StructArray, bound: np.ndarray, to: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' bounds after the boxes ``to``, and the children that are within the bound
+    of a row."""
+    x, y = (np.asarray(rows.field(c)) for c in "xy")
+    for box in _chunks(to, "w e s n"):
+        bound = np.minimum(bound, within(x, y, *box).min(axis=1))
+    limit, left = bound[:, None] * (1 + SLACK), []
+    for child, w, e, s, n in _chunks(to, "child w e s n"):
+        left.append(child[(_off(x, w, e) + _off(y, s, n) <= limit).any(axis=0)])
+    return bound, np.concatenate(left)
+
+
+def _best(rows: pa.StructArray, to: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the nearest of the points ``to``, as its place there, and the squared
+    distance; ties go to the first."""
+    x, y = (np.asarray(rows.field(c)) for c in "xy")
+    best, place, before = np.full(len(rows), np.inf), np.zeros(len(rows), np.int64), 0
+    for bx, by in _chunks(to, "bx by"):
+        d = (x[:, None] - bx) ** 2 + (y[:, None] - by) ** 2
+        at = d.argmin(axis=1)
+        least = d[np.arange(len(at)), at]
+        place, best = np.where(least < best, at + before, place), np.minimum(best, least)
+        before += len(bx)
+    return place, best
 
 
 def nearest(a: DataFrame, b: DataFrame, fan: float = 16, counted: bool = False) -> DataFrame:
@@ -119,30 +158,54 @@ def nearest(a: DataFrame, b: DataFrame, fan: float = 16, counted: bool = False)
     rows without coordinates, or all if ``b`` is empty, get nulls. ``counted`` adds ``met``,
     the boxes and points that a row was held against."""
     fan = max(2, int(fan))
-    whole = lambda df, c, x, y: df.select(F.col("id").alias(c), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y)).where(f"NOT isnan({x}) AND NOT isnan({y})").dropna(subset=[x, y])
+    plain = lambda df, c, x, y: df.select(F.col("id").alias(c), F.col("x").cast("double").alias(x), F.col("y").cast("double").alias(y))
+    placed = lambda x, y: F.coalesce(~F.isnan(x) & ~F.isnan(y) & F.col(x).isNotNull() & F.col(y).isNotNull(), F.lit(False))
     # rows of b in one place are one: that of the lowest id
-    points = staged(whole(b, "b_id", "bx", "by").groupBy("bx", "by").agg(F.min("b_id").alias("b_id")), "b")
-    if points.isEmpty():
-        none = a.select("id", F.lit(None).cast(dict(b.dtypes)["id"]).alias("b_id"), F.lit(None).cast("double").alias("dist"))
-        return none.withColumn("met", F.lit(0).cast("long")) if counted else none
+    points = staged(plain(b, "b_id", "bx", "by").where(placed("bx", "by")).groupBy("bx", "by").agg(F.min("b_id").alias("b_id")), "b")
+    every = staged(plain(a, "id", "x", "y"), "a")
+    id_type, b_type = dict(every.dtypes)["id"], dict(points.dtypes)["b_id"]
+    own = every.where(placed("x", "y"))
+    none = every if points.isEmpty() else every.where(~placed("x", "y"))
+    none = none.select("id", F.lit(None).cast(b_type).alias("b_id"), F.lit(None).cast("double").alias("dist"), *([F.lit(0).cast("long").alias("met")] if counted else []))
+    if points.isEmpty() or own.isEmpty():
+        return none
     levels = tree(points, fan)
-    rows = staged(whole(a, "id", "x", "y").withColumns({"row": F.monotonically_increasing_id(), "node": F.lit(0).cast("long"), "met": F.lit(0).cast("long")}), "a")
+    rows, _ = along_curve(own.toDF("b_id", "bx", "by"))
+    grouped = rows.groupBy(F.expr(f"place div {GROUP}").alias("group")).agg(F.collect_list(F.struct(F.col("b_id").alias("id"), F.col("bx").alias("x"), F.col("by").alias("y"))).alias("rows"))
+    start = [F.transform("rows", lambda _: F.lit(math.inf)).alias("bound"), F.lit(0).cast("long").alias("met"), F.array(F.lit(0).cast("long")).alias("nodes")]
+    groups = staged(grouped.select("group", "rows", *start), "groups")
+    kept_type = f"group long, rows array<struct<id: {id_type}, x: double, y: double>>, bound array<double>, met long, nodes array<long>"
 
     def down(level: DataFrame, n: int) -> DataFrame:
-        return rows.join(F.broadcast(level), "node") if n <= HOT_KEYS else hot_join(rows, level, "node")
+        """The groups with the children of all their nodes in one list, ``to``."""
+        at = groups.select("group", F.explode("nodes").alias("node"))
+        met = at.join(F.broadcast(level), "node") if n <= HOT_KEYS else hot_join(at, level, "node")
+        to = met.groupBy("group").agg(F.flatten(F.collect_list("children")).alias("to"))
+        return groups.drop("nodes").join(to, "group")
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, nodes, met = [], [], []
+            for rows, bound, to, n in zip(*[batch.column(c) for c in ("rows", "bound", "to", "met")], strict=True):
+                bound, left = _kept(rows.values, np.asarray(bound.values), to.values)
+                bounds.append(bound)
+                nodes.append(left)
+                met.append(n.as_py() + len(to.values))
+            lists = [pa.array(v, pa.list_(t)) for v, t in ((bounds, pa.float64()), (nodes, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("rows"), lists[0], pa.array(met, pa.int64()), lists[1]], names=["group", "rows", "bound", "met", "nodes"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, to, n in zip(*[batch.column(c) for c in ("rows", "to", "met")], strict=True):
+                # the lower id comes first
+                near = to.values.take(pc.array_sort_indices(to.values.field("b_id")))
+                place, square = _best(rows.values, near)
+                out = [rows.values.field("id"), near.field("b_id").take(pa.array(place)), pa.array(np.sqrt(square))]
+                if counted:
+                    out.append(pa.array(np.full(len(place), n.as_py() + len(near))))
+                yield pa.RecordBatch.from_arrays(out, names=["id", "b_id", "dist", "met"][: len(out)])
 
     for level in reversed(levels[1:]):
-        met = down(*level)
-        low, within = bounds(F.col("x"), F.col("y"), F.col("to"))
-        each = met.withColumn("to", F.explode("children")).select("row", "id", "x", "y", "met", low.alias("low"), within.alias("within"), F.col("to.child").alias("child"))
-        own = each.groupBy("row").agg(
-            F.first("id").alias("id"), F.first("x").alias("x"), F.first("y").alias("y"), (F.first("met") + F.count("*")).alias("met"),
-            F.min("within").alias("bound"), F.collect_list(F.struct("low", "child")).alias("to"),
-        )
-        left = F.filter("to", lambda t: t["low"] <= F.col("bound") * (1 + SLACK))
-        rows = staged(own.select("row", "id", "x", "y", "met", F.explode(left).alias("to")).select("row", "id", "x", "y", "met", F.col("to.child").alias("node")), "a")
-    met = down(*levels[0])
-    each = met.withColumn("to", F.explode("children")).select("row", "id", "met", F.struct(F.hypot(F.col("to.bx") - F.col("x"), F.col("to.by") - F.col("y")).alias("dist"), F.col("to.b_id").alias("b_id")).alias("near"))
-    best = each.groupBy("row").agg(F.first("id").alias("id"), F.min("near").alias("m"), (F.first("met") + F.count("*")).alias("met"))
-    found = best.select("id", F.col("m.b_id").alias("b_id"), F.col("m.dist").alias("dist"), *(["met"] if counted else []))
-    return a.select("id").join(found, "id", "left")
+        groups = staged(down(*level).mapInArrow(narrowed, kept_type), "groups")
+    out = down(*levels[0]).select("rows", "to", "met").mapInArrow(found, f"id {id_type}, b_id {b_type}, dist double" + (", met long" if counted else ""))
+    return out.unionByName(none)

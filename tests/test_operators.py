@@ -479,3 +479,20 @@ def test_verdicts_over_a_level_of_equal_vectors_equal_the_sql(spark, tmp_path):
     cur = con.execute(registry.oracle_sql()["c04_c06_c08_verdict"])
     at = [d[0] for d in cur.description]
     assert got == {r[at.index("cell")]: (r[at.index("moved")], r[at.index("verdict")]) for r in cur.fetchall()}
+
+
+def test_nearest_shuffles_groups_of_rows(spark, monkeypatch):
+    """On the way down a group of rows is one row; an id that comes twice has two rows."""
+    from gridcells.operators import nearest as N
+
+    written = []
+    keep = N.staged
+    monkeypatch.setattr(N, "staged", lambda df, name: written.append(keep(df, name)) or written[-1])
+    grid = lambda d: spark.range(10_000).selectExpr("id", f"id % 100 * 3000D + {d} AS x", f"id div 100 * 3000D - {d} AS y")
+    got = N.nearest(grid(0), grid(500)).agg(F.count("*"), F.sum((F.col("id") == F.col("b_id")).cast("int")), F.max("dist")).first()
+    assert tuple(got) == (10_000, 10_000, pytest.approx(math.hypot(500, 500)))
+    # both tables, each once more along its curve, and a few groups and boxes
+    assert sum(df.count() for df in written) < 45_000
+    twice = spark.createDataFrame([(1, 0.0, 0.0), (1, 9.0, 0.0), (2, 4.0, 0.0)], "id long, x double, y double")
+    far = spark.createDataFrame([(7, 0.0, 1.0), (8, 8.0, 0.0), (6, 0.0, 1.0)], "id long, x double, y double")
+    assert sorted(tuple(r) for r in N.nearest(twice, far).collect()) == [(1, 6, 1.0), (1, 8, 1.0), (2, 8, 4.0)]
