@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from gridcells.functions import cells as H
 from gridcells.operators.components import connected_components
 from gridcells.operators.joins import neighbour_pairs, neighbour_table
+from gridcells.operators.tiles import traced
 from gridcells.runtime import staged
 
+#: Sides of a blob up to which a task traces its rings at once (some 10 MB).
+RING_SIDES = 1 << 16
+
 
 def blobs(cells: DataFrame, same: str | None = None) -> DataFrame:
     """The rows of ``cells`` with ``blob``: the least cell of the connected cells
@@ -60,10 +64,29 @@ def _corners() -> list[Column]:
     return [F.array_sort(F.array("cell", near[k], near[(k + 1) % 6])) for k in range(6)]
 
 
+_RING = ["blob", "cell", "side", "ring_cell", "ring_side"]
+
+
+def _by_size(boundary: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The traced sides of blobs of up to RING_SIDES sides, and those of larger blobs."""
+    sides = staged(boundary.select("blob", "cell", "side"), "sides")
+    large = staged(sides.groupBy("blob").agg(F.count("*").alias("n")).where(F.col("n") > RING_SIDES).select("blob"), "large")
+    if large.isEmpty():
+        return traced(sides), None
+    # one in RING_SIDES sides at most
+    return traced(sides.join(F.broadcast(large), "blob", "left_anti")), sides.join(F.broadcast(large), "blob")
+
+
 def outline_rings(boundary: DataFrame) -> DataFrame:
     """blob, cell, side of ``blob_boundary`` with ring_cell and ring_side, the least
     side of its ring: the outer one or that of a hole. Three cells meet in a corner, so
     two sides of a blob's boundary or none do, and rings never touch."""
+    small, large = _by_size(boundary)
+    return small.select(*_RING) if large is None else small.select(*_RING).unionByName(_joined_rings(large))
+
+
+def _joined_rings(boundary: DataFrame) -> DataFrame:
+    """``outline_rings`` of blobs of any size, whose sides meet in joins."""
     corner = _corners()
     ends = F.coalesce(*[F.when(F.col("side") == k, F.array(corner[k - 1], corner[k])) for k in range(6)])
     sides = staged(boundary.withColumn("node", F.monotonically_increasing_id()), "sides")
@@ -92,9 +115,15 @@ def ordered_rings(boundary: DataFrame) -> DataFrame:
     """``outline_rings`` with ``place``, the number of the side along its ring from its
     least side, and n, the sides of the ring. Sides run with their cell to the left, so
     outer rings go anticlockwise and those of holes clockwise."""
+    small, large = _by_size(boundary)
+    return small if large is None else small.unionByName(_ranked_rings(large))
+
+
+def _ranked_rings(boundary: DataFrame) -> DataFrame:
+    """``ordered_rings`` of blobs of any size, by ranks of lists."""
     corner = _corners()
     pick = lambda d: F.coalesce(*[F.when(F.col("side") == k, corner[(k + d) % 6]) for k in range(6)])
-    sides = staged(outline_rings(boundary).withColumn("node", F.monotonically_increasing_id()), "ring-sides")
+    sides = staged(_joined_rings(boundary).withColumn("node", F.monotonically_increasing_id()), "ring-sides")
     head = sides.select("blob", "node", pick(0).alias("corner"))
     tail = sides.select("blob", F.col("node").alias("to"), ((F.col("cell") == F.col("ring_cell")) & (F.col("side") == F.col("ring_side"))).alias("first"), pick(-1).alias("corner"))
     # the side that begins where another ends; the list ends before the first

@@ -496,3 +496,21 @@ def test_nearest_shuffles_groups_of_rows(spark, monkeypatch):
     twice = spark.createDataFrame([(1, 0.0, 0.0), (1, 9.0, 0.0), (2, 4.0, 0.0)], "id long, x double, y double")
     far = spark.createDataFrame([(7, 0.0, 1.0), (8, 8.0, 0.0), (6, 0.0, 1.0)], "id long, x double, y double")
     assert sorted(tuple(r) for r in N.nearest(twice, far).collect()) == [(1, 6, 1.0), (1, 8, 1.0), (2, 8, 4.0)]
+
+
+def test_rings_of_small_and_large_blobs_agree(spark, monkeypatch):
+    """Blobs of few sides are traced in a task, without components or ranks."""
+    rng = random.Random(22)
+    cells = B.blobs(grid(spark, [(i, j) for i in range(24) for j in range(24) if rng.random() < 0.7]))
+    boundary = B.blob_boundary(cells)
+    found = []
+    for limit in (1 << 16, 30, 0):
+        monkeypatch.setattr(B, "RING_SIDES", limit)
+        if limit > 30:
+            with monkeypatch.context() as m:
+                m.setattr(B, "connected_components", None)
+                m.setattr(B, "ranked", None)
+                found.append([sorted(tuple(r) for r in f(boundary).select(*c).collect()) for f, c in ((B.outline_rings, B._RING), (B.ordered_rings, [*B._RING, "place", "n"]))])
+        else:
+            found.append([sorted(tuple(r) for r in f(boundary).select(*c).collect()) for f, c in ((B.outline_rings, B._RING), (B.ordered_rings, [*B._RING, "place", "n"]))])
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == boundary.count()
