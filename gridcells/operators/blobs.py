@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from gridcells.functions import cells as H
 from gridcells.operators.components import connected_components
-from gridcells.operators.joins import neighbour_pairs, neighbour_table
-from gridcells.operators.tiles import traced
+from gridcells.operators.joins import neighbour_table
+from gridcells.operators.skew import hot_join
+from gridcells.operators.tiles import local_blobs, tile_of, traced
 from gridcells.runtime import staged
 
+
 #: Sides of a blob up to which a task traces its rings at once (some 10 MB).
 RING_SIDES = 1 << 16
 
@@ -21,23 +23,27 @@ RING_SIDES = 1 << 16
 def blobs(cells: DataFrame, same: str | None = None) -> DataFrame:
     """The rows of ``cells`` with ``blob``: the least cell of the connected cells
     of equal ``same``."""
-    pairs = neighbour_pairs(cells, same).select("a", "b")
-    found = connected_components(pairs).withColumnRenamed("node", "cell")
-    joined = staged(cells.join(found, "cell", "left").withColumn("component", F.coalesce("component", "cell")), "blobs")
-    least = joined.groupBy("component").agg(F.min("cell").alias("blob"))
-    return joined.join(least, "component").drop("component")
+    return _named(cells, [same] if same else [])
 
 
 def keyed_blobs(members: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Blobs within each group of ``by`` (an hour, a level): a node is a cell of
-    a group, numbered once, in a written table."""
-    nodes = staged(members.select(*by, "cell").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
-    probe = nodes.select(*by, F.col("node").alias("a"), F.col("cell").alias("own"), F.explode(H.grid_disk("cell")).alias("cell")).where("own < cell")
-    pairs = probe.join(nodes.select(*by, "cell", F.col("node").alias("b")), [*by, "cell"]).select("a", "b")
-    found = connected_components(pairs)
-    joined = staged(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "keyed")
-    least = joined.groupBy("component").agg(F.min("cell").alias("blob"))
-    return joined.join(least, "component").select(*by, "cell", "blob")
+    """Blobs within each group of ``by`` (an hour, a level)."""
+    return _named(members.select(*by, "cell").distinct(), by)
+
+
+def _named(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The connected parts of each tile are found in it. Only cells on borders of tiles
+    meet in a join, and only the parts that they connect in components."""
+    local = staged(local_blobs(cells, by), "tiles")
+    border = local.where("border").select(*by, "cell", "root", "low")
+    steps = F.array(*[F.col("cell") + ((a << H.BITS) + b) for a, b in H.NEIGHBOURS[:3]])
+    probe = border.select(*by, F.col("root").alias("a"), F.col("low").alias("low_a"), tile_of("cell").alias("own"), F.explode(steps).alias("cell")).where(tile_of("cell") != F.col("own"))
+    pairs = staged(probe.join(border.withColumnsRenamed({"root": "b", "low": "low_b"}), [*by, "cell"]).select("a", "low_a", "b", "low_b"), "pairs")
+    lows = pairs.select(F.col("a").alias("node"), F.col("low_a").alias("low")).unionByName(pairs.select(F.col("b").alias("node"), F.col("low_b").alias("low"))).distinct()
+    parts = staged(connected_components(pairs.select("a", "b")).join(lows, "node"), "parts")
+    least = parts.groupBy("component").agg(F.min("low").alias("blob"))
+    roots = hot_join(parts, least, "component").select(F.col("node").alias("root"), "blob")
+    return local.join(roots, "root", "left").select(*cells.columns, F.coalesce("blob", "low").alias("blob"))
 
 
 def patches(labelled: DataFrame, cls: str, agree: str, area_km2: float, min_cells: int) -> DataFrame:

@@ -93,8 +93,8 @@ SELECT cls, blob, ncell, km2, round(cx, 6) AS cx, round(cy, 6) AS cy, round(CASE
  length_km, width_km, length_km > 7 AND length_km > round(width_km * 2, 6) AS is_ar
 FROM (SELECT *, round(sqrt((greatest(mid + half, 0) * 12 + 1) * 4), 6) AS length_km, round(sqrt((greatest(mid - half, 0) * 12 + 1) * 4), 6) AS width_km FROM t) u WHERE km2 >= 12""")
 def g10(px):
-    cells = px.select("cls", "i", "j", "cell").distinct()
-    labelled = B.keyed_blobs(cells, ["cls"]).join(cells.select("cls", "cell", F.col("i").alias("x"), F.col("j").alias("y")), ["cls", "cell"])
+    x, y = H.axial("cell")
+    labelled = B.keyed_blobs(px, ["cls"]).withColumns({"x": x, "y": y})
     return B.shapes(labelled, ["cls", "blob"], 4.0, least_km=7.0).where("km2 >= 12").withColumn("elongation", F.round("elongation", 4))
 
 

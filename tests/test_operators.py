@@ -514,3 +514,32 @@ def test_rings_of_small_and_large_blobs_agree(spark, monkeypatch):
         else:
             found.append([sorted(tuple(r) for r in f(boundary).select(*c).collect()) for f, c in ((B.outline_rings, B._RING), (B.ordered_rings, [*B._RING, "place", "n"]))])
     assert found[0] == found[1] == found[2] and len(found[0][0]) == boundary.count()
+
+
+def test_blobs_over_tiles_equal_a_walk(spark, monkeypatch):
+    """Blobs over many tiles, with classes of which one is null; what is left for joins are
+    the parts that tiles' borders connect."""
+    from gridcells.operators import tiles
+
+    seen = []
+    keep = B.connected_components
+    monkeypatch.setattr(B, "connected_components", lambda edges: seen.append(edges.count()) or keep(edges))
+    rng = random.Random(21)
+    rows = {(i, j): rng.choice([1, 1, 1, 1, 2, None]) for i in range(-20, 20) for j in range(-20, 20) if rng.random() < 0.8}
+    cells = spark.createDataFrame([(*k, c) for k, c in rows.items()], "i int, j int, cls int").select(H.pack(10, "i", "j").alias("cell"), "i", "j", "cls")
+    number = {(r["i"], r["j"]): r["cell"] for r in cells.collect()}
+    parent = {k: k for k in rows}
+    for i, j in rows:
+        for a, b in H.NEIGHBOURS:
+            if rows[i, j] is not None and rows.get((i + a, j + b)) == rows[i, j]:
+                parent[find(parent, (i, j))] = find(parent, (i + a, j + b))
+    least = {}
+    for k in rows:
+        root = find(parent, k)
+        least[root] = min(least.get(root, number[k]), number[k])
+    want = {number[k]: least[find(parent, k)] for k in rows}
+    for side in (4, 64):
+        monkeypatch.setattr(tiles, "TILE", side)
+        assert {r["cell"]: r["blob"] for r in B.blobs(cells, "cls").collect()} == want
+        assert {r["cell"]: r["blob"] for r in B.keyed_blobs(cells.unionByName(cells), ["cls"]).collect()} == want
+    assert max(seen[2:]) < 100  # with four tiles; the cells have some 1,500 neighbour pairs
