@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from gridcells.functions import cells as H
 from gridcells.operators.components import connected_components
-from gridcells.operators.joins import neighbour_table
 from gridcells.operators.skew import hot_join
-from gridcells.operators.tiles import local_blobs, tile_of, traced
+from gridcells.operators.tiles import TILE, local_blobs, smoothed, tile_of, traced
 from gridcells.runtime import staged
 
 
@@ -198,12 +197,11 @@ def shapes(labelled: DataFrame, keys: Sequence[str], area_km2: float, least_km:
     return g.withColumn("is_ar", (F.col("length_km") > least_km) & (F.col("length_km") > F.round(F.col("width_km") * least_ratio, 6)))
 
 
-def smooth(cells: DataFrame, value: str, rounds: int) -> DataFrame:
+def smooth(cells: DataFrame, value: str, rounds: int, into: str | None = None) -> DataFrame:
     """Mean over the cell and its six neighbours (itself where one is absent),
-    ``rounds`` times."""
-    near = staged(neighbour_table(cells), "near")
-    out = cells.select("cell", value)
-    for _ in range(rounds):
-        there = out.select(F.col("cell").alias("neighbour"), value)
-        out = near.join(there, "neighbour").groupBy("cell").agg(F.avg(value).alias(value))
-    return out
+    ``rounds`` times, as a double; in ``into``, if given, beside the value itself. A cell
+    has one row."""
+    out = cells.select("cell", value, F.col(value).cast("double").alias("_mean"))
+    for done in range(0, rounds, TILE // 2):
+        out = smoothed(out, "_mean", min(TILE // 2, rounds - done))
+    return out.select("cell", value, F.col("_mean").alias(into)) if into else out.select("cell", F.col("_mean").alias(value))

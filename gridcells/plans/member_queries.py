@@ -156,9 +156,8 @@ _DISK = "(SELECT unnest([-1, -1, 0, 0, 0, 1, 1]) AS da, unnest([-1, 0, -1, 0, 1,
 r1 AS (SELECT nb.cell, avg(npx) AS g FROM nb JOIN members o ON o.cell = nb.n GROUP BY nb.cell), r2 AS (SELECT nb.cell, avg(g) AS g FROM nb JOIN r1 ON r1.cell = nb.n GROUP BY nb.cell)
 SELECT cell, round(g, 6) AS g, round(0.2 + 0.8 * (g + 0.5 * (npx - g)), 6) AS lift FROM r2 JOIN members USING (cell)""")
 def g15(members):
-    g = B.smooth(members, "npx", 2).withColumnRenamed("npx", "g")
     lift = 0.2 + 0.8 * (F.col("g") + 0.5 * (F.col("npx") - F.col("g")))
-    return g.join(members.select("cell", "npx"), "cell").select("cell", "g", lift.alias("lift"))
+    return B.smooth(members, "npx", 2, "g").select("cell", "g", lift.alias("lift"))
 
 
 @q("g17_seam_dissolve", ("px",), f"""WITH p AS (SELECT DISTINCT cls AS zone, yr, i, j, cell, 'zone ' || cls AS name FROM px), n AS (SELECT DISTINCT zone, i, j, cell FROM p),

@@ -543,3 +543,24 @@ def test_blobs_over_tiles_equal_a_walk(spark, monkeypatch):
         assert {r["cell"]: r["blob"] for r in B.blobs(cells, "cls").collect()} == want
         assert {r["cell"]: r["blob"] for r in B.keyed_blobs(cells.unionByName(cells), ["cls"]).collect()} == want
     assert max(seen[2:]) < 100  # with four tiles; the cells have some 1,500 neighbour pairs
+
+
+def test_smoothing_over_tiles_equals_brute_force(spark, monkeypatch):
+    """Absent neighbours, null values, and a plan with one exchange for all rounds."""
+    from gridcells.operators import tiles
+
+    rng = random.Random(23)
+    rows = {(i, j): rng.choice([None, rng.randrange(50)]) if rng.random() < 0.2 else rng.randrange(50) for i in range(-9, 14) for j in range(-9, 14) if rng.random() < 0.8}
+    cells = spark.createDataFrame([(*k, v) for k, v in rows.items()], "i int, j int, v long").select(H.pack(10, "i", "j").alias("cell"), "i", "j", "v")
+    number = {(r["i"], r["j"]): r["cell"] for r in cells.collect()}
+    want = dict(rows)
+    for _ in range(3):
+        near = {k: [want[n] for n in [k] + [(k[0] + a, k[1] + b) if (k[0] + a, k[1] + b) in rows else k for a, b in H.NEIGHBOURS] if want[n] is not None] for k in rows}
+        want = {k: sum(v) / len(v) if v else None for k, v in near.items()}
+    for side in (4, 64):
+        monkeypatch.setattr(tiles, "TILE", side)
+        monkeypatch.setattr(B, "TILE", side)
+        out = B.smooth(cells, "v", 3, "g")
+        got = {r["cell"]: (r["v"], r["g"]) for r in out.collect()}
+        assert got == {number[k]: (rows[k], None if want[k] is None else pytest.approx(want[k])) for k in rows}
+    assert len(out.select("g")._jdf.queryExecution().optimizedPlan().toString().split("Repartition")) == 2
