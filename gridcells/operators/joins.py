@@ -17,11 +17,14 @@ def match_grids(a: DataFrame, b: DataFrame) -> DataFrame:
     """``a`` and ``b``: id, cell, x, y. For each row of ``a`` the b_id of the same
     cell (how = 0), else the nearest among the ring of six cells (how = 1), else
     none (how = 2), and the distance. Ties go to the lower b_id."""
-    near = a.select("id", "cell", "x", "y", F.explode(H.grid_disk("cell")).alias("at"))
+    own = a.select("id", "x", "y", F.col("cell").alias("at"))
     other = b.select(F.col("id").alias("b_id"), F.col("cell").alias("at"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    found = near.join(other, "at").withColumn("dist", F.hypot(F.col("bx") - F.col("x"), F.col("by") - F.col("y")))
-    how = F.when(F.col("at") == F.col("cell"), 0).otherwise(1)
-    best = found.groupBy("id").agg(F.min(F.struct(how.alias("how"), "dist", "b_id")).alias("m"))
+    # only rows without a match in their cell look around
+    ring = F.explode(F.array_remove(H.grid_disk("at"), F.col("at"))).alias("at")
+    around = own.join(other.select("at"), "at", "left_anti").select("id", "x", "y", ring)
+    dist = F.hypot(F.col("bx") - F.col("x"), F.col("by") - F.col("y")).alias("dist")
+    met = [rows.join(other, "at").select("id", F.struct(F.lit(how).alias("how"), dist, "b_id").alias("m")) for how, rows in enumerate((own, around))]
+    best = met[0].unionByName(met[1]).groupBy("id").agg(F.min("m").alias("m"))
     return a.select("id").join(best, "id", "left").select("id", F.col("m.b_id").alias("b_id"), F.coalesce("m.how", F.lit(2)).alias("how"), F.col("m.dist").alias("dist"))
 
 

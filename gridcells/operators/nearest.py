@@ -7,8 +7,9 @@ down level by level, those of a group together, GROUP in a row along a curve of
 of the boxes that a row has come to, the least distance within which one must hold a point
 (a box touches a point on every side) is an upper bound, and boxes farther than that from
 every row of the group are left. Two grids far apart meet in a few boxes a level, like two
-that lie in each other. What is shuffled at a level is a list of rows and one of boxes for
-each group, not boxes for each row.
+that lie in each other. The levels at the top, of few nodes, take no shuffle; what is
+shuffled at one below is a list of rows and one of boxes for each group, not boxes for each
+row.
 """
 
 from __future__ import annotations
@@ -173,13 +174,17 @@ def nearest(a: DataFrame, b: DataFrame, fan: float = 16, counted: bool = False)
     rows, _ = along_curve(own.toDF("b_id", "bx", "by"))
     grouped = rows.groupBy(F.expr(f"place div {GROUP}").alias("group")).agg(F.collect_list(F.struct(F.col("b_id").alias("id"), F.col("bx").alias("x"), F.col("by").alias("y"))).alias("rows"))
     start = [F.transform("rows", lambda _: F.lit(math.inf)).alias("bound"), F.lit(0).cast("long").alias("met"), F.array(F.lit(0).cast("long")).alias("nodes")]
-    groups = staged(grouped.select("group", "rows", *start), "groups")
+    groups = grouped.select("group", "rows", *start)
     kept_type = f"group long, rows array<struct<id: {id_type}, x: double, y: double>>, bound array<double>, met long, nodes array<long>"
 
     def down(level: DataFrame, n: int) -> DataFrame:
-        """The groups with the children of all their nodes in one list, ``to``."""
-        at = groups.select("group", F.explode("nodes").alias("node"))
-        met = at.join(F.broadcast(level), "node") if n <= HOT_KEYS else hot_join(at, level, "node")
+        """The groups with the children of all their nodes in one list, ``to``. A level of
+        few nodes is looked up where the groups are; any other meets their nodes in a join."""
+        if n <= HOT_KEYS:
+            whole = level.agg(F.map_from_entries(F.collect_list(F.struct("node", "children"))).alias("level"))
+            to = F.flatten(F.transform("nodes", lambda node: F.element_at("level", node)))
+            return groups.crossJoin(F.broadcast(whole)).select("group", "rows", "bound", "met", to.alias("to"))
+        met = hot_join(groups.select("group", F.explode("nodes").alias("node")), level, "node")
         to = met.groupBy("group").agg(F.flatten(F.collect_list("children")).alias("to"))
         return groups.drop("nodes").join(to, "group")
 
@@ -205,7 +210,9 @@ def nearest(a: DataFrame, b: DataFrame, fan: float = 16, counted: bool = False)
                     out.append(pa.array(np.full(len(place), n.as_py() + len(near))))
                 yield pa.RecordBatch.from_arrays(out, names=["id", "b_id", "dist", "met"][: len(out)])
 
-    for level in reversed(levels[1:]):
-        groups = staged(down(*level).mapInArrow(narrowed, kept_type), "groups")
+    for at in range(len(levels) - 1, 0, -1):
+        groups = down(*levels[at]).mapInArrow(narrowed, kept_type)
+        if levels[at - 1][1] > HOT_KEYS:
+            groups = staged(groups, "groups")
     out = down(*levels[0]).select("rows", "to", "met").mapInArrow(found, f"id {id_type}, b_id {b_type}, dist double" + (", met long" if counted else ""))
     return out.unionByName(none)

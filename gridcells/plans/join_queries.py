@@ -41,6 +41,7 @@ def j03(a, b):
 @q("j04_agreement", ("grid_a", "grid_b"), f"""WITH {_NEAR}, {_MATCH} SELECT how, count(*) AS n, round(avg((b_id = t_id)::INT), 6) AS agree, round(quantile_cont(dist, 0.5), 6) AS p50, round(quantile_cont(dist, 0.95), 6) AS p95, round(max(dist - t_dist), 6) AS worst
 FROM n JOIN r ON r.id = n.id AND rk = 1 GROUP BY how""")
 def j04(a, b):
+    a, b = staged(a, "grid-a"), staged(b, "grid-b")
     true = J.nearest(a, b).withColumnsRenamed({"b_id": "t_id", "dist": "t_dist"})
     m = staged(J.match_grids(a, b).where("how < 2").join(true, "id"), "agreement")
     table = m.groupBy("how").agg(F.count("*").alias("n"), F.avg((F.col("b_id") == F.col("t_id")).cast("double")).alias("agree"), F.max(F.col("dist") - F.col("t_dist")).alias("worst"))

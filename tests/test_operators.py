@@ -564,3 +564,33 @@ def test_smoothing_over_tiles_equals_brute_force(spark, monkeypatch):
         got = {r["cell"]: (r["v"], r["g"]) for r in out.collect()}
         assert got == {number[k]: (rows[k], None if want[k] is None else pytest.approx(want[k])) for k in rows}
     assert len(out.select("g")._jdf.queryExecution().optimizedPlan().toString().split("Repartition")) == 2
+
+
+def test_agreement_reads_its_grids_once_and_nearest_writes_groups_once(spark, monkeypatch):
+    """Levels of few boxes are looked up without a shuffle; the report meets written grids."""
+    from gridcells.operators import nearest as N
+    from gridcells.plans import join_queries as Q
+
+    names, plans = [], []
+    keep = N.staged
+    monkeypatch.setattr(N, "staged", lambda df, name: names.append(name) or keep(df, name))
+    monkeypatch.setattr(Q, "staged", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    assert {r["how"] for r in registry.queries()["j04_agreement"](spark, "/root/testdata/sf0.001").collect()} == {0, 1}
+    assert names.count("groups") == 0
+    assert "l_partkey" not in plans[-1]
+    # 32,000 points have 2,000 leaves, and those 125 nodes
+    names.clear()
+    grid = lambda d: spark.range(32_000).selectExpr("id", f"id % 200 * 3000D + {d} AS x", f"id div 200 * 3000D - {d} AS y")
+    got = N.nearest(grid(0), grid(500)).agg(F.count("*"), F.sum((F.col("id") == F.col("b_id")).cast("int"))).first()
+    assert tuple(got) == (32_000, 32_000) and names.count("groups") == 1
+
+
+def test_only_rows_without_a_match_look_around(spark):
+    """A cell's own rows come before nearer ones of the ring, for ids that come twice too."""
+    cell = lambda i, j: (10 << 2 * H.BITS) | (i + H.OFFSET) << H.BITS | (j + H.OFFSET)
+    frame = lambda rows: spark.createDataFrame(rows, "id long, cell long, x double, y double")
+    a = frame([(1, cell(0, 0), 0.0, 0.0), (2, cell(5, 5), 0.0, 0.0), (2, cell(9, 9), 0.0, 0.0), (3, cell(7, 7), 0.0, 0.0), (4, None, 0.0, 0.0)])
+    b = frame([(11, cell(0, 0), 9.0, 0.0), (10, cell(0, 0), 9.0, 0.0), (12, cell(0, 1), 1.0, 0.0), (13, cell(5, 6), 1.0, 0.0), (14, cell(9, 9), 8.0, 0.0), (15, cell(8, 8), 3.0, 4.0), (16, None, 0.0, 0.0)])
+    got = sorted(tuple(r) for r in J.match_grids(a, b).collect())
+    assert got == [(1, 10, 0, 9.0), (2, 14, 0, 8.0), (2, 14, 0, 8.0), (3, 15, 1, 5.0), (4, None, 2, None)]
+    assert str(J.match_grids(a, b)._jdf.queryExecution().optimizedPlan()).count("LeftAnti") == 1
