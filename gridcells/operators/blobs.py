@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridcells.functions import cells as H
 from gridcells.operators.components import connected_components
 from gridcells.operators.skew import hot_join
-from gridcells.operators.tiles import TILE, local_blobs, smoothed, tile_of, traced
+from gridcells.operators.tiles import TILE, local_blobs, open_sides, smoothed, tile_of, traced
 from gridcells.runtime import staged
 
 
@@ -56,10 +56,7 @@ def patches(labelled: DataFrame, cls: str, agree: str, area_km2: float, min_cell
 def blob_boundary(labelled: DataFrame) -> DataFrame:
     """blob, cell, side: the sides of a blob's cells that face another blob or
     nothing."""
-    i, j = H.axial("cell")
-    steps = F.array(*[F.struct(F.lit(k).alias("side"), H.pack(H.resolution("cell"), i + a, j + b).alias("to")) for k, (a, b) in enumerate(H.NEIGHBOURS)])
-    probe = labelled.select("blob", "cell", F.explode(steps).alias("s")).select("blob", "cell", "s.side", F.col("s.to").alias("at"))
-    return probe.join(labelled.select("blob", F.col("cell").alias("at")), ["blob", "at"], "left_anti").select("blob", "cell", "side")
+    return open_sides(labelled)
 
 
 def _corners() -> list[Column]:

@@ -594,3 +594,19 @@ def test_only_rows_without_a_match_look_around(spark):
     got = sorted(tuple(r) for r in J.match_grids(a, b).collect())
     assert got == [(1, 10, 0, 9.0), (2, 14, 0, 8.0), (2, 14, 0, 8.0), (3, 15, 1, 5.0), (4, None, 2, None)]
     assert str(J.match_grids(a, b)._jdf.queryExecution().optimizedPlan()).count("LeftAnti") == 1
+
+
+def test_boundaries_over_tiles_shuffle_cells_not_sides(spark):
+    """Cells of several blobs, over borders of tiles, twice or null, equal brute force."""
+    rng = random.Random(14)
+    pack = lambda i, j: (10 << 2 * H.BITS) | (i + H.OFFSET) << H.BITS | (j + H.OFFSET)
+    at = [(b, i, j) for b in (1, 2, None) for i in range(-6, 7) for j in (*range(-6, 7), *range(58, 70)) if rng.random() < 0.6]
+    rows = [(b, pack(i, j)) for b, i, j in [*at, at[0]]] + [(1, None)]
+    there = {(b, i, j) for b, i, j in at if b is not None}
+    want = [(b, pack(i, j), k) for b, i, j in [*at, at[0]] for k, (da, db) in enumerate(H.NEIGHBOURS) if (b, i + da, j + db) not in there]
+    got = B.blob_boundary(spark.createDataFrame(rows, "blob long, cell long"))
+    order = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted((tuple(r) for r in got.collect()), key=order) == sorted([*want, *((1, None, k) for k in range(6))], key=order)
+    # one shuffle of the cells, with those a step around each tile
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan
