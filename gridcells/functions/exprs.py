@@ -158,7 +158,8 @@ def equirect_m(lat0: Column, lon0: Column, lat1: Column, lon1: Column) -> Column
 
 
 def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-clip(x, -40.0, 40.0)))
+    """Of x within -40 and 40, like in the SQL: a null, which both bounds pass over, counts as -40."""
+    return 1 / (1 + F.exp(-F.least(F.greatest(x, F.lit(-40.0)), F.lit(40.0))))
 
 
 def stretch(x: Column, low: Column, high: Column) -> Column:

@@ -481,6 +481,23 @@ def test_verdicts_over_a_level_of_equal_vectors_equal_the_sql(spark, tmp_path):
     assert got == {r[at.index("cell")]: (r[at.index("moved")], r[at.index("verdict")]) for r in cur.fetchall()}
 
 
+def test_verdicts_without_a_displacement_or_a_level_equal_the_sql(spark, tmp_path):
+    """The last cell has one vector and no displacement, and may be of either label; of few
+    stable cells there is no level."""
+    rng = random.Random(9)
+    for n in (301, 306, 41):
+        path = str(tmp_path / str(n) / "embeddings.parquet")
+        spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(8)], 0) for k in range(n)], "vec_id long, embedding array<float>, label int").write.parquet(path)
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}/*.parquet')")
+        cur = con.execute(registry.oracle_sql()["c04_c06_c08_verdict"])
+        cols = [d[0] for d in cur.description]
+        got = registry.queries()["c04_c06_c08_verdict"](spark, str(tmp_path / str(n))).select(*cols).collect()
+        want = {r[0]: r for r in cur.fetchall()}
+        assert {r["cell"]: tuple(r) for r in got} == want and cols[0] == "cell"
+        assert want[n // 5][cols.index("disp")] is None
+
+
 def test_nearest_shuffles_groups_of_rows(spark, monkeypatch):
     """On the way down a group of rows is one row; an id that comes twice has two rows."""
     from gridcells.operators import nearest as N
